@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner import fixed
 
@@ -37,7 +38,7 @@ def clip(c, n: int) -> Column:
 
 
 def _unicode_form(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def convert(s: pd.Series) -> pd.Series:
         out = s.copy()
         used = s.notna()

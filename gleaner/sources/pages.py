@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.functions.html import decode_entities, html_to_text, strip_blocks
 from gleaner.functions.text import compose_text, one_line, text_or_blank
@@ -40,7 +41,7 @@ def div_block_of(html: Column, class_name: str) -> Column:
     """
     wanted = class_name.lower()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def inner(pages: pd.Series) -> pd.Series:
         return pages.map(lambda page: None if page is None else _inner_div(page, wanted))
 
@@ -88,7 +89,7 @@ def charset_of(content_type: Column, head: Column) -> Column:
     return F.lower(F.coalesce(*[F.nullif(c, F.lit("")) for c in found], F.lit("utf-8")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_legacy(body: pd.Series, charset: pd.Series) -> pd.Series:
     def one(raw, label):
         if raw is None:
@@ -189,7 +190,7 @@ def verdict_json(answers: DataFrame, column: str = "answer") -> DataFrame:
 
     Clean bodies are recognised in the JVM; only noisy ones go through Arrow batches.
     """
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def pick(texts: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
