@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed
-from gleaner.operators.skew import first_rows, ranked, salted_lookup
+from gleaner.operators.skew import first_rows, ranked
 from gleaner.session import cut_lineage
 
 MAX_ROUNDS = 60
@@ -26,36 +26,34 @@ def edges(keyed: DataFrame) -> DataFrame:
     return keyed.select("seq", F.explode(F.array_compact(keys)).alias("key"))
 
 
-def components(keyed: DataFrame, floor: int | None = None) -> DataFrame:
+def components(keyed: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """(seq, component): postings that share a loose key or a link, transitively; component = lowest seq.
 
-    Each key is replaced by the lowest seq that carries it, so the loop moves longs only, and postings
-    whose keys are theirs alone never enter it. A round takes the lowest label over every key, then jumps
-    to that label's own label, which halves long chains.
+    Each key is replaced by the lowest seq that carries it (its head), so the loop moves longs only, and
+    postings whose keys are theirs alone never enter it. A round takes the lowest label over every head,
+    jumps from it to that label's own label, and hands the result back to the postings. Heads with more
+    than ``hot_rows`` postings are handed back in slices of about that size.
     """
-    skew = {} if floor is None else {"floor": floor}
     pairs = edges(keyed)
     heads = (
-        pairs.groupBy("key")
-        .agg(F.min("seq").alias("head"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
-        .select("key", "head")
+        pairs.groupBy("key").agg(F.min("seq").alias("head"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("key", "head", F.ceil(F.col("n") / hot_rows).cast("int").alias("slices"))
     )
-    # (seq, head): head stands for the key; keys of one posting only are gone here.
-    links = cut_lineage(salted_lookup(pairs, heads, ["key"], "seq", **skew).select("seq", "head").distinct())
-    labels = links.groupBy("seq").agg(F.min("head").alias("label"))
+    found = pairs.join(heads, "key").groupBy("seq", "head").agg(F.max("slices").alias("slices"))
+    links = cut_lineage(found.withColumn("slice", F.pmod(F.xxhash64("seq"), F.col("slices")).cast("int")))
+    sliced = links.select("head", "slice").distinct()
+    labels = cut_lineage(links.groupBy("seq").agg(F.min("head").alias("label")))
+    size = _size(labels)
     for _ in range(MAX_ROUNDS):
-        per_head = links.join(labels, "seq").groupBy("head").agg(F.min("label").alias("low"))
-        pulled = (
-            salted_lookup(links, per_head, ["head"], "seq", **skew)
-            .groupBy("seq").agg(F.min("low").alias("label"))
+        low = links.join(labels, "seq").groupBy("head").agg(F.min("label").alias("label"))
+        own = labels.select(F.col("seq").alias("label"), F.col("label").alias("low"))
+        jumped = low.join(own, "label").select("head", "low")
+        labels = cut_lineage(
+            links.join(jumped.join(sliced, "head"), ["head", "slice"]).groupBy("seq").agg(F.min("low").alias("label"))
         )
-        parents = pulled.select(F.col("seq").alias("label"), F.col("label").alias("jump"))
-        jumped = salted_lookup(pulled, parents, ["label"], "seq", **skew).select("seq", F.col("jump").alias("label"))
-        before = labels.withColumnRenamed("label", "old")
-        current = cut_lineage(jumped.join(before, "seq"))
-        labels = current.select("seq", "label")
-        if current.filter(F.col("label") != F.col("old")).isEmpty():
+        # Labels only ever fall, so an unchanged total means an unchanged table.
+        before, size = size, _size(labels)
+        if before == size:
             break
     else:
         raise RuntimeError("components did not settle")
@@ -64,6 +62,10 @@ def components(keyed: DataFrame, floor: int | None = None) -> DataFrame:
     )
 
 
+def _size(labels: DataFrame):
+    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+
+
 def keeper_sources(grouped: DataFrame) -> DataFrame:
     """(component, keeper_source, k, n): the source with most records; a tie goes to the longest text's, else the first seen."""
     per_source = grouped.groupBy("component", "source").agg(
@@ -90,7 +92,7 @@ def fold_plan(grouped: DataFrame, width: int = 100_000) -> DataFrame:
     """
     choice = keeper_sources(grouped)
     slim = grouped.select("seq", "component", "source")
-    marked = salted_lookup(slim, choice, ["component"], "seq").withColumn(
+    marked = slim.join(choice, "component").withColumn(
         "role", F.when(F.col("source") == F.col("keeper_source"), "keeper").otherwise("copy")
     )
     single = marked.filter(F.col("n") == 1).select(
@@ -102,9 +104,7 @@ def fold_plan(grouped: DataFrame, width: int = 100_000) -> DataFrame:
         "component", (F.col("i") - 1).alias("slot"), F.col("seq").alias("keeper_seq")
     )
     copies = numbered.filter(F.col("role") == "copy").withColumn("slot", F.pmod(F.col("i") - 1, F.col("k")))
-    folded = salted_lookup(
-        copies.select("component", "slot", "seq", "role"), keepers, ["component", "slot"], "seq"
-    ).select("component", "seq", "role", "keeper_seq")
+    folded = copies.join(keepers, ["component", "slot"]).select("component", "seq", "role", "keeper_seq")
     kept = keepers.select("component", F.col("keeper_seq").alias("seq"), F.lit("keeper").alias("role"), "keeper_seq")
     return single.unionByName(kept).unionByName(folded)
 
@@ -115,7 +115,7 @@ def folded_copies(keyed: DataFrame, plan: DataFrame) -> DataFrame:
     copies = plan.filter(F.col("role") == "copy").select("seq", "keeper_seq")
     copy = keyed.select("seq", *[F.col(c).alias(f"alt_{c}") for c in cols])
     keeper = keyed.select(F.col("seq").alias("keeper_seq"), "id", "title_norm", "canonical")
-    both = salted_lookup(copies.join(copy, "seq"), keeper, ["keeper_seq"], "seq")
+    both = copies.join(copy, "seq").join(keeper, "keeper_seq")
     return both.select(
         "keeper_seq", "seq", "alt_source", "alt_url",
         F.when(F.col("alt_id") != F.col("id"), F.col("alt_id")).alias("merged_id"),

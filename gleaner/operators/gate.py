@@ -5,7 +5,8 @@ alt_source, alt_url), seen (key, last_seen), packages (file, seq, source, url, c
 reposts, archived, closed), package_links (link, file).
 
 Everything a posting is looked up in is reduced to one small row per key first, so no join here can
-multiply rows, however many packages or postings share a key.
+multiply rows, however many packages or postings share a key. A key that many postings share still meets
+one lookup row: AQE splits that partition of the postings side and copies the row to each part.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ from gleaner.functions.keys import legacy_spelling
 from gleaner.functions.text import first_excluded_term, text_or_blank
 from gleaner.functions.urls import parse_alt_links, link_key
 from gleaner.operators.scoring import Scorer
-from gleaner.operators.skew import first_rows, salted_lookup
+from gleaner.operators.skew import first_rows
+
+
+def _lookup(rows: DataFrame, unique: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join to a table that is unique on ``on``."""
+    return rows.join(unique, on, how)
 
 
 # ---- seen store ---------------------------------------------------------------
@@ -44,7 +50,7 @@ def lookup_ids(postings: DataFrame, copies: DataFrame | None = None) -> DataFram
 def seen_postings(postings: DataFrame, seen: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Distinct seq already in the store under any spelling."""
     keys = seen.select("key").withColumn("_seen", F.lit(True))
-    return salted_lookup(lookup_ids(postings, copies), keys, ["key"], "seq").select("seq").distinct()
+    return _lookup(lookup_ids(postings, copies), keys, ["key"]).select("seq").distinct()
 
 
 # ---- package lookups ------------------------------------------------------------
@@ -78,7 +84,7 @@ def same_package(lookups: DataFrame, packages: DataFrame) -> DataFrame:
         packages.filter(~F.col("archived") & (text_or_blank("url") != ""))
         .groupBy(F.col("canonical").alias("key"), "source", "url").agg(F.min(F.struct("seq", "file")).alias("hit"))
     )
-    hits = salted_lookup(lookups, first, ["key", "source", "url"], "seq")
+    hits = _lookup(lookups, first, ["key", "source", "url"])
     return hits.groupBy("seq").agg(F.min_by("hit", F.struct("pos", "hit.seq"))["file"].alias("same_file"))
 
 
@@ -97,7 +103,7 @@ def other_board_package(lookups: DataFrame, packages: DataFrame) -> DataFrame:
         .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("hit.seq", "hit.file", "source"))).alias("two"))
     )
     own = F.col("source")
-    hits = salted_lookup(lookups, two, ["key"], "seq").withColumn(
+    hits = _lookup(lookups, two, ["key"]).withColumn(
         "hit", F.try_element_at(F.filter("two", lambda p: p["source"] != own), F.lit(1))
     )
     found = hits.filter(F.col("hit").isNotNull())
@@ -107,7 +113,7 @@ def other_board_package(lookups: DataFrame, packages: DataFrame) -> DataFrame:
 def by_link(postings: DataFrame, links: DataFrame) -> DataFrame:
     """(seq, link_file): a live package already lists the posting's link."""
     return (
-        salted_lookup(postings.filter("link <> ''").select("seq", "link"), links, ["link"], "seq")
+        _lookup(postings.filter("link <> ''").select("seq", "link"), links, ["link"])
         .select("seq", F.col("file").alias("link_file"))
     )
 
@@ -120,7 +126,8 @@ def reposts(postings: DataFrame, packages: DataFrame, copies: DataFrame | None =
     and one url (the copy's) are ruled out.
     """
     lookups = posting_copies(postings, copies).join(postings.select("seq", F.col("link").alias("own_link")), "seq")
-    newest = F.struct(F.coalesce("generated", F.lit("")).alias("generated"), (-F.col("seq")).alias("neg"))
+    stamp = F.coalesce("generated", F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    newest = F.struct(stamp.alias("generated"), (-F.col("seq")).alias("neg"))
     closed = packages.filter(F.col("closed") & (text_or_blank("url") != "")).withColumn("newest", newest)
     urls = first_rows(closed, ["canonical", "source", "link", "url"], [F.col("newest").desc()])
     two_urls = first_rows(urls, ["canonical", "source", "link"], [F.col("newest").desc()], 2)
@@ -134,16 +141,16 @@ def reposts(postings: DataFrame, packages: DataFrame, copies: DataFrame | None =
     )
     own_link, own_url = F.col("own_link"), F.col("url")
     best = F.array_max(F.filter("priors", lambda p: (p["link"] != own_link) & (p["url"] != own_url)))
-    hits = salted_lookup(lookups, per_key, ["key", "source"], "seq").withColumn("best", best).filter("best IS NOT NULL")
+    hits = _lookup(lookups, per_key, ["key", "source"]).withColumn("best", best).filter("best IS NOT NULL")
     chosen = hits.groupBy("seq").agg(
         F.max_by(F.struct("best", "source"), F.struct("best.newest", -F.col("pos"))).alias("c")
     ).select("seq", "c.best", F.col("c.source").alias("source"))
     open_newest = packages.filter(~F.col("closed")).groupBy(F.col("canonical").alias("key"), "source").agg(
-        F.max(F.coalesce("generated", F.lit(""))).alias("open_generated")
+        F.max(stamp).alias("open_generated")
     )
     keys = lookups.select("seq", "key").distinct().join(chosen, "seq")
     answered = (
-        salted_lookup(keys, open_newest, ["key", "source"], "seq")
+        _lookup(keys, open_newest, ["key", "source"])
         .filter(F.col("open_generated") > F.col("best.newest.generated")).select("seq").distinct()
     )
     return chosen.join(answered, "seq", "left_anti").select(
@@ -227,7 +234,7 @@ def first_time(ids: DataFrame, seen: DataFrame, marker: str) -> DataFrame:
     """Adds first_time: the marker key ("title-only-kw:", "title-only-llm:", "llm-retry:") is not in the store yet."""
     keyed = ids.withColumn("marker", F.concat(F.lit(marker), F.col("id")))
     held = seen.select(F.col("key").alias("marker"), F.lit(True).alias("_held"))
-    return salted_lookup(keyed, held, ["marker"], "seq", how="left").withColumn(
+    return _lookup(keyed, held, ["marker"], "left").withColumn(
         "first_time", F.col("_held").isNull()
     ).drop("_held")
 
@@ -236,7 +243,7 @@ def judge_once(matches: DataFrame) -> DataFrame:
     """Several matches of one identity: the first with a description is judged, the others count as seen."""
     order = F.struct(F.col("retry").cast("int").alias("short"), F.col("seq"))
     chosen = matches.groupBy("id").agg(F.min(order)["seq"].alias("judged_seq"), F.count(F.lit(1)).alias("same"))
-    return salted_lookup(matches, chosen, ["id"], "seq").withColumn(
+    return _lookup(matches, chosen, ["id"]).withColumn(
         "outcome", F.when(F.col("seq") == F.col("judged_seq"), "judged").otherwise("seen")
     )
 

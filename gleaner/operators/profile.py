@@ -114,11 +114,11 @@ def stem_cyrillic(word: str) -> str:
 def stem_column(c) -> Column:
     """``stem_cyrillic`` over a table of terms."""
     w = F.lower(F.col(c) if isinstance(c, str) else c)
-    stem = F.lit(None).cast("string")
-    for ending in fixed.CYRILLIC_ENDINGS:
-        fits = w.endswith(ending) & (F.length(w) - len(ending) >= fixed.MIN_STEM)
-        stem = F.coalesce(stem, F.when(fits, F.substring(w, F.lit(1), F.length(w) - len(ending))))
-    return F.when(w.rlike(f"[{fixed.CYRILLIC}]"), F.coalesce(stem, w)).otherwise(w)
+    stems = [
+        F.when(w.endswith(e) & (F.length(w) >= len(e) + fixed.MIN_STEM), F.substring(w, F.lit(1), F.length(w) - len(e)))
+        for e in fixed.CYRILLIC_ENDINGS
+    ]
+    return F.when(w.rlike(f"[{fixed.CYRILLIC}]"), F.coalesce(*stems, w)).otherwise(w)
 
 
 def term_pattern(phrase: str) -> str:

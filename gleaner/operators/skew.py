@@ -1,7 +1,8 @@
 """Grouped work that must survive a group holding a third of all rows.
 
-A window without a bound on its partition, or a join on a hot key, puts that group into one task.
-These helpers give the same results in two bounded steps.
+A window over such a group runs in one task. These helpers give the same results in two bounded steps.
+Joins on hot keys need none of this here: the other side is always reduced to one row per key first, and
+AQE splits an oversized partition of the big side (spark.sql.adaptive.skewJoin).
 """
 
 from __future__ import annotations
@@ -9,34 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of all rows ...
-HOT_FLOOR = 100_000  # ... and at least this many
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, on: list[str], floor: int = HOT_FLOOR, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than 1/share of all rows: never more than ``share`` of them, whatever the data."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter((F.col("_n") >= floor) & (F.col("_n") * share > total)).select(*on)
-
-
-def salted_lookup(
-    big: DataFrame, lookup: DataFrame, on: list[str], spread: str, how: str = "inner",
-    floor: int = HOT_FLOOR, salts: int = SALTS,
-) -> DataFrame:
-    """Join ``big`` to ``lookup`` (unique on ``on``). Hot keys are spread over ``salts`` tasks by ``spread``.
-
-    The hot list has at most HOT_SHARE rows by construction, so broadcasting it is safe.
-    """
-    hot = F.broadcast(hot_keys(big, on, floor).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
-    left = big.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def ranked(
     df: DataFrame, group: list[str], chunk: Column, order: list[Column], out: str = "rank",
 ) -> DataFrame:

@@ -1 +1,10 @@
+"""Plans over the given tables."""
 
+from importlib import import_module
+
+MODULES = ["score", "resolve", "gates"]
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"gleaner.plans.{name}")
