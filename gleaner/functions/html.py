@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner import fixed
-from gleaner.functions.text import squeeze, text_or_blank
+from gleaner.functions.text import once, squeeze, text_or_blank
 
 # A comment, an element tag (a quote opens a value only after "="), or a closing / declaration tag.
 _COMMENT = r"<!(?=--)(?:(?s:.*?)-->|(?s:.*+)$)"
@@ -28,8 +28,7 @@ def strip_blocks(c) -> Column:
 
 def decode_entities(c) -> Column:
     """Each entity once: a decoded "&" is parked under a private character until the end, so it never starts another."""
-    t = text_or_blank(c)
-    named = t
+    named = text_or_blank(c)
     for name, value in fixed.NAMED_ENTITIES.items():
         named = F.regexp_replace(named, f"(?i)&{name};", value)
     named = F.regexp_replace(named, r"(?i)&amp;", _AMP)
@@ -49,12 +48,12 @@ def decode_entities(c) -> Column:
             .otherwise(F.concat(F.lit(_AMP), F.substring(entity, F.lit(2), F.length(entity))))
         )
 
-    entities = F.array_distinct(F.regexp_extract_all(named, F.lit(r"(?i)&#(?:[0-9]+|x[0-9a-f]+);"), F.lit(0)))
-    numbered = F.when(
-        named.contains("&#"),
-        F.aggregate(entities, named, lambda acc, e: F.replace(acc, e, character(e))),
-    ).otherwise(named)
-    return F.when(t.contains("&"), F.replace(numbered, F.lit(_AMP), F.lit("&"))).otherwise(t)
+    def numbered(t: Column) -> Column:
+        entities = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?i)&#(?:[0-9]+|x[0-9a-f]+);"), F.lit(0)))
+        replaced = F.aggregate(entities, t, lambda acc, e: F.replace(acc, e, character(e)))
+        return F.when(t.contains("&#"), replaced).otherwise(t)
+
+    return F.replace(once(named, numbered), F.lit(_AMP), F.lit("&"))
 
 
 def strip_tags(c) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def text_or_blank(c) -> Column:
     return F.coalesce(_column(c), F.lit(""))
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated a single time, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def squeeze(c) -> Column:
     """One space between words, none at the ends."""
     return F.trim(F.regexp_replace(text_or_blank(c), f"{WS}+", " "))
@@ -142,14 +148,19 @@ def score_band(c) -> Column:
 def sanitize_block(c, cap: int = fixed.BLOCK_CAP, scan: int = fixed.BLOCK_SCAN) -> Column:
     """Drop format characters, then the data-block tag until none is left, then cut at ``cap``.
 
-    Removing a tag can join the halves of another one. Each pass removes at least one tag of
-    nine characters or more, so length / 9 passes always reach the stable text; rows without a
-    tag run none of them.
+    Removing a tag can join the halves of another one, so passes repeat. Two passes settle all but
+    deliberately nested texts; those run length / 9 more, and no text has more tags than that.
     """
     t = F.regexp_replace(F.left(text_or_blank(c), F.lit(scan)), fixed.FORMAT_CHARS, "")
-    passes = F.sequence(F.lit(0), F.floor(F.length(t) / 9).cast("int"))
-    stable = F.aggregate(passes, t, lambda acc, _: F.regexp_replace(acc, fixed.BLOCK_TAG, ""))
-    return F.left(F.when(t.rlike(fixed.BLOCK_TAG), stable).otherwise(t), F.lit(cap))
+    for _ in range(2):
+        t = F.regexp_replace(t, fixed.BLOCK_TAG, "")
+
+    def settle(s: Column) -> Column:
+        passes = F.sequence(F.lit(0), F.floor(F.length(s) / 9).cast("int"))
+        stable = F.aggregate(passes, s, lambda acc, _: F.regexp_replace(acc, fixed.BLOCK_TAG, ""))
+        return F.when(s.rlike(fixed.BLOCK_TAG), stable).otherwise(s)
+
+    return F.left(once(t, settle), F.lit(cap))
 
 
 def screening_block(title, company, location, text) -> Column:
@@ -172,9 +183,14 @@ def injection_markers(c, unicode_fold: bool = True) -> Column:
         s = nfkc(s)
     s = F.regexp_replace(F.regexp_replace(s, fixed.FORMAT_CHARS, ""), fixed.INVISIBLE_FILLERS, " ")
     s = F.regexp_replace(s, f"{WS}+", " ")
-    folded = F.translate(s, fixed.LOOKALIKE_FROM, fixed.LOOKALIKE_TO)
-    hits = [F.when(s.rlike(p) | folded.rlike(p), F.lit(i)) for i, p in enumerate(fixed.INJECTION_PATTERNS)]
-    return F.array_compact(F.array(*hits))
+
+    def hits(spellings: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(F.exists(spellings, lambda x: x.rlike(p)), F.lit(i)) for i, p in enumerate(fixed.INJECTION_PATTERNS)
+        ]))
+
+    both = once(s, lambda x: F.array(x, F.translate(x, fixed.LOOKALIKE_FROM, fixed.LOOKALIKE_TO)))
+    return once(F.array_distinct(both), hits)
 
 
 def extract_salary(c, scan: int = fixed.SALARY_SCAN) -> Column:

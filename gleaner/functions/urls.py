@@ -8,63 +8,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed
-from gleaner.functions.text import text_or_blank
+from gleaner.functions.text import once, text_or_blank
 
 _AUTHORITY = r"(?i)^([a-z][a-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:@\s]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
 _DEFAULT_PORT = {"http": "80", "https": "443"}
 
 
-def _part(url: Column, i: int) -> Column:
-    return F.regexp_extract(text_or_blank(url), _AUTHORITY, i)
+def url_parts(url) -> Column:
+    """struct(scheme, host, port, path, query); host is "" for a value that is not a URL."""
+    u = text_or_blank(url)
+    part = lambda i: F.regexp_extract(u, _AUTHORITY, i)
+    raw = F.struct(
+        F.lower(part(1)).alias("scheme"), F.lower(part(3)).alias("host"), part(4).alias("port"),
+        part(5).alias("path"), part(6).alias("query"),
+    )
 
+    def tidy(p: Column) -> Column:
+        default = F.lit(False)
+        for name, number in _DEFAULT_PORT.items():
+            default = default | ((p["scheme"] == name) & (p["port"] == number))
+        return F.struct(
+            p["scheme"].alias("scheme"), p["host"].alias("host"), F.when(default, "").otherwise(p["port"]).alias("port"),
+            F.when((p["path"] == "") & (p["host"] != ""), "/").otherwise(p["path"]).alias("path"), p["query"].alias("query"),
+        )
 
-def url_scheme(url) -> Column:
-    return F.lower(_part(url, 1))
+    return once(raw, tidy)
 
 
 def url_host(url) -> Column:
-    return F.lower(_part(url, 3))
-
-
-def url_port(url) -> Column:
-    port, scheme = _part(url, 4), url_scheme(url)
-    default = F.lit(False)
-    for name, number in _DEFAULT_PORT.items():
-        default = default | ((scheme == name) & (port == number))
-    return F.when(default, "").otherwise(port)
-
-
-def url_path(url) -> Column:
-    path = _part(url, 5)
-    return F.when((path == "") & (url_host(url) != ""), "/").otherwise(path)
-
-
-def url_query(url) -> Column:
-    return _part(url, 6)
+    return F.lower(F.regexp_extract(text_or_blank(url), _AUTHORITY, 3))
 
 
 def url_key(url) -> Column:
     """host[:port] + path; the value itself when it is not a URL."""
-    port = url_port(url)
-    host = F.concat(url_host(url), F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""))
-    return F.when(url_host(url) != "", F.concat(host, url_path(url))).otherwise(text_or_blank(url))
+    def key(p: Column) -> Column:
+        return F.concat(p["host"], F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""), p["path"])
+
+    return F.when(url_host(url) != "", once(url_parts(url), key)).otherwise(text_or_blank(url))
 
 
 def link_key(url) -> Column:
     """One spelling per posting page: no www, no trailing slash, no tracking parameters; "" if not a URL."""
-    host = F.regexp_replace(url_host(url), r"^www\.", "")
-    path = F.regexp_replace(url_path(url), r"/+$", "")
-    kept = F.filter(
-        F.split(url_query(url), "&"), lambda p: (p != "") & ~p.rlike(fixed.TRACKING_PARAM)
-    )
-    pairs = F.array_sort(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))))
-    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
-    board = F.lit(None).cast("string")
-    for *_, link_host, link_path in fixed.BOARDS:
-        if link_host:
-            found = F.regexp_extract(path, link_path, 0)
-            board = F.coalesce(board, F.when((host == link_host) & (found != ""), F.concat(host, found)))
-    return F.when(host == "", "").otherwise(F.coalesce(board, F.concat(host, path, query)))
+    def trimmed(p: Column) -> Column:
+        kept = F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~q.rlike(fixed.TRACKING_PARAM))
+        pairs = F.transform(kept, lambda q: F.when(q.contains("="), q).otherwise(F.concat(q, F.lit("="))))
+        return F.struct(
+            F.regexp_replace(p["host"], r"^www\.", "").alias("host"), F.regexp_replace(p["path"], r"/+$", "").alias("path"),
+            F.array_join(F.array_sort(pairs), "&").alias("query"),
+        )
+
+    def key(p: Column) -> Column:
+        board = []
+        for *_, link_host, link_path in fixed.BOARDS:
+            if link_host:
+                found = F.regexp_extract(p["path"], link_path, 0)
+                board.append(F.when((p["host"] == link_host) & (found != ""), F.concat(p["host"], found)))
+        query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
+        return F.when(p["host"] == "", "").otherwise(F.coalesce(*board, F.concat(p["host"], p["path"], query)))
+
+    return once(once(url_parts(url), trimmed), key)
 
 
 def is_http_url(url) -> Column:
@@ -77,12 +79,14 @@ def safe_url(url) -> Column:
 
 def is_public_https(url) -> Column:
     """https, no port, no credentials, a dotted name that is neither an address nor a local name."""
-    host = F.regexp_replace(url_host(url), r"\.$", "")
-    return (
-        (url_scheme(url) == "https") & (url_port(url) == "") & ~text_or_blank(url).rlike(r"(?i)^https://[^/?#]*@")
-        & host.contains(".") & ~host.rlike(r"^[0-9.]+$") & ~host.startswith("[")
-        & ~host.rlike(fixed.LOCAL_HOST_SUFFIX)
-    )
+    def public(p: Column) -> Column:
+        host = F.regexp_replace(p["host"], r"\.$", "")
+        return (
+            (p["scheme"] == "https") & (p["port"] == "") & host.contains(".") & ~host.rlike(r"^[0-9.]+$")
+            & ~host.startswith("[") & ~host.rlike(fixed.LOCAL_HOST_SUFFIX)
+        )
+
+    return once(url_parts(url), public) & ~text_or_blank(url).rlike(r"(?i)^https://[^/?#]*@")
 
 
 def ipv4_number(address) -> Column:
@@ -118,37 +122,51 @@ def _host_or_subdomain(host: Column, base: Column) -> Column:
     return (host == base) | host.endswith(F.concat(F.lit("."), base))
 
 
+def _on_board(p: Column, board: tuple) -> Column:
+    """The parsed url is on the board's host, over http(s), without an explicit port."""
+    host = board[3]
+    return p["scheme"].isin("http", "https") & (p["port"] == "") & _host_or_subdomain(p["host"], F.lit(host))
+
+
+_PROBED = [b for b in fixed.BOARDS if b[3]]
+
+
 def on_board_host(source, url) -> Column:
-    """http(s), no explicit port, the board's host or a subdomain of it; false for boards that cannot be probed."""
+    """Is the url on its source's own host; false for boards that cannot be probed."""
     source = F.col(source) if isinstance(source, str) else source
-    host = url_host(url)
-    on = F.lit(False)
-    for name, _, _, closed_host, *_ in fixed.BOARDS:
-        if closed_host:
-            on = on | ((source == name) & _host_or_subdomain(host, F.lit(closed_host)))
-    return url_scheme(url).isin("http", "https") & (url_port(url) == "") & F.coalesce(on, F.lit(False))
+
+    def check(p: Column) -> Column:
+        on = F.lit(False)
+        for board in _PROBED:
+            on = on | ((source == board[0]) & _on_board(p, board))
+        return F.coalesce(on, F.lit(False))
+
+    return once(url_parts(url), check)
 
 
 def board_of(source, url) -> Column:
     """The board a URL can be probed on: its own source first, else the first board whose host it is on."""
     source = F.col(source) if isinstance(source, str) else source
-    probed = [name for name, _, _, closed_host, *_ in fixed.BOARDS if closed_host]
-    return F.coalesce(
-        F.when(on_board_host(source, url), source),
-        *[F.when(on_board_host(F.lit(name), url), F.lit(name)) for name in probed],
-    )
+
+    def find(p: Column) -> Column:
+        own = [F.when((source == b[0]) & _on_board(p, b), source) for b in _PROBED]
+        return F.coalesce(*own, *[F.when(_on_board(p, b), F.lit(b[0])) for b in _PROBED])
+
+    return once(url_parts(url), find)
 
 
 def same_site(url, base) -> Column:
     """Redirect rule: no downgrade, same port, the same host, a subdomain, or exactly one dotted parent."""
-    a, b = url_host(url), url_host(base)
-    parent = F.regexp_extract(b, r"^[^.]*\.(.*)$", 1)
-    host_ok = _host_or_subdomain(a, b) | (parent.contains(".") & (a == parent))
-    return (
-        (a != "") & (b != "") & url_scheme(url).isin("http", "https")
-        & ~((url_scheme(base) == "https") & (url_scheme(url) != "https"))
-        & (url_port(url) == url_port(base)) & host_ok
-    )
+    def check(both: Column) -> Column:
+        to, start = both["to"], both["start"]
+        parent = F.regexp_extract(start["host"], r"^[^.]*\.(.*)$", 1)
+        host_ok = _host_or_subdomain(to["host"], start["host"]) | (parent.contains(".") & (to["host"] == parent))
+        return (
+            (to["host"] != "") & (start["host"] != "") & to["scheme"].isin("http", "https")
+            & ~((start["scheme"] == "https") & (to["scheme"] != "https")) & (to["port"] == start["port"]) & host_ok
+        )
+
+    return once(F.struct(url_parts(url).alias("to"), url_parts(base).alias("start")), check)
 
 
 def canonical_job_url(href, host: str) -> Column:

@@ -69,7 +69,8 @@ def clean_settings(raw: DataFrame) -> DataFrame:
     """(profile_id, max_skills, relevant, maybe): numbers clamped, anything else the default, maybe below relevant."""
     def number(name: str, lo: int, hi: int, default: int) -> Column:
         value = F.col(name).try_cast("double")
-        return F.coalesce(F.floor(F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), value)) + 0.5).cast("int"), F.lit(default))
+        clamped = F.floor(F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), value)) + 0.5).cast("int")
+        return F.when(value.isNotNull(), clamped).otherwise(default)  # least and greatest skip NULL
 
     lo, hi = fixed.PROFILE_LIMITS["max_skills"]
     out = raw.select(

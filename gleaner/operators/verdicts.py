@@ -20,8 +20,9 @@ def numeric_score(c) -> Column:
 
 
 def bound_score(c) -> Column:
-    """Half-up rounding, clamped to 0..100."""
-    return F.least(F.lit(100), F.greatest(F.lit(0), F.floor(numeric_score(c) + 0.5).cast("int")))
+    """Half-up rounding, clamped to 0..100; no score stays NULL (least and greatest would skip it)."""
+    n = F.floor(numeric_score(c) + 0.5).cast("int")
+    return F.when(n.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), n)))
 
 
 def bound_verdicts(raw: DataFrame) -> DataFrame:

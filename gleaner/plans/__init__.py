@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["score", "resolve", "gates"]
+MODULES = ["score", "resolve", "gates", "verdict", "lifecycle", "text", "extract", "monitor", "serve", "inbox"]
 
 
 def load_all() -> None:

@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed
-from gleaner.functions.keys import legacy_spelling
 from gleaner.functions.location import eligible, keeps_location, names_country
 from gleaner.functions.text import first_excluded_term
+from gleaner.functions.urls import link_key
 from gleaner.operators import gate
-from gleaner.operators.health import keep_last
 from gleaner.operators.scoring import profile_scorer
 from gleaner.plans import sqlviews as s
 from gleaner.plans.registry import query
-from gleaner.plans.views import EXCLUDED_PLACES, EXCLUDED_TITLES, LOCATIONS, MIN_SCORE, NOW, PROFILE, Tables, shown, stamp
+from gleaner.plans.views import EXCLUDED_PLACES, EXCLUDED_TITLES, MIN_SCORE, NOW, PROFILE, Tables, shown, stamp
 
 
 def live(t: Tables) -> DataFrame:
@@ -57,8 +56,6 @@ def other_board(t: Tables) -> DataFrame:
 
 
 def listing_postings(t: Tables) -> DataFrame:
-    from gleaner.functions.urls import link_key
-
     return t.listings.withColumn("link", link_key(F.col("url")))
 
 
@@ -113,9 +110,13 @@ def first_time(t: Tables) -> DataFrame:
 
 # ---- location -----------------------------------------------------------------
 
-_SEGMENT = ["djinni", "himalayas", "tgchannels"]
-_KEEP = """CASE WHEN board IN ('djinni', 'himalayas', 'tgchannels') THEN CASE seq % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN false ELSE false END
-  WHEN seq % 6 IN (2, 4, 5) THEN board = 'dou' AND seq % 6 IN (2, 4) ELSE true END"""
+_PARTS = f"list_filter(list_transform(string_split(location, ' · '), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(lower(x), {s.lit(fixed.FORMAT_WORDS)}))"
+_SEG = f"CASE WHEN len({_PARTS}) = 0 OR regexp_matches(lower({_PARTS}[1]), {s.lit(fixed.NOT_A_COUNTRY_WORDS)}) THEN '' ELSE lower({_PARTS}[1]) END"
+_NAMES = f"({_SEG} LIKE '%ukraine%' OR {_SEG} LIKE '%україна%')"
+_ELIGIBLE = f"({_SEG} = '' OR regexp_matches({_SEG}, {s.lit(fixed.WORLDWIDE_WORDS)}) OR {_NAMES})"
+_BANNED = "regexp_matches({}, 'poland|germany')"
+_OFFICE = f"len(list_filter(string_split(lower(location), ','), lambda x: regexp_matches(x, {s.lit(fixed.REMOTE_WORDS)}) OR (NOT contains(x, '(') AND NOT {_BANNED.format('x')}))) > 0"
+_KEEP = f"CASE WHEN board IN ('djinni', 'himalayas', 'tgchannels') THEN {_ELIGIBLE} ELSE NOT {_BANNED.format('lower(location)')} OR (board = 'dou' AND {_OFFICE}) END"
 
 
 @query("fil_01_location_filter", s.sql(f"SELECT seq, {_KEEP} AS kept FROM postings", "postings"))
@@ -130,7 +131,7 @@ def kept_and_dropped(t: Tables) -> DataFrame:
 
 
 @query("str_24_countries", s.sql(
-    "SELECT seq, seq % 6 = 0 AS names, seq % 6 IN (0, 1) AS eligible FROM postings", "postings"))
+    f"SELECT seq, {_NAMES} AS names, {_ELIGIBLE} AS eligible FROM postings", "postings"))
 def countries(t: Tables) -> DataFrame:
     c = fixed.CANDIDATE_COUNTRY
     return t.postings.select("seq", names_country("location", c).alias("names"), eligible("location", c).alias("eligible"))

@@ -94,7 +94,7 @@ class Tables:
         """Every fifth posting has a package; half of them are closed, half of those archived."""
         seq = F.col("seq")
         alt = F.concat(
-            F.lit("src1|https://boards.example.org/jobs/"), (seq + 2).cast("string"), F.lit("/?utm_source=y, src3|ftp://boards.example.org/"), seq.cast("string")
+            F.lit("dou|https://boards.example.org/jobs/"), (seq + 2).cast("string"), F.lit("/?utm_source=y, djinni|ftp://boards.example.org/"), seq.cast("string")
         )
         return self.keyed.filter("seq % 5 = 1").select(
             F.concat(F.lit("pkg-"), seq.cast("string")).alias("file"), "seq", "source", "board", "url", "canonical", "id", "link",
