@@ -42,10 +42,16 @@ def compose_unicode(postings: DataFrame, columns=("title", "company")) -> DataFr
 
 
 def with_keys(postings: DataFrame) -> DataFrame:
-    """Adds id, canonical, link and title_norm."""
+    """Adds id, canonical, link, title_norm and chars (text length).
+
+    The keys are never NULL and say so: joins on them then need no NULL filter, which the optimizer would
+    otherwise push below the projection together with a second copy of the whole key expression.
+    """
+    never_null = lambda c: F.coalesce(c, F.lit(""))
     return postings.withColumns({
-        "id": identity_key("title", "company", F.col("url")),
-        "canonical": canonical_key("title", "company", F.col("url")),
-        "link": link_key(F.col("url")),
-        "title_norm": normalize_title("title"),
+        "id": never_null(identity_key("title", "company", F.col("url"))),
+        "canonical": never_null(canonical_key("title", "company", F.col("url"))),
+        "link": never_null(link_key(F.col("url"))),
+        "title_norm": never_null(normalize_title("title")),
+        "chars": F.length(F.coalesce("text", F.lit(""))),
     })

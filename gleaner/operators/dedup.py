@@ -1,6 +1,7 @@
 """Cross-source resolution: components, keepers, folded copies.
 
-Input everywhere: postings with keys (seq, source, company, title, url, text, dates, id, canonical, link, title_norm).
+Input everywhere: the narrow keyed table (seq, source, title, company, url, dates, id, canonical, link, title_norm, chars),
+without texts; ``grouped`` is the same with its component.
 Copies stay one row each (keeper_seq, seq, ...): a hot vacancy may have millions of them, so they are
 never gathered into one array.
 """
@@ -70,7 +71,7 @@ def keeper_sources(grouped: DataFrame) -> DataFrame:
     """(component, keeper_source, k, n): the source with most records; a tie goes to the longest text's, else the first seen."""
     per_source = grouped.groupBy("component", "source").agg(
         F.count(F.lit(1)).alias("k"), F.min("seq").alias("first_seq"),
-        F.max(F.struct(F.length(F.coalesce("text", F.lit(""))).alias("len"), (-F.col("seq")).alias("neg"))).alias("best"),
+        F.max(F.struct("chars", (-F.col("seq")).alias("neg"))).alias("best"),
     )
     # The longest text of the component sits in the source with the greatest (length, -seq).
     tops = per_source.groupBy("component").agg(F.max("best").alias("top"), F.sum("k").alias("n"))
@@ -144,31 +145,28 @@ def earliest_dates(postings: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def merged_postings(keyed: DataFrame, grouped: DataFrame, plan: DataFrame) -> DataFrame:
-    """The keepers, with the component's longest text on the richest keeper and the earliest stamp on keepers that merged."""
-    length = F.length(F.coalesce("text", F.lit("")))
-    by_length = F.struct(length.alias("len"), (-F.col("seq")).alias("neg"))
+def merged_postings(grouped: DataFrame, plan: DataFrame, texts: DataFrame) -> DataFrame:
+    """The keepers, with the component's longest text on the richest keeper and the earliest stamp on keepers that merged.
+
+    Which text goes where is settled on ids and lengths; each text is then fetched once, by its seq.
+    """
+    by_length = F.struct("chars", (-F.col("seq")).alias("neg"))
     longest = grouped.groupBy("component").agg(F.max(by_length).alias("long"))
-    kept = plan.filter(F.col("role") == "keeper").select("seq", "component")
-    richest = (
-        kept.join(keyed.select("seq", "text"), "seq").groupBy("component").agg(F.max(by_length).alias("rich"))
-    )
-    # Only components whose longest text is not on a keeper move one text, found by its seq.
+    kept = plan.filter(F.col("role") == "keeper").select("seq")
+    keepers = grouped.join(kept, "seq")
+    richest = keepers.groupBy("component").agg(F.max(by_length).alias("rich"))
     moves = (
-        longest.join(richest, "component")
-        .filter(F.col("long.len") > F.col("rich.len"))
+        longest.join(richest, "component").filter(F.col("long.chars") > F.col("rich.chars"))
         .select((-F.col("rich.neg")).alias("seq"), (-F.col("long.neg")).alias("from_seq"))
     )
-    texts = moves.join(
-        keyed.select(F.col("seq").alias("from_seq"), F.col("text").alias("long_text")), "from_seq"
-    ).select("seq", "long_text")
-    dates = earliest_dates(keyed, plan).withColumnRenamed("keeper_seq", "seq")
-    out = keyed.join(kept, "seq").join(texts, "seq", "left").join(dates, "seq", "left")
+    dates = earliest_dates(grouped, plan).withColumnsRenamed({"keeper_seq": "seq"})
+    out = keepers.join(moves, "seq", "left").join(dates, "seq", "left")
     redate = {
         kind: F.when(F.col("kind").isNull(), F.col(kind)).when(F.col("kind") == kind, F.col("at"))
         for kind in fixed.DATE_KINDS
     }
-    return out.withColumns({"text": F.coalesce("long_text", "text"), **redate}).drop("long_text", "kind", "at")
+    dated = out.withColumns({**redate, "text_seq": F.coalesce("from_seq", "seq")}).drop("kind", "at", "from_seq")
+    return dated.join(texts.select(F.col("seq").alias("text_seq"), "text"), "text_seq").drop("text_seq")
 
 
 def merged_count(plan: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from gleaner.functions.text import first_excluded_term, text_or_blank
 from gleaner.functions.urls import parse_alt_links, link_key
 from gleaner.operators.scoring import Scorer
 from gleaner.operators.skew import first_rows
+from gleaner.session import cut_lineage
 
 
 def _lookup(rows: DataFrame, unique: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -169,23 +170,24 @@ def fresh_reposts(postings: DataFrame, found: DataFrame, seen: DataFrame) -> Dat
 # ---- the decision -----------------------------------------------------------------
 
 def keyword_gate(
-    postings: DataFrame, seen: DataFrame, packages: DataFrame, scorer: Scorer, excluded: list[str],
+    keys: DataFrame, texts: DataFrame, seen: DataFrame, packages: DataFrame, scorer: Scorer, excluded: list[str],
     min_score: Column | int, require_role: bool = False, copies: DataFrame | None = None,
 ) -> DataFrame:
     """One decision per posting: seen, packaged, dup, excluded, low or match, in that order.
 
-    Stages run from cheap to dear: texts are scored only for postings no earlier rule decided.
+    ``keys`` is the narrow keyed table and serves every lookup; ``texts`` (seq, text) is joined only for the
+    postings no earlier rule decided, so known postings never move or scan their text.
     """
-    lookups = posting_copies(postings, copies)
-    fresh = fresh_reposts(postings, reposts(postings, packages, copies), seen)
+    lookups = posting_copies(keys, copies)
+    fresh = fresh_reposts(keys, reposts(keys, packages, copies), seen)
     known = (
-        postings.join(seen_postings(postings, seen, copies).withColumn("is_seen", F.lit(True)), "seq", "left")
+        keys.join(seen_postings(keys, seen, copies).withColumn("is_seen", F.lit(True)), "seq", "left")
         .join(fresh.withColumn("is_repost", F.lit(True)), "seq", "left")
         .join(same_package(lookups, packages), "seq", "left")
-        .join(by_link(postings, package_links(packages)), "seq", "left")
+        .join(by_link(keys, package_links(packages)), "seq", "left")
         .join(other_board_package(lookups, packages), "seq", "left")
+        .withColumn("term", first_excluded_term("title", excluded))
     )
-    known = known.withColumn("term", first_excluded_term("title", excluded))
     if copies is not None:
         merged = (
             copies.filter(F.col("merged_title").isNotNull())
@@ -193,29 +195,27 @@ def keyword_gate(
             .filter(F.col("t").isNotNull()).groupBy("seq").agg(F.min_by("t", "pos").alias("merged_term"))
         )
         known = known.join(merged, "seq", "left").withColumn("term", F.coalesce("term", "merged_term")).drop("merged_term")
-    early = known.withColumns({
-        "early": F.when(F.col("is_repost").isNull() & F.col("is_seen"), "seen")
+    early = (
+        F.when(F.col("is_repost").isNull() & F.col("is_seen"), "seen")
         .when(F.col("same_file").isNotNull() | F.col("link_file").isNotNull(), "packaged")
         .when(F.col("other_file").isNotNull(), "dup")
-        .when(F.col("term").isNotNull(), "excluded"),
-        "file": F.coalesce("same_file", "link_file", "other_file"),
-    })
-    # Decided postings reach the scorer with no text: nothing is matched for them.
-    judged = scorer(early.withColumn("full_text", F.col("text")).withColumn("text", F.when(F.col("early").isNull(), F.col("text"))))
+        .when(F.col("term").isNotNull(), "excluded")
+    )
+    # Written once: the undecided rows leave for scoring and come back to it.
+    decided = cut_lineage(known.withColumns({"early": early, "file": F.coalesce("same_file", "link_file", "other_file")}))
+    open_texts = texts.join(decided.filter("early IS NULL").select("seq"), "seq", "left_semi")
+    scored = scorer(open_texts).withColumn("retry", F.length(text_or_blank("text")) < fixed.SHORT_TEXT).drop("text")
     threshold = min_score if isinstance(min_score, Column) else F.lit(min_score)
     low = F.col("score") < threshold
     if require_role:
         low = low | F.col("matched_role").isNull()
-    scored = F.col("early").isNull()
-    return judged.withColumns({
-        "text": F.col("full_text"),
+    return decided.join(scored, "seq", "left").withColumns({
         "kind": F.coalesce("early", F.when(low, "low").otherwise("match")),
-        "considered": scored | (F.col("early") == "excluded"),
-        "retry": scored & (F.length(text_or_blank("full_text")) < fixed.SHORT_TEXT),
-        "score": F.when(scored, F.col("score")),
+        "considered": F.col("early").isNull() | (F.col("early") == "excluded"),
+        "retry": F.coalesce("retry", F.lit(False)),
         "file": F.when(F.col("early").isin("packaged", "dup"), F.col("file")),
         "term": F.when(F.col("early") == "excluded", F.col("term")),
-    }).drop("early", "full_text", "is_seen", "is_repost", "same_file", "link_file", "other_file")
+    }).drop("early", "is_seen", "is_repost", "same_file", "link_file", "other_file")
 
 
 def known_before_fetch(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["score", "resolve", "gates", "verdict", "lifecycle", "text", "extract", "monitor", "serve", "inbox"]
+MODULES = ["score", "resolve", "gates", "verdict", "text", "extract", "lifecycle", "monitor", "serve", "inbox", "streams"]
 
 
 def load_all() -> None:

@@ -21,7 +21,7 @@ def live(t: Tables) -> DataFrame:
 
 
 def gated(t: Tables) -> DataFrame:
-    return gate.keyword_gate(t.keyed, live(t), t.packages, profile_scorer(PROFILE), EXCLUDED_TITLES, MIN_SCORE)
+    return gate.keyword_gate(t.keys, t.texts, live(t), t.packages, profile_scorer(PROFILE), EXCLUDED_TITLES, MIN_SCORE)
 
 
 _LEGACY = "trim(regexp_replace(regexp_replace(id, '[+#]+', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -29,30 +29,30 @@ _LEGACY = "trim(regexp_replace(regexp_replace(id, '[+#]+', ' ', 'g'), '\\s+', '
 
 @query("joi_01_seen_semi", s.sql(f"SELECT seq FROM keyed WHERE id IN (SELECT key FROM live_seen) OR {_LEGACY} IN (SELECT key FROM live_seen)", "keyed", "live_seen"))
 def seen_semi(t: Tables) -> DataFrame:
-    return gate.seen_postings(t.keyed, live(t))
+    return gate.seen_postings(t.keys, live(t))
 
 
 @query("joi_01_unseen_anti", s.sql(f"SELECT source, count(*) AS unseen FROM keyed WHERE id NOT IN (SELECT key FROM live_seen) AND {_LEGACY} NOT IN (SELECT key FROM live_seen) GROUP BY source", "keyed", "live_seen"))
 def unseen(t: Tables) -> DataFrame:
-    left = t.keyed.join(gate.seen_postings(t.keyed, live(t)), "seq", "left_anti")
+    left = t.keys.join(gate.seen_postings(t.keys, live(t)), "seq", "left_anti")
     return left.groupBy("source").agg(F.count(F.lit(1)).alias("unseen"))
 
 
 @query("joi_02_same_package", s.sql("""
 SELECT j.seq, arg_min(p.file, p.seq) AS same_file FROM keyed j JOIN packages p ON p.canonical = j.canonical AND p.source = j.source AND p.url = j.url AND NOT p.archived GROUP BY j.seq""", "keyed", "packages"))
 def same_package(t: Tables) -> DataFrame:
-    return gate.same_package(gate.posting_copies(t.keyed), t.packages)
+    return gate.same_package(gate.posting_copies(t.keys), t.packages)
 
 
 @query("joi_03_package_by_link", s.sql("SELECT j.seq, l.file AS link_file FROM keyed j JOIN package_links l ON l.link = j.link WHERE j.link <> ''", "keyed", "package_links"))
 def package_by_link(t: Tables) -> DataFrame:
-    return gate.by_link(t.keyed, gate.package_links(t.packages))
+    return gate.by_link(t.keys, gate.package_links(t.packages))
 
 
 @query("joi_04_other_board", s.sql("""
 SELECT j.seq, arg_min(p.file, p.seq) AS other_file FROM keyed j JOIN packages p ON p.canonical = j.canonical AND p.source <> j.source AND NOT p.archived GROUP BY j.seq""", "keyed", "packages"))
 def other_board(t: Tables) -> DataFrame:
-    return gate.other_board_package(gate.posting_copies(t.keyed), t.packages)
+    return gate.other_board_package(gate.posting_copies(t.keys), t.packages)
 
 
 def listing_postings(t: Tables) -> DataFrame:
@@ -79,7 +79,7 @@ SELECT source, count(*) AS found, count(*) FILTER (kind = 'excluded') AS exclude
   count(*) FILTER (kind = 'low') AS low, 0::BIGINT AS borderline, count(*) FILTER (kind = 'match') AS written FROM gated GROUP BY source""", "gated"))
 def summary(t: Tables) -> DataFrame:
     outcomes = gate.run_outcomes(gated(t)).select("source", F.when(F.col("outcome") == "match", "written").otherwise(F.col("outcome")).alias("outcome"))
-    return gate.run_summary(t.keyed, outcomes)
+    return gate.run_summary(t.keys, outcomes)
 
 
 @query("scr_08_judge_once", s.sql("""
@@ -98,13 +98,13 @@ def stamps(t: Tables) -> DataFrame:
 @query("stm_01_seen_upsert", s.sql(f"""
 SELECT key, {s.shown('max(last_seen)')} AS last_seen FROM (SELECT key, last_seen FROM live_seen UNION ALL SELECT id, TIMESTAMP '{NOW}' FROM keyed WHERE seq % 3 = 0) GROUP BY key""", "live_seen", "keyed"))
 def upsert(t: Tables) -> DataFrame:
-    keys = t.keyed.filter("seq % 3 = 0").select(F.col("id").alias("key")).distinct()
+    keys = t.keys.filter("seq % 3 = 0").select(F.col("id").alias("key")).distinct()
     return gate.upsert_seen(live(t), keys, stamp(NOW)).select("key", shown("last_seen").alias("last_seen"))
 
 
 @query("stm_02_first_time", s.sql("SELECT seq, 'repost:' || link NOT IN (SELECT key FROM live_seen) AS first_time FROM keyed", "keyed", "live_seen"))
 def first_time(t: Tables) -> DataFrame:
-    ids = t.keyed.select("seq", F.col("link").alias("id"))
+    ids = t.keys.select("seq", F.col("link").alias("id"))
     return gate.first_time(ids, live(t), "repost:").select("seq", "first_time")
 
 
@@ -141,9 +141,9 @@ def countries(t: Tables) -> DataFrame:
 SELECT k.seq, NOT ({_KEEP}) OR ((id IN (SELECT key FROM live_seen) OR {_LEGACY} IN (SELECT key FROM live_seen) OR {s.excluded_term('title')} IS NOT NULL) AND f.seq IS NULL) AS known
 FROM keyed k LEFT JOIN fresh f USING (seq)""".replace("SELECT k.seq, NOT", "SELECT seq, NOT"), "keyed", "fresh", "live_seen"))
 def known(t: Tables) -> DataFrame:
-    fresh = gate.fresh_reposts(t.keyed, gate.reposts(t.keyed, t.packages), live(t))
+    fresh = gate.fresh_reposts(t.keys, gate.reposts(t.keys, t.packages), live(t))
     keeps = keeps_location("board", "location", EXCLUDED_PLACES)
-    return gate.known_before_fetch(t.keyed, keeps, live(t), fresh, EXCLUDED_TITLES).select("seq", "known")
+    return gate.known_before_fetch(t.keys, keeps, live(t), fresh, EXCLUDED_TITLES).select("seq", "known")
 
 
 @query("fil_08_short_text", f"SELECT doc_id AS seq, length(text) < {fixed.SHORT_TEXT} AS retry FROM documents")

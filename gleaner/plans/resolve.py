@@ -39,9 +39,8 @@ class Resolution:
     ids; it is written once because several joins read it."""
 
     def __init__(self, t: Tables):
-        self.keyed = t.keyed
-        self.components = dedup.components(self.keyed)
-        self.grouped = self.keyed.join(self.components, "seq")
+        self.keyed = t.keys
+        self.grouped = cut_lineage(self.keyed.join(dedup.components(self.keyed), "seq"))
 
     @cached_property
     def plan(self) -> DataFrame:
@@ -79,7 +78,7 @@ def canonicals(t: Tables) -> DataFrame:
 
 @query("joi_08_components", resolved("SELECT seq, component FROM grouped"))
 def components(t: Tables) -> DataFrame:
-    return dedup.components(t.keyed)
+    return dedup.components(t.keys)
 
 
 @query("agg_03_keepers", resolved("SELECT component, keeper_source, k FROM keeper"))
@@ -124,7 +123,7 @@ FROM plan p JOIN keyed k USING (seq) JOIN richest USING (component) JOIN longest
 LEFT JOIN stamps d ON d.keeper_seq = k.seq WHERE p.role = 'keeper'""", **_MERGED))
 def merged(t: Tables) -> DataFrame:
     r = Resolution(t)
-    out = dedup.merged_postings(r.keyed, r.grouped, r.plan)
+    out = dedup.merged_postings(r.grouped, r.plan, t.texts)
     return out.select("seq", "source", F.md5("text").alias("text_md5"), *[shown(k).alias(k) for k in fixed.DATE_KINDS])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.keys import compose_unicode, with_keys
 from gleaner.operators.profile import Profile
-from gleaner.session import SETTINGS
+from gleaner.session import SETTINGS, cut_lineage
 
 NOW = "2024-02-01 00:00:00"
 ORDERS_NOW = "2000-06-01 00:00:00"
@@ -80,10 +80,19 @@ class Tables:
     def keyed(self) -> DataFrame:
         return with_keys(compose_unicode(self.postings))
 
+    @cached_property
+    def keys(self) -> DataFrame:
+        """Postings with keys and without their text, written once: every lookup below reads this narrow table."""
+        return cut_lineage(self.keyed.drop("text"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return self.table("documents").select(F.col("doc_id").alias("seq"), "text")
+
     @cached_property
     def seen(self) -> DataFrame:
         """Every seventh posting was seen, some longer ago than the TTL; some re-listings had their fresh look."""
-        k = self.keyed
+        k = self.keys
         at = stamp("2024-01-31 00:00:00") - F.make_interval(days=(F.col("seq") % 150).cast("int"))
         ids = k.filter("seq % 7 = 0").select(F.col("id").alias("key"), at.alias("last_seen"))
         marks = k.filter("seq % 35 = 0").select(F.concat(F.lit("repost:"), "link").alias("key"), at.alias("last_seen"))
@@ -96,7 +105,7 @@ class Tables:
         alt = F.concat(
             F.lit("dou|https://boards.example.org/jobs/"), (seq + 2).cast("string"), F.lit("/?utm_source=y, djinni|ftp://boards.example.org/"), seq.cast("string")
         )
-        return self.keyed.filter("seq % 5 = 1").select(
+        return self.keys.filter("seq % 5 = 1").select(
             F.concat(F.lit("pkg-"), seq.cast("string")).alias("file"), "seq", "source", "board", "url", "canonical", "id", "link",
             "title", "company", "location",
             (stamp("2023-11-01 00:00:00") + F.make_interval(hours=(seq * 7 % 1500).cast("int"))).alias("generated"),

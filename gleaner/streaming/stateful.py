@@ -155,7 +155,7 @@ def repost_marks(stream: DataFrame, ttl_days: int = fixed.SEEN_TTL_DAYS) -> Data
     """(vacancy, link, seq): the one listing per new link that gets a fresh look; every later listing re-stamps
     the mark. stream: vacancy, link, day, seq. Keyed by vacancy and link hash, so one vacancy's links spread."""
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("vacancy", F.xxhash64("link").alias("h")).transformWithStateInPandas(
+    return stream.withColumn("h", F.xxhash64("link")).groupBy("vacancy", "h").transformWithStateInPandas(
         statefulProcessor=_RepostMarks(ttl_days), outputStructType="vacancy bigint, link string, seq bigint",
         outputMode="Append", timeMode="None",
     )
@@ -200,8 +200,8 @@ def silent_jobs(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = N
     """
     use_rocksdb(stream.sparkSession)
     folded = (
-        stream.withWatermark("at", late).groupBy("job", F.window("at", "1 minute"))
-        .agg(F.max("at").alias("at")).select("job", "at", F.unix_millis("at").alias("at_ms"))
+        stream.withWatermark("at", late).groupBy("job", F.window("at", "1 minute").alias("w")).agg(F.max("at").alias("last"))
+        .select("job", F.window_time("w").alias("at"), F.unix_millis("last").alias("at_ms"))
     )
     return folded.groupBy("job").transformWithStateInPandas(
         statefulProcessor=_Silence(limits or fixed.HEARTBEAT_LIMITS, fixed.HEARTBEAT_DEFAULT),
