@@ -54,17 +54,25 @@ def _unicode_form(form: str):
     return convert
 
 
+# Characters that are their own composed form and take no part in composing others.
+_NFC_STABLE = r"\x{0000}-\x{02FF}\x{0400}-\x{0482}\x{048A}-\x{04FF}"
+_NFKC_STABLE = (
+    r"\x{0000}-\x{009F}\x{00A1}-\x{00A7}\x{00A9}\x{00AB}-\x{00AE}\x{00B0}\x{00B1}\x{00B6}\x{00B7}\x{00BB}"
+    r"\x{00BF}-\x{0131}\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{0400}-\x{0482}\x{048A}-\x{04FF}"
+)
+
+
 def nfc(c) -> Column:
-    """Canonical composition. Code points below U+0300 are composed already, so only other rows leave the JVM."""
+    """Canonical composition; Latin and Cyrillic rows without combining marks stay in the JVM."""
     c = _column(c)
-    needs = c.rlike(r"[^\x{0000}-\x{02FF}]")
+    needs = c.rlike(f"[^{_NFC_STABLE}]")
     return F.when(needs, _unicode_form("NFC")(F.when(needs, c))).otherwise(c)
 
 
 def nfkc(c) -> Column:
-    """Compatibility composition; plain ASCII rows stay in the JVM."""
+    """Compatibility composition; rows of stable Latin and Cyrillic letters stay in the JVM."""
     c = _column(c)
-    needs = c.rlike(r"[^\x{0000}-\x{007F}]")
+    needs = c.rlike(f"[^{_NFKC_STABLE}]")
     return F.when(needs, _unicode_form("NFKC")(F.when(needs, c))).otherwise(c)
 
 
@@ -176,6 +184,13 @@ def screening_block(title, company, location, text) -> Column:
     )
 
 
+# Substrings of lower-cased text, one of each group, without which a pattern cannot match: tested before it.
+_MARKER_NEEDS = [
+    [["ignore"], ["instruction"]], [["disregard"]], [["you", "act"], ["ai", "assistant", "language"]], [["system"], ["prompt"]], [["score"]], [["score"]], [["fit"]],
+    [["інструкц", "инструкц", "правил"]], [["системн"]], [["оцінк", "оценк", "бал"]],
+]
+
+
 def injection_markers(c, unicode_fold: bool = True) -> Column:
     """Indexes of the patterns that address the screener, on the text as written or with look-alikes folded."""
     s = F.left(text_or_blank(c), F.lit(fixed.BLOCK_SCAN))
@@ -184,13 +199,24 @@ def injection_markers(c, unicode_fold: bool = True) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, fixed.FORMAT_CHARS, ""), fixed.INVISIBLE_FILLERS, " ")
     s = F.regexp_replace(s, f"{WS}+", " ")
 
+    def possible(low: Column, groups: list[list[str]]) -> Column:
+        found = F.lit(True)
+        for group in groups:
+            one = F.lit(False)
+            for word in group:
+                one = one | low.contains(word)
+            found = found & one
+        return found
+
     def hits(spellings: Column) -> Column:
         return F.array_compact(F.array(*[
-            F.when(F.exists(spellings, lambda x: x.rlike(p)), F.lit(i)) for i, p in enumerate(fixed.INJECTION_PATTERNS)
+            F.when(F.exists(spellings, lambda x: possible(x["low"], needs) & x["text"].rlike(p)), F.lit(i))
+            for i, (p, needs) in enumerate(zip(fixed.INJECTION_PATTERNS, _MARKER_NEEDS))
         ]))
 
-    both = once(s, lambda x: F.array(x, F.translate(x, fixed.LOOKALIKE_FROM, fixed.LOOKALIKE_TO)))
-    return once(F.array_distinct(both), hits)
+    with_lower = lambda x: F.struct(x.alias("text"), F.lower(x).alias("low"))
+    both = once(s, lambda x: F.array_distinct(F.array(x, F.translate(x, fixed.LOOKALIKE_FROM, fixed.LOOKALIKE_TO))))
+    return once(F.transform(both, with_lower), hits)
 
 
 def extract_salary(c, scan: int = fixed.SALARY_SCAN) -> Column:

@@ -14,25 +14,26 @@ _AUTHORITY = r"(?i)^([a-z][a-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:@\s]
 _DEFAULT_PORT = {"http": "80", "https": "443"}
 
 
+_SEPARATOR = "\x01"
+_WHOLE = r"(?is)^([a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@\s]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+
+
 def url_parts(url) -> Column:
-    """struct(scheme, host, port, path, query); host is "" for a value that is not a URL."""
-    u = text_or_blank(url)
-    part = lambda i: F.regexp_extract(u, _AUTHORITY, i)
-    raw = F.struct(
-        F.lower(part(1)).alias("scheme"), F.lower(part(3)).alias("host"), part(4).alias("port"),
-        part(5).alias("path"), part(6).alias("query"),
-    )
+    """struct(scheme, host, port, path, query); host is "" for a value that is not a URL. One pattern, one pass."""
+    cut = F.split(F.regexp_replace(text_or_blank(url), _WHOLE, _SEPARATOR.join(["$1", "$2", "$3", "$4", "$5"])), _SEPARATOR)
 
     def tidy(p: Column) -> Column:
+        part = lambda i: F.when(F.size(p) == 5, F.element_at(p, i)).otherwise("")
+        scheme, host, port, path = F.lower(part(1)), F.lower(part(2)), part(3), part(4)
         default = F.lit(False)
         for name, number in _DEFAULT_PORT.items():
-            default = default | ((p["scheme"] == name) & (p["port"] == number))
+            default = default | ((scheme == name) & (port == number))
         return F.struct(
-            p["scheme"].alias("scheme"), p["host"].alias("host"), F.when(default, "").otherwise(p["port"]).alias("port"),
-            F.when((p["path"] == "") & (p["host"] != ""), "/").otherwise(p["path"]).alias("path"), p["query"].alias("query"),
+            scheme.alias("scheme"), host.alias("host"), F.when(default, "").otherwise(port).alias("port"),
+            F.when((path == "") & (host != ""), "/").otherwise(path).alias("path"), part(5).alias("query"),
         )
 
-    return once(raw, tidy)
+    return once(cut, tidy)
 
 
 def url_host(url) -> Column:
@@ -42,9 +43,10 @@ def url_host(url) -> Column:
 def url_key(url) -> Column:
     """host[:port] + path; the value itself when it is not a URL."""
     def key(p: Column) -> Column:
-        return F.concat(p["host"], F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""), p["path"])
+        port = F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise("")
+        return F.when(p["host"] == "", text_or_blank(url)).otherwise(F.concat(p["host"], port, p["path"]))
 
-    return F.when(url_host(url) != "", once(url_parts(url), key)).otherwise(text_or_blank(url))
+    return once(url_parts(url), key)
 
 
 def link_key(url) -> Column:

@@ -15,7 +15,7 @@ from gleaner import fixed
 from gleaner.operators.skew import first_rows, ranked
 from gleaner.session import cut_lineage
 
-MAX_ROUNDS = 60
+MAX_ROUNDS = 40
 
 
 def edges(keyed: DataFrame) -> DataFrame:
@@ -45,13 +45,15 @@ def components(keyed: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     sliced = links.select("head", "slice").distinct()
     labels = cut_lineage(links.groupBy("seq").agg(F.min("head").alias("label")))
     size = _size(labels)
-    for _ in range(MAX_ROUNDS):
+
+    def hop(labels: DataFrame) -> DataFrame:
         low = links.join(labels, "seq").groupBy("head").agg(F.min("label").alias("label"))
         own = labels.select(F.col("seq").alias("label"), F.col("label").alias("low"))
-        jumped = low.join(own, "label").select("head", "low")
-        labels = cut_lineage(
-            links.join(jumped.join(sliced, "head"), ["head", "slice"]).groupBy("seq").agg(F.min("low").alias("label"))
-        )
+        jumped = low.join(own, "label").select("head", "low").join(sliced, "head")
+        return links.join(jumped, ["head", "slice"]).groupBy("seq").agg(F.min("low").alias("label"))
+
+    for _ in range(MAX_ROUNDS):
+        labels = cut_lineage(hop(hop(labels)))
         # Labels only ever fall, so an unchanged total means an unchanged table.
         before, size = size, _size(labels)
         if before == size:

@@ -47,13 +47,24 @@ def shown(ts) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Text work is CPU-bound: a table that arrives in fewer splits than there are cores (a small file) is dealt
+    out first. A large table has splits enough and is read as it is, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(rows, TEXT_TABLES[name]) if name in TEXT_TABLES else rows
 
     # ---- documents ------------------------------------------------------------
 
