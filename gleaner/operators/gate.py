@@ -144,7 +144,7 @@ def reposts(postings: DataFrame, packages: DataFrame, copies: DataFrame | None =
     best = F.array_max(F.filter("priors", lambda p: (p["link"] != own_link) & (p["url"] != own_url)))
     hits = _lookup(lookups, per_key, ["key", "source"]).withColumn("best", best).filter("best IS NOT NULL")
     chosen = hits.groupBy("seq").agg(
-        F.max_by(F.struct("best", "source"), F.struct("best.newest", -F.col("pos"))).alias("c")
+        F.max_by(F.struct("best", "source"), F.struct("best.newest.generated", -F.col("pos"))).alias("c")
     ).select("seq", "c.best", F.col("c.source").alias("source"))
     open_newest = packages.filter(~F.col("closed")).groupBy(F.col("canonical").alias("key"), "source").agg(
         F.max(stamp).alias("open_generated")

@@ -244,13 +244,25 @@ SELECT p.seq, md5(CASE WHEN p.seq % 4 <> 0 AND l.seq IS NOT NULL THEN trim(title
   p.seq % 4 <> 0 AND l.seq IS NOT NULL AS enriched FROM postings p LEFT JOIN verdicts l USING (seq)""", "postings", "verdicts"))
 def enriched(t: Tables) -> DataFrame:
     """Labelled documents have a detail page; every fourth posting is known already."""
+    return detailed(t)
+
+
+def detailed(t: Tables, skip: Column | None = None) -> DataFrame:
     own = F.concat(F.lit("https://detail.example/"), F.col("seq").cast("string"))
     p = t.postings.withColumn("url", own)
     details = p.join(t.verdicts.select("seq"), "seq", "left_semi").select("url", F.concat(F.lit("full "), "text").alias("full_text"), F.lit(None).cast("timestamp").alias("posted"))
-    out = pages.enrich(p.withColumn("text", F.lit("snippet")), details, p.filter("seq % 4 = 0").select("seq"))
+    out = pages.enrich(p.withColumn("text", F.lit("snippet")), details, p.filter("seq % 4 = 0").select("seq"), skip)
     return out.select("seq", F.md5("text").alias("text_md5"), "enriched")
 
 
+@query("udf_03_injected_predicate", s.sql("""
+SELECT p.seq, md5(CASE WHEN p.seq % 4 <> 0 AND location <> 'Kyiv' AND l.seq IS NOT NULL THEN trim(title || CASE WHEN company <> '' THEN ' at ' || company ELSE '' END || '. ' || location || '. full ' || p.text) ELSE 'snippet' END) AS text_md5,
+  p.seq % 4 <> 0 AND location <> 'Kyiv' AND l.seq IS NOT NULL AS enriched FROM postings p LEFT JOIN verdicts l USING (seq)""", "postings", "verdicts"))
+def injected_predicate(t: Tables) -> DataFrame:
+    """The caller's own rule for what is not worth reading, as a column."""
+    return detailed(t, F.col("location") == "Kyiv")
+
+
 @query("udf_04_pages_to_rows", "SELECT page_id, '/' || word AS href, word AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"/([^\"]*)\">', 1)) AS word FROM pages)")
 def nav_rows(t: Tables) -> DataFrame:
     """One page, many rows: the navigation links of every page."""

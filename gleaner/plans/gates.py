@@ -9,11 +9,13 @@ from gleaner import fixed
 from gleaner.functions.location import eligible, keeps_location, names_country
 from gleaner.functions.text import first_excluded_term
 from gleaner.functions.urls import link_key
-from gleaner.operators import gate
+from gleaner.operators import dedup, gate
 from gleaner.operators.scoring import profile_scorer
 from gleaner.plans import sqlviews as s
 from gleaner.plans.registry import query
+from gleaner.plans.resolve import GROUPS, MERGED_SQL, Resolution
 from gleaner.plans.views import EXCLUDED_PLACES, EXCLUDED_TITLES, MIN_SCORE, NOW, PROFILE, Tables, shown, stamp
+from gleaner.session import cut_lineage
 
 
 def live(t: Tables) -> DataFrame:
@@ -169,3 +171,44 @@ def union_of_sources(t: Tables) -> DataFrame:
     rest = p.filter("board NOT IN ('dou', 'himalayas')").select("seq", "source", "posted")
     every = dou.unionByName(api, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
     return every.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("posted").alias("posted"), F.count("updated").alias("updated"))
+
+
+# ---- a whole run: resolve, then decide ---------------------------------------------------
+
+_RUN = {
+    "copies": """SELECT p.keeper_seq, p.seq, c.source AS alt_source, c.url AS alt_url, CASE WHEN c.id <> k.id THEN c.id END AS merged_id,
+      CASE WHEN c.title_norm <> k.title_norm THEN c.title END AS merged_title, CASE WHEN c.canonical <> k.canonical THEN c.canonical END AS merged_key
+      FROM plan p JOIN keyed c USING (seq) JOIN keyed k ON k.seq = p.keeper_seq WHERE p.role = 'copy'""",
+    "richest": MERGED_SQL["richest"],
+    "keepers": """SELECT k.* EXCLUDE (text), CASE WHEN rich_seq = k.seq AND long_len > rich_len THEN l.text ELSE k.text END AS text
+      FROM plan p JOIN keyed k USING (seq) JOIN richest USING (component) JOIN longest USING (component) JOIN keyed l ON l.seq = long_seq WHERE p.role = 'keeper'""",
+    "lookups": """SELECT seq, -1 AS pos, canonical AS key, source, url, link FROM keepers
+      UNION ALL SELECT c.keeper_seq, c.seq, c.merged_key, c.alt_source, c.alt_url, k.link FROM copies c JOIN keepers k ON k.seq = c.keeper_seq WHERE c.merged_key IS NOT NULL""",
+    "hits": """SELECT j.seq, arg_max(struct_pack(file := p.file, source := p.source, generated := p.generated), struct_pack(g := p.generated, o := -j.pos, n := -p.seq)) AS best
+      FROM lookups j JOIN packages p ON p.canonical = j.key AND p.source = j.source AND p.closed AND p.url <> j.url AND p.link <> j.link GROUP BY j.seq""",
+    "fresh": """SELECT h.seq, h.best.file AS repost_file FROM hits h JOIN keepers k USING (seq) WHERE k.link <> '' AND 'repost:' || k.link NOT IN (SELECT key FROM live_seen)
+      AND NOT EXISTS (SELECT 1 FROM lookups j JOIN packages p ON p.canonical = j.key AND p.source = h.best.source AND NOT p.closed AND p.generated > h.best.generated WHERE j.seq = h.seq)""",
+    "ids": f"""SELECT seq, id FROM keepers UNION SELECT keeper_seq, merged_id FROM copies WHERE merged_id IS NOT NULL""",
+    "known": f"""SELECT DISTINCT seq FROM ids WHERE id IN (SELECT key FROM live_seen) OR {_LEGACY} IN (SELECT key FROM live_seen)""",
+    "judged": s.scored("(SELECT *, lower(text) AS hay FROM keepers)"),
+    "decided": f"""SELECT j.seq, j.score, f.repost_file, length(j.text) < {fixed.SHORT_TEXT} AS short, CASE
+      WHEN f.seq IS NULL AND j.seq IN (SELECT seq FROM known) THEN 'seen'
+      WHEN EXISTS (SELECT 1 FROM lookups l JOIN packages p ON p.canonical = l.key AND p.source = l.source AND p.url = l.url AND NOT p.archived WHERE l.seq = j.seq) THEN 'packaged'
+      WHEN j.link <> '' AND j.link IN (SELECT link FROM package_links) THEN 'packaged'
+      WHEN EXISTS (SELECT 1 FROM lookups l JOIN packages p ON p.canonical = l.key AND p.source <> l.source AND NOT p.archived WHERE l.seq = j.seq) THEN 'dup'
+      WHEN {s.excluded_term('j.title')} IS NOT NULL OR EXISTS (SELECT 1 FROM copies c WHERE c.keeper_seq = j.seq AND {s.excluded_term('c.merged_title')} IS NOT NULL) THEN 'excluded' END AS early
+      FROM judged j LEFT JOIN fresh f USING (seq)""",
+}
+
+
+@query("scr_07_gate_after_resolution", s.sql(f"""
+SELECT seq, CASE WHEN early IS NOT NULL THEN early WHEN score < {MIN_SCORE} THEN 'low' ELSE 'match' END AS kind, CASE WHEN early IS NULL THEN score END AS score, early IS NULL AND short AS retry, repost_file
+FROM decided""", "keyed", "packages", "package_links", "live_seen", recursive=GROUPS, **_RUN))
+def gate_after_resolution(t: Tables) -> DataFrame:
+    """Resolution, then the gate over the keepers, with everything their folded copies bring along."""
+    r = Resolution(t)
+    copies = cut_lineage(dedup.folded_copies(r.keyed, r.plan))
+    keepers = cut_lineage(r.keyed.join(r.plan.filter("role = 'keeper'").select("seq"), "seq"))
+    texts = dedup.merged_postings(r.grouped, r.plan, t.texts).select("seq", "text")
+    out = gate.keyword_gate(keepers, texts, live(t), t.packages, profile_scorer(PROFILE), EXCLUDED_TITLES, MIN_SCORE, copies=copies)
+    return out.select("seq", "kind", "score", "retry", "repost_file")

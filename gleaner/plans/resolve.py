@@ -100,7 +100,7 @@ def copies(t: Tables) -> DataFrame:
     return dedup.folded_copies(r.keyed, r.plan)
 
 
-_MERGED = dict(
+MERGED_SQL = dict(
     richest="SELECT p.component, arg_max(seq, struct_pack(a := length(text), b := -seq)) AS rich_seq, max(length(text)) AS rich_len FROM plan p JOIN keyed USING (seq) WHERE role = 'keeper' GROUP BY 1",
     stamps="""SELECT p.keeper_seq, arg_min(kind, struct_pack(a := stamp, b := role = 'copy', c := p.seq, d := o)) AS kind, min(stamp) AS stamp
       FROM plan p JOIN (SELECT seq, 'posted' AS kind, 0 AS o, posted AS stamp FROM keyed UNION ALL SELECT seq, 'relisted', 1, relisted FROM keyed UNION ALL SELECT seq, 'updated', 2, updated FROM keyed) d USING (seq)
@@ -108,7 +108,7 @@ _MERGED = dict(
 )
 
 
-@query("agg_05_earliest_dates", resolved(f"SELECT keeper_seq, kind, {s.shown('stamp')} AS first_at FROM stamps", stamps=_MERGED["stamps"]))
+@query("agg_05_earliest_dates", resolved(f"SELECT keeper_seq, kind, {s.shown('stamp')} AS first_at FROM stamps", stamps=MERGED_SQL["stamps"]))
 def dates(t: Tables) -> DataFrame:
     r = Resolution(t)
     return dedup.earliest_dates(r.keyed, r.plan).select("keeper_seq", "kind", shown("at").alias("first_at"))
@@ -120,7 +120,7 @@ SELECT k.seq, k.source, md5(CASE WHEN rich_seq = k.seq AND long_len > rich_len T
   {s.shown("CASE WHEN d.kind IS NULL THEN k.relisted WHEN d.kind = 'relisted' THEN d.stamp END")} AS relisted,
   {s.shown("CASE WHEN d.kind IS NULL THEN k.updated WHEN d.kind = 'updated' THEN d.stamp END")} AS updated
 FROM plan p JOIN keyed k USING (seq) JOIN richest USING (component) JOIN longest USING (component) JOIN keyed l ON l.seq = long_seq
-LEFT JOIN stamps d ON d.keeper_seq = k.seq WHERE p.role = 'keeper'""", **_MERGED))
+LEFT JOIN stamps d ON d.keeper_seq = k.seq WHERE p.role = 'keeper'""", **MERGED_SQL))
 def merged(t: Tables) -> DataFrame:
     r = Resolution(t)
     out = dedup.merged_postings(r.grouped, r.plan, t.texts)

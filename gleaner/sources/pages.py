@@ -148,12 +148,15 @@ def crawl_frontier(searches: DataFrame, pages: int, base: str) -> DataFrame:
     return each.withColumn("url", F.concat(F.lit(f"{base}?q="), enc("query"), country, F.lit("&sort=recent"), page))
 
 
-def enrich(postings: DataFrame, details: DataFrame, known: DataFrame) -> DataFrame:
+def enrich(postings: DataFrame, details: DataFrame, known: DataFrame, skip: Column | None = None) -> DataFrame:
     """Full text replaces the snippet of unknown postings only; details: (url, full_text, posted); known: (seq).
 
-    The known postings are left out before the join, so their detail rows are never shuffled for nothing.
+    ``skip`` is the caller's own predicate for postings to leave alone. The known postings are left out
+    before the join, so their detail rows are never shuffled for nothing.
     """
     flagged = postings.join(known.select("seq", F.lit(True).alias("_known")), "seq", "left")
+    if skip is not None:
+        flagged = flagged.withColumn("_known", F.when(F.col("_known") | F.coalesce(skip, F.lit(False)), True))
     usable = details.filter(text_or_blank("full_text") != "").select("url", "full_text", F.col("posted").alias("_posted"))
     todo = flagged.filter("_known IS NULL").join(usable, "url", "left")
     done = todo.withColumns({
