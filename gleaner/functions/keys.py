@@ -41,8 +41,13 @@ def compose_unicode(postings: DataFrame, columns=("title", "company")) -> DataFr
     return postings.withColumns({c: nfc(c) for c in columns})
 
 
+def with_chars(postings: DataFrame) -> DataFrame:
+    """Adds chars, the text length: what the resolution needs to know of a text."""
+    return postings.withColumn("chars", F.length(F.coalesce("text", F.lit(""))))
+
+
 def with_keys(postings: DataFrame) -> DataFrame:
-    """Adds id, canonical, link, title_norm and chars (text length).
+    """Adds id, canonical, link and title_norm.
 
     The keys are never NULL and say so: joins on them then need no NULL filter, which the optimizer would
     otherwise push below the projection together with a second copy of the whole key expression.
@@ -53,5 +58,4 @@ def with_keys(postings: DataFrame) -> DataFrame:
         "canonical": never_null(canonical_key("title", "company", F.col("url"))),
         "link": never_null(link_key(F.col("url"))),
         "title_norm": never_null(normalize_title("title")),
-        "chars": F.length(F.coalesce("text", F.lit(""))),
     })

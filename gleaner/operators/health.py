@@ -73,7 +73,7 @@ def keep_last_overall(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def with_ticks(beats: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Adds tick: the running number of a stamp over all jobs. beats: (seq, job, at)."""
-    chunk = F.unix_seconds(F.date_trunc("hour", "at")) if chunk is None else chunk
+    chunk = F.unix_seconds(F.date_trunc("minute", "at")) if chunk is None else chunk
     return ranked(beats, [], chunk, [F.col("at"), F.col("seq")], "tick")
 
 

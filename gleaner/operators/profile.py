@@ -56,8 +56,9 @@ def clean_terms(raw: DataFrame) -> DataFrame:
     )
     unique = first_rows(spelled, ["profile_id", "kind", "parent", "term"], [F.col("pos")])
     rank = F.row_number().over(Window.partitionBy("profile_id", "kind", "parent").orderBy("pos"))
-    # Each kind has a fixed cap of at most 60, so this partition keeps a bounded head of every profile.
-    capped = unique.withColumn("ord", rank).filter(F.col("ord") <= by_kind(0))
+    # The literal limit is the largest cap: each task keeps that many per group before the shuffle.
+    most = max(lim[k][0] for k in ("role", "skill", "anti", "synonym"))
+    capped = unique.withColumn("ord", rank).filter(F.col("ord") <= most).filter(F.col("ord") <= by_kind(0))
     main = capped.filter("kind <> 'synonym'")
     skills = main.filter("kind = 'skill'").select("profile_id", F.col("term").alias("parent"))
     synonyms = capped.filter("kind = 'synonym' AND term <> parent").join(skills, ["profile_id", "parent"], "left_semi")

@@ -27,10 +27,12 @@ def medians(t: Tables) -> DataFrame:
     return hl.median_per_source(t.source_counts)
 
 
-@query("udf_05_median", "SELECT event_type, median(value)::DOUBLE AS median FROM events GROUP BY event_type")
+@query("udf_05_median", "SELECT event_type, median(n)::DOUBLE AS median FROM (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
 def median_udaf(t: Tables) -> DataFrame:
-    """The built-in exact median; no aggregate function of our own."""
-    return t.events.groupBy("event_type").agg(F.median("value").alias("median"))
+    """The built-in exact median of hourly counts; no aggregate function of our own. Counting first keeps what a
+    group holds to one number per hour."""
+    hourly = t.events.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return hourly.groupBy("event_type").agg(F.median("n").alias("median"))
 
 
 @query("win_03_rolling_baseline", s.sql(f"SELECT source, {s.shown('run')} AS run, found, runs_before, median::DOUBLE AS median FROM base", "source_counts", base=_BASE))
@@ -216,9 +218,9 @@ def alerts(t: Tables) -> DataFrame:
 @query("stm_01_last_seen_ttl", """
 SELECT event_id, user_id, coalesce(ts - previous > INTERVAL 24 HOUR, true) AS is_new FROM (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events)""")
 def last_seen(t: Tables) -> DataFrame:
-    """A key is new again when it was away longer than the TTL. Looked up in day chunks, so a hot key is many tasks."""
+    """A key is new again when it was away longer than the TTL. Looked up in minute chunks, so a hot key is many tasks."""
     e = t.events.select("event_id", "user_id", "ts")
-    prev = previous_value(e, ["user_id"], F.to_date("ts"), [F.col("ts")], "ts", "previous")
+    prev = previous_value(e, ["user_id"], F.date_trunc("minute", "ts"), [F.col("ts")], "ts", "previous")
     away = F.col("ts") - F.expr("INTERVAL 24 HOURS") > F.col("previous")
     return prev.select("event_id", "user_id", F.coalesce(away, F.lit(True)).alias("is_new"))
 

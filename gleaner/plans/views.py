@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.keys import compose_unicode, with_keys
+from gleaner.functions.keys import compose_unicode, with_chars, with_keys
 from gleaner.operators.profile import Profile
 from gleaner.session import SETTINGS, cut_lineage
 
@@ -89,12 +89,13 @@ class Tables:
 
     @cached_property
     def keyed(self) -> DataFrame:
-        return with_keys(compose_unicode(self.postings))
+        return with_keys(compose_unicode(with_chars(self.postings)))
 
     @cached_property
     def keys(self) -> DataFrame:
-        """Postings with keys and without their text, written once: every lookup below reads this narrow table."""
-        return cut_lineage(self.keyed.drop("text"))
+        """Postings with keys and without their text, written once: every lookup below reads this narrow table.
+        The text leaves before the Unicode step, so it never passes a Python worker."""
+        return cut_lineage(with_keys(compose_unicode(with_chars(self.postings).drop("text"))))
 
     @cached_property
     def texts(self) -> DataFrame:
