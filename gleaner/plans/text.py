@@ -299,7 +299,7 @@ def places(t: Tables) -> DataFrame:
 
 @query("fil_02_forbids_country", "SELECT doc_id, doc_id % 4 IN (0, 3) AS forbids FROM documents")
 def forbids(t: Tables) -> DataFrame:
-    """Ban fields around a document's length: plain lists, "outside" lists, lists without the country."""
+    """One ban field per document: plain lists, "outside" lists, lists without the country."""
     lists = ["Russia, Ukraine", "Outside Europe and Ukraine", "Belarus", "Україна"]
     field = F.element_at(F.array(*map(F.lit, lists)), (F.col("doc_id") % 4 + 1).cast("int"))
     return t.table("documents").select("doc_id", loc.forbids_country(field).alias("forbids"))

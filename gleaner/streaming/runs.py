@@ -48,20 +48,29 @@ class StateTable:
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder, schema
-        self.versions: list[int] = []
+
+    def versions(self) -> list[int]:
+        """Finished versions, read from the folder, so a restarted driver goes on where it stopped."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        done = [n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in done)
 
     def before(self, batch: int) -> DataFrame:
-        older = [v for v in self.versions if v < batch]
+        older = [v for v in self.versions() if v < batch]
         if not older:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version={max(older)}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/version={older[-1]}")
 
     def write(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/version={batch}")
-        self.versions.append(batch)
 
     def latest(self) -> DataFrame:
-        return self.before(max(self.versions, default=-1) + 1)
+        return self.before(max(self.versions(), default=-1) + 1)
 
 
 def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str) -> None:

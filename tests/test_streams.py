@@ -58,6 +58,8 @@ def test_state_table_replays_a_batch(spark, tmp_path):
     for _ in range(2):
         table.write(table.before(1).union(spark.createDataFrame([(2,)], "k int")), 1)
     assert sorted(r["k"] for r in table.latest().collect()) == [1, 2]
+    restarted = runs.StateTable(spark, str(tmp_path / "s"), "k int")
+    assert restarted.versions() == [0, 1] and restarted.latest().count() == 2
 
 
 def test_packages_are_partitioned_by_archive_and_day(spark, tmp_path):
