@@ -51,9 +51,11 @@ def split_by_budget(matches: DataFrame, budget: int) -> DataFrame:
     return matches.join(F.broadcast(kept), "seq", "left").withColumn("deferred", F.col("_in").isNull()).drop("_in")
 
 
-def suspect_count(title="title", company="company", location="location", text="text", unicode_fold: bool = True) -> Column:
-    """How many patterns of the screened block address the screener."""
-    return F.size(injection_markers(screening_block(title, company, location, text), unicode_fold))
+def with_suspect_count(matches: DataFrame, out: str = "marks") -> DataFrame:
+    """Adds how many patterns of the screened block address the screener. The block is a column of its own, so it
+    is built once and not again on each side of the Unicode step."""
+    block = screening_block("title", "company", "location", "text")
+    return matches.withColumn("_block", block).withColumn(out, F.size(injection_markers("_block"))).drop("_block")
 
 
 def join_verdicts(matches: DataFrame, verdicts: DataFrame) -> DataFrame:

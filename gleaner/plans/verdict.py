@@ -124,8 +124,8 @@ _ASKED = {
 
 @query("str_20_injection_markers", s.sql("SELECT item, CASE item % 6 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '4' WHEN 4 THEN '5' ELSE '' END AS marks FROM docs", docs=_ASKED["docs"]))
 def markers(t: Tables) -> DataFrame:
-    marks = injection_markers(sanitize_block("text"))
-    return asked(t).select("item", F.array_join(marks.cast("array<string>"), ",").alias("marks"))
+    blocks = asked(t).select("item", sanitize_block("text").alias("block"))
+    return blocks.select("item", F.array_join(injection_markers("block").cast("array<string>"), ",").alias("marks"))
 
 
 @query("str_21_sanitized_block", s.sql("SELECT item, md5(block) AS block_md5, length(block) AS n FROM clean", **_ASKED))
@@ -143,7 +143,7 @@ def screened(t: Tables) -> DataFrame:
 @query("scr_10_suspect_flag", s.sql("SELECT item % 6 AS kind, count(*) AS n, count(*) FILTER (item % 6 < 5) AS flagged FROM docs GROUP BY 1", docs=_ASKED["docs"]))
 def suspects(t: Tables) -> DataFrame:
     a = asked(t).withColumns({"title": F.lit("QA"), "company": F.lit(""), "location": F.lit("Kyiv")})
-    return a.withColumn("marks", vd.suspect_count()).groupBy((F.col("item") % 6).alias("kind")).agg(
+    return vd.with_suspect_count(a).groupBy((F.col("item") % 6).alias("kind")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("marks") > 0).alias("flagged")
     )
 
