@@ -8,7 +8,6 @@ byte prefix, so an append continues from the stored prefixes and an edit recompu
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +20,11 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Memo, table, texts
 from gleaner.llm.registry import query
+from gleaner.llm.words import spaced_words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Most entries of what a worker remembers; words longer than LONG are never remembered.
 PAIRS, PIECES, WORDS, LONG = 1_000_000, 600_000, 800_000, 128
-#: Spaces with other white space beside them or at an end, where a text must not be cut; and those where it may be.
-UNSAFE = re.compile(r" \s|\s |\A | \Z")
-SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Codec:
@@ -80,16 +77,16 @@ class Codec:
         ).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian int32 ids of a whole text.
-
-        The pattern starts a new match at every single space between two non-space characters, whatever stands around
-        it. Cut there, a text is a series of words whose ids are remembered; other white space stays inside a word.
-        """
-        first, *rest = text.split(" ")
-        if UNSAFE.search(text) or (rest and max(map(len, rest)) > LONG):
-            first, *rest = SAFE.split(text)
-            return b"".join([self._word(first), *(self.after_space[w] if len(w) <= LONG else self._word(" " + w) for w in rest)])
-        return b"".join([self._word(first), *map(self.after_space.__getitem__, rest)])
+        """Little-endian int32 ids of a whole text: a series of words whose ids are remembered."""
+        parts: list[bytes] = []
+        for words in spaced_words(text):
+            if not parts:
+                parts.append(self._word(words.pop(0)))
+            if words and max(map(len, words)) > LONG:
+                parts.append(b"".join([self.after_space[w] if len(w) <= LONG else self._word(" " + w) for w in words]))
+            else:
+                parts.append(b"".join(map(self.after_space.__getitem__, words)))
+        return b"".join(parts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
