@@ -8,6 +8,7 @@ byte prefix, so an append continues from the stored prefixes and an edit recompu
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,9 @@ from gleaner.llm.words import spaced_words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Most entries of what a worker remembers; words longer than LONG are never remembered.
-PAIRS, PIECES, WORDS, LONG = 1_000_000, 600_000, 800_000, 128
+PAIRS, PIECES, WORDS, STEMS, LONG = 300_000, 200_000, 300_000, 100_000, 128
+#: Bytes of a piece's start whose prefixes are kept for the next piece that starts alike (also twice as many).
+STEM = 4
 
 
 class Codec:
@@ -35,12 +38,14 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.beside = Memo(self._beside, PAIRS)
+        self.beside = Memo(self._beside, PAIRS)  # by left token * 2^32 + right token
         self.alone = Memo(lambda token: self.merge(self.bytes_of[token]) == [token], PAIRS)
         lengths: dict[bytes, set[int]] = {}
         for token in self.ranks:
-            lengths.setdefault(token[-3:], set()).add(len(token))
-        self.lengths = {tail: sorted(found) for tail, found in lengths.items()}
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {tail: (*sorted(found, reverse=True), 2, 1) for tail, found in lengths.items()}
+        self.stems = Memo(self._stem, STEMS)
         self.pieces = Memo(self._piece, PIECES)
         self.after_space = Memo(lambda word: self._word(" " + word), WORDS)
 
@@ -59,21 +64,37 @@ class Codec:
                 joins[i] = rank(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
-    def _beside(self, pair: tuple[int, int]) -> bool:
-        return self.merge(self.bytes_of[pair[0]] + self.bytes_of[pair[1]]) == [*pair]
+    def _beside(self, pair: int) -> bool:
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        return self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+
+    def _stem(self, start: bytes) -> list[int]:
+        own = Prefixes(self)
+        if len(start) > STEM:
+            own.resume(start[:STEM], self.stems[start[:STEM]])
+        own.append(start[len(own.data) :])
+        return own.last
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern: its own rank if it has one, else the last tokens read backwards."""
         rank = self.ranks.get(data)
-        return [rank] if rank is not None else Prefixes(self, data).ids()
+        if rank is not None:
+            return [rank]
+        own = Prefixes(self)
+        for n in (2 * STEM, STEM):
+            if len(data) > n:
+                own.resume(data[:n], self.stems[data[:n]])
+                break
+        own.append(data[len(own.data) :])
+        return own.ids()
 
     def _piece(self, piece: str) -> list[int]:
         return self.piece(piece.encode())
 
     def _word(self, word: str) -> bytes:
         pieces = self.pieces
-        return np.array(
-            [i for p in self.pattern.findall(word) for i in (pieces[p] if len(p) <= LONG else self._piece(p))], np.int32,
+        return array(
+            "i", [i for p in self.pattern.findall(word) for i in (pieces[p] if len(p) <= LONG else self._piece(p))],
         ).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -99,6 +120,10 @@ class Prefixes:
         self.codec, self.data, self.last = codec, bytearray(), []
         self.append(data)
 
+    def resume(self, data: bytes, last: list[int]) -> None:
+        """Start from stored prefixes of ``data``."""
+        self.data, self.last = bytearray(data), list(last)
+
     def append(self, more: bytes) -> None:
         """Extend the string; stored prefixes stay as they are, since a prefix does not depend on what follows."""
         self.data += more
@@ -111,20 +136,19 @@ class Prefixes:
         self._fill(start)
 
     def _fill(self, at: int) -> None:
-        ranks, last, beside, alone = self.codec.ranks, self.last, self.codec.beside, self.codec.alone
-        data, lengths = bytes(self.data), self.codec.lengths
+        rank, last, beside, alone = self.codec.ranks.get, self.last, self.codec.beside, self.codec.alone
+        data, lengths, short = bytes(self.data), self.codec.lengths.get, (2, 1)
         for end in range(at + 1, len(data) + 1):
-            # tokens of one and two bytes, then those that share the last three bytes
-            for n in (1, 2, *lengths.get(data[end - 3 : end], ())) if end > 2 else range(1, end + 1):
+            for n in lengths(data[end - 3 : end], short) if end > 2 else short[2 - end :]:
                 start = end - n
-                if start <= 0:
-                    token = ranks.get(data[:end]) if start == 0 else None
-                    if token is not None and alone[token]:
+                if start > 0:
+                    token = rank(data[start:end])
+                    if token is not None and beside[(last[start - 1] << 32) + token]:
                         last.append(token)
                         break
-                else:
-                    token = ranks.get(data[start:end])
-                    if token is not None and beside[last[start - 1], token]:
+                elif start == 0:
+                    token = rank(data[:end])
+                    if token is not None and alone[token]:
                         last.append(token)
                         break
 

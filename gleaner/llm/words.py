@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-#: Spaces with other white space beside them or at an end, where a text must not be cut for a byte-level pattern,
-#: and those where it may be: such patterns start a new match at every single space between two non-spaces.
-UNSAFE = re.compile(r" \s|\s |\A | \Z")
+#: Where a text may be cut for a byte-level pattern: it starts a new match at every single space between two
+#: non-spaces. Without white space side by side or at an end, all spaces of a text are such.
+DOUBLE = re.compile(r"\s\s")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: The white space of the word contracts.
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -24,7 +24,8 @@ def spaced_words(text: str, stretch: int = STRETCH) -> Iterator[list[str]]:
 
 
 def _split(text: str) -> list[str]:
-    return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
+    unsafe = text[:1].isspace() or text[-1:].isspace() or DOUBLE.search(text)
+    return SAFE.split(text) if unsafe else text.split(" ")
 
 
 def byte_words(text: str | None, lower: bool = False, stretch: int = STRETCH) -> Iterator[list[bytes]]:
