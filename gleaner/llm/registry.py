@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["secrets", "packing", "substrings", "simhash", "language", "hamming", "bpe"]
+MODULES = ["secrets", "packing", "substrings", "order_minhash", "simhash", "language", "hamming", "bpe"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
