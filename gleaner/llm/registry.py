@@ -11,7 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["secrets", "toxicity", "packing", "substrings", "order_minhash", "simhash", "language", "hamming", "bpe"]
+MODULES = [
+    "secrets", "toxicity", "packing", "substrings", "extraction", "order_minhash", "simhash", "language", "hamming", "bpe",
+]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
