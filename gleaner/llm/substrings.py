@@ -323,14 +323,14 @@ def without(text: str | None, places: list[np.ndarray] | None, window: int) -> t
 
 
 def drop_repeats(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP,
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "repeats", window: int = WINDOW, group: int = GROUP,
 ) -> DataFrame:
-    """The rows of ``df`` with kept (words left, one space between), n_words and n_removed.
+    """Add ``out``: struct (kept: the words left, one space between; n_words; n_removed).
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller id; windows are
     judged on the input. Within one document, repeats stay. Null and blank texts have no words; a row with a null id is
     kept whole and takes nothing from others; rows that share an id do not shorten each other. An empty table gives none.
-    Columns of ``df`` come back as they are, whatever their names (kept, n_words and n_removed are added last).
+    The columns of ``df`` come back as they are.
     """
     spark = df.sparkSession
     narrow = df.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
@@ -353,11 +353,11 @@ def drop_repeats(
     both = docs.unionByName(marks).repartition(buckets, "bucket").sortWithinPartitions("bucket", "is_doc")
     kind = docs.schema["_row"].dataType.simpleString()
     run = apply_repeats(window, df.columns.index(doc_id), df.columns.index(text))
-    out = both.mapInArrow(run, f"_row {kind}, kept string, n_words bigint, n_removed bigint")
-    return out.select("_row.*", "kept", "n_words", "n_removed")
+    found = both.mapInArrow(run, f"_row {kind}, kept string, n_words bigint, n_removed bigint")
+    return found.select("_row.*", F.struct("kept", "n_words", "n_removed").alias(out))
 
 
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
