@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import table
@@ -29,23 +29,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id; repeated rows of that id are one.
+    """Keeps of each group of near-duplicates the document with the smallest id.
 
-    Documents without an id are kept: nothing says which of them is the first.
+    Rows that share an id are one document: the smallest text stays. Documents without an id are kept: nothing says which
+    of them is the first.
     """
     groups = near_duplicates(docs)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    first = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_first")).agg(F.count(F.lit(1)).alias("_rows"))
+    named = docs.join(first, F.col("doc_id") == F.col("_first"))
+    by_text = Window.partitionBy("_first").orderBy("text", *[c for c in docs.columns if c != "text"])
+    shared = named.filter("_rows > 1").withColumn("_place", F.row_number().over(by_text)).filter("_place = 1")
+    kept = named.filter("_rows = 1").select(*docs.columns).union(shared.select(*docs.columns))
+    return kept.union(docs.filter("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages that an earlier document has; a document of which nothing is left goes, untouched ones stay as they are."""
-    found = drop_repeats(docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_key"), F.col("text").alias("_words")), "_key", "_words")
-    text = F.when(F.col("n_removed") == 0, F.col("_doc.text")).otherwise(F.col("kept"))
-    kept = found.filter("n_removed = 0 OR n_removed < n_words")
-    columns = [text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
-    return with_length(kept.select(*columns))
+    found = drop_repeats(docs, out="_repeats")
+    text = F.when(F.col("_repeats.n_removed") == 0, F.col("text")).otherwise(F.col("_repeats.kept"))
+    kept = found.filter("_repeats.n_removed = 0 OR _repeats.n_removed < _repeats.n_words")
+    return with_length(kept.withColumn("text", text).drop("_repeats"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
