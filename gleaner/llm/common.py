@@ -35,9 +35,10 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
 
 
 class Memo(dict):
-    """Values by key, made on demand; emptied when it holds ``limit`` keys, so that memory stays bounded.
+    """Values by key, made on demand; holds ``limit`` keys at most, so that memory stays bounded.
 
-    Frequent keys are back at once; results never depend on what is remembered.
+    Frequent keys come early. When it is full, the newest quarter goes and the older keys stay. Results never depend on
+    what is remembered.
     """
 
     def __init__(self, make: Callable, limit: int):
@@ -46,6 +47,7 @@ class Memo(dict):
 
     def __missing__(self, key):
         if len(self) >= self.limit:
-            self.clear()
+            for _ in range(max(1, self.limit // 4)):
+                self.popitem()
         value = self[key] = self.make(key)
         return value
