@@ -73,7 +73,7 @@ def literal_score(value: str, bare: bool) -> float:
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     if bare and not re.search("[0-9]", value):
         return 0.0
-    return min(1.0, entropy / 4.0) * (0.4 + 0.2 * classes if classes < 3 else 1.0)
+    return min(1.0, entropy / 3.0) * (0.4 + 0.2 * classes if classes < 3 else 1.0)
 
 
 def read_value(text: str, at: int) -> tuple[list[tuple[int, int, bool]], list[str]]:
