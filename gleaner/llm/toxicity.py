@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Memo, bounded_ids, fold, table, texts
 from gleaner.llm.registry import query
 from gleaner.llm.words import STRETCH
+from gleaner.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the model: labelled rows it learns from, terms, and letters of a word that count.
-EXAMPLES, TERMS, LETTERS = 40_000, 8_192, 40
-#: Word starts that are terms of their own, how often a start must come to be one more term, and how sure (in standard
-#: errors of the log odds) a term must be.
-STARTS, REPEATS, SURE = (4, 5, 6, 7), (2, 3, 5), 3.5
+EXAMPLES, TERMS, LETTERS = 20_000, 8_192, 40
+#: Word starts that are terms of their own, how often a start must come to be one more term, and what a term must show:
+#: log odds of standing in a toxic example, and how many standard errors they are above 0.
+STARTS, REPEATS, ODDS, SURE = (4, 5, 6, 7), (2, 3, 5), 1.5, 3.5
+SHORTEST = min(STARTS)
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
 REMEMBERED = 200_000
 
@@ -77,13 +79,18 @@ class Vectors:
     def __init__(self, terms: list[str]):
         self.place = {t: i for i, t in enumerate(terms)}
         self.wanted = {*terms, *(t[: t.rindex("-") + 1] for t in terms if t[-1].isdigit())}
+        self.stems = {t.rstrip("-")[:SHORTEST] for t in self.wanted}
         self.memo = Memo(lambda word: tuple(t for t in terms_of(word) if t in self.wanted), REMEMBERED)
 
     def counts(self, text: str | None) -> dict[int, int]:
-        times: Counter = Counter()
+        seen: Counter = Counter()
         for words in words_in(text):
-            for found in filter(None, map(self.memo.__getitem__, words)):
-                times.update(found)
+            seen.update(words)
+        times: dict[str, int] = {}
+        for word, n in seen.items():
+            if word[:SHORTEST] in self.stems:
+                for t in self.memo[word]:
+                    times[t] = times.get(t, 0) + n
         marks = [repeated(t, r) for t, n in times.items() if n > 1 and t[-1] == "-" for r in REPEATS if n >= r]
         place = self.place
         return {place[t]: n for t, n in times.items() if t in place} | {place[t]: 1 for t in marks if t in place}
@@ -101,18 +108,20 @@ class BlockMaxIndex:
         self.docs = np.array([w[0] for w in weighted], np.int64)
         self.toxic = np.array([w[1] for w in weighted], np.float64)
         self.blocks = math.ceil(len(weighted) / BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, (_, _, (terms, values)) in enumerate(weighted):
-            for t, v in zip(terms.tolist(), values.tolist()):
-                postings.setdefault(t, []).append((i, v))
-        self.postings, self.tops = {}, {}
-        for t, entries in postings.items():
-            at, values = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            block = at // BLOCK
-            blocks, first = np.unique(block, return_index=True)
-            ends = [*first[1:].tolist(), len(at)]
-            self.postings[t] = {int(b): (at[s:e] - b * BLOCK, values[s:e]) for b, s, e in zip(blocks.tolist(), first.tolist(), ends)}
-            self.tops[t] = (blocks, np.maximum.reduceat(values, first))
+        # per block its terms in order and their weights, a row a term; per term its blocks and its largest weight in each
+        self.block_terms, self.block_weights = [], []
+        tops: dict[int, list[tuple[int, float]]] = {}
+        for b in range(self.blocks):
+            part = [w[2] for w in weighted[b * BLOCK : (b + 1) * BLOCK]]
+            terms = np.unique(np.concatenate([t for t, _ in part]))
+            rows = np.zeros((len(terms), BLOCK))
+            for i, (t, v) in enumerate(part):
+                rows[np.searchsorted(terms, t), i] = v
+            self.block_terms.append(terms)
+            self.block_weights.append(rows)
+            for t, top in zip(terms.tolist(), rows.max(axis=1).tolist()):
+                tops.setdefault(t, []).append((b, top))
+        self.tops = {t: (np.array([e[0] for e in entries]), np.array([e[1] for e in entries])) for t, entries in tops.items()}
 
     def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
@@ -133,10 +142,10 @@ class BlockMaxIndex:
             # rounding can lift a cosine above the sum of the bounds by a hair
             if bound[b] <= 0 or (len(best) == self.k and bound[b] + 1e-9 < -best[-1][0]):
                 break
-            scores = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist()):
-                if found := self.postings.get(t, {}).get(b):
-                    scores[found[0]] += v * found[1]
+            known, rows = self.block_terms[b], self.block_weights[b]
+            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+            both = known[at] == terms
+            scores = values[both] @ rows[at[both]]
             own = [(-round(float(scores[i]), 12), int(self.docs[b * BLOCK + i]), b * BLOCK + i) for i in np.flatnonzero(scores).tolist()]
             best = sorted(best + own)[: self.k]
         return [(place, -score) for score, _, place in best]
@@ -157,92 +166,107 @@ class Model:
         return float(score), [(int(self.index.docs[p]), c) for p, c in near]
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """Fit on at most ``examples`` labelled ids of the smallest hash; ``docs`` (doc_id, text), ``labels`` (doc_id, toxic).
-
-    Rows without id, text or label teach nothing; of several labels of an id the largest counts. Copies of a text count
-    once when terms are chosen. Document frequencies are counted over all of ``docs``. The sample of ids, the terms and the
-    examples' term counts have the size of the parameters, whatever the size of the tables.
-    """
-    spark = docs.sparkSession
+def chosen_labels(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """(doc_id, toxic) of at most ``examples`` labelled ids, those of the smallest hash; of several labels the largest."""
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     ids = bounded_ids(marked, "doc_id", examples)
-    chosen = marked.join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    return marked.join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def choose_terms(docs: DataFrame, chosen: DataFrame, terms: int = TERMS) -> list[str]:
+    """At most ``terms`` terms that tell toxic examples apart. Copies of a text count once; null texts teach nothing."""
+    sample = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     once = sample.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_hash", "toxic"]).select("toxic", "text")
+    once = cut_lineage(once)  # texts of the sample alone
     counted = once.mapInArrow(count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
     )
     sizes = {bool(r.toxic): r.n for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_toxic, all_clean = sizes.get(True, 0), sizes.get(False, 0)
+    all_toxic, all_clean = float(sizes.get(True, 0)), float(sizes.get(False, 0))
     t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(t / (F.lit(float(all_toxic)) - F.col("toxic") + 0.5)) - F.log(c / (F.lit(float(all_clean)) - F.col("clean") + 0.5))
-    error = F.sqrt(1 / t + 1 / c)
-    best = counted.withColumn("sure", odds / error).filter(F.col("sure") >= SURE).orderBy(F.desc("sure"), "term").limit(terms)
-    names = [r.term for r in best.select("term").collect()]  # at most ``terms`` rows
-
-    def per_document(with_id: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vectors = Vectors(names)
-            for batch in batches:
-                found = [vectors.counts(x) for x in texts(batch.column(batch.num_columns - 1))]
-                if with_id:
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0), batch.column(1), pa.array([list(f.keys()) for f in found], pa.list_(pa.int32())),
-                        pa.array([list(f.values()) for f in found], pa.list_(pa.int32())),
-                    ], names=["doc_id", "toxic", "terms", "times"])
-                else:
-                    seen = Counter(t for f in found for t in f)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([-1, *seen.keys()], pa.int32()), pa.array([len(found), *seen.values()], pa.int64())], names=["term", "n"],
-                    )
-
-        return run
-
-    frequencies = docs.select("text").mapInArrow(per_document(False), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r.term: r.n for r in frequencies}
-    total = df.get(-1, 0)
-    idf = np.array([math.log(1 + (total + 1) / (df.get(i, 0) + 1)) for i in range(len(names))])
-    kind = "doc_id bigint, toxic int, terms array<int>, times array<int>"
-    narrow = sample.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int"), "text")
+    odds = F.log(t / (all_toxic - F.col("toxic") + 0.5)) - F.log(c / (all_clean - F.col("clean") + 0.5))
+    scored = counted.select("term", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("sure"))
+    best = scored.filter((F.col("sure") >= SURE) & (F.col("odds") >= ODDS)).orderBy(F.desc("sure"), "term").limit(terms)
+    return [r.term for r in best.select("term").collect()]  # ``terms`` rows at most
+
+
+def with_counts(df: DataFrame, names: list[str], text: str = "text", out: str = "counts") -> DataFrame:
+    """Add ``out``: struct (terms, times), the counts of the chosen terms in the whole text; none for a null text."""
+    kind = pa.list_(pa.int32())
+
+    @F.arrow_udf("struct<terms:array<int>,times:array<int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vectors = Vectors(names)
+        for batch in batches:
+            found = [sorted(vectors.counts(t).items()) for t in texts(batch)]
+            columns = [pa.array([[pair[k] for pair in f] for f in found], kind) for k in (0, 1)]
+            yield pa.StructArray.from_arrays(columns, names=["terms", "times"])
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def fit(counted: DataFrame, chosen: DataFrame, names: list[str]) -> Model:
+    """The model over ``counted`` (doc_id, counts): document frequencies over all of it, examples by ``chosen``.
+
+    What reaches the driver are the frequencies of the terms and the term counts of the examples: as many as the
+    parameters say, whatever the size of the tables.
+    """
+    seen = counted.select(F.explode("counts.terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+    frequency, total = {r.term: r.n for r in seen}, counted.count()
+    idf = np.array([math.log(1 + (total + 1) / (frequency.get(i, 0) + 1)) for i in range(len(names))])
     rows, blank = [], [0, 0]
-    for r in narrow.mapInArrow(per_document(True), kind).collect():  # at most ``examples`` ids, term counts alone
-        if r.terms:
-            rows.append((r.doc_id, int(r.toxic > 0), dict(zip(r.terms, r.times))))
+    for r in counted.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "counts").collect():
+        if r.counts.terms:
+            rows.append((r.doc_id, int(r.toxic > 0), dict(zip(r.counts.terms, r.counts.times))))
         else:
             blank[int(r.toxic > 0)] += 1
     return Model(names, BlockMaxIndex(rows, idf), (blank[1] + 0.1) / (sum(blank) + 1.0))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """Add ``out``: struct (score 0 to 1, neighbours array of (doc_id, cosine)), from the whole text alone.
-
-    Null and empty texts, and texts without any of the terms, get the prior and no neighbours. Equal texts get equal
-    scores; other columns pass as they are. Rows never meet.
-    """
+def vote(df: DataFrame, model: Model, counts: str = "counts", out: str = "toxicity") -> DataFrame:
+    """Add ``out``: struct (score 0 to 1, neighbours array of (doc_id, cosine)) from the term counts."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     @F.arrow_udf("struct<score:double,neighbours:array<struct<doc_id:bigint,cosine:double>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        vectors = Vectors(own.terms)
         known = Memo(lambda key: own.vote(dict(key)), 20_000)
         for batch in batches:
-            found = [known[tuple(sorted(vectors.counts(t).items()))] for t in texts(batch)]
+            found = [known[tuple(zip(c["terms"], c["times"]))] for c in batch.to_pylist()]
             yield pa.StructArray.from_arrays([
                 pa.array([f[0] for f in found], pa.float64()),
                 pa.array([[{"doc_id": d, "cosine": c} for d, c in f[1]] for f in found], kind),
             ], names=["score", "neighbours"])
 
-    return df.withColumn(out, run(F.col(text)))
+    return df.withColumn(out, run(F.col(counts)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+    """Fit on labelled ``docs`` (doc_id, text), ``labels`` (doc_id, toxic); rows without id, text or label teach nothing."""
+    chosen = cut_lineage(chosen_labels(labels, examples))
+    names = choose_terms(docs, chosen, terms)
+    return fit(cut_lineage(with_counts(docs.select("doc_id", "text"), names).drop("text")), chosen, names)
+
+
+def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """Add ``out``: struct (score, neighbours), from the whole text alone.
+
+    Null and empty texts, and texts without any of the terms, get the prior and no neighbours. Equal texts get equal
+    scores; other columns pass as they are. Rows never meet.
+    """
+    return vote(with_counts(df, model.terms, text, "_counts"), model, "_counts", out).drop("_counts")
 
 
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts once, for the document frequencies and the votes alike."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold("doc_id", 5) != 0)
-    found = score(docs, learn(docs, labels))
+    chosen = cut_lineage(chosen_labels(labels))
+    names = choose_terms(docs, chosen)
+    counted = cut_lineage(with_counts(docs, names).drop("text"))
+    found = vote(counted, fit(counted, chosen, names))
     return found.select(
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "toxicity.score",
         F.when(F.col("toxicity.score") >= 0.5, 1).otherwise(0).alias("predicted"),
