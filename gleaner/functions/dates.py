@@ -38,9 +38,9 @@ def normalize_stamp(c, now: Column) -> Column:
     """
     s = F.trim(text_or_blank(c))
     number = F.when(s.rlike(r"^[0-9]{1,16}(\.[0-9]+)?$"), s.cast("double"))
-    unix = F.when(number < 1e11, F.timestamp_millis((number * 1000).cast("bigint"))).otherwise(
-        F.timestamp_millis(number.cast("bigint"))
-    )
+    # milliseconds of years that a timestamp can hold; more is no stamp
+    millis = F.when(number < 1e11, number * 1000).when(number < 1e14, number)
+    unix = F.timestamp_millis(millis.cast("bigint"))
     board = F.when(
         s.rlike(r"^[0-9]{2}:[0-9]{2} [0-9]{2}\.[0-9]{2}\.[0-9]{4}$"),
         local_wall_to_utc(F.try_to_timestamp(s, F.lit("HH:mm dd.MM.yyyy"))),
@@ -91,7 +91,8 @@ def relative_age(c, now: Column, zone: str = "UTC") -> Column:
     pattern = r"([0-9]+)\s+(minute|hour|day|week|month|year)s?\s+ago(?![a-zA-Z0-9_])"
     unit = F.regexp_extract(s, pattern, 2)
     seconds = F.try_element_at(F.create_map(*[F.lit(v) for p in _AGE_SECONDS.items() for v in p]), unit)
-    count = F.nullif(F.regexp_extract(s, pattern, 1), F.lit("")).cast("bigint")
+    told = F.regexp_extract(s, pattern, 1).try_cast("bigint")
+    count = F.when(told <= F.floor(F.lit(60_000_000_000) / seconds), told)  # ages of up to about 1,900 years
     instant = F.timestamp_micros((F.unix_micros(now) - count * seconds * 1000000).cast("bigint"))
     local_day = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(instant, zone)), zone)
     at = F.when(seconds >= 86400, local_day).otherwise(instant)

@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -153,34 +154,53 @@ def score_band(c) -> Column:
     return F.when(c >= fixed.BAND_HIGH, "hi").when(c >= fixed.BAND_MID, "mid").otherwise("lo")
 
 
-def sanitize_block(c, cap: int = fixed.BLOCK_CAP, scan: int = fixed.BLOCK_SCAN) -> Column:
-    """Drop format characters, then the data-block tag until none is left, then cut at ``cap``.
+@F.arrow_udf(StringType())
+def _without_tags(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else strip_block_tags(t) for t in texts.to_pylist()], pa.string())
 
-    Removing a tag can join the halves of another one, so passes repeat. Two passes settle all but
-    deliberately nested texts; those run length / 9 more, and no text has more tags than that.
+
+def strip_block_tags(text: str) -> str:
+    """The text without data-block tags, also those that a removal puts together: one pass with a stack of kept parts.
+
+    After a removal only the joint can hold a new tag, and it starts at the last "<" that is still open in front of it.
     """
-    t = F.regexp_replace(F.left(text_or_blank(c), F.lit(scan)), fixed.FORMAT_CHARS, "")
+    tag = re.compile(fixed.BLOCK_TAG)
+    kept, rest = "", text
+    while m := tag.search(rest):
+        front = kept + rest[: m.start()]
+        open_at = front.rfind("<")
+        if open_at < 0:
+            kept, rest = front, rest[m.end() :]
+        else:
+            kept, rest = front[:open_at], front[open_at:] + rest[m.end() :]
+    return kept + rest
+
+
+def sanitize_block(c, cap: int | None = None) -> Column:
+    """Drop format characters, then the data-block tag until none is left; cut at ``cap`` only if one is given.
+
+    Removing a tag can join the halves of another one. Two passes settle all but deliberately nested texts; those go
+    through one scan each.
+    """
+    t = F.regexp_replace(text_or_blank(c), fixed.FORMAT_CHARS, "")
     for _ in range(2):
         t = F.regexp_replace(t, fixed.BLOCK_TAG, "")
+    nested = t.rlike(fixed.BLOCK_TAG)
+    settled = F.when(nested, _without_tags(F.when(nested, t))).otherwise(t)
+    return settled if cap is None else F.left(settled, F.lit(cap))
 
-    def settle(s: Column) -> Column:
-        passes = F.sequence(F.lit(0), F.floor(F.length(s) / 9).cast("int"))
-        stable = F.aggregate(passes, s, lambda acc, _: F.regexp_replace(acc, fixed.BLOCK_TAG, ""))
-        return F.when(s.rlike(fixed.BLOCK_TAG), stable).otherwise(s)
-
-    return F.left(once(t, settle), F.lit(cap))
 
+def screening_block(title, company, location, text, cap: int | None = None, field_cap: int | None = None) -> Column:
+    """The exact text an external scorer is shown; ``cap`` and ``field_cap`` cut the description and the fields."""
 
-def screening_block(title, company, location, text) -> Column:
-    """The exact text an external scorer is shown."""
-
-    def field(c, n=200):
-        return F.left(squeeze(sanitize_block(c, cap=n * 4, scan=n * 4)), F.lit(n))
+    def field(c):
+        whole = squeeze(sanitize_block(c))
+        return whole if field_cap is None else F.left(whole, F.lit(field_cap))
 
     unknown = lambda c: F.coalesce(F.nullif(field(c), F.lit("")), F.lit("unknown"))
     return F.concat(
         F.lit("Title: "), field(title), F.lit("\nCompany: "), unknown(company),
-        F.lit("\nLocation: "), unknown(location), F.lit("\nDescription:\n"), sanitize_block(text),
+        F.lit("\nLocation: "), unknown(location), F.lit("\nDescription:\n"), sanitize_block(text, cap),
     )
 
 
@@ -193,7 +213,7 @@ _MARKER_NEEDS = [
 
 def injection_markers(c, unicode_fold: bool = True) -> Column:
     """Indexes of the patterns that address the screener, on the text as written or with look-alikes folded."""
-    s = F.left(text_or_blank(c), F.lit(fixed.BLOCK_SCAN))
+    s = text_or_blank(c)
     if unicode_fold:
         s = nfkc(s)
     s = F.regexp_replace(F.regexp_replace(s, fixed.FORMAT_CHARS, ""), fixed.INVISIBLE_FILLERS, " ")
@@ -219,9 +239,9 @@ def injection_markers(c, unicode_fold: bool = True) -> Column:
     return once(F.transform(both, with_lower), hits)
 
 
-def extract_salary(c, scan: int = fixed.SALARY_SCAN) -> Column:
-    """First money expression: dashed range, worded range, ceiling, single value; NULL when none."""
-    s = F.left(text_or_blank(c), F.lit(scan))
+def extract_salary(c) -> Column:
+    """First money expression of the whole text: dashed range, worded range, ceiling, single value; NULL when none."""
+    s = text_or_blank(c)
     found = [F.nullif(F.trim(F.regexp_extract(s, p, 0)), F.lit("")) for p in fixed.SALARY_PATTERNS]
     # A digit is needed by every pattern: texts without one skip all four scans.
     return F.when(s.rlike("[0-9]"), F.coalesce(*found))

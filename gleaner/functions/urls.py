@@ -95,7 +95,8 @@ def ipv4_number(address) -> Column:
     parts = F.split(text_or_blank(address), r"\.")
     number = F.lit(0).cast("bigint")
     for i in range(1, 5):
-        number = number * 256 + F.try_element_at(parts, F.lit(i)).try_cast("bigint")
+        octet = F.try_element_at(parts, F.lit(i)).try_cast("bigint")
+        number = number * 256 + F.when(octet.between(0, 255), octet)
     return number
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner import fixed
 from gleaner.functions.location import names_country
 from gleaner.functions.text import text_or_blank
-from gleaner.operators.skew import first_rows
+from gleaner.operators.skew import first_rows, ranked
 
 
 def collapse_latest(packages: DataFrame) -> DataFrame:
@@ -21,6 +21,15 @@ def card_order() -> list[Column]:
     return [F.col("llm_score").desc_nulls_last(), F.col("score").desc(), F.col("seq")]
 
 
+def placed(cards: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Every card with its place in the order: numbered inside chunks of one verdict, score and range of ``span`` arrivals.
+
+    Only the chunks' sizes meet in one task, never the cards, so a score that a third of them share stays spread.
+    """
+    chunk = F.struct(F.coalesce(-F.col("llm_score"), F.lit(1)).alias("a"), (-F.col("score")).alias("b"), F.floor(F.col("seq") / span).alias("c"))
+    return ranked(cards, [], chunk, [F.col("seq")], "place")
+
+
 def tab_of() -> Column:
     """An unseen borderline card waits under its own tab."""
     return F.when((F.col("tier") == "borderline") & (F.col("status") == "new"), "borderline").otherwise(F.col("status"))

@@ -49,7 +49,7 @@ def packages_per_source(packages: DataFrame) -> DataFrame:
 def scores_line(packages: DataFrame) -> DataFrame:
     """One row: how many carry a whole-number verdict, and the label of the best one (first on a tie)."""
     scored = packages.filter(text_or_blank("llm_score").rlike("^[0-9]+$"))
-    number = F.col("llm_score").cast("int")
+    number = F.col("llm_score").try_cast("int")
     return scored.agg(
         F.count(F.lit(1)).alias("scored"),
         F.max_by("label", F.struct(number, -F.col("seq"))).alias("top_label"), F.max(number).alias("top_score"),

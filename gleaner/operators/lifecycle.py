@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner import fixed
 from gleaner.functions.text import text_or_blank
 from gleaner.functions.urls import board_of
-from gleaner.operators.skew import first_rows
+from gleaner.operators.skew import first_rows, ranked
 
 
 def _ago(now: Column, days: int) -> Column:
@@ -26,30 +26,33 @@ def is_closed(source, status, html) -> Column:
 
 
 def latest_state(state: DataFrame) -> DataFrame:
-    """One row per url."""
-    return first_rows(state, ["url"], [F.col("updated_at").desc_nulls_last()])
+    """One row per url, so that a join with it never doubles a card: the latest, of equal stamps the smaller status."""
+    stamp = [F.col("updated_at").desc_nulls_last()] if "updated_at" in state.columns else []
+    return first_rows(state, ["url"], [*stamp, F.col("status")])
 
 
 def probe_candidates(
     packages: DataFrame, state: DataFrame, probes: DataFrame, now: Column,
-    recheck_days: int = fixed.RECHECK_DAYS, retry_days: int = fixed.RETRY_DAYS, cap: int = fixed.MAX_PROBES,
+    budget: int, recheck_days: int = fixed.RECHECK_DAYS, retry_days: int = fixed.RETRY_DAYS,
 ) -> DataFrame:
-    """(url, board): New or Viewed cards due for a probe, longest unprobed first, at most ``cap`` per run.
+    """(seq, url, board, last_probe, probe_rank, deferred): all New or Viewed cards due for a probe, longest unprobed first.
 
-    state: url, status. probes: url, checked_at, tried_at. The cap is the run's politeness budget;
-    what it leaves out is still due in the next run.
+    state: url, status. probes: url, checked_at, tried_at. The run probes the first ``budget``; the others are deferred.
+    Ranks are numbered inside chunks of one hour of last probes and one range of arrivals.
     """
     on_board = packages.withColumn("board", board_of("source", F.col("url"))).filter(F.col("board").isNotNull())
     unique = first_rows(on_board.select("seq", "url", "board"), ["url"], [F.col("seq")])
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
     last, tried = F.coalesce("checked_at", epoch), F.coalesce("tried_at", epoch)
     due = (
-        unique.join(state.select("url", "status"), "url", "left").join(probes, "url", "left")
+        unique.join(latest_state(state).select("url", "status"), "url", "left").join(probes, "url", "left")
         .filter(F.col("status").isNull() | (F.col("status") == "viewed"))
         .filter((last <= _ago(now, recheck_days)) & (tried <= _ago(now, retry_days)))
         .withColumn("last_probe", F.greatest(last, tried))
     )
-    return due.orderBy("last_probe", "seq").limit(cap).select("url", "board", "last_probe", "seq")
+    chunk = F.struct(F.date_trunc("hour", F.col("last_probe")).alias("a"), F.when(F.col("last_probe") == epoch, F.floor(F.col("seq") / 65536)).otherwise(0).alias("b"))
+    placed = ranked(due, [], chunk, [F.col("last_probe"), F.col("seq")], "probe_rank")
+    return placed.select("seq", "url", "board", "last_probe", "probe_rank", (F.col("probe_rank") > budget).alias("deferred"))
 
 
 def reprobe_list(packages: DataFrame, state: DataFrame, probes: DataFrame, now: Column) -> DataFrame:
@@ -73,7 +76,7 @@ def archive_plan(packages: DataFrame, state: DataFrame, now: Column) -> DataFram
     A missing stamp counts as old enough.
     """
     old = lambda ts, days: F.coalesce(F.col(ts) <= _ago(now, days), F.lit(True))
-    joined = packages.join(state.select("url", "status", "updated_at"), "url", "left")
+    joined = packages.join(latest_state(state).select("url", "status", "updated_at"), "url", "left")
     borderline = F.coalesce(F.col("tier") == "borderline", F.lit(False))
     reason = (
         F.when(borderline, F.when(old("generated", fixed.ARCHIVE_BORDERLINE_DAYS), "borderline"))
@@ -117,7 +120,7 @@ def closed_set(packages: DataFrame, state: DataFrame) -> DataFrame:
 
 def with_status(packages: DataFrame, state: DataFrame) -> DataFrame:
     """Adds status; no entry, or one this build does not know, reads as new."""
-    known = state.select("url", F.when(F.col("status").isin(fixed.STATUSES), F.col("status")).alias("status"))
+    known = latest_state(state).select("url", F.when(F.col("status").isin(fixed.STATUSES), F.col("status")).alias("status"))
     return packages.join(known, "url", "left").withColumn("status", F.coalesce("status", F.lit("new")))
 
 
@@ -132,8 +135,10 @@ def clean_state(raw: DataFrame) -> DataFrame:
 
 def state_rows(stores: DataFrame, body: str = "body") -> DataFrame:
     """(url, status, note, updated_at) of JSON state bodies: {url: {status, note, updatedAt}, "_meta": {...}}."""
-    entries = F.from_json(body, "map<string,struct<status:string,note:string,updatedAt:string>>")
-    rows = stores.select(F.explode(entries).alias("url", "entry")).filter(~F.col("url").isin("_meta", "__proto__"))
+    # each entry is read on its own: one that is no object is passed over, the others stay
+    entries = F.from_json(body, "map<string,string>")
+    rows = stores.select(F.explode(entries).alias("url", "raw")).filter(~F.col("url").isin("_meta", "__proto__"))
+    rows = rows.withColumn("entry", F.from_json("raw", "struct<status:string,note:string,updatedAt:string>")).filter("entry IS NOT NULL")
     return clean_state(rows.select(
         "url", "entry.status", "entry.note", F.try_to_timestamp("entry.updatedAt").alias("updated_at")
     ))

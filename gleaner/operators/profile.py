@@ -40,7 +40,8 @@ def clean_terms(raw: DataFrame) -> DataFrame:
         "CASE kind " + " ".join(f"WHEN '{k}' THEN {lim[k][i]}" for k in ("role", "skill", "anti", "synonym")) + " END"
     )
     term = F.left(F.lower(squeeze("term")), by_kind(1))
-    magnitude = F.floor(F.abs(F.col("value").try_cast("double")) + 0.5).cast("int")
+    size = F.abs(F.col("value").try_cast("double"))
+    magnitude = F.floor(F.when(size.isNotNull(), F.least(size, F.lit(1e6))) + 0.5).cast("int")
     lo, hi = lim["weight"]
     anti_lo, anti_hi = lim["anti_weight"]
     weight = (

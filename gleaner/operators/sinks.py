@@ -53,7 +53,7 @@ def alt_links_after(packages: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def run_stats_after(stats: DataFrame, row: DataFrame, keep: int = fixed.RUN_STATS_KEPT) -> DataFrame:
+def run_stats_after(stats: DataFrame, row: DataFrame, keep: int) -> DataFrame:
     """The stats table with one more run, last ``keep`` rows."""
     return stats.unionByName(row, allowMissingColumns=True).orderBy(F.col("at").desc()).limit(keep)
 

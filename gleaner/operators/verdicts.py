@@ -21,8 +21,8 @@ def numeric_score(c) -> Column:
 
 def bound_score(c) -> Column:
     """Half-up rounding, clamped to 0..100; no score stays NULL (least and greatest would skip it)."""
-    n = F.floor(numeric_score(c) + 0.5).cast("int")
-    return F.when(n.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), n)))
+    n = numeric_score(c)
+    return F.when(n.isNotNull(), F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), n)) + 0.5).cast("int"))
 
 
 def bound_verdicts(raw: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def within_budget(matches: DataFrame, budget: int) -> DataFrame:
 
 
 def split_by_budget(matches: DataFrame, budget: int) -> DataFrame:
-    """All matches with deferred = past the budget. The budget is a job parameter, so the kept side is small."""
+    """All matches with deferred = past the budget."""
     kept = within_budget(matches.select("seq", "score"), budget).select("seq", F.lit(False).alias("_in"))
-    return matches.join(F.broadcast(kept), "seq", "left").withColumn("deferred", F.col("_in").isNull()).drop("_in")
+    return matches.join(kept, "seq", "left").withColumn("deferred", F.col("_in").isNull()).drop("_in")
 
 
 def with_suspect_count(matches: DataFrame, out: str = "marks") -> DataFrame:

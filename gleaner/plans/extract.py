@@ -160,12 +160,14 @@ def div_block(t: Tables) -> DataFrame:
     )
 
 
-@query("src_10_decode_body", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'windows-1251' WHEN doc_id % 3 = 1 THEN 'iso-8859-1' ELSE 'utf-8' END AS charset, md5(CASE WHEN doc_id % 3 = 2 THEN 'Привіт ' || doc_id ELSE text END) AS body_md5 FROM documents")
+@query("src_10_decode_body", r"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'windows-1251' WHEN doc_id % 3 = 1 THEN 'windows-1252' ELSE 'utf-8' END AS charset,
+  md5(CASE WHEN doc_id % 3 = 2 THEN 'Привіт ' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') WHEN doc_id % 3 = 1 THEN '“' || text ELSE text END) AS body_md5 FROM documents""")
 def decoded(t: Tables) -> DataFrame:
-    """Documents as bytes in three charsets: declared by the page, by the header, or by a byte table of Cyrillic."""
+    """Documents as bytes in three charsets: a Cyrillic word before the ASCII of the text, Latin-1 by its web meaning, UTF-8."""
     k = F.col("doc_id") % 3
-    cyrillic = F.concat(F.unhex(F.lit("CFF0E8E2B3F220")), F.encode(F.col("doc_id").cast("string"), "US-ASCII"))
-    body = F.when(k == 2, cyrillic).when(k == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    cyrillic = F.concat(F.unhex(F.lit("CFF0E8E2B3F220")), F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", ""), "US-ASCII"))
+    body = F.when(k == 2, cyrillic).when(k == 1, F.concat(F.unhex(F.lit("93")), F.encode("text", "ISO-8859-1"))).otherwise(F.encode("text", "UTF-8"))
     header = F.when(k == 2, "text/html; charset=windows-1251").when(k == 1, 'text/html; charset="ISO-8859-1"')
     raw = t.table("documents").select("doc_id", body.alias("body"), header.alias("content_type"))
     return pages.decode_body(raw).select("doc_id", "charset", F.md5("html").alias("body_md5"))

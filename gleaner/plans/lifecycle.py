@@ -21,12 +21,13 @@ def now():
 
 
 @query("srt_04_probe_candidates", s.sql(f"""
-SELECT l.seq, l.url, l.probe_board AS board FROM listings l LEFT JOIN job_state j ON j.url = l.url LEFT JOIN probes p ON p.url = l.url
+SELECT *, probe_rank > 150 AS deferred FROM (SELECT l.seq, l.url, l.probe_board AS board,
+  row_number() OVER (ORDER BY greatest(coalesce(p.checked_at, TIMESTAMP '1970-01-01'), coalesce(p.tried_at, TIMESTAMP '1970-01-01')), l.seq) AS probe_rank
+FROM listings l LEFT JOIN job_state j ON j.url = l.url LEFT JOIN probes p ON p.url = l.url
 WHERE l.probe_board IS NOT NULL AND (j.status IS NULL OR j.status = 'viewed')
-  AND coalesce(p.checked_at, TIMESTAMP '1970-01-01') <= {_NOW} - INTERVAL 3 DAY AND coalesce(p.tried_at, TIMESTAMP '1970-01-01') <= {_NOW} - INTERVAL 1 DAY
-ORDER BY greatest(coalesce(p.checked_at, TIMESTAMP '1970-01-01'), coalesce(p.tried_at, TIMESTAMP '1970-01-01')), l.seq LIMIT 150""", "listings", "job_state", "probes"))
+  AND coalesce(p.checked_at, TIMESTAMP '1970-01-01') <= {_NOW} - INTERVAL 3 DAY AND coalesce(p.tried_at, TIMESTAMP '1970-01-01') <= {_NOW} - INTERVAL 1 DAY)""", "listings", "job_state", "probes"))
 def candidates(t: Tables) -> DataFrame:
-    return lc.probe_candidates(t.listings, t.job_state, t.probes, now()).select("seq", "url", "board")
+    return lc.probe_candidates(t.listings, t.job_state, t.probes, now(), 150).select("seq", "url", "board", "probe_rank", "deferred")
 
 
 @query("srt_05_reprobe_list", s.sql(f"""

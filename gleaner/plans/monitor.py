@@ -125,7 +125,7 @@ def stats_kept(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", F.col("ts").alias("at"), F.col("user_id").alias("considered"))
     last = rows.filter(F.col("event_id") == rows.agg(F.max("event_id")).scalar())
     before = rows.filter(F.col("event_id") < rows.agg(F.max("event_id")).scalar())
-    return run_stats_after(before, last).select("event_id", "considered")
+    return run_stats_after(before, last, 900).select("event_id", "considered")
 
 
 _LOG = """SELECT ts AS stamp, 1 AS runs, user_id AS considered, 2 AS written, 0 AS dropped, 1 AS failed FROM events WHERE event_type = 'error'"""

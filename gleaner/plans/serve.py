@@ -20,13 +20,10 @@ def collapse(t: Tables) -> DataFrame:
     return cd.collapse_latest(t.packages).select("seq", "id")
 
 
-@query("srt_01_card_order", s.sql("SELECT seq, llm_score, score, row_number() OVER (ORDER BY llm_score DESC NULLS LAST, score DESC, seq) AS place FROM collapsed ORDER BY place LIMIT 100", "packages", collapsed=_COLLAPSED))
+@query("srt_01_card_order", s.sql("SELECT seq, llm_score, score, row_number() OVER (ORDER BY llm_score DESC NULLS LAST, score DESC, seq) AS place FROM collapsed", "packages", collapsed=_COLLAPSED))
 def order(t: Tables) -> DataFrame:
-    """The first page of cards."""
-    first = cd.collapse_latest(t.packages).orderBy(*cd.card_order()).limit(100)
-    places = first.agg(F.array_sort(F.collect_list(F.struct(
-        F.coalesce(-F.col("llm_score"), F.lit(1)).alias("a"), (-F.col("score")).alias("b"), "seq", "llm_score", "score"))).alias("page"))
-    return places.select(F.posexplode("page").alias("p", "c")).select("c.seq", "c.llm_score", "c.score", (F.col("p") + 1).cast("bigint").alias("place"))
+    """Every card with its place."""
+    return cd.placed(cd.collapse_latest(t.packages)).select("seq", "llm_score", "score", "place")
 
 
 @query("snk_08_card_feed", s.sql("""

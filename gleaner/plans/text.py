@@ -170,15 +170,21 @@ def job_like(t: Tables) -> DataFrame:
     return t.table("conversations").select("conv_id", "turn", tx.looks_like_job("text").alias("job"))
 
 
+def inserted(text, piece, turn) -> Column:
+    """``piece`` at the start, in the middle or at the end of ``text``, by ``turn`` % 3."""
+    at = F.floor(F.length(text) * (F.abs(turn) % 3) / 2).cast("int")
+    return F.concat(F.substring(text, F.lit(1), at), piece, F.substring(text, at + 1, F.length(text)))
+
+
 _PAY = ["salary $3,000-$5,000/mo now", "from $3,000 to $5,000 gross", "up to $4,000", "pays $25/hr", "3000-5000 USD net", "team of 5 to 7 years", "щодо $5000/month"]
 _PAID = ["$3,000-$5,000/mo", "from $3,000 to $5,000", "up to $4,000", "$25/hr", "3000-5000 USD", None, "$5000/month"]
 
 
-@query("str_12_extract_salary", "SELECT doc_id, CASE WHEN length(text) > 4900 THEN NULL ELSE [" + ", ".join("NULL" if p is None else s.lit(p) for p in _PAID) + "][1 + doc_id % 7] END AS salary FROM documents")
+@query("str_12_extract_salary", "SELECT doc_id, [" + ", ".join("NULL" if p is None else s.lit(p) for p in _PAID) + "][1 + doc_id % 7] AS salary FROM documents")
 def salaries(t: Tables) -> DataFrame:
-    """A pay phrase at the end of every document; past the scan length it is out of sight by rule."""
+    """A pay phrase at the start, in the middle or at the end of every document, however long."""
     phrase = F.element_at(F.array(*map(F.lit, _PAY)), (F.col("doc_id") % 7 + 1).cast("int"))
-    text = F.concat("text", F.repeat(F.lit(" "), F.when(F.length("text") > 4900, fixed.SALARY_SCAN).otherwise(1)), F.lit("| "), phrase)
+    text = inserted("text", F.concat(F.lit(" | "), phrase, F.lit(" | ")), F.col("doc_id"))
     return t.table("documents").select("doc_id", tx.extract_salary(text).alias("salary"))
 
 
@@ -188,19 +194,19 @@ def bands(t: Tables) -> DataFrame:
 
 
 @query("str_26_strict_coercion", f"""
-SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN {s.shown("o_orderdate - INTERVAL 2 HOUR")} WHEN 1 THEN {s.shown("o_orderdate + INTERVAL 10 HOUR")} END AS stamp,
+SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN {s.shown("o_orderdate - CASE WHEN o_orderdate > up AND o_orderdate <= down THEN INTERVAL 3 HOUR ELSE INTERVAL 2 HOUR END")} WHEN 1 THEN {s.shown("o_orderdate + INTERVAL 10 HOUR")} END AS stamp,
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN o_orderkey % 3 = 1 THEN 0 ELSE 0 END AS whole
-FROM orders WHERE month(o_orderdate) IN (1, 2, 11, 12) AND day(o_orderdate) > 1""")
+FROM (SELECT o_orderkey, o_orderdate, last_day(make_date(year(o_orderdate), 3, 1)) - ((isodow(last_day(make_date(year(o_orderdate), 3, 1)))) % 7)::INT AS up,
+  last_day(make_date(year(o_orderdate), CASE WHEN year(o_orderdate) < 1996 THEN 9 ELSE 10 END, 1)) - ((isodow(last_day(make_date(year(o_orderdate), CASE WHEN year(o_orderdate) < 1996 THEN 9 ELSE 10 END, 1)))) % 7)::INT AS down FROM orders)""")
 def strict(t: Tables) -> DataFrame:
-    """Winter orders as stored dates: a bare local day, a full stamp, an impossible day, a bare number, words."""
+    """Orders as stored dates: a bare local day, a full stamp, an impossible day, a bare number, words."""
     k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     value = (
         F.when(k % 5 == 0, day).when(k % 5 == 1, F.concat(day, F.lit("T10:00:00Z"))).when(k % 5 == 2, F.concat(F.left(day, F.lit(4)), F.lit("-02-30")))
         .when(k % 5 == 3, "5").otherwise("last week")
     )
     number = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".5"))).otherwise("-1")
-    winter = t.table("orders").filter(F.month("o_orderdate").isin(1, 2, 11, 12) & (F.dayofmonth("o_orderdate") > 1))
-    return winter.select(k.alias("seq"), shown(tx.iso_stamp(value, fixed.BOARD_TIME_ZONE)).alias("stamp"), tx.whole_number(number, 0).alias("whole"))
+    return t.table("orders").select(k.alias("seq"), shown(tx.iso_stamp(value, fixed.BOARD_TIME_ZONE)).alias("stamp"), tx.whole_number(number, 0).alias("whole"))
 
 
 # ---- dates -----------------------------------------------------------------------------------
@@ -225,11 +231,11 @@ def stamps(t: Tables) -> DataFrame:
 @query("src_13_local_wall_to_utc", f"""
 SELECT o_orderkey AS seq, {s.shown("o_orderdate + INTERVAL 12 HOUR - CASE WHEN o_orderdate >= up AND o_orderdate < down THEN INTERVAL 3 HOUR ELSE INTERVAL 2 HOUR END")} AS utc FROM (
   SELECT o_orderkey, o_orderdate, last_day(make_date(year(o_orderdate), 3, 1)) - ((isodow(last_day(make_date(year(o_orderdate), 3, 1)))) % 7)::INT AS up,
-    last_day(make_date(year(o_orderdate), 10, 1)) - ((isodow(last_day(make_date(year(o_orderdate), 10, 1)))) % 7)::INT AS down
-  FROM orders WHERE year(o_orderdate) >= 1997)""")
+    last_day(make_date(year(o_orderdate), CASE WHEN year(o_orderdate) < 1996 THEN 9 ELSE 10 END, 1)) - ((isodow(last_day(make_date(year(o_orderdate), CASE WHEN year(o_orderdate) < 1996 THEN 9 ELSE 10 END, 1)))) % 7)::INT AS down
+  FROM orders)""")
 def wall(t: Tables) -> DataFrame:
     """Noon on the board's wall clock; summer time runs from the last Sunday of March to that of October."""
-    o = t.table("orders").filter(F.year("o_orderdate") >= 1997)
+    o = t.table("orders")
     return o.select(F.col("o_orderkey").alias("seq"), shown(dt.local_wall_to_utc(F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 12 HOURS"))).alias("utc"))
 
 
@@ -237,12 +243,12 @@ _UK = ["січня", "лютого", "березня", "квітня", "трав
 
 
 @query("src_14_month_name_date", f"""
-SELECT o_orderkey AS seq, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN full_day <= DATE '2001-06-02' THEN full_day END
-  WHEN make_date(2001, m, d) <= DATE '2001-06-02' THEN make_date(2001, m, d) ELSE make_date(2000, m, d) END, '%Y-%m-%d') AS local_day
-FROM (SELECT o_orderkey, o_orderdate::DATE AS full_day, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE year(o_orderdate) >= 2001)""")
+SELECT o_orderkey AS seq, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN full_day BETWEEN DATE '2000-01-01' AND DATE '2001-06-02' THEN full_day END
+  WHEN m = 2 AND d = 29 THEN DATE '2000-02-29' WHEN make_date(2001, m, d) <= DATE '2001-06-02' THEN make_date(2001, m, d) ELSE make_date(2000, m, d) END, '%Y-%m-%d') AS local_day
+FROM (SELECT o_orderkey, o_orderdate::DATE AS full_day, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)""")
 def month_names(t: Tables) -> DataFrame:
     """"Published 9 March 2001" or, on odd orders, "Опубліковано 9 березня" without a year."""
-    o = t.table("orders").filter(F.year("o_orderdate") >= 2001)
+    o = t.table("orders")
     d, uk = F.dayofmonth("o_orderdate").cast("string"), F.element_at(F.array(*map(F.lit, _UK)), F.month("o_orderdate"))
     text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Published "), d, F.lit(" "), F.date_format("o_orderdate", "MMMM yyyy"), F.lit(" · Updated 1 May"))).otherwise(
         F.concat(F.lit("Опубліковано "), d, F.lit(" "), uk, F.lit(" · Оновлено 1 травня")))
@@ -265,9 +271,9 @@ def relative(t: Tables) -> DataFrame:
 
 
 @query("src_02_split_posting_title", s.sql("""
-SELECT seq, title || ' в команду' AS title, company AS company, CASE WHEN seq % 2 = 0 THEN 'Київ, Львів' ELSE 'Київ' END AS location FROM (
-  SELECT seq, regexp_replace(title, ',', '', 'g') AS title, regexp_replace(split_part(company, ',', 1), ' LLC$', '') || CASE WHEN seq % 3 = 0 THEN ', ТОВ' ELSE '' END AS company
-  FROM postings WHERE company <> '')""", "postings"))
+SELECT seq, title || ' в команду' AS title, CASE WHEN bare <> '' THEN bare || legal WHEN legal <> '' THEN 'ТОВ' WHEN seq % 2 = 0 THEN '$3000–4000' ELSE '20000' END AS company, CASE WHEN seq % 2 = 0 THEN 'Київ, Львів' ELSE 'Київ' END AS location FROM (
+  SELECT seq, regexp_replace(title, ',', '', 'g') AS title, regexp_replace(split_part(company, ',', 1), ' LLC$', '') AS bare, CASE WHEN seq % 3 = 0 THEN ', ТОВ' ELSE '' END AS legal
+  FROM postings)""", "postings"))
 def split_titles(t: Tables) -> DataFrame:
     """Titles written the feed's way: role, connector, company, legal form, salary, cities."""
     name = F.regexp_replace(F.split_part("company", F.lit(","), F.lit(1)), " LLC$", "")
@@ -275,7 +281,7 @@ def split_titles(t: Tables) -> DataFrame:
         F.regexp_replace("title", ",", ""), F.lit(" в команду в "), name, F.when(F.col("seq") % 3 == 0, ", ТОВ").otherwise(""),
         F.when(F.col("seq") % 2 == 0, ", $3000–4000, Київ, Львів").otherwise(", 20000, Київ"),
     )
-    return t.postings.filter("company <> ''").withColumn("s", tx.split_posting_title(raw)).select("seq", "s.title", "s.company", "s.location")
+    return t.postings.withColumn("s", tx.split_posting_title(raw)).select("seq", "s.title", "s.company", "s.location")
 
 
 _PLACES = ["100% Remote or Ukraine (Remote)", "Ukraine — remote", "Remote-first, Kyiv and Lviv", "Poland · Office", "hybrid, Warsaw (office)", "Worldwide"]
@@ -283,14 +289,14 @@ _PLACED = ["Ukraine", "Ukraine", "Kyiv and Lviv", "Poland", "Warsaw", "Worldwide
 
 
 @query("src_20_place_of", s.sql(f"""
-SELECT doc_id AS seq, coalesce(w[1], '') || ' ' || {s.items(_PLACED)}[1 + doc_id % 6] AS place, CASE WHEN doc_id % 2 = 0 THEN 'Office' ELSE 'Remote' END || ' · ' ||
-  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 6 = 5 THEN 'Worldwide' ELSE 'Worldwide, ' || coalesce(w[1], '') || ' ' || {s.items(_PLACED)}[1 + doc_id % 6] END ELSE coalesce(w[1], '') || ' ' || {s.items(_PLACED)}[1 + doc_id % 6] END AS location
-FROM (SELECT doc_id, [regexp_extract(coalesce(w[1], ''), '^[a-zA-Z]+')] AS w FROM words) WHERE NOT (doc_id % 6 IN (0, 2, 4)) AND w[1] <> ''""", "words"))
+SELECT doc_id AS seq, trim(w[1] || ' ' || {s.items(_PLACED)}[1 + doc_id % 6]) AS place, CASE WHEN doc_id % 2 = 0 THEN 'Office' ELSE 'Remote' END || ' · ' ||
+  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 6 = 5 THEN 'Worldwide' ELSE 'Worldwide, ' || trim(w[1] || ' ' || {s.items(_PLACED)}[1 + doc_id % 6]) END ELSE trim(w[1] || ' ' || {s.items(_PLACED)}[1 + doc_id % 6]) END AS location
+FROM (SELECT doc_id, [regexp_extract(coalesce(w[1], ''), '^[a-zA-Z]+')] AS w FROM words)""", "words"))
 def places(t: Tables) -> DataFrame:
     """Location fields with a word of the document in front of a place that carries format words."""
     word = F.regexp_extract(F.regexp_extract("text", r"^\s*(\S+)", 1), "^[a-zA-Z]+", 0)
     k = F.col("doc_id")
-    d = t.table("documents").filter(~(k % 6).isin(0, 2, 4)).filter(word != "").withColumn(
+    d = t.table("documents").withColumn(
         "raw", F.concat(word, F.lit(" "), F.element_at(F.array(*map(F.lit, _PLACES)), (k % 6 + 1).cast("int")))
     )
     return d.select(k.alias("seq"), loc.place_of("raw").alias("place"),

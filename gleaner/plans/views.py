@@ -50,11 +50,14 @@ def shown(ts) -> Column:
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
+#: Session setting: partitions that text tables are dealt into before the work starts. Unset, they are read as they are;
+#: it is for tables of one small file, whose CPU-bound text work would else run in one task.
+TEXT_PARTITIONS = "spark.gleaner.textPartitions"
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Text work is CPU-bound: a table that arrives in fewer splits than there are cores (a small file) is dealt
-    out first. A large table has splits enough and is read as it is, without a shuffle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    wanted = rows.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return rows.repartition(int(wanted), key) if wanted else rows
 
 
 class Tables:

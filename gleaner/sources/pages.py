@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from gleaner import fixed
 from gleaner.functions.html import decode_entities, html_to_text, strip_blocks
 from gleaner.functions.text import compose_text, one_line, text_or_blank
 from gleaner.functions.urls import canonical_job_url, undouble
@@ -70,7 +71,7 @@ def jsonld_description(html: Column) -> Column:
         return F.when(kind == "[", many).otherwise(F.concat(single, graph))
 
     # "@type" may be a string or a list; read as text, a list keeps its brackets.
-    posting = lambda n: n["@type"].rlike(r'^JobPosting$|^\[.*"JobPosting".*\]$') & n["description"].isNotNull()
+    posting = lambda n: n["@type"].rlike(r'^JobPosting$|^\[.*"JobPosting".*\]$') & (n["description"] != "")
     found = F.filter(F.flatten(F.transform(bodies, nodes)), posting)
     description = F.coalesce(F.try_element_at(found, F.lit(1))["description"], F.lit(""))
     escaped = description.rlike(r"(?i)&lt;/?[a-z]")
@@ -86,7 +87,9 @@ def charset_of(content_type: Column, head: Column) -> Column:
         F.regexp_extract(text_or_blank(head), r"""(?i)<meta[^>]+charset=["']?([\w-]+)""", 1),
         F.regexp_extract(text_or_blank(head), r"""(?i)<\?xml[^>]+encoding=["']([\w-]+)["']""", 1),
     ]
-    return F.lower(F.coalesce(*[F.nullif(c, F.lit("")) for c in found], F.lit("utf-8")))
+    label = F.lower(F.coalesce(*[F.nullif(c, F.lit("")) for c in found], F.lit("utf-8")))
+    meant = F.create_map(*[F.lit(v) for pair in fixed.WEB_LABELS.items() for v in pair])
+    return F.coalesce(F.try_element_at(meant, label), label)
 
 
 @F.pandas_udf(StringType())
@@ -174,18 +177,38 @@ def compose(full: Column) -> Column:
 
 # ---- answers of an external scorer -------------------------------------------------
 
-def _json_objects(text: str, tries: int = 50) -> Iterator[dict]:
-    """Parsed objects that start at a brace, left to right; line breaks inside strings are allowed."""
-    decoder = json.JSONDecoder(strict=False)
+_JSON_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+"|[{}]', re.DOTALL)
+
+
+def _json_objects(text: str) -> Iterator[dict]:
+    """Objects of the outermost brace blocks, left to right, in one pass; a block that does not parse is passed over whole.
+
+    A brace that nothing closes counts for nothing: the blocks inside it are then outermost. Inside a block, braces in
+    strings do not count; line breaks in strings are allowed.
+    """
+    opened: list[int] = []
+    blocks: list[tuple[int, int]] = []
     at = text.find("{")
-    while at != -1 and tries > 0:
-        tries -= 1
+    while at != -1:
+        m = _JSON_MARKS.search(text, at)
+        if m is None:
+            break
+        at = m.end()
+        if m.group() == "{":
+            opened.append(m.start())
+        elif m.group() == "}":
+            start = opened.pop()
+            while blocks and blocks[-1][0] > start:
+                blocks.pop()
+            blocks.append((start, at))
+            if not opened:
+                at = text.find("{", at)
+    decoder = json.JSONDecoder(strict=False)
+    for start, end in blocks:
         try:
-            value, end = decoder.raw_decode(text, at)
-            yield value
-            at = text.find("{", end)
+            yield decoder.decode(text[start:end])
         except ValueError:
-            at = text.find("{", at + 1)
+            continue
 
 
 def verdict_json(answers: DataFrame, column: str = "answer") -> DataFrame:
@@ -205,5 +228,6 @@ def verdict_json(answers: DataFrame, column: str = "answer") -> DataFrame:
         return texts.map(one)
 
     c = F.col(column)
-    clean = c.rlike(r'^\s*\{') & F.get_json_object(c, "$.score").isNotNull() & F.try_parse_json(c).isNotNull()
+    # one flat object and nothing else; whatever has more braces is read block by block
+    clean = c.rlike(r'^\s*\{[^{}]*\}\s*$') & F.get_json_object(c, "$.score").isNotNull() & F.try_parse_json(c).isNotNull()
     return answers.withColumn("verdict", F.when(clean, F.trim(c)).otherwise(pick(F.when(~clean, c))))

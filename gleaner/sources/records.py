@@ -59,7 +59,7 @@ def log_counts(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     line = F.regexp_replace(text_or_blank(column), fixed.LOG_FORGEABLE, " ")
     done, dropped, failed = (F.regexp_extract(line, f"^{p}", 0) != "" for p in (fixed.LOG_DONE, fixed.LOG_DROPPED, fixed.LOG_FAILED))
-    number = lambda i: F.when(done, F.regexp_extract(line, f"^{fixed.LOG_DONE}", i).cast("bigint")).otherwise(0)
+    number = lambda i: F.when(done, F.regexp_extract(line, f"^{fixed.LOG_DONE}", i).try_cast("bigint")).otherwise(0)
     counted = lines.filter(done | dropped | failed)
     return counted.select(
         F.try_to_timestamp(F.regexp_extract(line, f"^{fixed.LOG_STAMP}", 1)).alias("at"),

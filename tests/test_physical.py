@@ -42,5 +42,6 @@ def test_first_row_per_key_is_limited_before_the_shuffle(spark, sf_dir):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_top_k_is_no_global_sort(spark, sf_dir):
-    assert "TakeOrderedAndProject" in physical(entry.queries()["srt_04_probe_candidates"](spark, sf_dir))
+def test_ranks_need_no_single_task_over_the_rows(spark, sf_dir):
+    plan = physical(entry.queries()["srt_04_probe_candidates"](spark, sf_dir))
+    assert plan.count("SinglePartition") == 1  # the chunks' sizes
