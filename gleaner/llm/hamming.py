@@ -81,7 +81,8 @@ def nearest_codes(
         probes = still.select("code", F.posexplode(F.array(*segments(words))).alias("segment", "own"))
         probes = probes.withColumn("flip", F.explode(F.lit(np.array(flips(radius), np.int64).tolist()))) if radius else probes.withColumn("flip", F.lit(0).cast("bigint"))
         probes = probes.select("code", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-        pairs = probes.join(filed, ["segment", "value"]).select("code", "found").distinct()
+        # the exploded probes look far smaller to the planner than they are: never broadcast them
+        pairs = probes.hint("merge").join(filed, ["segment", "value"]).select("code", "found").distinct()
         distance = sum((F.bit_count(F.element_at("code", w + 1).bitwiseXOR(F.element_at("found", w + 1))) for w in range(1, words)),
                        F.bit_count(F.element_at("code", 1).bitwiseXOR(F.element_at("found", 1))))
         fresh = pairs.withColumn("distance", distance.cast("bigint"))
