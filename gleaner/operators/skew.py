@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def _dealt(df: DataFrame, group: list[str], chunk: Column) -> DataFrame:
+    """Rows dealt out by group and chunk. Without it, rows that come partitioned by the group alone (from a join on it)
+    would satisfy the window as they are, and all chunks of a hot group would stay in one task."""
+    return df.withColumn("_chunk", chunk).repartition(*group, "_chunk")
+
+
 def ranked(
     df: DataFrame, group: list[str], chunk: Column, order: list[Column], out: str = "rank",
 ) -> DataFrame:
@@ -18,7 +24,7 @@ def ranked(
     ``chunk`` must not decrease along the order (a time or sequence range). Rows are numbered
     inside their chunk; the running count over chunks is added to it.
     """
-    keyed = df.withColumn("_chunk", chunk)
+    keyed = _dealt(df, group, chunk)
     inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
     sizes = keyed.groupBy(*group, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,7 +41,7 @@ def running_min(
     df: DataFrame, group: list[str], chunk: Column, order: list[Column], value: str, out: str,
 ) -> DataFrame:
     """min(value) over all earlier rows of the group, current row excluded; chunked like ``ranked``."""
-    keyed = df.withColumn("_chunk", chunk)
+    keyed = _dealt(df, group, chunk)
     inside = Window.partitionBy(*group, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     lows = keyed.groupBy(*group, "_chunk").agg(F.min(value).alias("_low"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +58,7 @@ def previous_value(
     df: DataFrame, group: list[str], chunk: Column, order: list[Column], value: str, out: str,
 ) -> DataFrame:
     """lag(value) within the group for a ``value`` that never decreases along the order (a stamp)."""
-    keyed = df.withColumn("_chunk", chunk)
+    keyed = _dealt(df, group, chunk)
     inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
     lasts = keyed.groupBy(*group, "_chunk").agg(F.max(value).alias("_last"))
     before = Window.partitionBy(*group).orderBy("_chunk")

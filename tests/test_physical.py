@@ -3,9 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from gleaner.operators.dedup import unique_by_url
+from gleaner.operators.dedup import fold_plan, unique_by_url
+from gleaner.operators.skew import ranked
 from gleaner.plans.views import Tables
 
 # One-row sides (a scalar, a run's stamp) are subqueries, never joins.
@@ -45,3 +47,18 @@ def test_first_row_per_key_is_limited_before_the_shuffle(spark, sf_dir):
 def test_ranks_need_no_single_task_over_the_rows(spark, sf_dir):
     plan = physical(entry.queries()["srt_04_probe_candidates"](spark, sf_dir))
     assert plan.count("SinglePartition") == 1  # the chunks' sizes
+
+
+def test_chunks_of_a_hot_component_are_dealt_out(spark):
+    rows = spark.range(90_000).selectExpr("id AS seq", "IF(id % 3 = 0, 0, id) AS component", "'a' AS source", "id AS chars")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fold_plan(rows, width=1_000)
+        assert re.search(r"Exchange hashpartitioning\(component#\d+L?, role#\d+, _chunk#\d+L?", physical(plan))
+        some = rows.join(rows.filter("seq < 10").select("component").distinct(), "component")
+        sizes = ranked(some, ["component"], F.floor(F.col("seq") / 1_000), [F.col("seq")]).groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 4 and max(r["count"] for r in sizes) < 0.5 * sum(r["count"] for r in sizes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
