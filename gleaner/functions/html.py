@@ -72,7 +72,8 @@ def html_page_text(c) -> Column:
 
 def best_link(c) -> Column:
     """struct(href, explicit): the link whose text says "apply", else the first link, of a post's HTML."""
-    pattern = r'(?is)<a\s[^>]{0,512}?href="(https?://[^"]{1,2048})"[^>]{0,1024}>(.{0,2048}?)</a>'
+    # anchors do not nest: a search ends at the next one
+    pattern = r'(?is)<a\s[^<>]*?href="(https?://[^"]+)"[^>]*+>((?:(?!<a\s).)*?)</a>'
     anchors = F.regexp_extract_all(text_or_blank(c), F.lit(pattern), F.lit(0))
     explicit = F.filter(
         anchors, lambda a: html_to_text(a).rlike(r"(?i)(^|[^a-z0-9_])apply($|[^a-z0-9_])")

@@ -15,8 +15,6 @@ from gleaner import fixed
 from gleaner.operators.skew import first_rows, ranked
 from gleaner.session import cut_lineage
 
-MAX_ROUNDS = 40
-
 
 def edges(keyed: DataFrame) -> DataFrame:
     """(seq, key): the loose key, and the link when there is one."""
@@ -52,14 +50,11 @@ def components(keyed: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
         jumped = low.join(own, "label").select("head", "low").join(sliced, "head")
         return links.join(jumped, ["head", "slice"]).groupBy("seq").agg(F.min("low").alias("label"))
 
-    for _ in range(MAX_ROUNDS):
+    before = None
+    while before != size:
         labels = cut_lineage(hop(hop(labels)))
         # Labels only ever fall, so an unchanged total means an unchanged table.
         before, size = size, _size(labels)
-        if before == size:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return keyed.select("seq").join(labels, "seq", "left").select(
         "seq", F.coalesce("label", "seq").alias("component")
     )

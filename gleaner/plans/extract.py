@@ -59,7 +59,7 @@ def rss(t: Tables) -> DataFrame:
 
 @query("src_03_listing_cards", s.sql(f"""
 SELECT 'https://djinni.co/jobs/' || seq || '-x/' AS url, {flat('title')} AS title, {flat('company')} AS company, location,
-  md5(trim({flat('title')} || CASE WHEN {flat('company')} <> '' THEN ' at ' || {flat('company')} ELSE '' END || '. ' || location || '. snippet ' || seq)) AS text_md5
+  md5(trim({flat('title')} || CASE WHEN {flat('company')} <> '' THEN ' at ' || {flat('company')} ELSE '' END || '. ' || location || '. ' || {flat('text')})) AS text_md5
 FROM postings WHERE title <> '' AND seq % 8 <> 0""", "postings"))
 def cards(t: Tables) -> DataFrame:
     """Listing pages of twenty cards, each with a nested meta block; every eighth card has no link."""
@@ -70,7 +70,7 @@ def cards(t: Tables) -> DataFrame:
         F.lit('<div id="job-item-'), n, F.lit('" class="card">'), href, F.lit('<h2 class="mb-0 job-item__position">'), escaped("title"), F.lit("</h2>"),
         F.lit('<span class="small text-gray-800 me-1">'), escaped("company"), F.lit("</span>"),
         F.lit('<div class="fw-medium d-flex flex-wrap">'), place, F.lit("</div><div>other</div>"),
-        F.lit('<span class="js-truncated-text">snippet <i>'), n, F.lit("</i></span></div>"),
+        F.lit('<span class="js-truncated-text"><i>'), escaped("text"), F.lit("</i></span></div>"),
     )
     html = bodies(p, card, F.col("seq"), "<html><script>var x='</div>'</script><main>", "</main></html>", column="html")
     return feeds.listing_cards(html).select("url", "title", "company", "location", F.md5("text").alias("text_md5"))
@@ -108,7 +108,7 @@ def channel_pages(t: Tables) -> DataFrame:
     seq, n = F.col("seq"), F.col("seq").cast("string")
     fields = F.concat(
         F.when(seq % 5 == 0, "<b>News</b>").otherwise(F.concat(F.lit("<b>Title:</b> "), escaped("title"))), F.lit("<br>Company name: "), escaped("company"),
-        F.lit("<br/>Location: Ukraine (Remote)<br>"), F.when(seq % 5 == 0, "").otherwise("Title: second<br>"), F.lit("Job description: about "), n, F.lit("<br>Tags: #qa #test_automation "),
+        F.lit("<br/>Location: Ukraine (Remote)<br>"), F.when(seq % 5 == 0, "").otherwise("Title: second<br>"), F.lit("Job description: "), escaped("text"), F.lit("<br>Tags: #qa #test_automation "),
         F.when(seq % 2 == 0, F.concat(F.lit('<a href="https://apply.example/'), n, F.lit('">( Job Description &amp; Apply )</a>'))).otherwise('<a href="https://company.example/">site</a>'),
     )
     post = F.concat(
@@ -121,7 +121,7 @@ def channel_pages(t: Tables) -> DataFrame:
 
 @query("src_05_channel_posts", s.sql(f"""
 SELECT 'https://' || CASE WHEN seq % 2 = 0 THEN 'apply.example/' || seq ELSE 't.me/chan/' || seq END AS url, {flat('title')} AS title, {flat('company')} AS company, 'Remote · Ukraine' AS location,
-  md5({flat('title')} || CASE WHEN {flat('company')} <> '' THEN ' at ' || {flat('company')} ELSE '' END || '. Remote · Ukraine. about ' || seq || ' Tags: qa, test automation.') AS text_md5,
+  md5({flat('title')} || CASE WHEN {flat('company')} <> '' THEN ' at ' || {flat('company')} ELSE '' END || '. Remote · Ukraine. ' || {flat('text')} || ' Tags: qa, test automation.') AS text_md5,
   row_number() OVER (PARTITION BY seq // 20 ORDER BY seq DESC) - 1 + 0 * count(*) OVER () AS newest_no, '7' AS before
 FROM (SELECT *, row_number() OVER (PARTITION BY seq // 20 ORDER BY seq DESC) AS r FROM postings) WHERE title <> '' AND seq % 5 <> 0""".replace(
     "row_number() OVER (PARTITION BY seq // 20 ORDER BY seq DESC) - 1 + 0 * count(*) OVER () AS newest_no", "(r - 1)::INT AS newest_no"), "postings"))

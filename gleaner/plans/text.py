@@ -258,11 +258,11 @@ def month_names(t: Tables) -> DataFrame:
 
 @query("src_15_relative_age", f"""
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'relisted' ELSE 'posted' END AS kind, {s.shown("CASE event_id % 4 WHEN 0 THEN TIMESTAMP '2024-01-31 00:00:00' - to_hours(n) WHEN 1 THEN date_trunc('day', TIMESTAMP '2024-01-31 00:00:00' - to_days(n::INT)) WHEN 2 THEN TIMESTAMP '2024-01-31 00:00:00' - to_days((7 * n)::INT) ELSE TIMESTAMP '2024-01-31 00:00:00' - to_minutes(n) END")} AS at_text
-FROM (SELECT event_id, 1 + event_id % 50 AS n FROM events)""")
+FROM (SELECT event_id, 1 + user_id % 50 AS n FROM events)""")
 def relative(t: Tables) -> DataFrame:
     k = F.col("event_id")
     unit = F.element_at(F.array(*map(F.lit, ["hour", "day", "week", "minute"])), (k % 4 + 1).cast("int"))
-    n = k % 50 + 1
+    n = F.col("user_id") % 50 + 1
     card = F.concat(F.lit("Kyiv · "), F.when(k % 3 == 0, "Reposted ").otherwise(""), n.cast("string"), F.lit(" "), unit, F.when(n > 1, "s").otherwise(""), F.lit(" ago · 25 people"))
     return t.events.withColumn("a", dt.relative_age(card, stamp(EVENTS_NOW))).select("event_id", "a.kind", shown("a.at").alias("at_text"))
 
@@ -303,11 +303,11 @@ def places(t: Tables) -> DataFrame:
                     loc.compose_location("raw", F.when(k % 2 == 0, "No").otherwise("Yes"), F.when(k % 3 == 0, "Yes").otherwise("")).alias("location"))
 
 
-@query("fil_02_forbids_country", "SELECT doc_id, doc_id % 4 IN (0, 3) AS forbids FROM documents")
+@query("fil_02_forbids_country", "SELECT doc_id, doc_id % 4 IN (0, 3) OR (doc_id % 4 = 2 AND regexp_matches(lower(text), 'ukrain|україн|украин')) AS forbids FROM documents")
 def forbids(t: Tables) -> DataFrame:
-    """One ban field per document: plain lists, "outside" lists, lists without the country."""
+    """One ban field per document, its text behind: plain lists, "outside" lists, lists without the country."""
     lists = ["Russia, Ukraine", "Outside Europe and Ukraine", "Belarus", "Україна"]
-    field = F.element_at(F.array(*map(F.lit, lists)), (F.col("doc_id") % 4 + 1).cast("int"))
+    field = F.concat(F.element_at(F.array(*map(F.lit, lists)), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(", "), "text")
     return t.table("documents").select("doc_id", loc.forbids_country(field).alias("forbids"))
 
 
