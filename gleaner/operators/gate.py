@@ -248,6 +248,24 @@ def judge_once(matches: DataFrame) -> DataFrame:
     )
 
 
+def carried(once: DataFrame) -> DataFrame:
+    """(judged_seq, seq, alt_source, alt_url, merged_key, merged_title, marker): what the unjudged matches of an identity
+    hand to the judged one. ``once``: the rows of ``judge_once``.
+
+    Key, title and repost marker only where the judged one does not say the same. One row a copy, never an array a keeper.
+    """
+    own = once.filter("outcome = 'judged'").select(
+        F.col("seq").alias("judged_seq"), F.col("canonical").alias("_key"), F.col("title").alias("_title"), F.col("link").alias("_link"),
+    )
+    rest = once.filter("outcome = 'seen'").join(own, "judged_seq")
+    differs = lambda c, than: F.when(~F.col(c).eqNullSafe(F.col(than)), F.col(c))
+    return rest.select(
+        "judged_seq", "seq", F.col("source").alias("alt_source"), F.col("url").alias("alt_url"), differs("canonical", "_key").alias("merged_key"),
+        differs("title", "_title").alias("merged_title"),
+        F.when((F.col("link") != "") & ~F.col("link").eqNullSafe(F.col("_link")), F.concat(F.lit("repost:"), "link")).alias("marker"),
+    )
+
+
 def stamp_keys(decisions: DataFrame, seen: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Distinct keys one run writes: identity, ids folded in, and the repost marker when new or held already."""
     ids = decisions.select(F.col("id").alias("key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def run_stats_after(stats: DataFrame, row: DataFrame, keep: int) -> DataFrame:
     return stats.unionByName(row, allowMissingColumns=True).orderBy(F.col("at").desc()).limit(keep)
 
 
+def alert_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: each micro-batch of an alert feed becomes one folder, named by its batch.
+
+    A batch that runs again after a failure replaces its own folder, so every alert is there exactly once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def alert_feed(written: DataFrame, degraded: DataFrame, stale: DataFrame) -> DataFrame:
     """(kind, subject, detail, link): written matches, degraded sources and stale jobs in one feed."""
     matches = written.filter(F.coalesce("tier", F.lit("")) != "borderline").select(

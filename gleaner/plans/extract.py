@@ -220,6 +220,24 @@ def classes(t: Tables) -> DataFrame:
     return classified(t).select("page_id", "status", "reason")
 
 
+@query("src_32_classify_bodies", """
+SELECT doc_id, kind, CASE WHEN form = 0 THEN 'cut' WHEN form = 1 THEN 'cut' WHEN form = 2 AND kind = 'api' THEN 'end' WHEN form = 2 AND kind = 'channel' THEN 'last' ELSE 'ok' END AS status,
+  CASE WHEN form = 0 THEN 'fetch failed' WHEN form = 1 THEN CASE kind WHEN 'feed' THEN 'not a feed' WHEN 'api' THEN 'not a jobs response' ELSE 'not a public channel preview' END ELSE '' END AS reason
+FROM (SELECT doc_id, ['feed', 'api', 'channel'][1 + doc_id % 3] AS kind, (doc_id // 3) % 4 AS form FROM documents)""")
+def body_classes(t: Tables) -> DataFrame:
+    """Documents as bodies of three boards: nothing fetched, a block page, the end of the results, a page with more."""
+    form, text = F.floor(F.col("doc_id") / 3) % 4, escaped("text")
+    kind = F.element_at(F.array(*map(F.lit, ["feed", "api", "channel"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    api = F.when(form == 2, '{"jobs": []}').otherwise(F.to_json(F.struct(F.array(F.struct(F.col("text").alias("description"))).alias("jobs"))))
+    cursor = F.when(form == 3, '<a class="tme_messages_more js" href="x" data-before="12">older</a>').otherwise("")
+    channel = F.concat(F.lit('<section class="tgme_channel_history js">'), cursor, text, F.lit("</section>"))
+    feed = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel>'), text, F.lit("</channel></rss>"))
+    page = F.when(kind == "api", api).when(kind == "channel", channel).otherwise(feed)
+    body = F.when(form == 0, F.lit(None).cast("string")).when(form == 1, F.concat(F.lit("<html><p>blocked</p>"), text)).otherwise(page)
+    found = t.table("documents").select("doc_id", kind.alias("kind"), pages.classify_body(kind, body).alias("c"))
+    return found.select("doc_id", "kind", "c.status", "c.reason")
+
+
 @query("src_18_search_yield", f"""
 SELECT source, search, pages, items, CASE WHEN cuts > 0 AND pages = 0 THEN 'failed' WHEN cuts > 0 THEN 'partial' ELSE 'ok' END AS outcome FROM (
   SELECT source, search, count(*) FILTER (status = 'ok') AS pages, coalesce(sum(parsed) FILTER (status = 'ok'), 0)::BIGINT AS items, count(*) FILTER (status = 'cut') AS cuts

@@ -91,6 +91,17 @@ def judge_once(t: Tables) -> DataFrame:
     return gate.judge_once(gated(t).filter("kind = 'match'")).select("seq", "id", "outcome", "same")
 
 
+_ORDERED = "SELECT *, row_number() OVER (PARTITION BY id ORDER BY retry::INT, seq) AS r FROM gated WHERE kind = 'match'"
+
+
+@query("scr_08_carried", s.sql(f"""
+SELECT j.seq AS judged_seq, o.seq, o.source AS alt_source, o.url AS alt_url, CASE WHEN o.canonical <> j.canonical THEN o.canonical END AS merged_key,
+  CASE WHEN o.title <> j.title THEN o.title END AS merged_title, CASE WHEN o.link <> '' AND o.link <> j.link THEN 'repost:' || o.link END AS marker
+FROM ({_ORDERED}) o JOIN ({_ORDERED}) j ON j.id = o.id AND j.r = 1 WHERE o.r > 1""", "gated"))
+def carry(t: Tables) -> DataFrame:
+    return gate.carried(gate.judge_once(gated(t).filter("kind = 'match'")))
+
+
 @query("scr_11_stamp_keys", s.sql("""
 SELECT DISTINCT key FROM (SELECT id AS key FROM gated UNION ALL SELECT 'repost:' || link FROM gated WHERE link <> '' AND (repost_file IS NOT NULL OR 'repost:' || link IN (SELECT key FROM live_seen)))""", "gated", "live_seen"))
 def stamps(t: Tables) -> DataFrame:

@@ -132,6 +132,33 @@ def classify_page(body, page_no, cards, parsed, marker: str = "jobs-filter") ->
     )
 
 
+#: What a body of each kind must look like, and the reason when it does not.
+BODY_KINDS = {
+    "feed": (r"(?i)<(rss|channel|feed)[\s>]", "not a feed"),
+    "channel": (r'class="tgme_channel_history(?![a-zA-Z0-9_])', "not a public channel preview"),
+}
+
+
+def classify_body(kind: Column, body: Column) -> Column:
+    """struct(status, reason) of a fetched feed, API or channel body, by its board's own rule.
+
+    A blank body is a failed fetch. An API answer must hold a list of jobs, and an empty list ends the search (a short
+    page does not); a channel preview without an older-page cursor is the channel's last page.
+    """
+    text = text_or_blank(body)
+    state = lambda status, reason="": F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    cut = lambda reason: state("cut", reason)
+    jobs = F.from_json(text, "struct<jobs:array<string>>")["jobs"]
+    api = F.when(jobs.isNull(), cut("not a jobs response")).when(F.size(jobs) == 0, state("end")).otherwise(state("ok"))
+    (feed, no_feed), (channel, no_channel) = BODY_KINDS["feed"], BODY_KINDS["channel"]
+    older = text.rlike(r'class="tme_messages_more[^"]*"[^<>]*?data-before="[0-9]+"')
+    preview = F.when(~text.rlike(channel), cut(no_channel)).when(older, state("ok")).otherwise(state("last"))
+    return (
+        F.when(text == "", cut("fetch failed")).when(kind == "api", api).when(kind == "channel", preview)
+        .otherwise(F.when(text.rlike(feed), state("ok")).otherwise(cut(no_feed)))
+    )
+
+
 def card_rows(cards: DataFrame, host: str) -> DataFrame:
     """Browser cards (title, href, company, location) cleaned: first line of each field, doubled titles halved,
     cards without title, without href or off the host dropped."""

@@ -110,3 +110,15 @@ def test_every_marker_sample_passes_its_substring_test(spark):
     ]
     for i, sample in enumerate(samples):
         assert i in value(spark, text.injection_markers(L(sample))), sample
+
+
+def test_alert_sink_replaces_a_batch_that_runs_again(spark, tmp_path):
+    from gleaner.operators.sinks import alert_sink
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(5).selectExpr("'job' AS kind", "cast(id AS string) AS subject").write.parquet(source)
+    stream = spark.readStream.schema("kind string, subject string").parquet(source)
+    query = stream.writeStream.foreachBatch(alert_sink(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    alert_sink(out)(spark.read.parquet(source), 0)
+    assert spark.read.parquet(out).count() == 5
