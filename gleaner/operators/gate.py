@@ -295,8 +295,14 @@ def run_outcomes(decisions: DataFrame) -> DataFrame:
     )
 
 
-def run_summary(found: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """source x (found, excluded, seen, low, borderline, written); ``found`` counts rows before resolution."""
+def run_summary(found: DataFrame | None, outcomes: DataFrame) -> DataFrame:
+    """source x (found, excluded, seen, low, borderline, written); ``found`` holds the rows before resolution.
+
+    Without it every row has an outcome, and one aggregate over ``outcomes`` says both.
+    """
+    if found is None:
+        each = [F.count_if(F.col("outcome") == o).cast("bigint").alias(o) for o in fixed.RUN_OUTCOMES]
+        return outcomes.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("found"), *each)
     counted = outcomes.groupBy("source").pivot("outcome", fixed.RUN_OUTCOMES).agg(F.count(F.lit(1)))
     raw = found.groupBy("source").agg(F.count(F.lit(1)).alias("found"))
     return raw.join(counted, "source", "full").select(

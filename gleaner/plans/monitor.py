@@ -198,8 +198,7 @@ SELECT source, count(*) AS opened, count(*) FILTER (lang = 'en') AS expected, co
   SELECT p.seq, p.source, d.lang, p.title, NOT regexp_matches(p.title, '[.,]') AS split_ok FROM postings p JOIN documents d ON d.doc_id = p.seq) GROUP BY source""", "postings"))
 def drift(t: Tables) -> DataFrame:
     """Titles with a comma or stop pass as titles without their connector."""
-    langs = t.table("documents").select(F.col("doc_id").alias("seq"), "lang")
-    opened = t.postings.select("seq", "source", "title").join(langs, "seq").withColumns({
+    opened = t.postings.select("seq", "source", "title", "lang").withColumns({
         "lang_ok": F.col("lang") == "en", "split_ok": ~F.col("title").rlike("[.,]"),
     })
     return hl.extraction_drift(opened)

@@ -87,7 +87,7 @@ class Tables:
             F.when(F.size("_w") < 4, "").otherwise(F.concat(F.try_element_at("_w", F.lit(4)), suffix)).alias("company"),
             F.concat(F.lit("https://"), F.when(doc % 2 == 0, "www.").otherwise(""), F.lit("boards.example.org/jobs/"), job, F.lit("/?utm_source=x")).alias("url"),
             F.element_at(F.array(*map(F.lit, LOCATIONS)), (doc % 6 + 1).cast("int")).alias("location"),
-            dated(0).alias("posted"), dated(1).alias("relisted"), dated(2).alias("updated"), "text",
+            dated(0).alias("posted"), dated(1).alias("relisted"), dated(2).alias("updated"), "text", "lang",
         )
 
     @cached_property
