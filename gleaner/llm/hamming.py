@@ -7,6 +7,7 @@ verified distance is within what the searched radii cover. Only open queries go
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,7 +20,7 @@ from gleaner.llm.common import table
 from gleaner.llm.registry import query
 from gleaner.session import cut_lineage
 
-SEGMENT_BITS = 16
+MIN_SEGMENTS = 3
 
 
 def sign_codes(vectors: Column) -> Column:
@@ -42,16 +43,24 @@ def sign_codes(vectors: Column) -> Column:
     return run(vectors)
 
 
-def segments(words: int) -> list[Column]:
-    """The 16-bit segments of a code of ``words`` longs."""
+def cut(rows: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the segments of 64 bits: about log2 of the number of codes wide, so that a segment value is
+    held by about one code whatever their number; at least MIN_SEGMENTS, which bounds the values within a radius."""
+    parts = min(16, max(MIN_SEGMENTS, round(64 / math.log2(max(2, rows)))))
+    edges = [64 * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def segments(words: int, cuts: list[tuple[int, int]]) -> list[Column]:
+    """The segments of a code of ``words`` longs."""
     return [
-        F.shiftrightunsigned(F.element_at("code", w + 1), SEGMENT_BITS * s).bitwiseAND((1 << SEGMENT_BITS) - 1)
-        for w in range(words) for s in range(64 // SEGMENT_BITS)
+        F.shiftrightunsigned(F.element_at("code", w + 1), first).bitwiseAND((1 << width) - 1)
+        for w in range(words) for first, width in cuts
     ]
 
 
-def flips(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius)]
+def flips(radius: int, width: int) -> list[int]:
+    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
 
 
 def nearest_codes(
@@ -65,21 +74,28 @@ def nearest_codes(
     candidates of a round are the codes that are nearer in some segment for the first time, found by equality of segment
     values. Rounds end when every query is covered; the last possible round covers all.
     """
-    m = words * (64 // SEGMENT_BITS)
     codes = base.filter("id IS NOT NULL AND code IS NOT NULL").select("id", "code")
     by_code = Window.partitionBy("code").orderBy("id")
     few = codes.withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= k)
     entries = cut_lineage(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    filed = entries.select("code", F.posexplode(F.array(*segments(words))).alias("segment", "value"))
+    n = entries.count()
+    cuts = cut(n)
+    m, widest = words * len(cuts), max(width for _, width in cuts)
+    filed = entries.select("code", F.posexplode(F.array(*segments(words, cuts))).alias("segment", "value"))
     filed = cut_lineage(filed.select("segment", "value", F.col("code").alias("found")))
     asked = cut_lineage(queries.filter("query_id IS NOT NULL AND code IS NOT NULL").select("query_id", "code"))
     distinct = cut_lineage(asked.select("code").distinct())
     best = None
     still = distinct
-    enough = entries.limit(k).count()
-    for radius in range(SEGMENT_BITS + 1):
-        probes = still.select("code", F.posexplode(F.array(*segments(words))).alias("segment", "own"))
-        probes = probes.withColumn("flip", F.explode(F.lit(np.array(flips(radius), np.int64).tolist()))) if radius else probes.withColumn("flip", F.lit(0).cast("bigint"))
+    enough = min(n, k)
+    for radius in range(widest + 1):
+        probes = still.select("code", F.posexplode(F.array(*segments(words, cuts))).alias("segment", "own"))
+        # segments are of one width or the next: each takes the flips of its own
+        own_flips = F.array(*[F.lit(width) for _ in range(words) for _, width in cuts])
+        by_width = {width: F.lit(flips(radius, width)).cast("array<bigint>") for _, width in cuts}
+        width = F.element_at(own_flips, F.col("segment") + 1)
+        choice = F.coalesce(*[F.when(width == w, f) for w, f in by_width.items()])
+        probes = probes.withColumn("flip", F.explode(choice))
         probes = probes.select("code", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         # the exploded probes look far smaller to the planner than they are: never broadcast them
         pairs = probes.hint("merge").join(filed, ["segment", "value"]).select("code", "found").distinct()
