@@ -461,6 +461,13 @@ def test_hamming_search_is_exact(spark, words):
     assert {r.query_id for r in out} == {1, 2, 3}
 
 
+def test_segments_follow_the_number_of_codes():
+    for rows in (0, 1, 500, 10_000, 50_000, 10**9, 10**15):
+        cuts = hamming.cut(rows)
+        assert cuts[0][0] == 0 and sum(w for _, w in cuts) == 64 and all(a + w == b for (a, w), (b, _) in zip(cuts, cuts[1:]))
+    assert [len(hamming.cut(n)) for n in (500, 10_000, 50_000, 10**9)] == [7, 5, 4, 3]
+
+
 def test_hamming_search_of_few_rows(spark):
     base = spark.createDataFrame([(1, [5]), (2, [-1])], "id bigint, code array<bigint>")
     asked = spark.createDataFrame([(7, [5])], "query_id bigint, code array<bigint>")
