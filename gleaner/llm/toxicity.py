@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples.
 
-Documents are compared by the exact TF-IDF cosine over the terms that labelled examples tell apart: words and word starts
-whose odds of standing in a toxic example are clearly raised. The examples lie in an inverted index in blocks; each block
-keeps the largest weight of each of its terms, so a query's best possible cosine in a block is known before the block is
-read, and blocks that can't reach the k-th best are passed over. The neighbours vote, weighted by their cosine, against a
-prior of the share of toxic examples among those without any term; their ids are the evidence.
+Documents are compared by the exact TF-IDF cosine over all words, and word starts, that labelled examples hold; no term is
+left out. A term's weight is its rarity among all documents, raised by how much oftener toxic examples hold it than clean
+ones (relevance frequency); only what most clean examples hold weighs nothing. The examples lie in an inverted index in
+blocks that keep the largest weight of each of their terms: the terms that can add most are summed over all examples first,
+and only examples whose block could still lift them to the k-th best are finished. The neighbours vote, weighted by their
+cosine, against a prior of the share of toxic examples; their ids are the evidence.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,10 @@ from gleaner.llm.words import STRETCH
 from gleaner.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the model: labelled rows it learns from, terms, and letters of a word that count.
-EXAMPLES, TERMS, LETTERS = 20_000, 8_192, 40
-#: Word starts that are terms of their own, how often a start must come to be one more term, and what a term must show:
-#: log odds of standing in a toxic example, and how many standard errors they are above 0.
-STARTS, REPEATS, ODDS, SURE = (4, 5, 6, 7), (2, 3, 5), 1.5, 3.5
-SHORTEST = min(STARTS)
+#: Bounds of the model: labelled rows it learns from, and letters of a word that count.
+EXAMPLES, LETTERS = 20_000, 40
+#: Word starts that are terms of their own.
+STARTS = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
 REMEMBERED = 200_000
 
@@ -41,31 +40,30 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}-" for n in STARTS if len(word) > n))
 
 
-def repeated(term: str, times: int) -> str:
-    return f"{term}{times}"
-
-
 def words_in(text: str | None) -> Iterator[list[str]]:
     text = text or ""
     for at in range(0, len(text), STRETCH):
         yield WORD.findall(text[at : at + STRETCH].lower())
 
 
+def terms_in(text: str | None, memo: Memo) -> Counter:
+    seen: Counter = Counter()
+    for words in words_in(text):
+        seen.update(words)
+    times: Counter = Counter()
+    for word, n in seen.items():
+        for term in memo[word]:
+            times[term] += n
+    return times
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic, clean): documents of the batch that hold a term, by label."""
     memo = Memo(terms_of, REMEMBERED)
     for batch in batches:
         counts = (Counter(), Counter())
         for toxic, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            words = Counter()
-            for part in words_in(text):
-                words.update(part)
-            times: Counter = Counter()
-            for word, n in words.items():
-                for term in memo[word]:
-                    times[term] += n
-            counts[bool(toxic)].update(times.keys())
-            counts[bool(toxic)].update(repeated(t, r) for t, n in times.items() if n > 1 and t[-1] == "-" for r in REPEATS if n >= r)
+            counts[bool(toxic)].update(terms_in(text, memo).keys())
         terms = list({*counts[0], *counts[1]})
         yield pa.RecordBatch.from_arrays(
             [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())],
@@ -74,85 +72,103 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vectors:
-    """Term counts of texts over a fixed vocabulary."""
+    """Term counts of texts over a fixed vocabulary, by the places of its terms."""
 
     def __init__(self, terms: list[str]):
-        self.place = {t: i for i, t in enumerate(terms)}
-        self.wanted = {*terms, *(t[: t.rindex("-") + 1] for t in terms if t[-1].isdigit())}
-        self.stems = {t.rstrip("-")[:SHORTEST] for t in self.wanted}
-        self.memo = Memo(lambda word: tuple(t for t in terms_of(word) if t in self.wanted), REMEMBERED)
+        place = {t: i for i, t in enumerate(terms)}
+        self.memo = Memo(lambda word: tuple(place[t] for t in terms_of(word) if t in place), REMEMBERED)
 
     def counts(self, text: str | None) -> dict[int, int]:
-        seen: Counter = Counter()
-        for words in words_in(text):
-            seen.update(words)
-        times: dict[str, int] = {}
-        for word, n in seen.items():
-            if word[:SHORTEST] in self.stems:
-                for t in self.memo[word]:
-                    times[t] = times.get(t, 0) + n
-        marks = [repeated(t, r) for t, n in times.items() if n > 1 and t[-1] == "-" for r in REPEATS if n >= r]
-        place = self.place
-        return {place[t]: n for t, n in times.items() if t in place} | {place[t]: 1 for t in marks if t in place}
+        return terms_in(text, self.memo)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range behind another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def by_row(rows: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` rows starts in ``rows`` (sorted), and the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
 
 
 class BlockMaxIndex:
     """Unit vectors of examples in blocks, with the largest weight of every term in every block."""
 
-    def __init__(self, rows: list[tuple[int, int, dict[int, int]]], idf: np.ndarray, k: int = NEIGHBOURS):
+    def __init__(self, rows: Iterable[tuple[int, int, dict[int, int]]], idf: np.ndarray, k: int = NEIGHBOURS):
         self.idf, self.k = idf, k
         weighted = [(doc, toxic, self.weights(counts)) for doc, toxic, counts in rows]
-        # examples of like terms share a block: by the heaviest term, then the others
+        # examples of like terms share a block: by the heaviest term
         weighted = [w for w in weighted if len(w[2][0])]
-        weighted.sort(key=lambda w: (int(w[2][0][np.argmax(w[2][1])]), w[2][0].tolist(), w[0]))
+        weighted.sort(key=lambda w: (int(w[2][0][np.argmax(w[2][1])]), w[0]))
         self.docs = np.array([w[0] for w in weighted], np.int64)
         self.toxic = np.array([w[1] for w in weighted], np.float64)
         self.blocks = math.ceil(len(weighted) / BLOCK)
-        # per block its terms in order and their weights, a row a term; per term its blocks and its largest weight in each
-        self.block_terms, self.block_weights = [], []
-        tops: dict[int, list[tuple[int, float]]] = {}
-        for b in range(self.blocks):
-            part = [w[2] for w in weighted[b * BLOCK : (b + 1) * BLOCK]]
-            terms = np.unique(np.concatenate([t for t, _ in part]))
-            rows = np.zeros((len(terms), BLOCK))
-            for i, (t, v) in enumerate(part):
-                rows[np.searchsorted(terms, t), i] = v
-            self.block_terms.append(terms)
-            self.block_weights.append(rows)
-            for t, top in zip(terms.tolist(), rows.max(axis=1).tolist()):
-                tops.setdefault(t, []).append((b, top))
-        self.tops = {t: (np.array([e[0] for e in entries]), np.array([e[1] for e in entries])) for t, entries in tops.items()}
+        self.first = np.concatenate([[0], np.cumsum([len(w[2][0]) for w in weighted], dtype=np.int64)])
+        self.own_terms = np.concatenate([np.empty(0, np.int32), *(w[2][0] for w in weighted)])
+        self.own_values = np.concatenate([np.empty(0), *(w[2][1] for w in weighted)])
+
+        self.top: np.ndarray | None = None
+
+    def invert(self) -> None:
+        """Entries by term and by term and block; made where the index is asked, so that only the examples travel."""
+        n = len(self.idf)
+        order = np.argsort(self.own_terms, kind="stable")
+        terms = self.own_terms[order]
+        self.place = np.repeat(np.arange(len(self.docs), dtype=np.int32), np.diff(self.first))[order]
+        self.value, self.start = self.own_values[order], by_row(terms, n)
+        key = terms.astype(np.int64) * max(1, self.blocks) + self.place // BLOCK
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        self.block_top = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0)
+        self.block, self.block_start = (self.place[new] // BLOCK).astype(np.int32), by_row(terms[new], n)
+        self.top = np.zeros(n)
+        np.maximum.at(self.top, terms[new], self.block_top)
 
     def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
+        terms = np.array(sorted(counts), np.int32)
         values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms] if len(terms) else np.empty(0)
         norm = math.sqrt(float((values**2).sum()))
-        return terms, values / norm if norm else values
+        return terms[values > 0], values[values > 0] / norm if norm else values[:0]
 
     def nearest(self, counts: dict[int, int]) -> list[tuple[int, float]]:
         """(place of an example, cosine) of the k largest cosines above 0; ties by doc_id."""
+        if self.top is None:
+            self.invert()
         terms, values = self.weights(counts)
-        bound = np.zeros(self.blocks)
-        for t, v in zip(terms.tolist(), values.tolist()):
-            if t in self.tops:
-                blocks, top = self.tops[t]
-                bound[blocks] += v * top
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            # rounding can lift a cosine above the sum of the bounds by a hair
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] + 1e-9 < -best[-1][0]):
-                break
-            known, rows = self.block_terms[b], self.block_weights[b]
-            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-            both = known[at] == terms
-            scores = values[both] @ rows[at[both]]
-            own = [(-round(float(scores[i]), 12), int(self.docs[b * BLOCK + i]), b * BLOCK + i) for i in np.flatnonzero(scores).tolist()]
-            best = sorted(best + own)[: self.k]
-        return [(place, -score) for score, _, place in best]
+        n, query = len(self.docs), np.zeros(len(self.idf))
+        query[terms] = values
+        reach = values * self.top[terms]
+        order = np.argsort(-reach, kind="stable")[: np.count_nonzero(reach)]
+        terms, reach, values = terms[order], reach[order], values[order]
+        sizes = self.start[terms + 1] - self.start[terms]
+        left = np.concatenate([np.cumsum(reach[::-1])[::-1], [0.0]])  # what the terms from here on can add
+        upto, done, partial, least = np.cumsum(sizes), 0, np.zeros(n), 0.0
+        while done < len(terms) and left[done] + 1e-9 >= least:
+            end = min(len(terms), int(np.searchsorted(upto, 2 * (upto[done - 1] if done else 0) + n)) + 1)
+            at = ranges(self.start[terms[done:end]], sizes[done:end])
+            partial += np.bincount(self.place[at], self.value[at] * np.repeat(values[done:end], sizes[done:end]), n)
+            done = end
+            least = float(np.partition(partial, n - self.k)[n - self.k]) if n > self.k else 0.0
+        rest = np.zeros(self.blocks)
+        if done < len(terms):
+            few = self.block_start[terms[done:] + 1] - self.block_start[terms[done:]]
+            at = ranges(self.block_start[terms[done:]], few)
+            rest = np.bincount(self.block[at], self.block_top[at] * np.repeat(values[done:], few), self.blocks)
+        # rounding can lift a cosine above the sum of the bounds by a hair
+        reached = partial + np.repeat(rest, BLOCK)[:n]
+        open_ = np.flatnonzero((reached > 0) & (reached + 1e-9 >= least))
+        if not len(open_):
+            return []
+        own = self.first[open_ + 1] - self.first[open_]
+        at = ranges(self.first[open_], own)
+        scores = np.add.reduceat(query[self.own_terms[at]] * self.own_values[at], np.cumsum(own) - own)
+        scores = np.round(scores, 12)
+        best = np.lexsort((self.docs[open_], -scores))[: self.k]
+        return [(int(open_[i]), float(scores[i])) for i in best.tolist() if scores[i] > 0]
 
 
 class Model:
-    """Vocabulary, index and prior; its size is bounded by EXAMPLES and TERMS."""
+    """Vocabulary, index and prior; its size is bounded by the texts of EXAMPLES labelled rows."""
 
     def __init__(self, terms: list[str], index: BlockMaxIndex, prior: float):
         self.terms, self.index, self.prior = terms, index, prior
@@ -173,30 +189,35 @@ def chosen_labels(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     return marked.join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def choose_terms(docs: DataFrame, chosen: DataFrame, terms: int = TERMS) -> list[str]:
-    """At most ``terms`` terms that tell toxic examples apart. Copies of a text count once; null texts teach nothing."""
-    sample = docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    once = sample.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_hash", "toxic"]).select("toxic", "text")
-    once = cut_lineage(once)  # texts of the sample alone
-    counted = once.mapInArrow(count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
-    )
-    sizes = {bool(r.toxic): r.n for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_toxic, all_clean = float(sizes.get(True, 0)), float(sizes.get(False, 0))
-    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(t / (all_toxic - F.col("toxic") + 0.5)) - F.log(c / (all_clean - F.col("clean") + 0.5))
-    scored = counted.select("term", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("sure"))
-    best = scored.filter((F.col("sure") >= SURE) & (F.col("odds") >= ODDS)).orderBy(F.desc("sure"), "term").limit(terms)
-    return [r.term for r in best.select("term").collect()]  # ``terms`` rows at most
+def frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
+    """Documents that hold each term, over the whole table, and the number of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, found, rows = None, np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            vectors = vectors or Vectors(shared.value)
+            for value in texts(batch.column(0)):
+                found[list(vectors.counts(value))] += 1
+                rows += 1
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int32()), pa.array([rows, *found[held].tolist()], pa.int64())], names=["term", "n"])
+
+    counted = docs.select(text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    out = np.zeros(len(terms), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
 def with_counts(df: DataFrame, names: list[str], text: str = "text", out: str = "counts") -> DataFrame:
-    """Add ``out``: struct (terms, times), the counts of the chosen terms in the whole text; none for a null text."""
+    """Add ``out``: struct (terms, times), the counts of the terms in the whole text; none for a null text."""
     kind = pa.list_(pa.int32())
+    shared = df.sparkSession.sparkContext.broadcast(names)
 
     @F.arrow_udf("struct<terms:array<int>,times:array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vectors = Vectors(names)
+        vectors = Vectors(shared.value)
         for batch in batches:
             found = [sorted(vectors.counts(t).items()) for t in texts(batch)]
             columns = [pa.array([[pair[k] for pair in f] for f in found], kind) for k in (0, 1)]
@@ -205,68 +226,65 @@ def with_counts(df: DataFrame, names: list[str], text: str = "text", out: str =
     return df.withColumn(out, run(F.col(text)))
 
 
-def fit(counted: DataFrame, chosen: DataFrame, names: list[str]) -> Model:
-    """The model over ``counted`` (doc_id, counts): document frequencies over all of it, examples by ``chosen``.
+def term_weights(held: np.ndarray, total: int, toxic: np.ndarray, clean: np.ndarray, all_clean: int) -> np.ndarray:
+    """Inverse document frequency times relevance frequency; 0 for a term of more than half of the clean examples."""
+    idf = np.log(1 + (total + 1) / (held + 1))
+    return np.where(2 * clean > all_clean, 0.0, idf * np.log2(2 + toxic / np.maximum(1, clean)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Fit on labelled ``docs`` (doc_id, text), ``labels`` (doc_id, toxic); rows without id, text or label teach nothing.
+
+    Every term of every example counts; copies of a text count once for its weight. What reaches the driver are the terms
+    of the examples, with their frequencies over all of ``docs``, and the examples' term counts: as many as the examples'
+    texts hold, whatever the size of the tables.
+    """
+    chosen = cut_lineage(chosen_labels(labels, examples))
+    sample = cut_lineage(docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
+    once = sample.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_hash", "toxic"]).select("toxic", "text")
+    known = once.mapInArrow(count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
+    ).toArrow().sort_by("term")
+    terms = known.column("term").to_pylist()
+    held, total = frequencies(docs, terms)
+    weights = term_weights(held, total, known.column("toxic").to_numpy(), known.column("clean").to_numpy(), once.filter("toxic <= 0").count())
+    counted = with_counts(sample, terms).select("doc_id", "toxic", "counts").toArrow()
+    marked = [int(t > 0) for t in counted.column("toxic").to_pylist()]
+    rows = (
+        (doc, toxic, dict(zip(c["terms"].as_py(), c["times"].as_py())))
+        for doc, toxic, c in zip(counted.column("doc_id").to_pylist(), marked, counted.column("counts"))
+    )
+    return Model(terms, BlockMaxIndex(rows, weights), (sum(marked) + 0.1) / (len(marked) + 1.0))
+
 
-    What reaches the driver are the frequencies of the terms and the term counts of the examples: as many as the
-    parameters say, whatever the size of the tables.
+def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """Add ``out``: struct (score 0 to 1, neighbours array of (doc_id, cosine)), from the whole text alone.
+
+    Null and empty texts, and texts without any term that weighs, get the prior and no neighbours. Equal texts get equal
+    scores; other columns pass as they are. Rows never meet.
     """
-    seen = counted.select(F.explode("counts.terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
-    frequency, total = {r.term: r.n for r in seen}, counted.count()
-    idf = np.array([math.log(1 + (total + 1) / (frequency.get(i, 0) + 1)) for i in range(len(names))])
-    rows, blank = [], [0, 0]
-    for r in counted.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "counts").collect():
-        if r.counts.terms:
-            rows.append((r.doc_id, int(r.toxic > 0), dict(zip(r.counts.terms, r.counts.times))))
-        else:
-            blank[int(r.toxic > 0)] += 1
-    return Model(names, BlockMaxIndex(rows, idf), (blank[1] + 0.1) / (sum(blank) + 1.0))
-
-
-def vote(df: DataFrame, model: Model, counts: str = "counts", out: str = "toxicity") -> DataFrame:
-    """Add ``out``: struct (score 0 to 1, neighbours array of (doc_id, cosine)) from the term counts."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     @F.arrow_udf("struct<score:double,neighbours:array<struct<doc_id:bigint,cosine:double>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        known = Memo(lambda key: own.vote(dict(key)), 20_000)
+        vectors = Vectors(own.terms)
         for batch in batches:
-            found = [known[tuple(zip(c["terms"], c["times"]))] for c in batch.to_pylist()]
+            found = [own.vote(vectors.counts(t)) for t in texts(batch)]
             yield pa.StructArray.from_arrays([
                 pa.array([f[0] for f in found], pa.float64()),
                 pa.array([[{"doc_id": d, "cosine": c} for d, c in f[1]] for f in found], kind),
             ], names=["score", "neighbours"])
 
-    return df.withColumn(out, run(F.col(counts)))
-
-
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """Fit on labelled ``docs`` (doc_id, text), ``labels`` (doc_id, toxic); rows without id, text or label teach nothing."""
-    chosen = cut_lineage(chosen_labels(labels, examples))
-    names = choose_terms(docs, chosen, terms)
-    return fit(cut_lineage(with_counts(docs.select("doc_id", "text"), names).drop("text")), chosen, names)
-
-
-def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """Add ``out``: struct (score, neighbours), from the whole text alone.
-
-    Null and empty texts, and texts without any of the terms, get the prior and no neighbours. Equal texts get equal
-    scores; other columns pass as they are. Rows never meet.
-    """
-    return vote(with_counts(df, model.terms, text, "_counts"), model, "_counts", out).drop("_counts")
+    return df.withColumn(out, run(F.col(text)))
 
 
 @query("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts once, for the document frequencies and the votes alike."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold("doc_id", 5) != 0)
-    chosen = cut_lineage(chosen_labels(labels))
-    names = choose_terms(docs, chosen)
-    counted = cut_lineage(with_counts(docs, names).drop("text"))
-    found = vote(counted, fit(counted, chosen, names))
+    found = score(docs, learn(docs, labels))
     return found.select(
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "toxicity.score",
         F.when(F.col("toxicity.score") >= 0.5, 1).otherwise(0).alias("predicted"),

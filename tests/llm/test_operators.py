@@ -376,6 +376,18 @@ def test_toxicity_votes(spark, empty):
     assert all(0 <= r.toxicity.score < 0.5 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_keeps_every_word_of_the_examples(spark):
+    """A rare word of five toxic examples and no clean one tells; so does a word of one example."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([rng.choice(WORDS) for _ in range(30)] + (["scumx"] if i < 5 else ["oncey"] if i == 5 else []))) for i in range(90)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i < 11)) for i in range(90)], "doc_id bigint, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert {w for _, text in rows for w in text.split()} <= set(model.terms)
+    out = toxicity.score(spark.createDataFrame([(1, "a scumx here"), (2, "oncey")], "n int, text string"), model).orderBy("n").collect()
+    assert {n.doc_id for n in out[0].toxicity.neighbours} == {0, 1, 2, 3, 4} and out[0].toxicity.score >= 0.5
+    assert [n.doc_id for n in out[1].toxicity.neighbours] == [5]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     rows = [(i, int(rng.random() < 0.3), {int(t): int(rng.integers(1, 5)) for t in rng.choice(60, rng.integers(1, 9), replace=False)}) for i in range(500)]
