@@ -183,6 +183,18 @@ def test_packing_is_lossless_and_ordered(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_tokenizer_does(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    asked = [f"a {mark} b", mark, mark * 3, f"{mark}x", f"x{mark}", f"end. {mark}\n\nNext  one {mark} ", f"<|endoftext{mark}|>", "<|endoftext|", f"é{mark} é" + " word" * 50]
+    assert tokenizer.token_to_id(mark) in tokenizer.encode(asked[0], add_special_tokens=False).ids
+    out = packing.pack(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), capacity=4096).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(asked):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        assert b"".join(bytes(r.ids) for r in out if r.doc_id == i) == ids.tobytes(), text
+        assert {r.doc_tokens for r in out if r.doc_id == i} == {len(ids)}
+
+
 def test_packing_cuts_are_the_best():
     rng = random.Random(2)
     for _ in range(60):
