@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import table
-from gleaner.llm.language import UNKNOWN, identify, trained_on
+from gleaner.llm.language import UNKNOWN, has_letters, identify, trained_on
 from gleaner.llm.packing import pack, pieces
 from gleaner.llm.secrets import redact
 from gleaner.llm.simhash import near_duplicates
@@ -23,9 +23,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null, empty, or without a letter. The model learns from the documents at hand."""
+    """Drops documents without a language: null, empty, or without a letter. The model learns from the documents at hand.
+
+    Documents that no model could judge, because no row names a language, are kept by their text alone.
+    """
     found = identify(docs, trained_on(docs), out="_language")
-    return found.filter(F.col("_language.lang_pred") != UNKNOWN).drop("_language")
+    return found.filter((F.col("_language.lang_pred") != UNKNOWN) | has_letters(F.col("text"))).drop("_language")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Memo, bounded_ids, fold, table, texts
@@ -158,6 +158,17 @@ def identify(df: DataFrame, model: Model, text: str = "text", out: str = "langua
     return df.withColumn(out, run(F.col(text)))
 
 
+def has_letters(text: Column) -> Column:
+    """Whether the text has a letter at all; false for a null text."""
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([bool(t and WORD.search(t)) for t in texts(batch)], pa.bool_())
+
+    return run(text)
+
+
 def trained_on(docs: DataFrame) -> Model:
     """The model of the documents outside the held-out fold."""
     return train(docs.filter(fold("doc_id", 3) != 1))

@@ -116,6 +116,14 @@ def test_pipeline_matches_brute_force(spark, sf_dir, texts):
         assert at == len(ids)
 
 
+def test_language_stage_keeps_texts_that_no_model_can_judge(spark, sf_dir):
+    texts_ = ["the house is here", "дім", None, "", " 12 _ !", "é"]
+    for lang in (None, "und"):
+        docs = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts_)], "doc_id bigint, text string, lang string")
+        out = corpus_pipeline.language_id(spark, docs, sf_dir)
+        assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 5]
+
+
 def test_stages_take_nulls_repeats_and_empty_tables(spark, sf_dir):
     rows_ = [(1, "the house is here and so are we", "en", None, None, "x"), (1, "the house is here and so are we", "en", None, None, "x"),
              (2, None, None, None, None, None), (None, "a loose text without an id", "en", "s", 3, None), (3, "", "en", "s", 0, "x"),
