@@ -22,8 +22,9 @@ from gleaner.llm.registry import query
 from gleaner.llm.words import byte_words
 
 ENTRIES, LENGTH = 64, 2
-#: Words of a k-mer; texts of fewer than FEW words are taken as characters, CHARS to a k-mer.
-WORDS, FEW, CHARS = 2, 16, 3
+#: Units of a k-mer, whatever the length of the text. A unit is a word, or a character of a word of over LONG bytes, so
+#: that text without spaces has units too; what a word is taken as depends on that word alone.
+UNITS, LONG = 2, 24
 REMEMBERED, STRETCH = 200_000, 8_192
 ODD = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(ENTRIES)], np.uint64)[:, None]
 SALT = np.array([xxhash.xxh64_intdigest(str(i), 8) for i in range(ENTRIES)], np.uint64)[:, None]
@@ -40,19 +41,20 @@ class Fingerprinter:
     def __init__(self):
         self.hash_of = Memo(xxhash.xxh64_intdigest, REMEMBERED)
 
-    def units(self, text: str) -> tuple[np.ndarray, int]:
-        """Hashes of the words, or of the characters of a text of few words, and the units of a k-mer."""
-        parts = [np.fromiter(map(self.hash_of.__getitem__, w), np.uint64, len(w)) for w in byte_words(text)]
-        words = np.concatenate(parts)
-        if len(words) >= FEW:
-            return words, WORDS
-        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        return mixed(letters + np.uint64(1)), CHARS
+    def units(self, text: str) -> np.ndarray:
+        """Hashes of the words, long ones as their characters; a text of white space alone is one unit."""
+        parts = []
+        for words in byte_words(text):
+            if words and max(map(len, words)) > LONG:
+                words = [u for w in words for u in ([w] if len(w) <= LONG else map(str.encode, w.decode()))]
+            parts.append(np.fromiter(map(self.hash_of.__getitem__, words), np.uint64, len(words)))
+        units = np.concatenate(parts)
+        return units if len(units) or not text else np.array([self.hash_of[text[:1].encode()]], np.uint64)
 
     def kmers(self, text: str) -> np.ndarray:
         """Occurrence-numbered k-mers in text order: the second "of the" differs from the first."""
-        units, k = self.units(text)
-        k = min(k, len(units))
+        units = self.units(text)
+        k = min(UNITS, len(units))
         n = len(units) - k + 1 if len(units) else 0
         if not n:
             return np.empty(0, np.uint64)

@@ -443,6 +443,17 @@ def test_order_minhash_follows_edits(spark, docs, empty):
     assert single.near_next == 1.0 and single.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
 
 
+def test_order_minhash_has_one_kind_of_kmer_for_all_lengths():
+    own, words = order_minhash.Fingerprinter(), [f"w{i}" for i in range(40)]
+    for n in range(12, 25):
+        text = " ".join(words[:n])
+        signature = own.signature(text)
+        for changed in (" ".join(words[: n - 1]), " ".join([*words[:n], "more"]), order_minhash.edited(text, " ".join(f"new{i}" for i in range(40)))):
+            assert (own.signature(changed) == signature).mean() > 0.1, (n, changed)
+    unspaced = "".join(chr(0x4E00 + i) for i in range(60))
+    assert (own.signature(unspaced + " a few words") == own.signature(unspaced)).mean() > 0.5
+
+
 def test_order_minhash_sees_order():
     own, words = order_minhash.Fingerprinter(), [f"w{i}" for i in range(400)]
     a = own.signature(" ".join(words))
