@@ -13,7 +13,7 @@ ORACLE: dict[str, str] = {}
 
 MODULES = [
     "secrets", "toxicity", "packing", "substrings", "extraction", "order_minhash", "simhash", "language", "hamming", "bpe",
-    "ranking",
+    "ranking", "manifest", "quality",
 ]
 
 
