@@ -35,6 +35,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 TARGET = re.compile(r"(?<![\w$.-])([A-Za-z_$][\w$.-]*+)[\"'\]]*+[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+")
 LITERAL = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`")
 BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^&*-]++")
+DIGIT = re.compile(r"\d")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_$][\w$.-]*+)\}?")
 PLUS = re.compile(r"[ \t]*+(?:\+|\.\.?|\|\|)[ \t]*+")
 
@@ -52,6 +53,8 @@ PLACEHOLDERS = re.compile(
 )
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
+#: Start, end, and whether the literal stands without quotes.
+Span = tuple[int, int, bool]
 FINDING = pa.struct([
     ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("name", pa.string()), ("score", pa.float64()),
 ])
@@ -70,63 +73,118 @@ def literal_score(value: str, bare: bool) -> float:
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    if bare and not re.search("[0-9]", value):
+    return weighed(entropy, value, bare)
+
+
+def weighed(entropy: float, characters: str, bare: bool) -> float:
+    """The score of a value by its entropy and the kinds of its characters; a bare word without a digit is none."""
+    classes = sum(bool(re.search(p, characters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    if bare and not re.search("[0-9]", characters):
         return 0.0
     return min(1.0, entropy / 3.0) * (0.4 + 0.2 * classes if classes < 3 else 1.0)
 
 
-def read_value(text: str, at: int) -> tuple[list[tuple[int, int, bool]], list[str]]:
-    """Literal spans (start, end, bare) and referenced names of the value that starts at ``at``."""
-    spans, names = [], []
-    while True:
-        if m := LITERAL.match(text, at):
-            group = m.lastindex
-            if group:
-                spans.append((m.start(group), m.end(group), False))
-            at = m.end()
-        elif m := BARE.match(text, at):
-            word = m.group()
-            if (r := REFERENCE.fullmatch(word)) and not any(c.isdigit() for c in word):
+class Lexer:
+    """Reads the values of one text; its runs of bare characters are found once, however many names stand inside them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts: list[int] | None = None
+        self.ends: list[int] = []
+
+    def bare_end(self, at: int) -> int:
+        """Where the bare run that holds ``at`` ends; ``at`` itself if none does."""
+        if self.starts is None:
+            runs = [m.span() for m in BARE.finditer(self.text, at)]  # values are asked in ascending order: none before this one
+            self.starts, self.ends = [r[0] for r in runs], [r[1] for r in runs]
+        i = bisect_right(self.starts, at) - 1
+        return max(at, self.ends[i]) if i >= 0 else at
+
+    def value(self, at: int, stop: int) -> tuple[list[Span], list[str]]:
+        """Literal spans (start, end, bare) and referenced names of the value that starts at ``at``.
+
+        Only its first operand may reach past ``stop``, where the next name stands: what is added there is not its own.
+        """
+        text, spans, names = self.text, [], []
+        while True:
+            if m := LITERAL.match(text, at):
+                group = m.lastindex
+                if group:
+                    spans.append((m.start(group), m.end(group), False))
+                at = m.end()
+            elif (end := self.bare_end(at)) > at:
+                if (r := REFERENCE.fullmatch(text, at, end)) and not DIGIT.search(text, at, end):
+                    names.append(r.group(1))
+                else:
+                    spans.append((at, end, True))
+                at = end
+            elif (r := REFERENCE.match(text, at)) and r.end() > at:
                 names.append(r.group(1))
+                at = r.end()
             else:
-                spans.append((m.start(), m.end(), True))
-            at = m.end()
-        elif (r := REFERENCE.match(text, at)) and r.end() > at:
-            names.append(r.group(1))
-            at = r.end()
-        else:
-            return spans, names
-        if not (p := PLUS.match(text, at)):
-            return spans, names
-        at = p.end()
+                return spans, names
+            p = PLUS.match(text, at)
+            if not p or p.end() >= stop:
+                return spans, names
+            at = p.end()
 
 
-def lex(text: str) -> list[tuple[str, list[tuple[int, int, bool]], list[str]]]:
+def lex(text: str) -> list[tuple[str, list[Span], list[str]]]:
     """Every assignment of the text: (name, literal spans, referenced names)."""
-    out = []
-    for m in TARGET.finditer(text):
-        spans, names = read_value(text, m.end())
+    out, lexer, targets = [], Lexer(text), list(TARGET.finditer(text))
+    for m, after in zip(targets, [*[t.start() for t in targets[1:]], len(text)]):
+        spans, names = lexer.value(m.end(), after)
         if spans or names:
             out.append((m.group(1), spans, names))
     return out
 
 
-def propagated(pairs: list) -> Iterator[tuple[str, tuple[int, int, bool]]]:
+def propagated(pairs: list) -> Iterator[tuple[str, Span]]:
     """(target name, literal span): own literals and those of the constants a value names.
 
-    A reference takes the last assignment of its name before it; a chain is followed through the literals already
-    carried by that assignment, so one pass is enough and cycles can't arise. A carried set is shared, not copied.
+    A reference takes the last assignment of its name before it, so cycles can't arise. An assignment keeps its own spans
+    and the assignments it refers to, nothing is copied along a chain. A chain is walked again only for a name that counts
+    more than all names before: each assignment is met as often as there are name scores at most.
     """
-    known: dict[str, list] = {}
-    for name, spans, names in pairs:
-        carried = list(spans)
-        for other in names:
-            carried += known.get(other, ()) if len(carried) < 64 else ()
-        if name_score(name):
-            for span in carried:
-                yield name, span
-        known[name] = carried
+    last: dict[str, int] = {}
+    refers: list[list[int]] = []
+    walked = [0.0] * len(pairs)
+    for k, (name, _, names) in enumerate(pairs):
+        refers.append([last[other] for other in names if other in last])
+        last[name] = k
+        rank = name_score(name)
+        work = [k] if rank else []
+        while work:
+            at = work.pop()
+            if walked[at] < rank:
+                walked[at] = rank
+                for span in pairs[at][1]:
+                    yield name, span
+                work += refers[at]
+
+
+def bare_scores(text: str, spans: set[Span]) -> dict[Span, float]:
+    """Scores of bare spans; those that end together are read once, from their end backwards."""
+    by_end: dict[int, list[int]] = {}
+    for start, end, _ in spans:
+        by_end.setdefault(end, []).append(start)
+    out = {}
+    for end, starts in by_end.items():
+        seen, total, asked = Counter(), 0.0, set(starts)
+        for at in range(end - 1, min(starts) - 1, -1) if len(starts) > 1 else ():
+            c = seen[text[at]]
+            total += (c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)
+            seen[text[at]] += 1
+            n = end - at
+            if at in asked and n > 64:
+                one = len(seen) == 1 and text[at] in "xX*."
+                blank = one or text[at : at + 5].lower() in ("your_", "your-")
+                joined = "".join(seen)
+                out[at, end, True] = 0.0 if blank else weighed(math.log2(n) - total / n, joined, True)
+        for start in starts:
+            if (start, end, True) not in out:
+                out[start, end, True] = literal_score(text[start:end], True)
+    return out
 
 
 def findings(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, int, str | None, float]]:
@@ -139,9 +197,11 @@ def findings(text: str | None, threshold: float = 0.5) -> list[tuple[str, int, i
         covered = sorted((f[1], f[2]) for f in out)
         starts = [s for s, _ in covered]
         seen = set()
-        for name, (start, end, bare) in propagated(lex(text)):
-            value = text[start:end]
-            score = name_score(name) * literal_score(value, bare)
+        named = list(propagated(lex(text)))
+        bare_ones = bare_scores(text, {span for _, span in named if span[2]})
+        for name, span in named:
+            start, end, bare = span
+            score = name_score(name) * (bare_ones[span] if bare else literal_score(text[start:end], False))
             i = bisect_right(starts, start) - 1
             inside = i >= 0 and end <= covered[i][1]
             if score >= threshold and not inside and (start, end) not in seen:
