@@ -14,6 +14,7 @@ judged by the same features.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Memo, bounded_ids, table, texts
 from gleaner.llm.registry import query
 
-#: Pages the model learns from; nodes of a page that are learnt from.
-TRAIN_PAGES, TRAIN_NODES = 2_000, 400
+#: Pages the model learns from, all their nodes.
+TRAIN_PAGES = 2_000
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
 NAMES = re.compile(r"(?i)\b(?:class|id|role|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
@@ -86,6 +87,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in page order, parents first, and the text runs (node, text) between block edges; one pass over the page."""
     nodes, runs = [Node("html", -1, "", None)], []
     open_: list[tuple[str, int]] = [("html", 0)]  # open blocks: tag, node
+    times: Counter = Counter()  # how often a tag is open below the root
     held: list[str] = []
     linked, at, end = 0, 0, len(html)
 
@@ -97,12 +99,16 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 runs.append((open_[-1][1], text))
                 nodes[open_[-1][1]].chars += len(text)
 
+    def end_one() -> str:
+        flush()
+        tag = open_.pop()[0]
+        times[tag] -= 1
+        return tag
+
     def close(tag: str) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] == tag:
-                flush()
-                del open_[i:]
-                return
+        if times[tag]:  # an end tag that ends nothing costs nothing, any other takes blocks off for good
+            while end_one() != tag:
+                pass
 
     while at < end:
         lt = html.find("<", at)
@@ -152,13 +158,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             linked += 1
         elif tag in BLOCKS and tag != "html":
             if open_[-1][0] == "p":
-                flush()
-                open_.pop()
+                end_one()
             ended = CLOSED_BY.get(tag)
             if ended:
                 while open_[-1][0] in ended:
-                    flush()
-                    open_.pop()
+                    end_one()
             flush()
             linked = 0
             parent = open_[-1][1]
@@ -170,6 +174,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 label = nodes[parent].label
             nodes.append(Node(tag, parent, names, label))
             open_.append((tag, len(nodes) - 1))
+            times[tag] += 1
     flush()
     for node in nodes:
         if node.chars:
@@ -227,7 +232,7 @@ def labelled_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for html in texts(batch.column(0)):
             nodes, _ = parse(html or "")
-            for node in nodes[:TRAIN_NODES]:
+            for node in nodes:
                 if node.label is not None:
                     above = nodes[node.parent].label
                     key = (" ".join(node.features), -1 if above is None else above, node.label)
