@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.health import degradations
 from gleaner.operators.inbox import merge_pending
 from gleaner.operators.lifecycle import closures, merge_state
 from gleaner.session import ensure_checkpoint_dir
@@ -126,20 +125,3 @@ def state_after_closures(found: DataFrame, state: DataFrame) -> DataFrame:
 
     run_batches(found, step, folder)
     return table.latest()
-
-
-def degradation_alerts(counts: DataFrame) -> DataFrame:
-    """Alerts of a stream of run counts (source, run, found): each batch is judged with the history before it."""
-    spark = counts.sparkSession
-    folder = run_folder(spark, "health")
-    history = StateTable(spark, f"{folder}/history", "source string, run timestamp, found bigint")
-
-    def step(batch: DataFrame, n: int) -> None:
-        past = history.before(n)
-        every = past.unionByName(batch.select("source", "run", "found"))
-        alerts = degradations(every).join(batch.select("source", "run"), ["source", "run"], "left_semi")
-        alerts.write.mode("overwrite").parquet(f"{folder}/alerts/batch={n}")
-        history.write(every, n)
-
-    run_batches(counts, step, folder)
-    return spark.read.parquet(f"{folder}/alerts")

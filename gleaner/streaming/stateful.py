@@ -25,49 +25,90 @@ def outbox(queue: DataFrame, max_age: str = f"{fixed.OUTBOX_MAX_AGE_DAYS} days")
     return queue.withWatermark("queued_at", max_age).dropDuplicatesWithinWatermark(["body"])
 
 
+MINUTE_MS, DAY_MS = 60_000, 86_400_000
+
+
+def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """All rows of a key in a batch; callers have folded or sliced them first, so that they are few."""
+    return pd.concat(list(rows)).sort_values(by)
+
+
 class _LastSeen(StatefulProcessor):
-    """State: the last stamp of the key, in epoch microseconds."""
+    """State: the last stamp of the key, in epoch microseconds; a timer, moved by every stamp, clears it after the TTL."""
 
-    def __init__(self, ttl_micros: int):
-        self.ttl_micros = ttl_micros
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "at bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("first_at")
-        last = self.last.get()[0] if self.last.exists() else None
+        pdf = _sorted(rows, ["first_at"])
+        held = last = self.last.get()[0] if self.last.exists() else None
         out = []
         for first_at, last_at in zip(pdf["first_at"], pdf["last_at"]):
-            if last is None or first_at - last > self.ttl_micros:
+            if last is None or first_at - last > self.ttl_ms * 1000:
                 out.append((key[0], int(first_at)))
             last = int(last_at) if last is None else max(last, int(last_at))
+        if held is not None:
+            self.handle.deleteTimer(self._expiry(held))
         self.last.update((last,))
+        self.handle.registerTimer(self._expiry(last))
         if out:
             yield pd.DataFrame(out, columns=["key", "first_at"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return
+        yield
+
+    def _expiry(self, last: int) -> int:
+        # a window that is still open may reach back a minute: only then can no stamp within the TTL come any more
+        return last // 1000 + 1 + self.ttl_ms + MINUTE_MS
+
     def close(self) -> None:
         pass
 
 
-def first_sightings(stream: DataFrame, ttl_hours: int, step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+def first_sightings(stream: DataFrame, ttl_hours: int, late: str = "10 minutes") -> DataFrame:
     """(key, first_at): events whose key was not seen for ``ttl_hours`` (last-seen TTL). stream: key, ts.
 
     Events are first folded to one row per key and minute. A minute is far shorter than the TTL, so only
     its first event can be new; a hot key costs the stateful step one row a minute, not one per event.
+    A key whose TTL has run out leaves the state, so it holds only what was seen within the TTL.
     """
     use_rocksdb(stream.sparkSession)
     folded = (
-        stream.withWatermark("ts", late).groupBy("key", F.window("ts", step).alias("w"))
+        stream.withWatermark("ts", late).groupBy("key", F.window("ts", "1 minute").alias("w"))
         .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        .select("key", F.unix_micros("lo").alias("first_at"), F.unix_micros("hi").alias("last_at"))
+        .select("key", F.window_time("w").alias("at"), F.unix_micros("lo").alias("first_at"), F.unix_micros("hi").alias("last_at"))
     )
     return folded.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_LastSeen(ttl_hours * 3_600_000_000), outputStructType="key bigint, first_at bigint",
-        outputMode="Append", timeMode="None",
+        statefulProcessor=_LastSeen(ttl_hours * 3_600_000), outputStructType="key bigint, first_at bigint",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
+class _FirstTwo(StatefulProcessor):
+    """State: how many rows of the slice were passed on, two at most. Rows are looked at a batch of Arrow at a time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n int")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        if n < 2:
+            head = None
+            for pdf in rows:
+                head = (pdf if head is None else pd.concat([head, pdf])).sort_values(["at", "seq"]).head(2 - n)
+            self.count.update((n + len(head),))
+            yield head[["key", "seq", "at"]]
+
+    def close(self) -> None:
+        pass
+
+
 class _Strikes(StatefulProcessor):
     """State: how often the key was turned down, up to two."""
 
@@ -75,7 +116,7 @@ class _Strikes(StatefulProcessor):
         self.count = handle.getValueState("count", "n int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["at", "seq"])
+        pdf = _sorted(rows, ["at", "seq"])
         n = self.count.get()[0] if self.count.exists() else 0
         head = pdf["seq"].tolist()[: max(0, 2 - n)]
         out = [(key[0], int(s), "defer" if n + i == 0 else "final") for i, s in enumerate(head)]
@@ -87,29 +128,59 @@ class _Strikes(StatefulProcessor):
         pass
 
 
-def two_strikes(stream: DataFrame) -> DataFrame:
-    """(key, seq, outcome): the first "no" defers, the second is final, later ones change nothing. stream: key, seq, at."""
+def two_strikes(stream: DataFrame, slices: int = 64) -> DataFrame:
+    """(key, seq, outcome): the first "no" defers, the second is final, later ones change nothing. stream: key, seq, at.
+
+    A key's rows are dealt into slices that pass on their first two, once and for all; the key itself sees two rows a
+    slice, however hot it is.
+    """
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("key").transformWithStateInPandas(
+    sliced = stream.withColumn("slice", F.pmod(F.xxhash64("seq"), F.lit(slices))).groupBy("key", "slice").transformWithStateInPandas(
+        statefulProcessor=_FirstTwo(), outputStructType="key bigint, seq bigint, at timestamp", outputMode="Append", timeMode="None",
+    )
+    return sliced.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Strikes(), outputStructType="key bigint, seq bigint, outcome string",
         outputMode="Append", timeMode="None",
     )
 
 
 class _Changed(StatefulProcessor):
-    """State: the last message key of the thread."""
+    """State: the last message key of a stretch of scans. Gives the changes inside it, and the edges it has in a batch.
+
+    An edge is the stretch's first scan, once, or a later batch's (then without a ``scan``), with the key it ends on.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "key string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("scan")
+        pdf = _sorted(rows, ["scan"])
+        scans, keys = pdf["scan"].tolist(), pdf["key"].tolist()
+        new = not self.held.exists()
+        before = [None if new else self.held.get()[0], *keys[:-1]]
+        out = [(key[0], int(s), k, False, None) for i, (s, k, b) in enumerate(zip(scans, keys, before)) if k != b and not (new and i == 0)]
+        out.append((key[0], int(scans[0]), keys[0] if new else None, True, keys[-1]))
+        self.held.update((keys[-1],))
+        yield pd.DataFrame(out, columns=["thread", "scan", "key", "edge", "last"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Edges(StatefulProcessor):
+    """State: the key that the newest stretch of the thread ends on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "key string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, ["scan"])
         held = self.held.get()[0] if self.held.exists() else None
         out = []
-        for scan, message in zip(pdf["scan"], pdf["key"]):
-            if message != held:
-                out.append((key[0], int(scan), message))
-                held = message
+        for scan, first, last in zip(pdf["scan"], pdf["key"], pdf["last"]):
+            if isinstance(first, str) and first != held:
+                out.append((key[0], int(scan), first))
+            held = last
         self.held.update((held,))
         if out:
             yield pd.DataFrame(out, columns=["thread", "scan", "key"])
@@ -118,76 +189,108 @@ class _Changed(StatefulProcessor):
         pass
 
 
-def changed_states(stream: DataFrame) -> DataFrame:
-    """(thread, scan, key): scans in which a thread's state key moved. stream: thread, scan, key."""
+def changed_states(stream: DataFrame, stretch: int = 1024) -> DataFrame:
+    """(thread, scan, key): scans in which a thread's state key moved. stream: thread, scan, key.
+
+    Scans of a thread come in order from batch to batch. Each stretch of them compares its own; only its first and last
+    key go to the thread, so a thread with a third of all rows is as many tasks' work as it has stretches.
+    """
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy("thread").transformWithStateInPandas(
-        statefulProcessor=_Changed(), outputStructType="thread bigint, scan bigint, key string",
+    inside = stream.withColumn("part", F.floor(F.col("scan") / stretch)).groupBy("thread", "part").transformWithStateInPandas(
+        statefulProcessor=_Changed(), outputStructType="thread bigint, scan bigint, key string, edge boolean, last string",
         outputMode="Append", timeMode="None",
     )
+    between = inside.filter("edge").groupBy("thread").transformWithStateInPandas(
+        statefulProcessor=_Edges(), outputStructType="thread bigint, scan bigint, key string", outputMode="Append", timeMode="None",
+    )
+    return inside.filter("NOT edge").select("thread", "scan", "key").union(between)
 
 
 class _RepostMarks(StatefulProcessor):
-    """State: per link, the run it was last listed in."""
+    """State: per link, the day it was last listed on; a timer clears the links whose mark has run out."""
 
     def __init__(self, ttl_days: int):
         self.ttl_days = ttl_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.marks = handle.getMapState("marks", "link string", "day bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["day", "seq"])
-        out = []
+        pdf = _sorted(rows, ["day", "seq"])
+        out, newest = [], {}
         for link, day, seq in zip(pdf["link"], pdf["day"], pdf["seq"]):
-            held = self.marks.getValue((link,))[0] if self.marks.containsKey((link,)) else None
+            if link not in newest:
+                newest[link] = self.marks.getValue((link,))[0] if self.marks.containsKey((link,)) else None
+            held = newest[link]
             if held is None or day - held > self.ttl_days:
                 out.append((key[0], link, int(seq)))
-            self.marks.updateValue((link,), (int(day),))
+            newest[link] = int(day) if held is None else max(held, int(day))
+        for link, day in newest.items():
+            self.marks.updateValue((link,), (day,))
+            self.handle.registerTimer(self._expiry(day))
         if out:
             yield pd.DataFrame(out, columns=["vacancy", "link", "seq"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        for link, day in list(self.marks.iterator()):
+            if self._expiry(day[0]) <= due:
+                self.marks.removeKey((link[0],))
+        return
+        yield
+
+    def _expiry(self, day: int) -> int:
+        return (day + self.ttl_days + 1) * DAY_MS
+
     def close(self) -> None:
         pass
 
 
-def repost_marks(stream: DataFrame, ttl_days: int = fixed.SEEN_TTL_DAYS) -> DataFrame:
+def repost_marks(stream: DataFrame, ttl_days: int = fixed.SEEN_TTL_DAYS, late: str = "7 days") -> DataFrame:
     """(vacancy, link, seq): the one listing per new link that gets a fresh look; every later listing re-stamps
-    the mark. stream: vacancy, link, day, seq. Keyed by vacancy and link hash, so one vacancy's links spread."""
+    the mark. stream: vacancy, link, day, seq. Keyed by vacancy and link hash, so one vacancy's links spread.
+
+    Marks leave the state when they run out.
+    """
     use_rocksdb(stream.sparkSession)
-    return stream.withColumn("h", F.xxhash64("link")).groupBy("vacancy", "h").transformWithStateInPandas(
+    stamped = stream.withColumn("at", F.timestamp_seconds(F.col("day") * 86_400)).withWatermark("at", late)
+    return stamped.withColumn("h", F.xxhash64("link")).groupBy("vacancy", "h").transformWithStateInPandas(
         statefulProcessor=_RepostMarks(ttl_days), outputStructType="vacancy bigint, link string, seq bigint",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
 class _Silence(StatefulProcessor):
-    """State: last stamp; an event-time timer fires when the next one is overdue."""
+    """State: last stamp and whether its silence was told; an event-time timer fires when the next one is overdue."""
 
     def __init__(self, limits: dict[str, tuple[int, int]], default: tuple[int, int]):
         self.limits, self.default = limits, default
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint")
+        self.last = handle.getValueState("last", "at bigint, told boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(v) for pdf in rows for v in pdf["at_ms"])
-        if self.last.exists():
-            held = self.last.get()[0]
-            if newest <= held:
-                return
-            self.handle.deleteTimer(held + self._wait(key))
-        self.last.update((newest,))
-        self.handle.registerTimer(newest + self._wait(key))
-        return
-        yield
+        pdf = _sorted(rows, ["first_ms"])
+        wait = self.limits.get(key[0], self.default)[0] * 3_600_000
+        held, told = self.last.get() if self.last.exists() else (None, False)
+        if held is not None and not told:
+            self.handle.deleteTimer(held + wait)
+        out = []
+        for first, newest in zip(pdf["first_ms"].tolist(), pdf["at_ms"].tolist()):
+            if held is not None and first - held >= wait and not told:
+                out.append((key[0], held))
+            held, told = newest if held is None else max(held, newest), False
+        self.last.update((held, False))
+        self.handle.registerTimer(held + wait)
+        if out:
+            yield pd.DataFrame(out, columns=["job", "silent_since_ms"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame([(key[0], self.last.get()[0])], columns=["job", "silent_since_ms"])
-
-    def _wait(self, key: Any) -> int:
-        return self.limits.get(key[0], self.default)[0] * 3_600_000
+        held = self.last.get()[0]
+        self.last.update((held, True))
+        yield pd.DataFrame([(key[0], held)], columns=["job", "silent_since_ms"])
 
     def close(self) -> None:
         pass
@@ -196,14 +299,136 @@ class _Silence(StatefulProcessor):
 def silent_jobs(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = None, late: str = "1 hour") -> DataFrame:
     """(job, silent_since_ms): jobs without a stamp for their limit, once per outage. stream: job, at.
 
-    Stamps are folded per job and minute before the keyed state, as in ``first_sightings``.
+    Stamps are folded per job and minute before the keyed state, as in ``first_sightings``. An outage that lies within one
+    batch is told like one that a timer finds.
     """
     use_rocksdb(stream.sparkSession)
     folded = (
-        stream.withWatermark("at", late).groupBy("job", F.window("at", "1 minute").alias("w")).agg(F.max("at").alias("last"))
-        .select("job", F.window_time("w").alias("at"), F.unix_millis("last").alias("at_ms"))
+        stream.withWatermark("at", late).groupBy("job", F.window("at", "1 minute").alias("w")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .select("job", F.window_time("w").alias("at"), F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("at_ms"))
     )
     return folded.groupBy("job").transformWithStateInPandas(
         statefulProcessor=_Silence(limits or fixed.HEARTBEAT_LIMITS, fixed.HEARTBEAT_DEFAULT),
         outputStructType="job string, silent_since_ms bigint", outputMode="Append", timeMode="EventTime",
     )
+
+
+class _Watch(StatefulProcessor):
+    """State of a bucket of jobs: each job's last stamp with the stamps counted up to it and the last alert, and the count.
+
+    A batch holds all minutes that the watermark has closed since the last one: how many stamps they had, and the bucket's
+    own. Between two stamps of a job both rules are a search in the minutes' ends and in their running count.
+    """
+
+    def __init__(self, limits: dict[str, tuple[int, int]], default: tuple[int, int]):
+        self.limits, self.default = limits, default
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.jobs = handle.getMapState("jobs", "job string", "at bigint, tick bigint, alerted bigint")
+        self.total = handle.getValueState("total", "n bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, ["minute"])
+        counted = pdf[pdf["job"].isna()]
+        if counted.empty:
+            return
+        ends = counted["minute"].to_numpy()
+        ticks = (self.total.get()[0] if self.total.exists() else 0) + counted["n"].to_numpy().cumsum()
+        self.total.update((int(ticks[-1]),))
+        stamps = {job: list(zip(own["minute"], own["at_ms"])) for job, own in pdf[pdf["job"].notna()].groupby("job")}
+        known = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
+        out = []
+        for job in {**known, **stamps}:
+            hours, runs = self.limits.get(job, self.default)
+            at, tick, alerted = known.get(job, (None, 0, None))
+            for minute, at_ms in [*stamps.get(job, []), (None, None)]:
+                here = len(ends) if minute is None else int(ends.searchsorted(minute))
+                if at is not None:
+                    i = max(ends.searchsorted(at + hours * 3_600_000), ticks.searchsorted(tick + runs))
+                    while (i := max(i, ends.searchsorted(alerted + DAY_MS) if alerted is not None else 0)) < here:
+                        alerted = int(ends[i])
+                        out.append((job, alerted, int((alerted - at) / 3_600_000 + 0.5), int(ticks[i] - tick)))
+                if minute is not None:
+                    at, tick, alerted = int(at_ms), int(ticks[here]), None
+            if known.get(job) != (at, tick, alerted):
+                self.jobs.updateValue((job,), (at, tick, alerted))
+        if out:
+            yield pd.DataFrame(out, columns=["job", "at_ms", "hours", "runs"])
+
+    def close(self) -> None:
+        pass
+
+
+def watchdog(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = None, late: str = "1 hour", buckets: int = 16) -> DataFrame:
+    """(job, at_ms, hours, runs): jobs both old by the clock and out-run by other stamps. stream: job, at.
+
+    Looked at after every minute with a stamp: a job whose last stamp is ``hours`` old, with ``runs`` stamps of any job in
+    later minutes, is told once an outage, and again a day after it was last told. Stamps are folded to one row a job and
+    minute, and to one count a minute, of which every bucket of jobs gets a copy.
+    """
+    use_rocksdb(stream.sparkSession)
+    marked = stream.withWatermark("at", late)
+    by_minute = F.window("at", "1 minute").alias("w")
+    minute = (F.unix_millis(F.window_time("w")) + 1).alias("minute")
+    none = lambda kind: F.lit(None).cast(kind)
+    counts = marked.groupBy(by_minute).agg(F.count(F.lit(1)).alias("n")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")).alias("bucket"), F.window_time("w").alias("at"), minute,
+        none("string").alias("job"), none("bigint").alias("at_ms"), "n",
+    )
+    own = marked.groupBy(by_minute, "job").agg(F.max("at").alias("last")).select(
+        F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("bigint").alias("bucket"), F.window_time("w").alias("at"), minute,
+        "job", F.unix_millis("last").alias("at_ms"), none("bigint").alias("n"),
+    )
+    return counts.unionByName(own).groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=_Watch(limits or fixed.HEARTBEAT_LIMITS, fixed.HEARTBEAT_DEFAULT),
+        outputStructType="job string, at_ms bigint, hours bigint, runs bigint", outputMode="Append", timeMode="EventTime",
+    )
+
+
+class _Ring(StatefulProcessor):
+    """State: the found counts of the source's last runs, oldest first, and the last run; nothing older is kept."""
+
+    def __init__(self, history: int):
+        self.history = history
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getListState("counts", "found bigint")
+        self.last = handle.getValueState("last", "run bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(rows, ["run_us"])
+        ring = [r[0] for r in self.counts.get()] if self.counts.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for run, found in zip(pdf["run_us"].tolist(), pdf["found"].tolist()):
+            if last is not None and run <= last:
+                continue  # a run that is told again, or comes too late to be judged
+            n = len(ring)
+            ordered = sorted(ring)
+            median = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2 if n else 0.0
+            if median >= fixed.MIN_MEDIAN and found < median * fixed.DEGRADE_RATIO:
+                out.append((key[0], run, found, median, "degraded", n))
+            elif found == 0 and n >= fixed.NEVER_RUNS and not any(ring):
+                out.append((key[0], run, found, median, "never-succeeded", n))
+            ring, last = [*ring, found][-self.history :], run
+        self.counts.put([(f,) for f in ring])
+        self.last.update((last,))
+        if out:
+            yield pd.DataFrame(out, columns=["source", "run_us", "found", "median", "reason", "runs_before"])
+
+    def close(self) -> None:
+        pass
+
+
+def degradation_stream(counts: DataFrame, history: int = fixed.HISTORY_LEN) -> DataFrame:
+    """(source, run, found, median, reason, runs_before) as ``health.degradations`` gives them. stream: source, run, found.
+
+    Runs of a source come in order from batch to batch; an earlier one than the last judged is passed over. The state is
+    ``history`` numbers a source for good.
+    """
+    use_rocksdb(counts.sparkSession)
+    judged = counts.select("source", F.unix_micros("run").alias("run_us"), F.col("found").cast("bigint").alias("found")).groupBy("source").transformWithStateInPandas(
+        statefulProcessor=_Ring(history), outputStructType="source string, run_us bigint, found bigint, median double, reason string, runs_before int",
+        outputMode="Append", timeMode="None",
+    )
+    return judged.select("source", F.timestamp_micros("run_us").alias("run"), "found", "median", "reason", "runs_before")
