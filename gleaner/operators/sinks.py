@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import fixed
 from gleaner.functions.text import detect_lang, extract_salary, squeeze, text_or_blank
 from gleaner.functions.urls import is_http_url
+from gleaner.operators.lifecycle import archive_plan, mark_and_archive
+from gleaner.session import cut_lineage
+from gleaner.sources.parts import PartTable
 
 
 def package_rows(accepted: DataFrame, now: Column) -> DataFrame:
@@ -37,6 +40,29 @@ def write_packages(rows: DataFrame, path: str) -> None:
     rows.repartition("day", F.pmod(F.col("seq"), F.lit(64))).write.mode("append").partitionBy("archived", "day").parquet(path)
 
 
+def package_part() -> Column:
+    """The part of a package row: live or archived, and its day."""
+    return F.concat(F.when(F.col("archived"), "archived/").otherwise("live/"), F.date_format("day", "yyyy-MM-dd"))
+
+
+def package_store(spark: SparkSession, path: str, schema: str) -> PartTable:
+    """Packages by part, each day live and archived; ``schema`` names at least archived and day."""
+    return PartTable(spark, path, schema, package_part())
+
+
+def archive_run(store: PartTable, state: DataFrame, now: Column) -> int:
+    """Mark and move what is due: live days that lose rows and archived days that gain some change in one step.
+
+    Days that nothing leaves are neither read twice nor written; a live day without rows left is dropped. Run again, also
+    after a run that was killed, it moves what is still due. Returns the store's version.
+    """
+    live = store.read(lambda part: part.startswith("live/"))
+    plan = cut_lineage(archive_plan(live, state, now))
+    days = store.names_of(live.join(plan, "file", "left_semi"))
+    after = mark_and_archive(live.filter(package_part().isin(days)), plan, state, now).select(*live.columns)
+    return store.commit(append=after.filter("archived"), replace=after.filter("NOT archived"), parts=days)
+
+
 def alt_links_after(packages: DataFrame, links: DataFrame) -> DataFrame:
     """(file, source, url, is_new): links of each package, one row each, after adding ``links``.
 

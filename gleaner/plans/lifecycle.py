@@ -9,9 +9,12 @@ from gleaner import fixed
 from gleaner.functions.dates import age_label, shown_date
 from gleaner.functions.urls import board_of
 from gleaner.operators import lifecycle as lc
+from gleaner.operators import sinks
+from gleaner.operators.sinks import package_part, package_store
 from gleaner.plans import sqlviews as s
 from gleaner.plans.registry import query
 from gleaner.plans.views import ORDERS_NOW, Tables, shown, stamp
+from gleaner.streaming.runs import run_folder
 
 _NOW = f"TIMESTAMP '{ORDERS_NOW}'"
 
@@ -56,6 +59,23 @@ def mark(t: Tables) -> DataFrame:
     return out.select("seq", "archived", shown("closed_at").alias("closed_at"))
 
 
+_MARKED = f"CASE WHEN NOT l.archived AND p.reason IS NOT NULL THEN coalesce(l.closed_at, CASE WHEN j.status = 'closed' THEN coalesce(j.updated_at, {_NOW}) END) ELSE l.closed_at END"
+
+
+@query("snk_05_archive_run", s.sql(f"""
+SELECT l.seq, l.url, l.archived OR p.reason IS NOT NULL AS archived, {s.shown(_MARKED)} AS closed_at, CASE WHEN l.archived OR p.reason IS NOT NULL THEN 'archived/' ELSE 'live/' END || strftime(l.generated, '%Y-%m-01') AS part
+FROM listings l JOIN plan p USING (file) LEFT JOIN job_state j ON j.url = l.url""", "listings", "job_state", plan=_PLAN))
+def archive_run(t: Tables) -> DataFrame:
+    """Packages written by month, then one archive run: the parts it changes are replaced in one step."""
+    listed = t.listings.withColumn("day", F.trunc("generated", "month"))
+    columns = ["seq", "file", "url", "generated", "tier", "closed_at", "archived", "day"]
+    schema = "seq bigint, file string, url string, generated timestamp, tier string, closed_at timestamp, archived boolean, day date"
+    store = package_store(t.spark, run_folder(t.spark, "packages"), schema)
+    store.commit(append=listed.select(columns))
+    sinks.archive_run(store, t.job_state, now())
+    return store.read().select("seq", "url", "archived", shown("closed_at").alias("closed_at"), package_part().alias("part"))
+
+
 @query("joi_06_closed_set", s.sql("""
 SELECT l.file FROM listings l JOIN job_state j ON j.url = l.url WHERE NOT l.archived AND j.status = 'closed'
 UNION ALL SELECT file FROM listings WHERE archived AND closed_at IS NOT NULL""", "listings", "job_state"))

@@ -116,7 +116,7 @@ def threads(t: Tables) -> DataFrame:
 @query("stm_07_pending_stream", """
 SELECT conv_id % 10 AS mailbox, conv_id AS id, arg_max('n' || (length(text) % 7), turn) AS label FROM conversations WHERE role = 'user' GROUP BY 1, 2""")
 def pending(t: Tables) -> DataFrame:
-    notified = stream(t, "conversations").filter("role = 'user'").select(
+    notified = in_batches(t, t.table("conversations"), "turn").filter("role = 'user'").select(
         (F.col("conv_id") % 10).alias("mailbox"), F.col("conv_id").alias("id"),
         F.concat(F.lit("n"), (F.length("text") % 7).cast("string")).alias("label"), (F.col("conv_id") * 100 + F.col("turn")).alias("at"),
     )
@@ -145,17 +145,12 @@ def incremental(t: Tables) -> DataFrame:
 SELECT l.url, CASE WHEN l.seq % 3 = 0 AND (j.status IS NULL OR j.status = 'viewed') THEN 'closed' ELSE j.status END AS status FROM listings l LEFT JOIN job_state j USING (url)
 WHERE j.status IS NOT NULL OR j.note IS NOT NULL OR l.seq % 3 = 0""", "listings", "job_state"))
 def closures(t: Tables) -> DataFrame:
-    """Every third listing is found closed; only cards still new or viewed are changed."""
-    folder = runs.run_folder(t.spark, "found")
-    t.listings.filter("seq % 3 = 0").select("url", stamp("2000-06-01 00:00:00").alias("at")).write.parquet(f"{folder}/in")
-    found = t.spark.readStream.schema("url string, at timestamp").parquet(f"{folder}/in")
+    """Every third listing is found closed, in several batches; only cards still new or viewed are changed."""
+    found = in_batches(t, t.listings.filter("seq % 3 = 0").select("seq", "url", stamp("2000-06-01 00:00:00").alias("at")), "seq")
     return runs.state_after_closures(found, t.job_state).select("url", "status")
 
 
 @query("stm_12_patch_log_stream", s.sql("SELECT url, status, note FROM merged WHERE status IS NOT NULL OR note IS NOT NULL", "listings", "job_state", patches=_PATCHES, merged=_MERGED_STATE))
 def patch_log(t: Tables) -> DataFrame:
-    folder = runs.run_folder(t.spark, "patches")
-    rows = patches(t)
-    rows.write.parquet(f"{folder}/in")
-    log = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    return runs.state_after_patches(log, t.job_state).select("url", "status", "note")
+    """Patches in the order of their log, in several batches; each reads and writes the entries that it names."""
+    return runs.state_after_patches(in_batches(t, patches(t), "ord", 10), t.job_state).select("url", "status", "note")

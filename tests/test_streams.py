@@ -173,16 +173,6 @@ def test_outbox_drops_repeats_and_late_alerts(spark, tmp_path):
     assert sorted(r["body"] for r in table.collect()) == ["a", "b", "c"]
 
 
-def test_state_table_replays_a_batch(spark, tmp_path):
-    table = runs.StateTable(spark, str(tmp_path / "s"), "k int")
-    table.write(spark.createDataFrame([(1,)], "k int"), 0)
-    for _ in range(2):
-        table.write(table.before(1).union(spark.createDataFrame([(2,)], "k int")), 1)
-    assert sorted(r["k"] for r in table.latest().collect()) == [1, 2]
-    restarted = runs.StateTable(spark, str(tmp_path / "s"), "k int")
-    assert restarted.versions() == [0, 1] and restarted.latest().count() == 2
-
-
 def test_packages_are_partitioned_by_archive_and_day(spark, tmp_path):
     rows = spark.range(10).select(F.col("id").alias("seq"), F.lit(False).alias("archived"), F.lit("2024-02-01").cast("date").alias("day"))
     path = str(tmp_path / "packages")
