@@ -100,19 +100,77 @@ def ipv4_number(address) -> Column:
     return number
 
 
-def is_private_ipv4(address) -> Column:
-    """The ten blocked networks as ranges of one number: literals, so no lookup table travels."""
-    number = ipv4_number(address)
+def _in_ipv4(number: Column) -> Column:
+    """The blocked networks as ranges of one number: literals, so no lookup table travels."""
     inside = F.lit(False)
     for net, bits in fixed.PRIVATE_IPV4:
         block = ipaddress.ip_network(f"{net}/{bits}")
         inside = inside | number.between(int(block.network_address), int(block.broadcast_address))
-    return F.coalesce(inside, F.lit(True))
+    return inside
+
+
+def is_private_ipv4(address) -> Column:
+    return F.coalesce(_in_ipv4(ipv4_number(address)), F.lit(True))
+
+
+def ipv6_halves(address) -> Column:
+    """struct(hi, lo): the two 64-bit halves of an IPv6 address, both NULL if it is none.
+
+    Any spelling: one run of zeros left out, a dotted IPv4 tail, a zone behind a percent sign.
+    """
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    def spelled_out(text: Column) -> Column:
+        sides = F.split(text, "::")
+        left, right = groups(sides[0]), groups(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")))
+        zeros = 8 - F.size(left) - F.size(right)
+        return F.when(F.size(sides) == 1, left).when((F.size(sides) == 2) & (zeros > 0), F.concat(left, F.array_repeat(F.lit("0"), zeros), right))
+
+    def halves(parts: Column) -> Column:
+        valid = (F.size(parts) == 8) & F.forall(parts, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        number = lambda start: F.aggregate(
+            F.slice(parts, start, 4), F.lit(0).cast("bigint"),
+            lambda acc, g: F.shiftleft(acc, 16).bitwiseOR(F.conv(g, 16, 10).cast("bigint")),
+        )
+        return F.struct(F.when(valid, number(1)).alias("hi"), F.when(valid, number(5)).alias("lo"))
+
+    text = F.lower(F.regexp_replace(text_or_blank(address), "%.*$", ""))
+    tail = F.regexp_extract(text, r":([0-9]+(?:\.[0-9]+){3})$", 1)
+    inner = ipv4_number(tail)
+    hexed = F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.lower(F.hex(F.floor(inner / 65536))), F.lit(":"), F.lower(F.hex(inner % 65536)))
+    return once(once(F.when(tail == "", text).otherwise(hexed), spelled_out), halves)
+
+
+def _in_ipv6(halves: Column, net: str, bits: int) -> Column:
+    """Do the first ``bits`` of the address equal those of the network."""
+    number = int(ipaddress.IPv6Address(net))
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    if bits <= 64:
+        return F.shiftrightunsigned(halves["hi"], 64 - bits) == number >> (128 - bits)
+    return (halves["hi"] == signed(number >> 64)) & (F.shiftrightunsigned(halves["lo"], 128 - bits) == (number & ((1 << 64) - 1)) >> (128 - bits))
+
+
+def is_private_ipv6(address) -> Column:
+    """An address of a blocked network, or one that carries a blocked IPv4 address (mapped or NAT64); unreadable ones are too."""
+    def judged(halves: Column) -> Column:
+        carried = _in_ipv6(halves, "::ffff:0:0", 96) | _in_ipv6(halves, *fixed.NAT64)
+        blocked = F.lit(False)
+        for net, bits in fixed.PRIVATE_IPV6:
+            blocked = blocked | _in_ipv6(halves, net, bits)
+        return F.coalesce(F.when(carried, _in_ipv4(halves["lo"].bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(blocked), F.lit(True))
+
+    return once(ipv6_halves(address), judged)
+
+
+def is_private_address(address) -> Column:
+    """Is an address of either family no public one. What can not be read as an address counts as private."""
+    return F.when(text_or_blank(address).contains(":"), is_private_ipv6(address)).otherwise(is_private_ipv4(address))
 
 
 def resolves_public(urls: DataFrame, addresses: DataFrame, url: str = "url") -> DataFrame:
-    """``urls`` whose host has at least one address and no private one (``addresses``: host, address)."""
-    verdict = addresses.groupBy("host").agg(F.max(is_private_ipv4("address").cast("int")).alias("_private"))
+    """``urls`` whose host has at least one address, of either family, and no private one (``addresses``: host, address)."""
+    verdict = addresses.groupBy("host").agg(F.max(is_private_address("address").cast("int")).alias("_private"))
     return (
         urls.withColumn("host", url_host(F.col(url)))
         .join(verdict, "host", "left")

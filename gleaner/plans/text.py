@@ -50,19 +50,43 @@ def public(t: Tables) -> DataFrame:
     return variants(t).select("page_id", ur.is_public_https("url").alias("public"))
 
 
-@query("str_17_resolves_public", f"""
-WITH addressed AS (SELECT page_id, {s.host('url')} AS host, ((page_id * 7919 + 13) % 256) AS a, ((page_id * 104729) % 256) AS b, page_id % 256 AS c FROM pages WHERE page_id % 4 <> 3),
-judged AS (SELECT host, bool_or(a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
-  OR (a = 192 AND b = 0 AND c = 0) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19)) AS private FROM addressed GROUP BY host)
-SELECT page_id, coalesce(NOT private, false) AS resolves_public FROM pages LEFT JOIN judged ON judged.host = {s.host('url')}""")
-def resolves(t: Tables) -> DataFrame:
-    """One resolved address per page's host; hosts without any are not public."""
+_V4_PRIVATE = """(a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+  OR (a = 192 AND b = 0 AND c = 0) OR (a = 192 AND b = 168) OR (a = 198 AND b BETWEEN 18 AND 19))"""
+_ADDRESSED = f"""SELECT page_id, 'h' || (page_id // 2) || '.' || {s.host('url')} AS host, CASE WHEN page_id % 3 <> 0 THEN 'v4' ELSE CASE page_id % 11 WHEN 0 THEN 'public' WHEN 5 THEN 'public' WHEN 6 THEN 'public' WHEN 9 THEN 'public'
+    WHEN 3 THEN 'v4' WHEN 4 THEN 'v4' ELSE 'private' END END AS kind, ((page_id * 7919 + 13) % 256) AS a, ((page_id * 104729) % 256) AS b, page_id % 256 AS c FROM pages WHERE page_id % 7 <> 6"""
+_JUDGED = f"SELECT page_id, host, kind = 'private' OR (kind = 'v4' AND {_V4_PRIVATE}) AS private FROM addressed"
+
+
+def page_addresses(t: Tables) -> DataFrame:
+    """(page_id, host, address) for most pages, two pages a host: IPv4, or IPv6 in one of eleven spellings and networks."""
     k = F.col("page_id")
-    octets = [((k * 7919 + 13) % 256), ((k * 104729) % 256), k % 256, F.lit(1)]
-    addresses = t.table("pages").filter("page_id % 4 <> 3").select(
-        ur.url_host("url").alias("host"), F.concat_ws(".", *[o.cast("string") for o in octets]).alias("address")
-    )
-    return ur.resolves_public(t.table("pages").select("page_id", "url"), addresses).select("page_id", "resolves_public")
+    a, b, c = (k * 7919 + 13) % 256, (k * 104729) % 256, k % 256
+    dotted = F.concat_ws(".", *[o.cast("string") for o in (a, b, c, F.lit(1))])
+    high, low, own = F.lower(F.hex(a * 256 + b)), F.lower(F.hex(c * 256 + 1)), F.hex(k % 65536)
+    forms = [
+        F.concat(F.lit("2001:4860:4860::"), own), F.lit("::1"), F.concat(F.lit("fe80::"), own, F.lit("%eth0")),
+        F.concat(F.lit("64:ff9b::"), high, F.lit(":"), low), F.concat(F.lit("::FFFF:"), dotted),
+        F.concat(F.lit("2606:4700::6810:"), own), F.concat(F.lit("2A00:1450:4001:0830:0000:0:0:"), own), F.concat(F.lit("FD00:"), own, F.lit("::1")),
+        F.lit("1:2:3"), F.concat(F.lit("::2:"), own), F.concat(F.lit("2002:"), high, F.lit(":"), low, F.lit("::")),
+    ]
+    six = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    host = F.concat(F.lit("h"), F.floor(k / 2).cast("string"), F.lit("."), ur.url_host("url"))
+    return t.table("pages").filter("page_id % 7 <> 6").select("page_id", host.alias("host"), F.when(k % 3 == 0, six).otherwise(dotted).alias("address"))
+
+
+@query("str_17_private_address", s.sql("SELECT page_id, private FROM judged", addressed=_ADDRESSED, judged=_JUDGED))
+def private_addresses(t: Tables) -> DataFrame:
+    return page_addresses(t).select("page_id", ur.is_private_address("address").alias("private"))
+
+
+@query("str_17_resolves_public", s.sql(f"""
+SELECT page_id, coalesce(NOT private, false) AS resolves_public FROM pages LEFT JOIN (SELECT host, bool_or(private) AS private FROM judged GROUP BY host) h
+  ON h.host = 'h' || (page_id // 2) || '.' || {s.host('url')}""", addressed=_ADDRESSED, judged=_JUDGED))
+def resolves(t: Tables) -> DataFrame:
+    """Hosts of two pages with the resolved addresses of both, of both families; hosts without any are not public."""
+    own = F.concat(F.lit("https://h"), F.floor(F.col("page_id") / 2).cast("string"), F.lit("."), ur.url_host("url"), F.lit("/x"))
+    urls = t.table("pages").select("page_id", own.alias("url"))
+    return ur.resolves_public(urls, page_addresses(t).select("host", "address")).select("page_id", "resolves_public")
 
 
 @query("str_18_on_board_host", s.sql("""

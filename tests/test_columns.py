@@ -1,8 +1,11 @@
 """Inline rows for what the given tables lack."""
 
+import ipaddress
+
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import fixed
 from gleaner.functions import dates, html, keys, location, text, urls
 from gleaner.operators.profile import Profile, stem_cyrillic, stem_column
 from gleaner.operators.scoring import score_text
@@ -163,3 +166,32 @@ def test_same_site_stops_below_the_public_suffix(spark):
     ok = lambda a, b: value(spark, urls.same_site(L(a), L(b)))
     assert ok("https://dou.ua/x", "https://jobs.dou.ua/y") and ok("https://a.jobs.dou.ua/", "https://jobs.dou.ua/")
     assert not ok("https://ua/", "https://jobs.dou.ua/") and not ok("https://co/", "https://djinni.co/") and not ok("http://jobs.dou.ua/", "https://jobs.dou.ua/")
+
+
+@pytest.mark.parametrize("address", [
+    "::", "::1", "::2", "::127.0.0.1", "1::", "2001:4860:4860::8888", "2001:4860:4860:0:0:0:0:8888", "2002:c000:204::1", "2003::", "fbff::", "fc00::", "fdff:1::2", "fe00::", "fe80::1%eth0",
+    "febf::", "fec0::1", "feff::", "FF02::1", "::ffff:10.0.0.1", "::FFFF:8.8.8.8", "::ffff:a00:1", "::ffff:808:808", "64:ff9b::7f00:1", "64:ff9b::8.8.8.8", "64:ff9b::192.168.1.1",
+    "64:ff9b:1::7f00:1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:8.8.8.8", "2606:4700::6810:85e5",
+    "1:2:3", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "g::1", "12345::", ":1::2", "::ffff:300.1.1.1", ":", ":::", "10.0.0.1", "8.8.8.8", "1.2.3", "", None,
+])
+def test_private_addresses_of_both_families(spark, address):
+    def blocked4(ip):
+        return any(ip in ipaddress.ip_network(f"{n}/{b}") for n, b in fixed.PRIVATE_IPV4)
+
+    try:
+        ip = ipaddress.ip_address((address or "").split("%")[0])
+    except ValueError:
+        want, halves = True, (None, None)
+    else:
+        if ip.version == 4:
+            want = blocked4(ip)
+        else:
+            carried = any(ip in ipaddress.ip_network(n) for n in ("::ffff:0:0/96", "64:ff9b::/96"))
+            inner = ipaddress.IPv4Address(int(ip) & 0xFFFFFFFF)
+            want = blocked4(inner) if carried else any(ip in ipaddress.ip_network(f"{n}/{b}") for n, b in fixed.PRIVATE_IPV6)
+            halves = tuple(h - (1 << 64) if h >> 63 else h for h in (int(ip) >> 64, int(ip) & ((1 << 64) - 1)))
+    df = spark.createDataFrame([(address,)], "a string")
+    r = df.select(urls.is_private_address("a").alias("p"), urls.ipv6_halves("a").alias("h")).first()
+    assert r.p == want
+    if ":" in (address or ""):
+        assert tuple(r.h) == halves
