@@ -8,12 +8,16 @@ never gathered into one array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner import fixed
 from gleaner.operators.skew import first_rows, ranked
-from gleaner.session import cut_lineage
+from gleaner.session import cut_lineage, discard, scratch_folder
 
 
 def edges(keyed: DataFrame) -> DataFrame:
@@ -25,45 +29,78 @@ def edges(keyed: DataFrame) -> DataFrame:
     return keyed.select("seq", F.explode(F.array_compact(keys)).alias("key"))
 
 
-def components(keyed: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+#: Links that a task contracts at a time.
+CONTRACTED = 1_000_000
+
+
+def contract(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components that the links (a, b) at hand make, each node but its smallest with that one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, chunk):
+            held.append(batch.slice(at, chunk))
+            if sum(b.num_rows for b in held) >= chunk:
+                yield _stars(held)
+                held = []
+    yield _stars(held)
+
+
+def _stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.empty(0, np.int64), *(h.column(i).to_numpy() for h in held)]) for i in (0, 1))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = ends[: len(a)], ends[len(a) :]
+    # every round hooks both ends of a link, and what they point to, to the smaller pointer, and follows pointers to their end
+    label, before = np.arange(len(nodes)), None
+    while before is None or not np.array_equal(before, label):
+        before = label.copy()
+        low = np.minimum(before[one], before[two])
+        for at in (before[one], before[two], one, two):
+            np.minimum.at(label, at, low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["node", "root"])
+
+
+def components(keyed: DataFrame, chunk: int = CONTRACTED) -> DataFrame:
     """(seq, component): postings that share a loose key or a link, transitively; component = lowest seq.
 
-    Each key is replaced by the lowest seq that carries it (its head), so the loop moves longs only, and
-    postings whose keys are theirs alone never enter it. A round takes the lowest label over every head,
-    jumps from it to that label's own label, and hands the result back to the postings. Heads with more
-    than ``hot_rows`` postings are handed back in slices of about that size.
+    Each key is replaced by the lowest seq that carries it, so the loop moves longs only, and postings whose keys are
+    theirs alone never enter it. In a round every task contracts the links that it holds to stars; a node takes the
+    smallest of its roots, its other roots are linked to that one, and the node points to where that one points. Nodes that
+    none points to are settled and leave, so each round has fewer links; they get their component on the way back. No node
+    is ever gathered with its neighbours, however many it has.
     """
+    spark = keyed.sparkSession
+    folder = scratch_folder(spark)
     pairs = edges(keyed)
-    heads = (
-        pairs.groupBy("key").agg(F.min("seq").alias("head"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("key", "head", F.ceil(F.col("n") / hot_rows).cast("int").alias("slices"))
-    )
-    found = pairs.join(heads, "key").groupBy("seq", "head").agg(F.max("slices").alias("slices"))
-    links = cut_lineage(found.withColumn("slice", F.pmod(F.xxhash64("seq"), F.col("slices")).cast("int")))
-    sliced = links.select("head", "slice").distinct()
-    labels = cut_lineage(links.groupBy("seq").agg(F.min("head").alias("label")))
-    size = _size(labels)
-
-    def hop(labels: DataFrame) -> DataFrame:
-        low = links.join(labels, "seq").groupBy("head").agg(F.min("label").alias("label"))
-        own = labels.select(F.col("seq").alias("label"), F.col("label").alias("low"))
-        jumped = low.join(own, "label").select("head", "low").join(sliced, "head")
-        return links.join(jumped, ["head", "slice"]).groupBy("seq").agg(F.min("low").alias("label"))
-
-    before = None
-    while before != size:
-        labels = cut_lineage(hop(hop(labels)))
-        # Labels only ever fall, so an unchanged total means an unchanged table.
-        before, size = size, _size(labels)
-    return keyed.select("seq").join(labels, "seq", "left").select(
+    heads = pairs.groupBy("key").agg(F.min("seq").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
+    links = pairs.join(heads, "key").filter("seq <> head").select(F.col("seq").alias("a"), F.col("head").alias("b"))
+    settled: list[DataFrame] = []
+    while True:
+        stars = links.mapInArrow(lambda batches: contract(batches, chunk), "node bigint, root bigint")
+        least = Window.partitionBy("node")  # a node is in as many stars as chunks of links held it
+        rooted = cut_lineage(stars.withColumn("low", F.min("root").over(least)), folder)
+        own = rooted.filter("root = low").select("node", "low").distinct()
+        above = own.select(F.col("node").alias("low"), F.col("low").alias("top"))
+        pointed = rooted.select(F.col("root").alias("node")).distinct()
+        jumped = own.join(above, "low", "left").select("node", F.coalesce("top", "low").alias("low"))
+        settled.append(jumped.join(pointed, "node", "left_anti"))
+        apart = rooted.filter("root <> low").select(F.col("root").alias("a"), F.col("low").alias("b"))
+        links = cut_lineage(jumped.join(pointed, "node", "left_semi").select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(apart).distinct(), folder)
+        if links.isEmpty():
+            break
+    labels = settled.pop()
+    for layer in reversed(settled):
+        tops = labels.select(F.col("node").alias("low"), F.col("low").alias("top"))
+        labels = labels.unionByName(layer.join(tops, "low", "left").select("node", F.coalesce("top", "low").alias("low")))
+    labels = cut_lineage(labels)
+    discard(spark, folder)
+    return keyed.select("seq").join(labels.withColumnsRenamed({"node": "seq", "low": "label"}), "seq", "left").select(
         "seq", F.coalesce("label", "seq").alias("component")
     )
 
 
-def _size(labels: DataFrame):
-    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-
-
 def keeper_sources(grouped: DataFrame) -> DataFrame:
     """(component, keeper_source, k, n): the source with most records; a tie goes to the longest text's, else the first seen."""
     per_source = grouped.groupBy("component", "source").agg(
@@ -88,15 +125,12 @@ def fold_plan(grouped: DataFrame, width: int = 100_000) -> DataFrame:
 
     ``grouped`` = postings with their component. Components of one row take the short way.
     """
-    choice = keeper_sources(grouped)
-    slim = grouped.select("seq", "component", "source")
-    marked = slim.join(choice, "component").withColumn(
-        "role", F.when(F.col("source") == F.col("keeper_source"), "keeper").otherwise("copy")
-    )
-    single = marked.filter(F.col("n") == 1).select(
-        "component", "seq", F.lit("keeper").alias("role"), F.col("seq").alias("keeper_seq")
-    )
-    several = marked.filter(F.col("n") > 1).select("component", "seq", "role", "k")
+    choice = keeper_sources(grouped).filter("n > 1").drop("n")
+    role = F.when(F.col("source") == F.col("keeper_source"), "keeper").when(F.col("keeper_source").isNotNull(), "copy")
+    # narrow, and read by every branch below: written once
+    marked = cut_lineage(grouped.select("seq", "component", "source").join(choice, "component", "left").select("component", "seq", role.alias("role"), "k"))
+    single = marked.filter("role IS NULL").select("component", "seq", F.lit("keeper").alias("role"), F.col("seq").alias("keeper_seq"))
+    several = marked.filter("role IS NOT NULL")
     numbered = ranked(several, ["component", "role"], _chunk(width), [F.col("seq")], "i")
     keepers = numbered.filter(F.col("role") == "keeper").select(
         "component", (F.col("i") - 1).alias("slot"), F.col("seq").alias("keeper_seq")

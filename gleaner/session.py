@@ -39,9 +39,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back: computed once, survives the loss of any executor."""
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write to the shared checkpoint folder and read back: computed once, survives the loss of any executor.
+
+    ``folder``, from ``scratch_folder``, gathers the tables of one run, so that they can be discarded together.
+    """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Take a scratch folder away, once nothing that reads its tables is left."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

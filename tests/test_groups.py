@@ -1,5 +1,6 @@
 """Resolution and grouped windows against brute force, with one group that holds a third of all rows."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.operators import dedup, skew
+from gleaner.session import cut_lineage
 
 
 def skewed(spark, n=3000):
@@ -82,17 +84,42 @@ def postings(n=1500):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
-def test_components(spark, hot_rows):
+@pytest.mark.parametrize("chunk", [dedup.CONTRACTED, 50, 1])
+def test_components(spark, chunk):
     rows = postings()
-    got = dict(dedup.components(keyed(spark, rows), hot_rows).collect())
+    got = dict(dedup.components(keyed(spark, rows), chunk).collect())
     assert got == brute_groups(rows)
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("chunk", [dedup.CONTRACTED, 3])
+def test_components_of_a_long_chain(spark, chunk):
     n = 400
     rows = [(i, f"c{i // 2}", f"l{(i + 1) // 2}", "s", 1) for i in range(n)]
-    assert set(dict(dedup.components(keyed(spark, rows)).collect()).values()) == {0}
+    random.Random(1).shuffle(rows)
+    assert set(dict(dedup.components(keyed(spark, rows), chunk).collect()).values()) == {0}
+
+
+def test_components_leave_one_table_and_shrink(spark, tmp_path, monkeypatch):
+    """Links fall from round to round, and a run takes the tables of its rounds away."""
+    sizes, folders = [], []
+
+    def cut(df, folder=None):
+        out = cut_lineage(df, folder)
+        if folder and out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        folders.append(folder)
+        return out
+
+    monkeypatch.setattr(dedup, "cut_lineage", cut)
+    rows = [(i, f"c{i // 2}", f"l{(i + 1) // 2}", "s", 1) for i in range(200)]
+    assert dedup.components(keyed(spark, rows), 4).count() == 200
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 0 and len(sizes) > 2
+    assert not os.path.exists(folders[0].removeprefix("file:")) and folders[-1] is None
+
+
+def test_components_of_nothing(spark):
+    assert dedup.components(keyed(spark, []).limit(0)).count() == 0
+    assert dict(dedup.components(keyed(spark, [(3, "a", "", "s", 1), (1, "b", "", "s", 1)])).collect()) == {3: 3, 1: 1}
 
 
 def brute_plan(rows, comp):
