@@ -13,23 +13,40 @@ from gleaner import fixed
 from gleaner.functions.text import injection_markers, screening_block, text_or_blank
 
 
-def numeric_score(c) -> Column:
-    """Digits, optionally with decimals; anything else is no score (NULL is not 0)."""
+def numeric_score(c, number: Column | None = None) -> Column:
+    """Digits, optionally with decimals; anything else is no score (NULL is not 0).
+
+    Where ``number`` says that the answer held a number and not a string, any finite number is a score, negative ones too.
+    """
     s = F.trim(F.col(c) if isinstance(c, str) else c)
-    return F.when(s.rlike(r"^[0-9]{1,15}(\.[0-9]+)?$"), s.cast("double"))
+    digits = F.when(s.rlike(r"^[0-9]{1,15}(\.[0-9]+)?$"), s.cast("double"))
+    if number is None:
+        return digits
+    value = s.try_cast("double")
+    return F.when(F.coalesce(number, F.lit(False)), F.when(F.abs(value) < float("inf"), value)).otherwise(digits)
+
 
+def answer_score(answer) -> tuple[Column, Column]:
+    """(score as text, whether it is a JSON number) of a judge's JSON answer; an answer that is no JSON has neither."""
+    found = F.try_variant_get(F.try_parse_json(answer), "$.score", "variant")
+    kind = F.schema_of_variant(found)
+    return F.try_variant_get(F.try_parse_json(answer), "$.score", "string"), kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
-def bound_score(c) -> Column:
+
+def bound_score(c, number: Column | None = None) -> Column:
     """Half-up rounding, clamped to 0..100; no score stays NULL (least and greatest would skip it)."""
-    n = numeric_score(c)
+    n = numeric_score(c, number)
     return F.when(n.isNotNull(), F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), n)) + 0.5).cast("int"))
 
 
 def bound_verdicts(raw: DataFrame) -> DataFrame:
-    """(id, llm_score, why, red_flags, cover, model): only these fields, bounded; no score, no verdict."""
+    """(id, llm_score, why, red_flags, cover, model): only these fields, bounded; no score, no verdict.
+
+    A column ``number``, if there, says which scores were numbers in the answer, not strings.
+    """
     return raw.select(
         "id",
-        bound_score("score").alias("llm_score"),
+        bound_score("score", F.col("number") if "number" in raw.columns else None).alias("llm_score"),
         F.left(text_or_blank("why"), F.lit(fixed.WHY_CAP)).alias("why"),
         F.transform(
             F.slice(F.coalesce("red_flags", F.array().cast("array<string>")), 1, fixed.FLAGS_CAP),

@@ -137,17 +137,23 @@ def sql_text(e: str, blocks: bool) -> str:
     return rf"trim(regexp_replace({e}, '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
+_BLANKS = r"[\s\p{Z}\x{FEFF}\x{0085}\x{000B}]+"
+
+
 @query("src_09_html_to_text", f"SELECT page_id, {sql_text('html', True)} AS page_text FROM pages")
 def page_text(t: Tables) -> DataFrame:
     return t.table("pages").select("page_id", hm.html_page_text("html").alias("page_text"))
 
 
-@query("src_09_numeric_entities", """
-SELECT doc_id, first || ' < 5000 &lt; € A <b> ' || 'é' AS decoded FROM (SELECT doc_id, coalesce(w[1], '') AS first FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents))""")
+@query("src_09_numeric_entities", rf"""
+SELECT doc_id, md5(trim(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')) || ' < 5000 &lt; € A <b> ' || 'é')) AS decoded_md5, length(text) AS n FROM documents""")
 def numeric_entities(t: Tables) -> DataFrame:
-    word = F.regexp_extract("text", r"^\s*(\S+)", 1)
-    html = F.concat(F.lit("<p title='a > b'>"), F.replace(word, F.lit("&"), F.lit("&amp;")), F.lit("</p>< 5000 &amp;lt; &#8364;&#x20;&#65; &#60;b&#62; &#xe9;"))
-    return t.table("documents").select("doc_id", hm.html_to_text(html).alias("decoded"))
+    """Every document escaped as HTML text, in a tag with a quoted bracket, between entities of each kind."""
+    text = F.col("text")
+    for plain, escaped in (("&", "&amp;"), ("<", "&#60;"), (">", "&#x3E;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    html = F.concat(F.lit("<p title='a > b'>"), text, F.lit("</p>< 5000 &amp;lt; &#8364;&#x20;&#65; &#60;b&#62; &#xe9;"))
+    return t.table("documents").select("doc_id", F.md5(hm.html_to_text(html)).alias("decoded_md5"), F.length("text").cast("bigint").alias("n"))
 
 
 @query("src_06_best_link", """
@@ -267,7 +273,7 @@ _UK = ["січня", "лютого", "березня", "квітня", "трав
 
 
 @query("src_14_month_name_date", f"""
-SELECT o_orderkey AS seq, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN full_day BETWEEN DATE '2000-01-01' AND DATE '2001-06-02' THEN full_day END
+SELECT o_orderkey AS seq, strftime(CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN full_day BETWEEN DATE '2000-01-02' AND DATE '2001-06-02' THEN full_day END
   WHEN m = 2 AND d = 29 THEN DATE '2000-02-29' WHEN make_date(2001, m, d) <= DATE '2001-06-02' THEN make_date(2001, m, d) ELSE make_date(2000, m, d) END, '%Y-%m-%d') AS local_day
 FROM (SELECT o_orderkey, o_orderdate::DATE AS full_day, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)""")
 def month_names(t: Tables) -> DataFrame:
@@ -312,19 +318,27 @@ _PLACES = ["100% Remote or Ukraine (Remote)", "Ukraine — remote", "Remote-firs
 _PLACED = ["Ukraine", "Ukraine", "Kyiv and Lviv", "Poland", "Warsaw", "Worldwide"]
 
 
+_HEADED = f"trim(word || ' ' || {s.items(_PLACED)}[1 + k % 6])"
+
+
 @query("src_20_place_of", s.sql(f"""
-SELECT doc_id AS seq, trim(w[1] || ' ' || {s.items(_PLACED)}[1 + doc_id % 6]) AS place, CASE WHEN doc_id % 2 = 0 THEN 'Office' ELSE 'Remote' END || ' · ' ||
-  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 6 = 5 THEN 'Worldwide' ELSE 'Worldwide, ' || trim(w[1] || ' ' || {s.items(_PLACED)}[1 + doc_id % 6]) END ELSE trim(w[1] || ' ' || {s.items(_PLACED)}[1 + doc_id % 6]) END AS location
-FROM (SELECT doc_id, [regexp_extract(coalesce(w[1], ''), '^[a-zA-Z]+')] AS w FROM words)""", "words"))
+SELECT place, location, count(*) AS n FROM (SELECT {_HEADED} AS place, CASE WHEN k % 2 = 0 THEN 'Office' ELSE 'Remote' END || ' · ' ||
+  CASE WHEN k % 3 = 0 THEN CASE WHEN k % 6 = 5 THEN 'Worldwide' ELSE 'Worldwide, ' || {_HEADED} END ELSE {_HEADED} END AS location FROM each_word) GROUP BY ALL""", "words",
+    each_word="SELECT doc_id AS k, unnest(list_transform(w, lambda x: regexp_extract(x, '^[a-zA-Z]+'))) AS word FROM words"))
 def places(t: Tables) -> DataFrame:
-    """Location fields with a word of the document in front of a place that carries format words."""
-    word = F.regexp_extract(F.regexp_extract("text", r"^\s*(\S+)", 1), "^[a-zA-Z]+", 0)
+    """Location fields with each word of every document in front of a place that carries format words.
+
+    Words repeat, so they are counted first and each field is taken apart once."""
     k = F.col("doc_id")
-    d = t.table("documents").withColumn(
-        "raw", F.concat(word, F.lit(" "), F.element_at(F.array(*map(F.lit, _PLACES)), (k % 6 + 1).cast("int")))
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    each = t.table("documents").select((k % 6).alias("k"), F.explode(words).alias("word")).select("k", F.regexp_extract("word", "^[a-zA-Z]+", 0).alias("word"))
+    d = each.groupBy("k", "word").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "raw", F.concat("word", F.lit(" "), F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("k") + 1).cast("int")))
     )
-    return d.select(k.alias("seq"), loc.place_of("raw").alias("place"),
-                    loc.compose_location("raw", F.when(k % 2 == 0, "No").otherwise("Yes"), F.when(k % 3 == 0, "Yes").otherwise("")).alias("location"))
+    k = F.col("k")
+    placed = d.select(loc.place_of("raw").alias("place"), "n",
+                      loc.compose_location("raw", F.when(k % 2 == 0, "No").otherwise("Yes"), F.when(k % 3 == 0, "Yes").otherwise("")).alias("location"))
+    return placed.groupBy("place", "location").agg(F.sum("n").alias("n"))
 
 
 @query("fil_02_forbids_country", "SELECT doc_id, doc_id % 4 IN (0, 3) OR (doc_id % 4 = 2 AND regexp_matches(lower(text), 'ukrain|україн|украин')) AS forbids FROM documents")

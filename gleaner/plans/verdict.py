@@ -162,12 +162,12 @@ def raw_verdicts(t: Tables) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"), score.alias("score"), F.col("text").alias("why"),
         F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 14 + 1).cast("int")), lambda i: F.col("text")).alias("red_flags"),
-        F.lit(None).cast("string").alias("cover"), F.lit("m").alias("model"),
+        F.lit(None).cast("string").alias("cover"), F.lit("m").alias("model"), (F.col("doc_id") % 2 == 0).alias("number"),
     )
 
 
 @query("str_23_bound_verdict", """
-SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN least(100, floor(doc_id % 300 + 1))::INT WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE least(100, doc_id % 120)::INT END AS llm_score,
+SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN least(100, floor(doc_id % 300 + 1))::INT WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 0 END WHEN 3 THEN NULL ELSE least(100, doc_id % 120)::INT END AS llm_score,
   md5(left(text, 300)) AS why_md5, least(10, doc_id % 14 + 1)::INT AS flags, least(10, doc_id % 14 + 1) * length(left(text, 200)) AS flag_chars FROM documents""")
 def bounded(t: Tables) -> DataFrame:
     b = vd.bound_verdicts(raw_verdicts(t))
@@ -175,16 +175,19 @@ def bounded(t: Tables) -> DataFrame:
                     F.length(F.array_join("red_flags", "")).cast("bigint").alias("flag_chars"))
 
 
-@query("udf_02_injected_judge")
+@query("udf_02_injected_judge", s.sql(rf"""
+SELECT seq, n % 5 = 0 AS failed, CASE WHEN n % 5 <> 0 THEN CASE WHEN n % 3 = 0 THEN 0 ELSE n % 101 END END::INT AS llm_score FROM (
+  SELECT seq, length('Title: ' || trim(title) || chr(10) || 'Company: ' || coalesce(nullif(company, ''), 'unknown') || chr(10) || 'Location: ' || location || chr(10) || 'Description:' || chr(10) || text) AS n
+  FROM matches ORDER BY score DESC, seq LIMIT {BUDGET})""", "scored", matches=_MATCHES))
 def judge(t: Tables) -> DataFrame:
-    """The caller's judge on the budgeted matches; here a stub that scores by block length and fails on some."""
+    """The caller's judge on the budgeted matches; here a stub that scores by block length, below 0 too, and fails on some."""
     def stub(prompt: str) -> str | None:
         if len(prompt) % 5 == 0:
             raise TimeoutError("no answer")
-        return f'{{"score": {len(prompt) % 101}}}'
+        return f'{{"score": {-3 if len(prompt) % 3 == 0 else len(prompt) % 101}}}'
 
     answers = vd.judge_with(matches(t), stub, BUDGET, 3)
-    return answers.select("seq", "failed", vd.bound_score(F.get_json_object("answer", "$.score")).alias("llm_score"))
+    return answers.select("seq", "failed", vd.bound_score(*vd.answer_score("answer")).alias("llm_score"))
 
 
 @query("snk_03_append_alt_links", s.sql("""
