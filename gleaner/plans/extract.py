@@ -10,6 +10,7 @@ from gleaner.operators.health import outages, search_yield
 from gleaner.operators.inbox import unread_threads
 from gleaner.plans import sqlviews as s
 from gleaner.plans.registry import query
+from gleaner.plans.text import sql_text
 from gleaner.plans.views import NOW, Tables, shown, stamp
 from gleaner.sources import feeds, pages, records
 
@@ -148,16 +149,36 @@ def jsonld(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", F.when(text == "", "").otherwise(F.md5(text)).alias("text_md5"))
 
 
-@query("src_08_div_block", f"""SELECT page_id, '<div><!-- -->page ' || page_id || '<div>' || 'deep</div></div>' AS inner_html, md5(html) AS page_md5 FROM pages""".replace("<!-- -->", ""))
+_STRIPPED = "regexp_replace(html, '(?is)<!--(?:>|->|.*?-->)|<script\\b.*?</script[^>]*>|<style\\b.*?</style[^>]*>', '', 'g')"
+_PARTS = {"part": f"SELECT page_id, url, {_STRIPPED} AS html FROM pages"}
+
+
+@query("src_08_div_block", s.sql("SELECT page_id, md5('<div>' || html || '</div>') AS inner_md5, length(html) + 11 AS n, regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS ad FROM part", **_PARTS))
 def div_block(t: Tables) -> DataFrame:
-    """Every page wrapped in a description block with nested divs, behind a script that holds stray tags."""
+    """Every page inside a description block, behind a script that holds stray tags; and the advert block of the page itself."""
     wrapped = F.concat(
-        F.lit('<script>"</div><div class=job-post__description>"</script><div class="a"><div class="b job-post__description c"><div>page '),
-        F.col("page_id").cast("string"), F.lit("<div>deep</div></div><!-- </div> --></div></div>"), F.col("html"),
+        F.lit('<script>"</div><div class=job-post__description>"</script><div class="a"><div class="b job-post__description c"><div>'),
+        F.col("html"), F.lit("</div><!-- </div> --></div></div><div>tail</div>"),
     )
-    return t.table("pages").withColumn("w", wrapped).select(
-        "page_id", pages.div_block_of(F.col("w"), "job-post__description").alias("inner_html"), F.md5("html").alias("page_md5")
+    inner = t.table("pages").select(
+        "page_id", pages.div_block_of(wrapped, "job-post__description").alias("inner"), pages.div_block_of(F.col("html"), "ad").alias("ad")
     )
+    return inner.select("page_id", F.md5("inner").alias("inner_md5"), F.length("inner").cast("bigint").alias("n"), "ad")
+
+
+@query("src_08_page_blocks", s.sql("""
+SELECT page_id, tag, classes, depth, md5(inner_html) AS inner_md5, count(*) AS n FROM (
+  SELECT page_id, 'div' AS tag, 'outer' AS classes, 1 AS depth, '<ul><li>one' || '<li class="b">' || html || '</ul>' AS inner_html FROM part
+  UNION ALL SELECT page_id, 'li', '', 2, 'one' FROM part UNION ALL SELECT page_id, 'li', 'b', 2, html FROM part
+  UNION ALL SELECT page_id, 'div', 'ad', 3, unnest(regexp_extract_all(html, '(?s)<div class="ad">(.*?)</div>', 1)) FROM part
+  UNION ALL SELECT page_id, 'li', '', 3, unnest(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) FROM part) GROUP BY ALL""", **_PARTS))
+def page_blocks(t: Tables) -> DataFrame:
+    """All blocks of every page by class and depth; the page stands in an unclosed list item of a list in a block."""
+    wrapped = F.concat(F.lit('<div class="outer"><ul><li>one<li class="b">'), F.col("html"), F.lit("</ul></div></li>"))
+    p = t.table("pages").select("page_id", wrapped.alias("w"))
+    blocks = p.select("page_id", "w", F.explode(pages.page_blocks(F.col("w"))).alias("b"))
+    inner = pages.block_html(F.col("w"), F.col("b"))
+    return blocks.groupBy("page_id", "b.tag", "b.classes", "b.depth", F.md5(inner).alias("inner_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_10_decode_body", r"""
@@ -173,19 +194,24 @@ def decoded(t: Tables) -> DataFrame:
     return pages.decode_body(raw).select("doc_id", "charset", F.md5("html").alias("body_md5"))
 
 
-@query("src_22_card_fields", """
-SELECT page_id, 'Senior ' || page_id AS title, 'https://www.linkedin.com/jobs/view/' || page_id || '/' AS url FROM pages WHERE page_id % 4 <> 3 AND page_id % 5 <> 0""")
+_CARDS = {**_PARTS, "items": """SELECT page_id, url, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS ord FROM (SELECT *, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS items FROM part)""",
+    "cards": f"""SELECT page_id, ord, url, {sql_text('item', False)} AS title, regexp_extract(item, 'href="([^"]*)"', 1) AS href FROM items"""}
+
+
+@query("src_22_card_fields", s.sql("""
+SELECT page_id, ord, CASE WHEN length(title) % 2 = 0 AND left(title, length(title) // 2) = right(title, length(title) // 2) THEN left(title, length(title) // 2) ELSE title END AS title,
+  'https://www.linkedin.com' || split_part(href, '?', 1) AS url
+FROM cards WHERE page_id % 4 <> 3 AND title <> '' AND starts_with(href, '/')""", **_CARDS))
 def card_fields(t: Tables) -> DataFrame:
-    """Browser cards: doubled titles, relative and absolute links, links off the site, placeholders without a title."""
-    k, n = F.col("page_id"), F.col("page_id").cast("string")
-    title = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" Senior "), n, F.lit("Senior "), n, F.lit("\nVerified")))
-    title = F.regexp_replace(title, "^ ", "")
-    href = (
-        F.when(k % 4 == 0, F.concat(F.lit("/jobs/view/"), n, F.lit("/?trk=x"))).when(k % 4 == 3, F.col("url"))
-        .otherwise(F.concat(F.lit("https://www.linkedin.com/jobs/view/"), n, F.lit("/?ref=y")))
+    """List items of every page as cards: odd ones with a doubled title and a badge line, those of a quarter of the pages with a link off the site."""
+    found = pages.block_cards(t.table("pages").select("page_id", "url", "html")).withColumnRenamed("url", "page_url")
+    odd = F.col("ord") % 2 == 1
+    raw = found.select(
+        "page_id", "ord", F.when(odd & (F.col("title") != ""), F.concat("title", "title", F.lit("\nVerified"))).otherwise(F.col("title")).alias("title"),
+        F.when(F.col("page_id") % 4 == 3, F.col("page_url")).when(odd, F.concat("href", F.lit("?trk=x"))).otherwise(F.col("href")).alias("href"),
+        F.lit("Acme\nx").alias("company"), F.lit("Kyiv").alias("location"),
     )
-    raw = t.table("pages").select("page_id", title.alias("title"), href.alias("href"), F.lit("Acme\nx").alias("company"), F.lit("Kyiv").alias("location"))
-    return pages.card_rows(raw, "linkedin.com").select("page_id", "title", "url")
+    return pages.card_rows(raw, "linkedin.com").select("page_id", "ord", "title", "url")
 
 
 @query("src_23_crawl_frontier", """

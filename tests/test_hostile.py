@@ -1,5 +1,7 @@
 """Hostile values: none may end a job, and none may change the rows beside it."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,25 @@ def test_alert_sink_replaces_a_batch_that_runs_again(spark, tmp_path):
     query.awaitTermination()
     alert_sink(out)(spark.read.parquet(source), 0)
     assert spark.read.parquet(out).count() == 5
+
+
+@pytest.mark.parametrize(("html", "blocks"), [
+    ("", []), (None, []), ("no tags", []),
+    ('<div class="a">x<div>y</div>z</div>', [("div", "a", 1, "x<div>y</div>z"), ("div", "", 2, "y")]),
+    ("<ul><li>1<li class='b'>2<ul><li>3</ul></ul>", [("li", "", 1, "1"), ("li", "b", 1, "2<ul><li>3</ul>"), ("li", "", 2, "3")]),
+    ("</div></li><div>open", [("div", "", 1, "open")]),
+    ("<div>a<li>b</div>c", [("div", "", 1, "a<li>b"), ("li", "", 2, "b")]),
+    ('<div title="a" class="q">🙂</div><divx>n</divx>', [("div", "q", 1, "🙂")]),
+    ("<div>a<!-- </div> --><script>'</div>'</script>b</div>", [("div", "", 1, "ab")]),
+])
+def test_page_blocks(spark, html, blocks):
+    df = spark.createDataFrame([(html,)], "h string").select("h", F.explode(pages.page_blocks(F.col("h"))).alias("b"))
+    got = df.select("b.tag", "b.classes", "b.depth", pages.block_html(F.col("h"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == blocks
+
+
+@pytest.mark.parametrize("piece", ["<div>", "</div>", "<div></li>", "<li>", "<ul><li>", "<div class='a", "<div x=\""])
+def test_page_blocks_are_linear(spark, piece):
+    start = time.perf_counter()
+    assert spark.createDataFrame([(piece * 20_000,)], "h string").select(F.size(pages.page_blocks(F.col("h")))).first()[0] >= 0
+    assert time.perf_counter() - start < 20
