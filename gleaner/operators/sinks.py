@@ -16,7 +16,10 @@ from gleaner.sources.parts import PartTable
 
 
 def package_rows(accepted: DataFrame, now: Column) -> DataFrame:
-    """One typed row per accepted posting (scored, with verdict columns), ready to be written."""
+    """One typed row per accepted posting (scored, with verdict columns), ready to be written.
+
+    Further listings of the vacancy are rows of their own (``run.package_links``): there may be any number of them.
+    """
     blank = lambda c: F.coalesce(F.nullif(squeeze(c), F.lit("")), F.lit(fixed.BLANK_FIELD))
     flags = F.array_join("red_flags", "; ")
     why = F.concat_ws(" ", F.nullif(F.trim("why"), F.lit("")), F.when(F.size("red_flags") > 0, F.concat(F.lit("⚠ "), flags)))
@@ -28,6 +31,9 @@ def package_rows(accepted: DataFrame, now: Column) -> DataFrame:
         F.coalesce(F.nullif(F.array_join("matched_skills", ", "), F.lit("")), F.lit(fixed.BLANK_FIELD)).alias("matched_skills"),
         F.coalesce(F.nullif(F.array_join("penalties", ", "), F.lit("")), F.lit(fixed.BLANK_FIELD)).alias("penalties"),
         "llm_score", F.when(F.col("llm_score").isNotNull(), F.nullif(squeeze(why), F.lit(""))).alias("llm_why"), "tier", "reposts",
+        F.when(F.col("reposts").isNotNull(), F.nullif(squeeze("repost_url"), F.lit(""))).alias("reposted_from"),
+        F.when(F.col("llm_score").isNotNull(), F.nullif(squeeze("model"), F.lit(""))).alias("llm_model"),
+        F.when(F.col("marks") > 0, F.concat(F.lit("injection ("), F.col("marks").cast("string"), F.when(F.col("marks") == 1, " marker)").otherwise(" markers)"))).alias("llm_suspect"),
         F.lit(False).alias("archived"), F.to_date(now).alias("day"),
     )
 

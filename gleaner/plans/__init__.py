@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["score", "resolve", "gates", "verdict", "text", "extract", "lifecycle", "monitor", "serve", "inbox", "streams"]
+MODULES = ["score", "resolve", "gates", "verdict", "text", "extract", "lifecycle", "monitor", "serve", "inbox", "streams", "run"]
 
 
 def load_all() -> None:

@@ -12,7 +12,7 @@ from gleaner.operators.scoring import score_text
 from gleaner.operators.sinks import alt_links_after, package_rows
 from gleaner.plans import sqlviews as s
 from gleaner.plans.registry import query
-from gleaner.plans.text import inserted
+from gleaner.plans.text import _PAID, _PAY, inserted
 from gleaner.plans.views import MIN_SCORE, NOW, PROFILE, Tables, shown, stamp
 
 BUDGET = 15
@@ -87,20 +87,39 @@ def banner(t: Tables) -> DataFrame:
     return vd.banner_labels(written).select("seq", "title", "strength")
 
 
-@query("snk_01_package_rows", s.sql(rf"""
-SELECT seq, source, title, CASE WHEN trim(company) = '' THEN '—' ELSE company END AS company, location, url, CASE WHEN action = 'borderline' THEN 'borderline' END AS tier,
-  {s.shown('posted')} AS posted, score, coalesce(matched_role, '—') AS matched_role, coalesce(nullif(matched_skills, ''), '—') AS matched_skills,
-  coalesce(nullif(penalties, ''), '—') AS penalties, llm_score, 'en' AS cover_language, '2024-02-01' AS day
+_PACKAGED = rf"""
+seq, source, title, CASE WHEN trim(company) = '' THEN '—' ELSE company END AS company, location, url, {s.items([p or "" for p in _PAID])}[1 + seq % 7] AS pay,
+  CASE WHEN action = 'borderline' THEN 'borderline' END AS tier, {s.shown('posted')} AS posted, {s.shown('relisted')} AS relisted, {s.shown('updated')} AS updated,
+  '{NOW}' AS generated, score, coalesce(matched_role, '—') AS matched_role, coalesce(nullif(matched_skills, ''), '—') AS matched_skills,
+  coalesce(nullif(penalties, ''), '—') AS penalties, llm_score, CASE WHEN llm_score IS NOT NULL THEN 'm' || (seq % 2) END AS llm_model,
+  CASE WHEN suspect THEN CASE WHEN seq % 2 = 0 THEN 'injection (1 marker)' ELSE 'injection (2 markers)' END END AS llm_suspect,
+  CASE WHEN llm_score IS NOT NULL THEN 'fits ' || seq || CASE WHEN seq % 3 = 0 THEN ' ⚠ short; odd' ELSE '' END END AS llm_why, 'en' AS cover_language, false AS archived, '2024-02-01' AS day"""
+
+
+def packaged(accepted: DataFrame) -> DataFrame:
+    """Package rows of accepted matches; a pay phrase behind each text, reasons and flags by seq."""
+    k = F.col("seq")
+    phrase = F.element_at(F.array(*map(F.lit, _PAY)), (k % 7 + 1).cast("int"))
+    told = accepted.withColumns({
+        "text": F.concat("text", F.lit(" | "), phrase, F.lit(" | ")), "why": F.concat(F.lit("  fits "), k.cast("string"), F.lit("\n")),
+        "red_flags": F.when(k % 3 == 0, F.array(F.lit("short"), F.lit("odd"))).otherwise(F.array().cast("array<string>")),
+        "model": F.concat(F.lit("m"), (k % 2).cast("string")), "marks": F.when(F.col("suspect"), (k % 2 + 1).cast("int")).otherwise(0),
+    })
+    dated = {c: shown(c) for c in (*fixed.DATE_KINDS, "generated")}
+    rows = package_rows(told, stamp(NOW)).withColumns({**dated, "day": F.date_format("day", "yyyy-MM-dd")})
+    return rows.withColumn("pay", F.coalesce("salary", F.lit(""))).drop("salary")
+
+
+@query("snk_01_package_rows", s.sql(f"""
+SELECT {_PACKAGED}, CASE WHEN seq % 4 = 0 THEN (seq % 5 + 1)::INT END AS reposts, CASE WHEN seq % 4 = 0 THEN url || 'old' END AS reposted_from
 FROM decided WHERE action IN ('write', 'borderline')""", "scored", "verdicts", **_GATE))
 def packages(t: Tables) -> DataFrame:
+    """Every column of the package rows; a quarter of them are re-listings."""
+    again = F.col("seq") % 4 == 0
     accepted = vd.verdict_gate(judged(t), 70, 50).filter("action IN ('write', 'borderline')").withColumns({
-        "why": F.lit("fits"), "red_flags": F.array(F.lit("none")), "reposts": F.lit(None).cast("int"),
+        "reposts": F.when(again, (F.col("seq") % 5 + 1).cast("int")), "repost_url": F.concat("url", F.lit("old")),
     })
-    rows = package_rows(accepted, stamp(NOW))
-    return rows.select(
-        "seq", "source", "title", "company", "location", "url", "tier", shown("posted").alias("posted"), "score", "matched_role",
-        "matched_skills", "penalties", "llm_score", "cover_language", F.date_format("day", "yyyy-MM-dd").alias("day"),
-    )
+    return packaged(accepted)
 
 
 # ---- text aimed at the screener --------------------------------------------------
