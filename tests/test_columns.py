@@ -9,6 +9,7 @@ from gleaner import fixed
 from gleaner.functions import dates, html, keys, location, text, urls
 from gleaner.operators.profile import Profile, stem_cyrillic, stem_column
 from gleaner.operators.scoring import score_text
+from gleaner.sources import pages
 
 L = F.lit
 
@@ -195,3 +196,14 @@ def test_private_addresses_of_both_families(spark, address):
     assert r.p == want
     if ":" in (address or ""):
         assert tuple(r.h) == halves
+
+
+@pytest.mark.parametrize(("header", "head", "charset"), [
+    (None, "", "utf-8"), ("text/html; charset=UTF-8", '<meta charset="koi8-u">', "utf-8"), (None, "<meta charset=KOI8-U>", "koi8-u"),
+    (None, '<meta http-equiv="Content-Type" content="text/html; charset=windows-1251"/>', "windows-1251"),
+    (None, "<?xml version='1.0' encoding='koi8-r'?><rss>", "koi8-r"), (None, '<?xml version="1.0" encoding="koi8-r"?><meta charset="koi8-u">', "koi8-u"),
+    (None, '<meta name="x"><meta charset=koi8-r><meta charset=koi8-u>', "koi8-r"), ("text/html", "<p charset=koi8-u>", "utf-8"), (None, "<meta charset", "utf-8"),
+])
+def test_charset_of_header_and_head(spark, header, head, charset):
+    df = spark.createDataFrame([(header, head)], "t string, h string")
+    assert df.select(pages.charset_of(F.col("t"), F.col("h"))).first()[0] == charset
