@@ -9,60 +9,83 @@ these numbers over a whole text, word by word.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
+import re
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Memo, bounded_ids, fold, table, texts
+from gleaner.llm.common import bounded_ids, fold, table, texts
 from gleaner.llm.registry import query
-from gleaner.llm.words import byte_words
 from gleaner.session import cut_lineage
 
 #: Bound of the model: labelled rows it learns from, those with the smallest hash of their id.
 EXAMPLES = 4000
-#: Buckets (a power of two), length of a vector, lengths of n-grams.
-BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 8, (3, 4)
+#: Buckets as a power of two, length of a vector, lengths of n-grams.
+BITS, DIMENSIONS, GRAMS = 17, 8, (3, 4)
+BUCKETS = 1 << BITS
 EPOCHS, RATE, SEED = 16, 4.0, 7
-REMEMBERED = 200_000
-#: The pair of a word and itself; no word holds a blank.
-REPEAT = b" "
-
-
-def features(word: bytes) -> Counter:
-    """Buckets of a word and of its character n-grams, with how often each occurs; the ends of a word count as characters."""
-    found = Counter([zlib.crc32(word) & (BUCKETS - 1)])
-    marked = f"<{word.decode()}>"
-    for n in GRAMS if word != REPEAT else ():
-        for i in range(len(marked) - n + 1):
-            found[zlib.crc32(marked[i : i + n].encode(), n) & (BUCKETS - 1)] += 1
-    return found
-
-
-def words_of(text: str | None) -> dict[bytes, int]:
-    """Words of a whole text, and its repeats, with their counts."""
-    seen, last = Counter(), None
-    for words in byte_words(text):
-        seen.update(words)
-        repeats = sum(map(eq, words, words[1:])) + (words[:1] == [last])
-        if repeats:
-            seen[REPEAT] += repeats
-        last = words[-1] if words else last
-    return seen
-
-
-def counts_of(text: str | None, memo: Memo) -> dict[int, int]:
-    """Buckets of a whole text, with their counts; none for a text without words."""
-    out: Counter = Counter()
-    for word, times in words_of(text).items():
-        for bucket, n in memo[word].items():
-            out[bucket] += n * times
-    return out
+#: Characters read at a time, and where a text may be cut: the white space of the word contracts.
+STRETCH, BLANK = 1 << 18, re.compile(r"[\x20\x09-\x0D]")
+#: Odd multipliers of the hashes: of a word, of the places of an n-gram, of the last mix.
+WORD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+PLACES = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(32))) * MIX
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+#: The bucket of a word that stands behind itself.
+REPEAT = int(bucket(np.zeros(1, np.uint64) + WORD)[0])
+
+
+def buckets_in(text: str | None, stretch: int = STRETCH) -> Iterator[np.ndarray]:
+    """Buckets of the words of a whole text, of their n-grams (the ends of a word count as a blank) and of its repeats.
+
+    A stretch of whole words at a time; none for a text without words.
+    """
+    text, at, last = text or "", 0, None
+    while at < len(text):
+        m = BLANK.search(text, at + stretch)
+        end = m.start() if m else len(text)
+        codes = np.frombuffer(f" {text[at:end]} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        at = end
+        codes[(codes >= 9) & (codes <= 13)] = 32
+        blank = codes == 32
+        keep = ~blank
+        keep[1:] |= ~blank[:-1]  # one blank behind every word
+        keep[0] = True
+        codes, blank = codes[keep], blank[keep]
+        if len(codes) == 1:
+            continue
+        if blank[1]:
+            codes, blank = codes[1:], blank[1:]
+        edges = np.flatnonzero(blank)
+        sizes = np.diff(edges)  # a word and the blank before it
+        powers = np.cumprod(np.full(int(sizes.max()), WORD))
+        place = np.arange(len(codes) - 1) - np.repeat(edges[:-1], sizes)
+        words = np.add.reduceat(codes[:-1] * powers[place], edges[:-1])
+        yield bucket(words)
+        for n in GRAMS:
+            count = len(codes) - n + 1
+            if count > 0:
+                inside = ~blank[1 : 1 + count]
+                for k in range(2, n - 1):
+                    inside &= ~blank[k : k + count]
+                grams = sum((codes[k : k + count] * PLACES[k] for k in range(n)), np.zeros(count, np.uint64))
+                yield bucket(grams[inside] + np.uint64(n))
+        repeats = int((words[1:] == words[:-1]).sum()) + (last is not None and words[0] == last)
+        last = words[-1]
+        yield np.full(repeats, REPEAT, np.int32)
+
+
+def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text, ascending, with their counts."""
+    return np.unique(np.concatenate([np.empty(0, np.int32), *buckets_in(text)]), return_counts=True)
 
 
 class Model:
@@ -71,10 +94,13 @@ class Model:
     def __init__(self, adds: np.ndarray, bias: float):
         self.adds, self.bias = adds, bias
 
-    def word(self, word: bytes) -> tuple[float, int]:
-        """Sum and number of a word's features."""
-        found = features(word)
-        return sum(float(self.adds[b]) * n for b, n in found.items()), found.total()
+    def chance(self, text: str | None) -> float:
+        total, n = 0.0, 0
+        for found in buckets_in(text):
+            total += float(self.adds[found].sum())
+            n += len(found)
+        odds = self.bias + (total / n if n else 0.0)
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, odds))))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -109,7 +135,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, ra
         vectors[buckets] = own - np.outer(now * part, error @ layer)
         layer -= now * 0.05 * np.outer(error, mean)
         bias -= now * 0.005 * error
-    adds = np.where(seen, vectors @ (layer[1] - layer[0]), 0.0).astype(np.float32)
+    adds = np.where(seen, vectors @ (layer[1] - layer[0]), 0.0).astype(np.float64)
     return Model(adds, float(bias[1] - bias[0]))
 
 
@@ -127,10 +153,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", examples:
     kind = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(features, REMEMBERED)
         for batch in batches:
-            found = [sorted(counts_of(t, memo).items()) for t in texts(batch.column(2))]
-            columns = [pa.array([[pair[k] for pair in f] for f in found], kind) for k in (0, 1)]
+            found = [counts_of(t) for t in texts(batch.column(2))]
+            columns = [pa.array([f[k] for f in found], kind) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "label", "buckets", "counts"])
 
     sample = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
@@ -153,18 +178,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "quality")
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        memo = Memo(own.word, REMEMBERED)
         for batch in batches:
-            chances = []
-            for value in texts(batch):
-                total, n = 0.0, 0
-                for word, times in words_of(value).items():
-                    adds, number = memo[word]
-                    total += adds * times
-                    n += number * times
-                odds = own.bias + (total / n if n else 0.0)
-                chances.append(1 / (1 + math.exp(-min(50.0, max(-50.0, odds)))))
-            yield pa.array(chances, pa.float64())
+            yield pa.array([own.chance(t) for t in texts(batch)], pa.float64())
 
     return df.withColumn(out, run(F.col(text)))
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -42,8 +43,8 @@ def test_unseen_words_are_judged_by_their_parts(spark):
     assert got[0, asked[0][1]] > 0.5 > max(got[1, asked[1][1]], got[2, asked[2][1]], got[None, bad[0]])
     assert got[3, good[0]] == got[4, good[0]] and got[5, None] == got[6, ""] == got[7, " \n"] == 1 / (1 + math.exp(-model.bias))
     text = "stones " * 4 + "RIVER!! x"
-    want = quality.counts_of(text, quality.Memo(quality.features, 9))
-    odds = model.bias + sum(float(model.adds[b]) * n for b, n in want.items()) / sum(want.values())
+    buckets, counts = quality.counts_of(text)
+    odds = model.bias + float(model.adds[buckets] @ counts) / counts.sum()
     assert quality.score(made(spark, [(1, text)]), model, out="c").first().c == pytest.approx(1 / (1 + math.exp(-odds)))
 
 
@@ -65,11 +66,31 @@ def test_little_to_learn_from(spark, labels):
     assert quality.score(made(spark, []), model).count() == 0
 
 
-def test_features_are_words_parts_and_repeats(monkeypatch):
-    assert quality.words_of("a a b  b\nb c a") == {b"a": 3, b"b": 3, b"c": 1, quality.REPEAT: 3}
-    monkeypatch.setattr(quality, "byte_words", lambda text: iter([[b"a", b"b"], [b"b"], [], [b"b", b"c"]]))
-    assert quality.words_of("") == {b"a": 1, b"b": 3, b"c": 1, quality.REPEAT: 2}
-    assert quality.features("été".encode()).total() == 1 + 3 + 2 and quality.features(b"x" * 100_000).total() == 1 + 100_000 + 99_999
+def plain_buckets(text):
+    """The features one by one: words, n-grams with blank ends, repeats."""
+    mask, words = (1 << 64) - 1, re.findall(r"[^\x20\x09-\x0D]+", text)
+
+    def bucket(h):
+        return (((h ^ (h >> 32)) * int(quality.MIX)) & mask) >> (64 - quality.BITS)
+
+    out = []
+    for before, word in zip([None, *words], words):
+        marked, h, power = f" {word}", 0, 1
+        for c in marked:
+            power = power * int(quality.WORD) & mask
+            h = (h + ord(c) * power) & mask
+        out += [bucket(h), *([quality.REPEAT] if before == word else [])]
+        for n in quality.GRAMS:
+            grams = [f" {word} "[i : i + n] for i in range(len(word) + 3 - n)]
+            out += [bucket((sum(ord(c) * int(p) for c, p in zip(g, quality.PLACES)) + n) & mask) for g in grams]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("text", ["a", " a a b  b\nb c a ", "été Ünï\x0b\x1c🙂🙂 ok", "x" * 3000 + " x", "one two two three " * 50, "", " \t\n", "\n\nab"])
+def test_features_are_words_parts_and_repeats(text):
+    for stretch in (1, 7, quality.STRETCH):
+        found = [int(b) for part in quality.buckets_in(text, stretch) for b in part]
+        assert sorted(found) == plain_buckets(text)
 
 
 def test_op13_on_the_held_out_fold(spark, sf_dir):
