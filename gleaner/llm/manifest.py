@@ -196,7 +196,53 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda side: F.concat(side["before"], side["after"])), "")
 
 
-@query("op12_merkle_manifest")
+def _field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+_HEAD = " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars"]))
+_LOW = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def _tree(name: str, base: str) -> str:
+    """Nodes of all levels, and what lies beside each, of the nodes (grp, pos, total, digest)."""
+    beside = "string_agg(digest, '') OVER (PARTITION BY level, grp, pos // 16 ORDER BY pos ROWS BETWEEN"
+    return f"""{name}(level, grp, pos, total, digest) AS (SELECT 0, grp, pos, total, digest FROM {base}
+  UNION ALL SELECT level + 1, grp, pos // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE total > 1 GROUP BY level, grp, pos // 16, total),
+{name}_sides AS (SELECT *, coalesce({beside} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, coalesce({beside} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name} WHERE total > 1)"""
+
+
+def _walk(name: str, tree: str, base: str) -> str:
+    """From (id, grp, pos, fold, proof) up to the last node of the group; ``{name}_end`` holds the last row of each id."""
+    return f"""{name}(id, level, grp, pos, fold, proof) AS (SELECT id, 0, grp, pos, fold, proof FROM {base}
+  UNION ALL SELECT w.id, w.level + 1, w.grp, w.pos // 16, sha256(s.before || w.fold || s.after), w.proof || s.before || s.after
+  FROM {name} w JOIN {tree}_sides s ON s.level = w.level AND s.grp = w.grp AND s.pos = w.pos),
+{name}_end AS (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)"""
+
+
+#: The tree level by level; a group's name is told from no group by a letter before it.
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, sha256({_HEAD} || {_field("text")}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 5 = 0 THEN sha256({_HEAD} || {_field(_LOW)}) END AS tampered FROM documents
+), rows_ AS (
+  SELECT row_number() OVER () AS id, doc_id, leaf, tampered, CASE WHEN source IS NULL THEN 'a' ELSE 'b' || source END AS grp FROM leaves
+), based AS (
+  SELECT *, leaf AS digest, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS total FROM rows_
+), {_tree("tree", "based")},
+subroots AS (SELECT grp AS owner, digest, '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS total FROM tree WHERE total = 1),
+{_tree("upper", "subroots")},
+begun AS (SELECT id, grp, pos, coalesce(tampered, leaf) AS fold, '' AS proof FROM based),
+{_walk("low", "tree", "begun")},
+crossed AS (SELECT l.id, '' AS grp, s.pos, l.fold, l.proof FROM low_end l JOIN subroots s ON s.owner = l.grp),
+{_walk("high", "upper", "crossed")}
+SELECT b.doc_id, b.leaf, s.digest AS subroot, u.digest AS root, sha256(h.proof) AS proof_sha256, h.fold AS folded_root, h.fold = u.digest AS verified
+FROM based b JOIN high_end h USING (id) JOIN subroots s ON s.owner = b.grp, (SELECT digest FROM upper WHERE total = 1) u
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs of all documents, and whether a leaf of which some texts were tampered with still verifies."""
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
