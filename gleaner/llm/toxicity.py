@@ -26,8 +26,9 @@ from gleaner.llm.words import STRETCH
 from gleaner.session import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the model: labelled rows it learns from, and letters of a word that count.
-EXAMPLES, LETTERS = 20_000, 40
+BETWEEN = re.compile(r"[\W\d_]")
+#: Bound of the model: labelled rows it learns from.
+EXAMPLES = 20_000
 #: Word starts that are terms of their own.
 STARTS = (4, 5, 6, 7)
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
@@ -36,14 +37,16 @@ REMEMBERED = 200_000
 
 def terms_of(word: str) -> tuple[str, ...]:
     """The word and its starts (marked by a hyphen)."""
-    word = word[:LETTERS]
     return (word, *(f"{word[:n]}-" for n in STARTS if len(word) > n))
 
 
-def words_in(text: str | None) -> Iterator[list[str]]:
-    text = text or ""
-    for at in range(0, len(text), STRETCH):
-        yield WORD.findall(text[at : at + STRETCH].lower())
+def words_in(text: str | None, stretch: int = STRETCH) -> Iterator[list[str]]:
+    """Lists of lower-case letter runs of a whole text, cut between words."""
+    text, at = text or "", 0
+    while len(text) - at > stretch and (m := BETWEEN.search(text, at + stretch)):
+        yield WORD.findall(text[at : m.start()].lower())
+        at = m.start()
+    yield WORD.findall((text[at:] if at else text).lower())
 
 
 def terms_in(text: str | None, memo: Memo) -> Counter:
