@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,11 +23,26 @@ def fold(doc_id: str, folds: int) -> Column:
 def bounded_ids(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` distinct keys, those of the smallest hash: the same ones however the rows are dealt out.
 
-    Spark keeps the smallest ``limit`` per task before they meet, so this never sorts the table. The result holds
-    one long a row, ``limit`` rows: small enough to broadcast by construction.
+    Hashes are even, so the smallest lie under a threshold that the number of keys gives: what meets in the one last task is
+    little more than ``limit``, however many partitions there are. The result holds one long a row, ``limit`` rows: small
+    enough to broadcast by construction.
     """
-    keys = df.select(F.col(key).alias("_key")).filter("_key IS NOT NULL").distinct()
-    return keys.orderBy(F.xxhash64("_key"), "_key").limit(limit)
+    keys = df.select(F.col(key).alias("_key")).filter("_key IS NOT NULL").withColumn("_hash", F.xxhash64("_key"))
+    # rows, not distinct keys: where keys repeat the threshold may be too low, which is seen and mended below
+    share = min(1.0, (1.2 * limit + 1000) / max(1, keys.count()))
+    low = keys.filter(F.col("_hash") <= F.lit(int(-(2**63) + share * (2**64 - 1024)))) if share < 1 else keys
+    few = low.distinct()
+    if share < 1 and few.limit(limit).count() < limit:
+        few = keys.distinct()
+    return few.orderBy("_hash", "_key").limit(limit).select("_key")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it none of the columns'."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
@@ -34,6 +51,17 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
         yield column[i].as_py()
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Memory that earlier tasks of this worker freed, back to the system: a worker lives on and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 class Memo(dict):
     """Values by key, made on demand; holds ``limit`` keys at most, so that memory stays bounded.
 

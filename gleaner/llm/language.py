@@ -14,30 +14,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Memo, bounded_ids, fold, table, texts
+from gleaner.llm.common import Memo, bounded_ids, fold, give_back, table, texts
 from gleaner.llm.registry import query
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the model: training rows, known words and n-grams of each length per language.
 TRAIN_ROWS, TOP_WORDS, TOP_GRAMS, LONGEST = 50_000, 20_000, 5_000, 5
-#: Words a worker remembers; longer words than LONG are cut into stretches of that length.
-REMEMBERED, LONG = 400_000, 64
-#: Letters scored at a time.
-STRETCH = 1 << 20
+#: Words a worker remembers, and the longest of them.
+REMEMBERED, LONG = 100_000, 64
+#: Distinct words of a language that a task counts before it gives them out.
+PARTIAL = 50_000
+#: Characters scored at a time, and where a text may be cut.
+STRETCH, BETWEEN = 1 << 20, re.compile(r"[\W\d_]")
 UNKNOWN = "und"
 
 
-def words_in(text: str | None) -> Iterator[list[str]]:
-    """Lists of lower-case letter runs, one stretch of the text at a time, runs over LONG in parts."""
-    text = text or ""
-    for at in range(0, len(text), STRETCH):
-        found = WORD.findall(text[at : at + STRETCH].lower())
-        if found and max(map(len, found)) > LONG:
-            found = [w[i : i + LONG] for w in found for i in range(0, len(w), LONG)]
-        yield found
+def words_in(text: str | None, stretch: int = STRETCH) -> Iterator[list[str]]:
+    """Lists of lower-case letter runs, one stretch of the text at a time, cut between words."""
+    text, at = text or "", 0
+    while len(text) - at > stretch and (m := BETWEEN.search(text, at + stretch)):
+        yield WORD.findall(text[at : m.start()].lower())
+        at = m.start()
+    yield WORD.findall((text[at:] if at else text).lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -47,29 +48,36 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n, gram, seen): words have n = 0. Partial counts of one batch; the sums are Spark's."""
+    """(lang, n, gram, seen): words have n = 0. Partial counts, given out when a language has many words; the sums are Spark's."""
+    give_back()
+    words: dict[str, Counter] = {}
     for batch in batches:
-        words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
             own = words.setdefault(lang, Counter())
             for found in words_in(text):
                 own.update(found)
-        for lang, own in words.items():
-            for n in range(LONGEST + 1):
-                seen: Counter = own if n == 0 else Counter()
-                if n:
-                    for word, times in own.items():
-                        for gram in grams_of(word, n):
-                            seen[gram] += times
-                if seen:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(seen)), pa.array([n] * len(seen), pa.int32()), pa.array(list(seen.keys())),
-                         pa.array(list(seen.values()), pa.int64())], names=["lang", "n", "gram", "seen"],
-                    )
+            if len(own) > PARTIAL:
+                yield from _counted(lang, words.pop(lang))
+    for lang, own in words.items():
+        yield from _counted(lang, own)
+
+
+def _counted(lang: str, own: Counter) -> Iterator[pa.RecordBatch]:
+    for n in range(LONGEST + 1):
+        seen: Counter = own if n == 0 else Counter()
+        if n:
+            for word, times in own.items():
+                for gram in grams_of(word, n):
+                    seen[gram] += times
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(seen)), pa.array([n] * len(seen), pa.int32()), pa.array(list(seen.keys())),
+                 pa.array(list(seen.values()), pa.int64())], names=["lang", "n", "gram", "seen"],
+            )
 
 
 class Model:
-    """Log frequencies by word and n-gram, one value a language; bounded by TOP_WORDS and TOP_GRAMS."""
+    """Log frequencies by word and n-gram, a row of one value a language; bounded by TOP_WORDS and TOP_GRAMS."""
 
     def __init__(self, rows: list[tuple[str, int, str, int, int]]):
         self.languages = sorted({r[0] for r in rows})
@@ -77,24 +85,27 @@ class Model:
         total = np.ones((LONGEST + 1, len(place)))
         for lang, n, _, _, all_seen in rows:
             total[n, place[lang]] = all_seen
-        self.floor = np.log(0.5 / total)
-        self.known: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        floor = np.log(0.5 / total)
+        self.known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        for _, n, gram, _, _ in rows:
+            self.known[n].setdefault(gram, len(self.known[n]))
+        self.values = [np.repeat(floor[n : n + 1], len(own), axis=0) for n, own in enumerate(self.known)]
         for lang, n, gram, seen, _ in rows:
-            row = self.known[n].get(gram)
-            if row is None:
-                row = self.known[n][gram] = self.floor[n].copy()
-            row[place[lang]] = math.log(seen / total[n, place[lang]])
+            self.values[n][self.known[n][gram], place[lang]] = math.log(seen / total[n, place[lang]])
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a word in each language, relative to their mean, so that only differences count."""
-        row = self.known[0].get(word)
+        at = self.known[0].get(word)
+        if at is not None:
+            row = self.values[0][at]
+            return row - row.mean()
         for n in range(LONGEST, 0, -1):
-            if row is not None:
-                break
-            rows = [r for g in grams_of(word, n) if (r := self.known[n].get(g)) is not None]
-            if rows:
-                row = sum(rows[1:], rows[0]) / len(rows)
-        return np.zeros(len(self.languages)) if row is None else row - row.mean()
+            known = self.known[n]
+            found = [k for g in grams_of(word, n) if (k := known.get(g)) is not None]
+            if found:
+                row = self.values[n][found].sum(axis=0) / len(found)
+                return row - row.mean()
+        return np.zeros(len(self.languages))
 
 
 class Scorer:
@@ -102,32 +113,38 @@ class Scorer:
         self.model = model
         self.rows = Memo(lambda word: model.word(word).tobytes(), REMEMBERED)
 
-    def score(self, text: str | None) -> tuple[str, float]:
+    def score(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, probability, and whether the text has a letter."""
         n, sums = 0, np.zeros(len(self.model.languages))
         for words in words_in(text):
             n += len(words)
+            if words and max(map(len, words)) > LONG:  # judged whole, but not remembered
+                for word in words:
+                    if len(word) > LONG:
+                        sums += self.model.word(word)
+                words = [word for word in words if len(word) <= LONG]
             rows = np.frombuffer(b"".join(map(self.rows.__getitem__, words)))
             sums += rows.reshape(len(words), len(sums)).sum(axis=0)
         if not n or not self.model.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, n > 0
         weights = np.exp(sums - sums.max())
         best = int(np.argmax(sums))
-        return self.model.languages[best], float(1.0 / weights.sum())
+        return self.model.languages[best], float(1.0 / weights.sum()), True
 
 
 def train(
     df: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS,
     top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS,
 ) -> Model:
-    """Fit on at most ``rows`` ids of rows with a language, those of the smallest hash; counts are Spark aggregates.
+    """Fit on the texts of at most ``rows`` ids of rows with a language, those of the smallest hash; counts are Spark aggregates.
 
     Null texts, languages and ids teach nothing. Of equally frequent grams the lexically smaller stay. The model holds
     ``top_words`` words and ``top_grams`` n-grams of each length per language, so its size does not grow with the input.
     """
     named = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    named = named.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    ids = bounded_ids(named, "doc_id", rows)
-    sample = named.join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left_semi").select("lang", "text")
+    named = named.filter("lang IS NOT NULL AND doc_id IS NOT NULL")
+    ids = bounded_ids(named, "doc_id", rows)  # from the narrow columns: the texts are read once, for their counts
+    sample = named.filter("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left_semi").select("lang", "text")
     counts = sample.mapInArrow(count_grams, "lang string, n int, gram string, seen bigint")
     sums = counts.groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
     totals = sums.groupBy("lang", "n").agg(F.sum("seen").alias("all_seen"))
@@ -139,36 +156,26 @@ def train(
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
-    """Add ``out``: struct (lang_pred, score). ``und`` with score 0 for null texts, texts without a letter, or no model.
+    """Add ``out``: struct (lang_pred, score, letters). ``und`` with score 0 for null texts, texts without a letter, or no model.
 
     Only the text is read: other columns, clashing names included, pass as they are. Equal texts have equal results.
-    The score is the probability of the language among the known ones. Rows never meet.
+    The score is the probability of the language among the known ones; ``letters`` says whether the text has any. Rows never
+    meet.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,letters:boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer.score(t) for t in texts(batch)]
-            yield pa.StructArray.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"],
-            )
+            kinds = {"lang_pred": pa.string(), "score": pa.float64(), "letters": pa.bool_()}
+            yield pa.StructArray.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     return df.withColumn(out, run(F.col(text)))
 
 
-def has_letters(text: Column) -> Column:
-    """Whether the text has a letter at all; false for a null text."""
-
-    @F.arrow_udf("boolean")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([bool(t and WORD.search(t)) for t in texts(batch)], pa.bool_())
-
-    return run(text)
-
-
 def trained_on(docs: DataFrame) -> Model:
     """The model of the documents outside the held-out fold."""
     return train(docs.filter(fold("doc_id", 3) != 1))

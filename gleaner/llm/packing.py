@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tiktoken import Encoding
 
-from gleaner.llm.common import Memo, table, texts
+from gleaner.llm.common import Memo, give_back, table, texts
 from gleaner.llm.registry import query
 from gleaner.llm.words import spaced_words
 
@@ -210,6 +210,7 @@ def pack(
     place = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = words_of(place)
         packer = Packer(capacity, sentence_cost, break_cost, TaskContext.get().partitionId() << 33)
         end = np.array([END_ID], np.uint32)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table, texts
+from gleaner.llm.common import give_back, table, texts
 from gleaner.llm.registry import query
 
 #: Kinds in report order; ``pair`` is what lexing adds.
@@ -223,6 +223,7 @@ def scan_secrets(df: DataFrame, text: str = "text", out: str = "secrets", thresh
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint,name:string,score:double>>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
             rows = [[dict(zip(("kind", "start", "end", "name", "score"), f)) for f in findings(t, threshold)] for t in texts(batch)]
             yield pa.array(rows, pa.list_(FINDING))
@@ -235,6 +236,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[secret]", threshold:
 
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
             yield pa.array([masked(t, mask, threshold) for t in texts(batch)], pa.string())
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table, texts
+from gleaner.llm.common import give_back, table, texts
 from gleaner.llm.components import connected
 from gleaner.llm.registry import query
 from gleaner.llm.words import byte_words
@@ -65,6 +65,7 @@ def fingerprints(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("bigint")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in texts(batch)], np.uint64)
             yield pa.array(found.view(np.int64))

@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Memo, table, texts
+from gleaner.llm.common import Memo, give_back, table, texts
 from gleaner.llm.registry import query
 from gleaner.llm.words import byte_words
 
 WINDOW = 13
 CELL_BITS = 12
 #: Suffixes of a group, suffixes a task holds before it sends them on, words a worker remembers.
-GROUP, BATCH, REMEMBERED = 2_000_000, 1_000_000, 200_000
+GROUP, BATCH, REMEMBERED = 1_000_000, 500_000, 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,6 +68,7 @@ class Suffixes:
 
 def count_cells(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         suffixes = Suffixes(window)
         counts = np.zeros((len(suffixes.levels), 1 << CELL_BITS), np.int64)
         for batch in batches:
@@ -178,6 +179,7 @@ def send_suffixes(window: int, groups: Groups, buckets: int):
     """(target, leaves): target >= 0 is a group, -1 - b are repeats of bucket b that are settled within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         suffixes = Suffixes(window)
         held: list[tuple] = []
         size = 0
@@ -195,6 +197,7 @@ def send_suffixes(window: int, groups: Groups, buckets: int):
             least = docs[owner[by_path]][np.flatnonzero(new)][np.cumsum(new) - 1]
             settled = np.zeros(len(path), bool)
             settled[by_path] = docs[owner[by_path]] > least
+            del by_path, sorted_path, new, least  # as large as the batch, each
             made: list[tuple[int, bytes]] = [
                 (-1 - b, data) for b, data in spread_repeats(docs, checks, owner[settled], at[settled], buckets)
             ]
@@ -243,6 +246,7 @@ def subtree_repeats(parts: list[bytes], buckets: int) -> Iterator[tuple[int, byt
 
 def find_repeats(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         current, parts = None, []
 
         def rows(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +273,7 @@ def apply_repeats(window: int, id_at: int, text_at: int):
     """Rows come sorted by bucket, repeats before documents; id and text stand at these places of a document's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bucket, repeats = None, {}
         for batch in batches:
             rows = batch.column("_row")
