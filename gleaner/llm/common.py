@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,14 +53,21 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str | None]:
 
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_given = [0.0]
 
 
-def give_back() -> None:
-    """Memory that earlier tasks of this worker freed, back to the system: a worker lives on and serves other stages."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
+def give_back(seconds: float = 1.0) -> None:
+    """Memory that earlier tasks of this worker freed, back to the system: a worker lives on and serves other stages.
+
+    Not more than once in so many seconds, so that short tasks do not pay for it.
+    """
+    now = time.monotonic()
+    if now - _given[0] >= seconds:
+        _given[0] = now
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
 
 
 class Memo(dict):
