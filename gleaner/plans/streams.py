@@ -31,7 +31,7 @@ def in_batches(t: Tables, rows: DataFrame, order: str, n: int = 4) -> DataFrame:
     folder = runs.run_folder(t.spark, "batches")
     for i in range(n):
         start, end = ((low or 0) + ((high or 0) - (low or 0) + 1) * k // n for k in (i, i + 1))
-        rows.filter(at.between(start, end - 1)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.filter(at.between(start, end - 1)).repartition(1).write.mode("append").parquet(f"{folder}/in")
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 

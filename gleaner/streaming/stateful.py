@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,48 +30,127 @@ def outbox(queue: DataFrame, max_age: str = f"{fixed.OUTBOX_MAX_AGE_DAYS} days")
 MINUTE_MS, DAY_MS = 60_000, 86_400_000
 
 
+#: Groups that the keys of a stateful step are dealt into, and the parts that a group's table of keys is held in. A batch
+#: costs a group a few dozen calls, and a key none of its own.
+BUCKETS, SLOTS = 64, 64
+
+
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """All rows of a key in a batch; callers have folded or sliced them first, so that they are few."""
+    """All rows of a group in a batch; callers have folded or sliced them first, so that they are few."""
     return pd.concat(list(rows)).sort_values(by)
 
 
-class _LastSeen(StatefulProcessor):
-    """State: the last stamp of the key, in epoch microseconds; a timer, moved by every stamp, clears it after the TTL."""
+def dealt(stream: DataFrame, *keys: str, buckets: int = BUCKETS):
+    """The stream grouped by a bucket of its keys, for processors that hold a table of keys."""
+    return stream.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+
+class _Dealt(StatefulProcessor):
+    """State of a bucket of keys: Arrow tables with a row a key, a slot of the first column each.
+
+    All rows of a batch are looked at together; what is written are the slots of the keys that a batch touches.
+    """
+
+    schema: list[tuple[str, pa.DataType]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at bigint")
+        self.kept = handle.getMapState("kept", "slot int", "rows binary")
+
+    def held(self) -> pd.DataFrame:
+        tables = [pa.ipc.open_stream(bytes(v[0])).read_all() for _, v in self.kept.iterator()]
+        return pa.concat_tables([pa.schema(self.schema).empty_table(), *tables]).to_pandas()
+
+    def _slots(self, rows: pd.DataFrame) -> np.ndarray:
+        own = pd.util.hash_array(rows[self.schema[0][0]].to_numpy(object), categorize=False) % SLOTS
+        return own.astype(int)
+
+    def keep(self, rows: pd.DataFrame, touched: pd.DataFrame) -> None:
+        own = self._slots(rows)
+        place = np.argsort(own, kind="stable")
+        table = pa.Table.from_pandas(rows.iloc[place], pa.schema(self.schema), preserve_index=False)
+        edges = np.searchsorted(own[place], np.arange(SLOTS + 1))
+        for slot in np.unique(self._slots(touched)).tolist():
+            first, end = edges[slot], edges[slot + 1]
+            if first < end:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table.slice(first, end - first))
+                self.kept.updateValue((slot,), (sink.getvalue().to_pybytes(),))
+            else:
+                self.kept.removeKey((slot,))
+
+    def retime(self, before: pd.Series, after: pd.Series) -> None:
+        """One timer a bucket, at what is due first."""
+        old, new = (None if due.empty else int(due.min()) for due in (before, after))
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_runs(held: pd.DataFrame, rows: pd.DataFrame, keys: list[str], order: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """What is held, then the rows (``new``), of one key after another, and where a key starts. A null is a key as well."""
+    both = pd.concat([held.assign(new=False), rows.assign(new=True)], ignore_index=True)
+    codes = [pd.factorize(both[k])[0] for k in keys]
+    place = np.lexsort([*(both[o].to_numpy() for o in reversed(order)), both["new"].to_numpy(bool), *codes])
+    starts = np.ones(len(both), bool)
+    starts[1:] = np.logical_or.reduce([c[place][1:] != c[place][:-1] for c in codes])
+    return both.iloc[place].reset_index(drop=True), starts
+
+
+def _before(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([values[:1], values[:-1]])
+
+
+def _newest(values: pd.Series, starts: np.ndarray) -> np.ndarray:
+    """The highest value of the key so far."""
+    return values.groupby(starts.cumsum()).cummax().to_numpy()
+
+
+def _ends(starts: np.ndarray) -> np.ndarray:
+    """Where a key ends."""
+    return np.append(starts[1:], True)
+
+
+class _LastSeen(_Dealt):
+    """State: the last stamp of each key, in epoch microseconds; a timer clears those whose TTL has run out."""
+
+    schema = [("key", pa.string()), ("last_at", pa.int64())]
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["first_at"])
-        held = last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for first_at, last_at in zip(pdf["first_at"], pdf["last_at"]):
-            if last is None or first_at - last > self.ttl_ms * 1000:
-                out.append((key[0], int(first_at)))
-            last = int(last_at) if last is None else max(last, int(last_at))
-        if held is not None:
-            self.handle.deleteTimer(self._expiry(held))
-        self.last.update((last,))
-        self.handle.registerTimer(self._expiry(last))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "first_at"])
+        held = self.held()
+        new = pd.concat(list(rows))[["key", "first_at", "last_at"]]
+        both, starts = _in_runs(held.assign(first_at=held["last_at"]), new, ["key"], ["first_at"])
+        last = _newest(both["last_at"], starts)
+        fresh = both["new"].to_numpy(bool) & (starts | (both["first_at"].to_numpy() - _before(last) > self.ttl_ms * 1000))
+        after = both.assign(last_at=last)[["key", "last_at"]][_ends(starts)]
+        self.keep(after, new)
+        self.retime(self._expiry(held["last_at"]), self._expiry(after["last_at"]))
+        if fresh.any():
+            yield both.loc[fresh, ["key", "first_at"]]
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        held = self.held()
+        alive = self._expiry(held["last_at"]) > max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        rest = held[alive]
+        self.keep(rest, held[~alive])
+        if not rest.empty:
+            self.handle.registerTimer(int(self._expiry(rest["last_at"]).min()))
         return
         yield
 
-    def _expiry(self, last: int) -> int:
+    def _expiry(self, last: pd.Series) -> pd.Series:
         # a window that is still open may reach back a minute: only then can no stamp within the TTL come any more
         return last // 1000 + 1 + self.ttl_ms + MINUTE_MS
 
-    def close(self) -> None:
-        pass
-
 
 def first_sightings(stream: DataFrame, ttl_hours: int, late: str = "10 minutes") -> DataFrame:
     """(key, first_at): events whose key was not seen for ``ttl_hours`` (last-seen TTL). stream: key, ts.
@@ -82,50 +163,49 @@ def first_sightings(stream: DataFrame, ttl_hours: int, late: str = "10 minutes")
     folded = (
         stream.withWatermark("ts", late).groupBy("key", F.window("ts", "1 minute").alias("w"))
         .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        .select("key", F.window_time("w").alias("at"), F.unix_micros("lo").alias("first_at"), F.unix_micros("hi").alias("last_at"))
+        .select(F.col("key").cast("string").alias("key"), F.window_time("w").alias("at"), F.unix_micros("lo").alias("first_at"), F.unix_micros("hi").alias("last_at"))
     )
-    return folded.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_LastSeen(ttl_hours * 3_600_000), outputStructType="key bigint, first_at bigint",
+    found = dealt(folded, "key").transformWithStateInPandas(
+        statefulProcessor=_LastSeen(ttl_hours * 3_600_000), outputStructType="key string, first_at bigint",
         outputMode="Append", timeMode="EventTime",
     )
+    return found.select(F.col("key").cast("bigint").alias("key"), "first_at")
 
 
-class _FirstTwo(StatefulProcessor):
-    """State: how many rows of the slice were passed on, two at most. Rows are looked at a batch of Arrow at a time."""
+class _FirstTwo(_Dealt):
+    """State: how many rows of each slice were passed on, two at most. Rows are looked at a batch of Arrow at a time."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int")
+    schema = [("key", pa.string()), ("slice", pa.int64()), ("n", pa.int64())]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
-        if n < 2:
-            head = None
-            for pdf in rows:
-                head = (pdf if head is None else pd.concat([head, pdf])).sort_values(["at", "seq"]).head(2 - n)
-            self.count.update((n + len(head),))
-            yield head[["key", "seq", "at"]]
+        by = ["key", "slice"]
+        head = None
+        for pdf in rows:
+            both = pdf[[*by, "seq", "at"]] if head is None else pd.concat([head, pdf[[*by, "seq", "at"]]])
+            head = both.sort_values(["at", "seq"]).groupby(by, dropna=False, sort=False).head(2)
+        held = self.held()
+        n = head[by].merge(held, "left", by)["n"].fillna(0).to_numpy(int)
+        passed = head[head.groupby(by, dropna=False, sort=False).cumcount().to_numpy() + n < 2]
+        counted = pd.concat([held, passed[by].assign(n=1)])
+        self.keep(counted.groupby(by, dropna=False, as_index=False, sort=False)["n"].sum(), passed)
+        if len(passed):
+            yield passed[["key", "slice", "seq", "at"]]
 
-    def close(self) -> None:
-        pass
 
+class _Strikes(_Dealt):
+    """State: how often each key was turned down, up to two."""
 
-class _Strikes(StatefulProcessor):
-    """State: how often the key was turned down, up to two."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int")
+    schema = [("key", pa.string()), ("n", pa.int64())]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["at", "seq"])
-        n = self.count.get()[0] if self.count.exists() else 0
-        head = pdf["seq"].tolist()[: max(0, 2 - n)]
-        out = [(key[0], int(s), "defer" if n + i == 0 else "final") for i, s in enumerate(head)]
-        self.count.update((min(2, n + len(pdf)),))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "seq", "outcome"])
-
-    def close(self) -> None:
-        pass
+        pdf, held = _sorted(rows, ["at", "seq"])[["key", "seq"]], self.held()
+        n = pdf[["key"]].merge(held, "left", "key")["n"].fillna(0).to_numpy(int)
+        place = pdf.groupby("key", dropna=False, sort=False).cumcount().to_numpy() + n
+        told = pdf.assign(outcome=np.where(place == 0, "defer", "final"))[place < 2]
+        counted = pd.concat([held, told[["key"]].assign(n=1)])
+        self.keep(counted.groupby("key", dropna=False, as_index=False, sort=False)["n"].sum(), told)
+        if len(told):
+            yield told[["key", "seq", "outcome"]]
 
 
 def two_strikes(stream: DataFrame, slices: int = 64) -> DataFrame:
@@ -135,58 +215,52 @@ def two_strikes(stream: DataFrame, slices: int = 64) -> DataFrame:
     slice, however hot it is.
     """
     use_rocksdb(stream.sparkSession)
-    sliced = stream.withColumn("slice", F.pmod(F.xxhash64("seq"), F.lit(slices))).groupBy("key", "slice").transformWithStateInPandas(
-        statefulProcessor=_FirstTwo(), outputStructType="key bigint, seq bigint, at timestamp", outputMode="Append", timeMode="None",
+    rows = stream.select(F.col("key").cast("string").alias("key"), F.pmod(F.xxhash64("seq"), F.lit(slices)).alias("slice"), "seq", F.unix_micros("at").alias("at"))
+    sliced = dealt(rows, "key", "slice").transformWithStateInPandas(
+        statefulProcessor=_FirstTwo(), outputStructType="key string, slice bigint, seq bigint, at bigint", outputMode="Append", timeMode="None",
     )
-    return sliced.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_Strikes(), outputStructType="key bigint, seq bigint, outcome string",
+    told = dealt(sliced, "key").transformWithStateInPandas(
+        statefulProcessor=_Strikes(), outputStructType="key string, seq bigint, outcome string",
         outputMode="Append", timeMode="None",
     )
+    return told.select(F.col("key").cast("bigint").alias("key"), "seq", "outcome")
 
 
-class _Changed(StatefulProcessor):
-    """State: the last message key of a stretch of scans. Gives the changes inside it, and the edges it has in a batch.
+class _Changed(_Dealt):
+    """State: the last message key of each stretch of scans. Gives the changes inside them, and the edges they have in a batch.
 
-    An edge is the stretch's first scan, once, or a later batch's (then without a ``scan``), with the key it ends on.
+    An edge is the stretch's first scan, once, or a later batch's (then without a ``key``), with the key it ends on.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "key string")
+    schema = [("thread", pa.string()), ("part", pa.int64()), ("key", pa.string())]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["scan"])
-        scans, keys = pdf["scan"].tolist(), pdf["key"].tolist()
-        new = not self.held.exists()
-        before = [None if new else self.held.get()[0], *keys[:-1]]
-        out = [(key[0], int(s), k, False, None) for i, (s, k, b) in enumerate(zip(scans, keys, before)) if k != b and not (new and i == 0)]
-        out.append((key[0], int(scans[0]), keys[0] if new else None, True, keys[-1]))
-        self.held.update((keys[-1],))
-        yield pd.DataFrame(out, columns=["thread", "scan", "key", "edge", "last"])
+        new = pd.concat(list(rows))[["thread", "part", "scan", "key"]]
+        both, starts = _in_runs(self.held().assign(scan=0), new, ["thread", "part"], ["scan"])
+        self.keep(both[_ends(starts)][["thread", "part", "key"]], new)
+        codes, fresh = pd.factorize(both["key"])[0], both["new"].to_numpy(bool)
+        inside = both[fresh & ~starts & (codes != _before(codes))][["thread", "scan", "key"]].assign(edge=False, last=None)
+        run = starts.cumsum() - 1
+        first = fresh & (starts | ~_before(fresh))  # the stretch's first scan of the batch
+        edges = both[first][["thread", "scan", "key"]].assign(edge=True, last=both["key"].to_numpy(object)[_ends(starts)][run[first]])
+        edges["key"] = edges["key"].astype(object).where(starts[first], None)
+        yield pd.concat([inside, edges]) if len(inside) else edges
 
-    def close(self) -> None:
-        pass
 
+class _Edges(_Dealt):
+    """State: the key that the newest stretch of each thread ends on."""
 
-class _Edges(StatefulProcessor):
-    """State: the key that the newest stretch of the thread ends on."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "key string")
+    schema = [("thread", pa.string()), ("last", pa.string())]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["scan"])
-        held = self.held.get()[0] if self.held.exists() else None
-        out = []
-        for scan, first, last in zip(pdf["scan"], pdf["key"], pdf["last"]):
-            if isinstance(first, str) and first != held:
-                out.append((key[0], int(scan), first))
-            held = last
-        self.held.update((held,))
-        if out:
-            yield pd.DataFrame(out, columns=["thread", "scan", "key"])
-
-    def close(self) -> None:
-        pass
+        new = pd.concat(list(rows))[["thread", "scan", "key", "last"]]
+        both, starts = _in_runs(self.held().assign(scan=0, key=None), new, ["thread"], ["scan"])
+        self.keep(both[_ends(starts)][["thread", "last"]], new)
+        codes = pd.factorize(pd.concat([both["key"], both["last"]]))[0]
+        own, last = codes[: len(both)], codes[len(both) :]
+        moved = both["new"].to_numpy(bool) & (own >= 0) & (starts | (own != _before(last)))
+        if moved.any():
+            yield both[moved][["thread", "scan", "key"]]
 
 
 def changed_states(stream: DataFrame, stretch: int = 1024) -> DataFrame:
@@ -196,104 +270,109 @@ def changed_states(stream: DataFrame, stretch: int = 1024) -> DataFrame:
     key go to the thread, so a thread with a third of all rows is as many tasks' work as it has stretches.
     """
     use_rocksdb(stream.sparkSession)
-    inside = stream.withColumn("part", F.floor(F.col("scan") / stretch)).groupBy("thread", "part").transformWithStateInPandas(
-        statefulProcessor=_Changed(), outputStructType="thread bigint, scan bigint, key string, edge boolean, last string",
+    scans = stream.select(F.col("thread").cast("string").alias("thread"), F.floor(F.col("scan") / stretch).alias("part"), "scan", "key")
+    inside = dealt(scans, "thread", "part").transformWithStateInPandas(
+        statefulProcessor=_Changed(), outputStructType="thread string, scan bigint, key string, edge boolean, last string",
         outputMode="Append", timeMode="None",
     )
-    between = inside.filter("edge").groupBy("thread").transformWithStateInPandas(
-        statefulProcessor=_Edges(), outputStructType="thread bigint, scan bigint, key string", outputMode="Append", timeMode="None",
+    between = dealt(inside.filter("edge"), "thread").transformWithStateInPandas(
+        statefulProcessor=_Edges(), outputStructType="thread string, scan bigint, key string", outputMode="Append", timeMode="None",
     )
-    return inside.filter("NOT edge").select("thread", "scan", "key").union(between)
+    moved = inside.filter("NOT edge").select("thread", "scan", "key").union(between)
+    return moved.select(F.col("thread").cast("bigint").alias("thread"), "scan", "key")
+
 
+class _RepostMarks(_Dealt):
+    """State: per vacancy and link, the day it was last listed on; a timer clears the marks that have run out."""
 
-class _RepostMarks(StatefulProcessor):
-    """State: per link, the day it was last listed on; a timer clears the links whose mark has run out."""
+    schema = [("vacancy", pa.string()), ("link", pa.string()), ("day", pa.int64())]
 
     def __init__(self, ttl_days: int):
         self.ttl_days = ttl_days
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.marks = handle.getMapState("marks", "link string", "day bigint")
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["day", "seq"])
-        out, newest = [], {}
-        for link, day, seq in zip(pdf["link"], pdf["day"], pdf["seq"]):
-            if link not in newest:
-                newest[link] = self.marks.getValue((link,))[0] if self.marks.containsKey((link,)) else None
-            held = newest[link]
-            if held is None or day - held > self.ttl_days:
-                out.append((key[0], link, int(seq)))
-            newest[link] = int(day) if held is None else max(held, int(day))
-        for link, day in newest.items():
-            self.marks.updateValue((link,), (day,))
-            self.handle.registerTimer(self._expiry(day))
-        if out:
-            yield pd.DataFrame(out, columns=["vacancy", "link", "seq"])
+        held = self.held()
+        new = pd.concat(list(rows))[["vacancy", "link", "day", "seq"]]
+        both, starts = _in_runs(held.assign(seq=0), new, ["vacancy", "link"], ["day", "seq"])
+        newest = _newest(both["day"], starts)
+        fresh = both["new"].to_numpy(bool) & (starts | (both["day"].to_numpy() - _before(newest) > self.ttl_days))
+        after = both.assign(day=newest)[["vacancy", "link", "day"]][_ends(starts)]
+        self.keep(after, new)
+        self.retime(self._expiry(held["day"]), self._expiry(after["day"]))
+        if fresh.any():
+            yield both.loc[fresh, ["vacancy", "link", "seq"]]
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        for link, day in list(self.marks.iterator()):
-            if self._expiry(day[0]) <= due:
-                self.marks.removeKey((link[0],))
+        held = self.held()
+        alive = self._expiry(held["day"]) > max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        rest = held[alive]
+        self.keep(rest, held[~alive])
+        if not rest.empty:
+            self.handle.registerTimer(int(self._expiry(rest["day"]).min()))
         return
         yield
 
-    def _expiry(self, day: int) -> int:
+    def _expiry(self, day: pd.Series) -> pd.Series:
         return (day + self.ttl_days + 1) * DAY_MS
 
-    def close(self) -> None:
-        pass
-
 
 def repost_marks(stream: DataFrame, ttl_days: int = fixed.SEEN_TTL_DAYS, late: str = "7 days") -> DataFrame:
     """(vacancy, link, seq): the one listing per new link that gets a fresh look; every later listing re-stamps
-    the mark. stream: vacancy, link, day, seq. Keyed by vacancy and link hash, so one vacancy's links spread.
+    the mark. stream: vacancy, link, day, seq. Dealt by vacancy and link, so one vacancy's links spread.
 
     Marks leave the state when they run out.
     """
     use_rocksdb(stream.sparkSession)
     stamped = stream.withColumn("at", F.timestamp_seconds(F.col("day") * 86_400)).withWatermark("at", late)
-    return stamped.withColumn("h", F.xxhash64("link")).groupBy("vacancy", "h").transformWithStateInPandas(
-        statefulProcessor=_RepostMarks(ttl_days), outputStructType="vacancy bigint, link string, seq bigint",
+    rows = stamped.withColumn("vacancy", F.col("vacancy").cast("string"))
+    found = dealt(rows, "vacancy", "link").transformWithStateInPandas(
+        statefulProcessor=_RepostMarks(ttl_days), outputStructType="vacancy string, link string, seq bigint",
         outputMode="Append", timeMode="EventTime",
     )
+    return found.select(F.col("vacancy").cast("bigint").alias("vacancy"), "link", "seq")
+
 
+class _Silence(_Dealt):
+    """State: each job's last stamp and whether its silence was told; a timer fires when the next one is overdue."""
 
-class _Silence(StatefulProcessor):
-    """State: last stamp and whether its silence was told; an event-time timer fires when the next one is overdue."""
+    schema = [("job", pa.string()), ("at_ms", pa.int64()), ("told", pa.bool_())]
 
     def __init__(self, limits: dict[str, tuple[int, int]], default: tuple[int, int]):
         self.limits, self.default = limits, default
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at bigint, told boolean")
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["first_ms"])
-        wait = self.limits.get(key[0], self.default)[0] * 3_600_000
-        held, told = self.last.get() if self.last.exists() else (None, False)
-        if held is not None and not told:
-            self.handle.deleteTimer(held + wait)
-        out = []
-        for first, newest in zip(pdf["first_ms"].tolist(), pdf["at_ms"].tolist()):
-            if held is not None and first - held >= wait and not told:
-                out.append((key[0], held))
-            held, told = newest if held is None else max(held, newest), False
-        self.last.update((held, False))
-        self.handle.registerTimer(held + wait)
-        if out:
-            yield pd.DataFrame(out, columns=["job", "silent_since_ms"])
+        held = self.held()
+        new = pd.concat(list(rows))[["job", "first_ms", "at_ms"]].assign(told=False)
+        both, starts = _in_runs(held.assign(first_ms=held["at_ms"]), new, ["job"], ["first_ms"])
+        newest, told = _newest(both["at_ms"], starts), both["told"].to_numpy(bool)
+        since = _before(newest)
+        late = both["first_ms"].to_numpy() - since >= self._wait(both["job"])
+        silent = both["new"].to_numpy(bool) & ~starts & late & ~_before(told)
+        after = both.assign(at_ms=newest)[["job", "at_ms", "told"]][_ends(starts)]
+        self.keep(after, new)
+        self.retime(self._due(held), self._due(after))
+        if silent.any():
+            yield pd.DataFrame({"job": both["job"].to_numpy(object)[silent], "silent_since_ms": since[silent]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held = self.last.get()[0]
-        self.last.update((held, True))
-        yield pd.DataFrame([(key[0], held)], columns=["job", "silent_since_ms"])
-
-    def close(self) -> None:
-        pass
+        held = self.held()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        silent = ~held["told"].to_numpy(bool) & (held["at_ms"].to_numpy() + self._wait(held["job"]) <= now)
+        after = held.assign(told=held["told"].to_numpy(bool) | silent)
+        self.keep(after, held[silent])
+        due = self._due(after)
+        if not due.empty:
+            self.handle.registerTimer(int(due.min()))
+        if silent.any():
+            yield held[silent][["job", "at_ms"]].rename(columns={"at_ms": "silent_since_ms"})
+
+    def _wait(self, jobs: pd.Series) -> np.ndarray:
+        hours = {job: own[0] for job, own in self.limits.items()}
+        return np.array([hours.get(job, self.default[0]) for job in jobs], np.int64) * 3_600_000
+
+    def _due(self, state: pd.DataFrame) -> pd.Series:
+        open_ = state[~state["told"].to_numpy(bool)]
+        return open_["at_ms"] + self._wait(open_["job"])
 
 
 def silent_jobs(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = None, late: str = "1 hour") -> DataFrame:
@@ -307,7 +386,7 @@ def silent_jobs(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = N
         stream.withWatermark("at", late).groupBy("job", F.window("at", "1 minute").alias("w")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
         .select("job", F.window_time("w").alias("at"), F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("at_ms"))
     )
-    return folded.groupBy("job").transformWithStateInPandas(
+    return dealt(folded, "job").transformWithStateInPandas(
         statefulProcessor=_Silence(limits or fixed.HEARTBEAT_LIMITS, fixed.HEARTBEAT_DEFAULT),
         outputStructType="job string, silent_since_ms bigint", outputMode="Append", timeMode="EventTime",
     )
