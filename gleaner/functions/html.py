@@ -28,11 +28,6 @@ def strip_blocks(c) -> Column:
 
 def decode_entities(c) -> Column:
     """Each entity once: a decoded "&" is parked under a private character until the end, so it never starts another."""
-    named = text_or_blank(c)
-    for name, value in fixed.NAMED_ENTITIES.items():
-        named = F.regexp_replace(named, f"(?i)&{name};", value)
-    named = F.regexp_replace(named, r"(?i)&amp;", _AMP)
-
     def character(entity: Column) -> Column:
         body = F.regexp_extract(entity, r"&#([^;]*);", 1)
         hexed = F.lower(F.left(body, F.lit(1))) == "x"
@@ -53,7 +48,14 @@ def decode_entities(c) -> Column:
         replaced = F.aggregate(entities, t, lambda acc, e: F.replace(acc, e, character(e)))
         return F.when(t.contains("&#"), replaced).otherwise(t)
 
-    return F.replace(once(named, numbered), F.lit(_AMP), F.lit("&"))
+    def decoded(t: Column) -> Column:
+        named = t
+        for name, value in fixed.NAMED_ENTITIES.items():
+            named = F.regexp_replace(named, f"(?i)&{name};", value)
+        named = F.regexp_replace(named, r"(?i)&amp;", _AMP)
+        return F.replace(once(named, numbered), F.lit(_AMP), F.lit("&"))
+
+    return once(text_or_blank(c), lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def strip_tags(c) -> Column:

@@ -31,9 +31,13 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
+#: White space that is more than one plain space: what is a single space already costs no replacement.
+_GAPS = f"{WS}{{2,}}+|(?! ){WS}"
+
+
 def squeeze(c) -> Column:
     """One space between words, none at the ends."""
-    return F.trim(F.regexp_replace(text_or_blank(c), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(text_or_blank(c), _GAPS, " "))
 
 
 def one_line(c) -> Column:
@@ -99,21 +103,24 @@ def compose_text(title, company, location, description) -> Column:
 
 
 def _count_of(c: Column, letters: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{letters}]", ""))
+    return F.length(F.regexp_replace(c, f"[^{letters}]++", ""))  # what lies between is taken out a stretch at a time
 
 
 def detect_lang(c) -> Column:
     """uk / ru / en. Cyrillic needs at least one letter in three; Russian-only letters weigh three times."""
-    t = F.lower(text_or_blank(c))
-    cyrillic = _count_of(t, fixed.CYRILLIC)
-    latin = _count_of(t, "a-z")
-    russian = _count_of(t, fixed.RUSSIAN_ONLY) * 3 > _count_of(t, fixed.UKRAINIAN_ONLY)
-    return (
-        F.when(~t.rlike(f"[{fixed.CYRILLIC}]"), "en")
-        .when(cyrillic * 2 < latin, "en")
-        .when(russian, "ru")
-        .otherwise("uk")
-    )
+
+    def judge(t: Column) -> Column:
+        cyrillic = _count_of(t, fixed.CYRILLIC)
+        latin = _count_of(t, "a-z")
+        russian = _count_of(t, fixed.RUSSIAN_ONLY) * 3 > _count_of(t, fixed.UKRAINIAN_ONLY)
+        return (
+            F.when(~t.rlike(f"[{fixed.CYRILLIC}]"), "en")
+            .when(cyrillic * 2 < latin, "en")
+            .when(russian, "ru")
+            .otherwise("uk")
+        )
+
+    return once(F.lower(text_or_blank(c)), judge)
 
 
 def looks_like_job(c) -> Column:
@@ -217,7 +224,7 @@ def injection_markers(c, unicode_fold: bool = True) -> Column:
     if unicode_fold:
         s = nfkc(s)
     s = F.regexp_replace(F.regexp_replace(s, fixed.FORMAT_CHARS, ""), fixed.INVISIBLE_FILLERS, " ")
-    s = F.regexp_replace(s, f"{WS}+", " ")
+    s = F.regexp_replace(s, _GAPS, " ")
 
     def possible(low: Column, groups: list[list[str]]) -> Column:
         found = F.lit(True)
@@ -235,7 +242,8 @@ def injection_markers(c, unicode_fold: bool = True) -> Column:
         ]))
 
     with_lower = lambda x: F.struct(x.alias("text"), F.lower(x).alias("low"))
-    both = once(s, lambda x: F.array_distinct(F.array(x, F.translate(x, fixed.LOOKALIKE_FROM, fixed.LOOKALIKE_TO))))
+    folded = lambda x: F.array(x, F.translate(x, fixed.LOOKALIKE_FROM, fixed.LOOKALIKE_TO))
+    both = once(s, lambda x: F.when(x.rlike(f"[{fixed.LOOKALIKE_FROM}]"), folded(x)).otherwise(F.array(x)))
     return once(F.transform(both, with_lower), hits)
 
 
