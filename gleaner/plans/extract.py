@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.html import html_page_text
+from gleaner.functions.text import once
 from gleaner.operators.health import outages, search_yield
 from gleaner.operators.inbox import unread_threads
 from gleaner.plans import sqlviews as s
@@ -146,7 +147,7 @@ def jsonld(t: Tables) -> DataFrame:
     )
     html = F.concat(F.lit('<script>var a=1</script><script type="application/ld+json">'), data, F.lit("</script><p>end</p>"))
     text = pages.jsonld_description(html)
-    return t.table("documents").select("doc_id", F.when(text == "", "").otherwise(F.md5(text)).alias("text_md5"))
+    return t.table("documents").select("doc_id", once(text, lambda x: F.when(x == "", "").otherwise(F.md5(x))).alias("text_md5"))
 
 
 _STRIPPED = "regexp_replace(html, '(?is)<!--(?:>|->|.*?-->)|<script\\b.*?</script[^>]*>|<style\\b.*?</style[^>]*>', '', 'g')"

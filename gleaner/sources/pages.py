@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from gleaner import fixed
 from gleaner.functions.html import decode_entities, html_to_text, strip_blocks
-from gleaner.functions.text import compose_text, one_line, text_or_blank
+from gleaner.functions.text import compose_text, once, one_line, text_or_blank
 from gleaner.functions.urls import canonical_job_url, undouble
 
 _DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
@@ -146,16 +146,19 @@ def jsonld_description(html: Column) -> Column:
         kind = F.left(F.ltrim(body), F.lit(1))
         many = F.from_json(body, f"array<{node}>")
         one = F.from_json(body, f"struct<`@type`:string,description:string,`@graph`:array<{node}>>")
-        single = F.array(F.struct(one["@type"].alias("@type"), one["description"].alias("description")))
-        graph = F.coalesce(one["@graph"], F.array().cast(f"array<{node}>"))
-        return F.when(kind == "[", many).otherwise(F.concat(single, graph))
+
+        def listed(one: Column) -> Column:
+            single = F.array(F.struct(one["@type"].alias("@type"), one["description"].alias("description")))
+            return F.concat(single, F.coalesce(one["@graph"], F.array().cast(f"array<{node}>")))
+
+        return F.when(kind == "[", many).otherwise(once(one, listed))
 
     # "@type" may be a string or a list; read as text, a list keeps its brackets.
     posting = lambda n: n["@type"].rlike(r'^JobPosting$|^\[.*"JobPosting".*\]$') & (n["description"] != "")
-    found = F.filter(F.flatten(F.transform(bodies, nodes)), posting)
+    found = F.filter(F.flatten(F.transform(bodies, lambda body: once(body, nodes))), posting)
     description = F.coalesce(F.try_element_at(found, F.lit(1))["description"], F.lit(""))
-    escaped = description.rlike(r"(?i)&lt;/?[a-z]")
-    return html_to_text(F.when(escaped, decode_entities(description)).otherwise(description))
+    unescaped = lambda d: F.when(d.rlike(r"(?i)&lt;/?[a-z]"), decode_entities(d)).otherwise(d)
+    return html_to_text(once(description, unescaped))
 
 
 # ---- charset ------------------------------------------------------------------
