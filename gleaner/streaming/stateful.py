@@ -392,53 +392,65 @@ def silent_jobs(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = N
     )
 
 
-class _Watch(StatefulProcessor):
+#: The last alert of a job that had none.
+NEVER = -(2**62)
+
+
+class _Watch(_Dealt):
     """State of a bucket of jobs: each job's last stamp with the stamps counted up to it and the last alert, and the count.
 
     A batch holds all minutes that the watermark has closed since the last one: how many stamps they had, and the bucket's
-    own. Between two stamps of a job both rules are a search in the minutes' ends and in their running count.
+    own. Between two stamps of a job both rules are a search in the minutes' ends and in their running count, made for all
+    jobs of the bucket together, once more for every day that one of them is told again.
     """
 
+    schema = [("job", pa.string()), ("at", pa.int64()), ("tick", pa.int64()), ("alerted", pa.int64())]
+
     def __init__(self, limits: dict[str, tuple[int, int]], default: tuple[int, int]):
         self.limits, self.default = limits, default
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", "job string", "at bigint, tick bigint, alerted bigint")
+        super().init(handle)
         self.total = handle.getValueState("total", "n bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, ["minute"])
-        counted = pdf[pdf["job"].isna()]
+        pdf = pd.concat(list(rows))
+        counts = pdf["n"].notna()
+        counted = pdf[counts].sort_values("minute")
         if counted.empty:
             return
-        ends = counted["minute"].to_numpy()
-        ticks = (self.total.get()[0] if self.total.exists() else 0) + counted["n"].to_numpy().cumsum()
+        ends = counted["minute"].to_numpy(np.int64)
+        ticks = (self.total.get()[0] if self.total.exists() else 0) + counted["n"].to_numpy(np.int64).cumsum()
         self.total.update((int(ticks[-1]),))
-        stamps = {job: list(zip(own["minute"], own["at_ms"])) for job, own in pdf[pdf["job"].notna()].groupby("job")}
-        known = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
-        out = []
-        for job in {**known, **stamps}:
-            hours, runs = self.limits.get(job, self.default)
-            at, tick, alerted = known.get(job, (None, 0, None))
-            for minute, at_ms in [*stamps.get(job, []), (None, None)]:
-                here = len(ends) if minute is None else int(ends.searchsorted(minute))
-                if at is not None:
-                    i = max(ends.searchsorted(at + hours * 3_600_000), ticks.searchsorted(tick + runs))
-                    while (i := max(i, ends.searchsorted(alerted + DAY_MS) if alerted is not None else 0)) < here:
-                        alerted = int(ends[i])
-                        out.append((job, alerted, int((alerted - at) / 3_600_000 + 0.5), int(ticks[i] - tick)))
-                if minute is not None:
-                    at, tick, alerted = int(at_ms), int(ticks[here]), None
-            if known.get(job) != (at, tick, alerted):
-                self.jobs.updateValue((job,), (at, tick, alerted))
+        own = pdf.loc[~counts, ["job", "minute", "at_ms"]]
+        here = ends.searchsorted(own["minute"].to_numpy(np.int64))
+        new = pd.DataFrame({"job": own["job"].to_numpy(object), "at": own["at_ms"].to_numpy(np.int64), "tick": ticks[here], "alerted": NEVER, "here": here})
+        both, starts = _in_runs(self.held().assign(here=-1), new, ["job"], ["here"])
+        job, last, fresh = both["job"].to_numpy(object), _ends(starts), both["new"].to_numpy(bool)
+        until = np.where(last, len(ends), np.append(both["here"].to_numpy(np.int64)[1:], 0))
+        at, tick, told = (both[c].to_numpy(np.int64) for c in ("at", "tick", "alerted"))
+        hours, runs = self._limits(both["job"])
+        alerted = told.copy()
+        i = np.maximum(ends.searchsorted(at + hours * 3_600_000), ticks.searchsorted(tick + runs))
+        i = np.maximum(i, ends.searchsorted(alerted + DAY_MS))
+        out, open_ = [], np.flatnonzero(i < until)
+        while len(open_):
+            alerted[open_] = ends[i[open_]]
+            age = ((alerted[open_] - at[open_]) / 3_600_000 + 0.5).astype(np.int64)
+            out.append(pd.DataFrame({"job": job[open_], "at_ms": alerted[open_], "hours": age, "runs": ticks[i[open_]] - tick[open_]}))
+            i[open_] = np.maximum(i[open_], ends.searchsorted(alerted[open_] + DAY_MS))
+            open_ = open_[i[open_] < until[open_]]
+        after = both.assign(alerted=alerted)[["job", "at", "tick", "alerted"]]
+        self.keep(after[last], after[last & (fresh | (alerted != told))])
         if out:
-            yield pd.DataFrame(out, columns=["job", "at_ms", "hours", "runs"])
+            yield pd.concat(out)
 
-    def close(self) -> None:
-        pass
+    def _limits(self, jobs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        limits = np.array([self.limits.get(job, self.default) for job in jobs], np.int64).reshape(len(jobs), 2)
+        return limits[:, 0], limits[:, 1]
 
 
-def watchdog(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = None, late: str = "1 hour", buckets: int = 16) -> DataFrame:
+def watchdog(stream: DataFrame, limits: dict[str, tuple[int, int]] | None = None, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """(job, at_ms, hours, runs): jobs both old by the clock and out-run by other stamps. stream: job, at.
 
     Looked at after every minute with a stamp: a job whose last stamp is ``hours`` old, with ``runs`` stamps of any job in

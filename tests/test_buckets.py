@@ -77,3 +77,26 @@ def test_silence_is_told_by_a_timer_once():
     told = [r for pdf in processor.handleExpiredTimer((0,), Due, Due) for r in pdf.itertuples(index=False, name=None)]
     assert told == [("b", 5)]
     assert list(processor.handleExpiredTimer((0,), Due, Due)) == []
+
+
+def test_a_bucket_of_watched_jobs_is_read_and_written_by_slots():
+    class Counted(Handle):
+        def getValueState(self, name, kind):
+            total = type("Total", (), {"n": None, "exists": lambda s: s.n is not None, "get": lambda s: (s.n,), "update": lambda s, v: setattr(s, "n", v[0])})
+            return total()
+
+    minute, day = 60_000, 86_400_000
+    jobs = [None, *(f"j{i}" for i in range(3000))]
+    first = [(job, minute, i, None) for i, job in enumerate(jobs)] + [(None, minute, None, 3001)]
+    later = [(None, day * d, None, 20) for d in range(1, 4)]
+    last = [("j7", day * 4, day * 4 - 5, None), (None, day * 4, None, 1), (None, day * 5, None, 1)]
+    handle, processor = Counted(), stateful._Watch({"j1": (12, 40)}, (12, 12))
+    processor.init(handle)
+    told = []
+    for rows in (first, later, last):
+        frame = pd.DataFrame(rows, columns=["job", "minute", "at_ms", "n"])
+        told += [r for pdf in processor.handleInputRows((0,), iter([frame]), None) for r in pdf.itertuples(index=False, name=None)]
+    assert handle.calls <= 3 * stateful.SLOTS
+    days = lambda job: [at // day for j, at, _, _ in told if j == job]
+    assert days("j5") == days(None) == [1, 2, 3, 4, 5] and days("j1") == [2, 3, 4, 5] and days("j7") == [1, 2, 3]
+    assert {r[3] for r in told if r[0] == "j5"} == {20, 40, 60, 61, 62} and [r[2] for r in told if r[0] == "j5"][0] == 24
