@@ -157,18 +157,22 @@ def merge_state(state: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
 
     Per field the last patch that names it wins; "new" and "" clear it; an entry with neither is gone.
     """
-    named = patches.groupBy("url").agg(
-        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("ord"))).alias("p_status"),
-        F.max_by("note", F.when(F.col("note").isNotNull(), F.col("ord"))).alias("p_note"),
-    )
-    # max_by over rows whose ord is NULL returns NULL: a field no patch names stays as it is.
-    joined = state.join(named.withColumn("_patched", F.lit(True)), "url", "full")
+    joined = state.join(last_fields(patches).withColumn("_patched", F.lit(True)), "url", "full")
+    merged = joined.select("url", *patched_fields(), F.when(F.col("_patched"), now).otherwise(F.col("updated_at")).alias("updated_at"))
+    return merged.filter("status IS NOT NULL OR note IS NOT NULL")
+
+
+def last_fields(patches: DataFrame) -> DataFrame:
+    """(url, p_status, p_note): what the last patch that names a field says. max_by over rows whose ord is NULL returns
+    NULL: a field no patch names stays as it is."""
+    last = lambda name: F.max_by(name, F.when(F.col(name).isNotNull(), F.col("ord")))
+    return patches.groupBy("url").agg(last("status").alias("p_status"), last("note").alias("p_note"))
+
+
+def patched_fields() -> tuple[Column, Column]:
+    """Status and note of an entry (status, note) beside its ``last_fields``."""
     status = F.when(F.col("p_status").isNull(), F.col("status")).when(F.col("p_status") != "new", F.col("p_status"))
-    note = F.nullif(F.coalesce("p_note", "note"), F.lit(""))
-    return joined.select(
-        "url", status.alias("status"), note.alias("note"),
-        F.when(F.col("_patched"), now).otherwise(F.col("updated_at")).alias("updated_at"),
-    ).filter("status IS NOT NULL OR note IS NOT NULL")
+    return status.alias("status"), F.nullif(F.coalesce("p_note", "note"), F.lit("")).alias("note")
 
 
 def offline_patches(local: DataFrame, edited: DataFrame) -> DataFrame:

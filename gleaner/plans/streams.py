@@ -12,6 +12,7 @@ from gleaner.plans.lifecycle import _PATCHES, patches
 from gleaner.plans.monitor import _BASE, _DEGRADED
 from gleaner.plans.registry import query
 from gleaner.plans.views import Tables, shown, stamp
+from gleaner.session import cut_lineage, discard, scratch_folder
 from gleaner.streaming import runs, stateful
 
 
@@ -24,15 +25,32 @@ def event_stream(t: Tables) -> DataFrame:
     return stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Rows that a file of a micro-batch holds, about.
+FILE_ROWS = 1_000_000
+
+
 def in_batches(t: Tables, rows: DataFrame, order: str, n: int = 4) -> DataFrame:
-    """The rows as a stream of ``n`` micro-batches, one range of ``order`` (a time or a number) after another."""
+    """The rows as a stream of ``n`` micro-batches, one range of ``order`` (a time or a number) after another.
+
+    The rows are worked out once. Every batch is as many files as the largest needs, each written by a task of its own; a
+    range without rows is no batch.
+    """
     at = F.unix_micros(order) if dict(rows.dtypes)[order] == "timestamp" else F.col(order).cast("bigint")
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    folder = runs.run_folder(t.spark, "batches")
-    for i in range(n):
-        start, end = ((low or 0) + ((high or 0) - (low or 0) + 1) * k // n for k in (i, i + 1))
-        rows.filter(at.between(start, end - 1)).repartition(1).write.mode("append").parquet(f"{folder}/in")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    folder, scratch = runs.run_folder(t.spark, "batches"), scratch_folder(t.spark)
+    kept = cut_lineage(rows, scratch)
+    low, high = kept.agg(F.min(at), F.max(at)).first()
+    edges = [(low or 0) + ((high or 0) - (low or 0) + 1) * k // n for k in range(n + 1)]
+    ranges = [at.between(start, end - 1) for start, end in zip(edges, edges[1:])]
+    sizes = list(kept.agg(*[F.count_if(r) for r in ranges]).first())
+    files, written = max(1, -(-max(sizes) // FILE_ROWS)), runs.Files(t.spark, folder)
+    batches = [r for r, size in zip(ranges, sizes) if size] or ranges[:1]
+    for i, batch in enumerate(batches):
+        kept.filter(batch).repartition(files).write.mode("append").parquet(f"{folder}/in")
+        there = sum(name.startswith("part-") for name in written.names(f"{folder}/in"))
+        for _ in range(there, (i + 1) * files):  # fewer rows than files: the rest of them hold none
+            kept.limit(0).write.mode("append").parquet(f"{folder}/in")
+    discard(t.spark, scratch)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
 
 
 def _closed(minutes: int) -> str:

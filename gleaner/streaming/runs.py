@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.inbox import merge_pending
-from gleaner.operators.lifecycle import closures, merge_state
+from gleaner.operators.lifecycle import closures, last_fields, merge_state, patched_fields
 from gleaner.session import ensure_checkpoint_dir
 from gleaner.sources.parts import Files, PartTable
 
@@ -60,30 +60,40 @@ class StateTable:
 
     def before(self, batch: int, keys: DataFrame | None = None) -> DataFrame:
         """The table as batch ``batch`` finds it, or only its rows for ``keys``: then only their buckets are read."""
+        if keys is None:
+            return self._rows(batch)
+        return self._rows(batch, self.base.names_of(keys)).join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def beside(self, batch: int, keyed: DataFrame, buckets: list[str]) -> DataFrame:
+        """``keyed``, a row a key, with the row that batch ``batch`` finds for it, if any; ``buckets`` are those of its keys."""
+        return keyed.join(self._rows(batch, buckets), self.keys, "left")
+
+    def _rows(self, batch: int, buckets: list[str] | None = None) -> DataFrame:
         upto = max((v for v in self.base.versions() if v <= batch), default=None)  # version N holds the deltas below N
-        buckets = None if keys is None else self.base.names_of(keys)
         rows = self.base.read(buckets, upto) if upto is not None else self.spark.createDataFrame([], self.schema)
         later = [n for n in self.deltas() if (upto or 0) <= n < batch]
-        if later:
-            folders = [f"{self.folder}/deltas/batch={n}" for n in later]
-            changed = self.spark.read.schema(f"{self.schema}, _gone boolean, _batch bigint").parquet(*folders)
-            both = rows.withColumns({"_gone": F.lit(False), "_batch": F.lit(-1).cast("bigint")}).unionByName(changed)
-            if keys is not None:
-                both = both.filter(self.bucket.isin(buckets))
-            newest = both.groupBy(*self.keys).agg(F.max_by(F.struct(*both.columns), "_batch").alias("_row"))
-            rows = newest.filter("NOT _row._gone").select("_row.*").drop("_gone", "_batch")
-        return rows if keys is None else rows.join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+        if not later:
+            return rows
+        folders = [f"{self.folder}/deltas/batch={n}" for n in later]
+        changed = self.spark.read.schema(f"{self.schema}, _gone boolean, _batch bigint").parquet(*folders)
+        both = rows.withColumns({"_gone": F.lit(False), "_batch": F.lit(-1).cast("bigint")}).unionByName(changed)
+        if buckets is not None:
+            both = both.filter(self.bucket.isin(buckets))
+        newest = both.groupBy(*self.keys).agg(F.max_by(F.struct(*both.columns), "_batch").alias("_row"))
+        return newest.filter("NOT _row._gone").select("_row.*").drop("_gone", "_batch")
 
     def start(self, rows: DataFrame) -> None:
         """The table before batch 0."""
         self.base.commit(append=rows, version=0)
 
     def write(self, changed: DataFrame, batch: int, touched: DataFrame | None = None) -> None:
-        """Delta ``batch``: ``changed`` rows, and as gone the keys of ``touched`` that are not among them."""
-        rows = changed.withColumn("_gone", F.lit(False))
-        if touched is not None:
-            gone = touched.select(*self.keys).distinct().join(changed.select(*self.keys), self.keys, "left_anti")
-            rows = rows.unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        """Delta ``batch``: ``changed`` rows, and as gone the keys of ``touched`` that are not among them.
+
+        Or ``changed`` says itself, in a column ``_gone``, which keys are gone.
+        """
+        rows = changed if "_gone" in changed.columns else changed.withColumn("_gone", F.lit(False))
+        if touched is not None:  # the changed rows are worked out once
+            rows = rows.join(touched.select(*self.keys).distinct(), self.keys, "full").withColumn("_gone", F.coalesce("_gone", F.lit(True)))
         rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
         upto = max(self.base.versions(), default=0)
         if len([n for n in self.deltas() if upto <= n <= batch]) >= self.fold and batch + 1 not in self.base.versions():
@@ -138,8 +148,11 @@ def state_after_patches(patches: DataFrame, state: DataFrame | None = None) -> D
         table.start(state)
 
     def step(batch: DataFrame, n: int) -> None:
-        at = batch.agg(F.max("at")).scalar()
-        table.write(merge_state(table.before(n, batch), batch, at), n, touched=batch)
+        # one pass for what the whole batch decides, one for its patches; each entry is read beside them
+        newest, buckets = batch.agg(F.max(F.unix_micros("at")), F.collect_set(table.bucket)).first()
+        named = table.beside(n, last_fields(batch), buckets)
+        merged = named.select("url", *patched_fields(), F.timestamp_micros(F.lit(newest).cast("bigint")).alias("updated_at"))
+        table.write(merged.withColumn("_gone", F.expr("status IS NULL AND note IS NULL")), n)
 
     run_batches(patches, step, folder)
     return table.latest()

@@ -186,3 +186,16 @@ def test_frontmatter_files(spark, tmp_path):
     (tmp_path / "b.md").write_text("no block")
     rows = {r["file"].rsplit("/", 1)[1]: (r["meta"], r["section"]) for r in read_frontmatter(spark, str(tmp_path)).collect()}
     assert rows == {"a.md": ({"title": "QA: lead", "score": "2"}, "hi"), "b.md": (None, "")}
+
+
+def test_a_large_batch_is_several_files(spark, sf_dir, monkeypatch):
+    """Every range of the order is a batch of its own, written by several tasks; those of few rows are filled up."""
+    from gleaner.plans import streams
+    from gleaner.plans.views import Tables
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 30)
+    rows = spark.range(100).select(F.when(F.col("id") < 97, F.col("id")).otherwise(F.col("id") * 3).alias("v"))
+    stream, seen = streams.in_batches(Tables(spark, sf_dir), rows, "v", 3), []
+    folder = streams.runs.run_folder(spark, "seen")
+    streams.runs.run_batches(stream, lambda batch, n: seen.append((batch.rdd.getNumPartitions(), sorted(r.v for r in batch.collect()))), folder)
+    assert [v for _, v in seen] == [list(range(97)), [291, 294, 297]]
