@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -157,9 +157,18 @@ def score_band(c) -> Column:
     return F.when(c >= fixed.BAND_HIGH, "hi").when(c >= fixed.BAND_MID, "mid").otherwise("lo")
 
 
+def of_each(one: Callable, *columns: pa.Array, rows: int = 64) -> pa.Array:
+    """``one`` of the values of every row; null where the first is. Few rows at a time are held as Python values."""
+    found = []
+    for i in range(0, len(columns[0]), rows):
+        values = zip(*(c.slice(i, rows).to_pylist() for c in columns))
+        found.append(pa.array([None if v[0] is None else one(*v) for v in values], pa.string()))
+    return pa.concat_arrays(found) if found else pa.array([], pa.string())
+
+
 @F.arrow_udf(StringType())
 def _without_tags(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else strip_block_tags(t) for t in texts.to_pylist()], pa.string())
+    return of_each(strip_block_tags, texts)
 
 
 def strip_block_tags(text: str) -> str:
@@ -185,12 +194,26 @@ def sanitize_block(c, cap: int | None = None) -> Column:
     Removing a tag can join the halves of another one. Two passes settle all but deliberately nested texts; those go
     through one scan each.
     """
+    settled = _settled(_two_passes(c))
+    return settled if cap is None else F.left(settled, F.lit(cap))
+
+
+def _two_passes(c) -> Column:
     t = F.regexp_replace(text_or_blank(c), fixed.FORMAT_CHARS, "")
     for _ in range(2):
         t = F.regexp_replace(t, fixed.BLOCK_TAG, "")
+    return t
+
+
+def _settled(t: Column) -> Column:
     nested = t.rlike(fixed.BLOCK_TAG)
-    settled = F.when(nested, _without_tags(F.when(nested, t))).otherwise(t)
-    return settled if cap is None else F.left(settled, F.lit(cap))
+    return F.when(nested, _without_tags(F.when(nested, t))).otherwise(t)
+
+
+def with_sanitized(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ``out``, the ``sanitize_block`` of a column. The two passes are a column of their own, so they are made once a
+    row and not again on each side of the Python step."""
+    return df.withColumn(f"_{out}", _two_passes(column)).withColumn(out, _settled(F.col(f"_{out}"))).drop(f"_{out}")
 
 
 def screening_block(title, company, location, text, cap: int | None = None, field_cap: int | None = None) -> Column:
@@ -200,13 +223,26 @@ def screening_block(title, company, location, text, cap: int | None = None, fiel
         whole = squeeze(sanitize_block(c))
         return whole if field_cap is None else F.left(whole, F.lit(field_cap))
 
-    unknown = lambda c: F.coalesce(F.nullif(field(c), F.lit("")), F.lit("unknown"))
+    return _block(field(title), field(company), field(location), sanitize_block(text, cap))
+
+
+def _block(title: Column, company: Column, location: Column, text: Column) -> Column:
+    unknown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
     return F.concat(
-        F.lit("Title: "), field(title), F.lit("\nCompany: "), unknown(company),
-        F.lit("\nLocation: "), unknown(location), F.lit("\nDescription:\n"), sanitize_block(text, cap),
+        F.lit("Title: "), title, F.lit("\nCompany: "), unknown(company),
+        F.lit("\nLocation: "), unknown(location), F.lit("\nDescription:\n"), text,
     )
 
 
+def with_screening_block(df: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``, the ``screening_block`` of title, company, location and text; each is sanitized once a row."""
+    for name in ("title", "company", "location", "text"):
+        df = with_sanitized(df, name, f"_{out}_{name}")
+    title, company, location, text = (F.col(f"_{out}_{name}") for name in ("title", "company", "location", "text"))
+    block = _block(squeeze(title), squeeze(company), squeeze(location), text)
+    return df.withColumn(out, block).drop(*(f"_{out}_{name}" for name in ("title", "company", "location", "text")))
+
+
 # Substrings of lower-cased text, one of each group, without which a pattern cannot match: tested before it.
 _MARKER_NEEDS = [
     [["ignore"], ["instruction"]], [["disregard"]], [["you", "act"], ["ai", "assistant", "language"]], [["system"], ["prompt"]], [["score"]], [["score"]], [["fit"]],
@@ -220,7 +256,7 @@ def injection_markers(c, unicode_fold: bool = True) -> Column:
     if unicode_fold:
         s = nfkc(s)
     s = F.regexp_replace(F.regexp_replace(s, fixed.FORMAT_CHARS, ""), fixed.INVISIBLE_FILLERS, " ")
-    s = F.regexp_replace(s, f"{WS}+", " ")
+    s = F.regexp_replace(s, f"{WS}{{2,}}+|(?! ){WS}", " ")  # a single space stays as it is
 
     def possible(low: Column, groups: list[list[str]]) -> Column:
         found = F.lit(True)

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from gleaner import fixed
 from gleaner.functions.html import decode_entities, html_to_text, strip_blocks
-from gleaner.functions.text import compose_text, once, one_line, text_or_blank
+from gleaner.functions.text import compose_text, of_each, once, one_line, text_or_blank
 from gleaner.functions.urls import canonical_job_url, undouble
 
 _DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
@@ -44,9 +44,9 @@ def div_block_of(html: Column, class_name: str) -> Column:
     """
     wanted = class_name.lower()
 
-    @F.pandas_udf(StringType())
-    def inner(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: None if page is None else _inner_div(page, wanted))
+    @F.arrow_udf(StringType())
+    def inner(pages: pa.Array) -> pa.Array:
+        return of_each(lambda page: _inner_div(page, wanted), pages)
 
     cleaned = strip_blocks(html)
     has = F.lower(cleaned).contains(wanted)
@@ -178,29 +178,49 @@ def charset_of(content_type: Column, head: Column) -> Column:
     return F.coalesce(F.try_element_at(meant, label), label)
 
 
-@F.pandas_udf(StringType())
-def _decode_legacy(body: pd.Series, charset: pd.Series) -> pd.Series:
-    def one(raw, label):
-        if raw is None:
-            return None
-        try:
-            return bytes(raw).decode(label, errors="replace")
-        except LookupError:
-            return bytes(raw).decode("utf-8", errors="replace")
+def _upper_halves(labels: list[str]) -> dict[str, str]:
+    """What the bytes from 0x80 on mean, by label, in charsets of one byte a character whose lower half is ASCII."""
+    return {label: bytes(range(0x80, 0x100)).decode(label, errors="replace") for label in labels}
+
+
+_LATIN = "".join(map(chr, range(0x80, 0x100)))
+BYTE_CHARSETS = _upper_halves([
+    *(f"windows-125{i}" for i in range(9)), *(f"iso-8859-{i}" for i in (2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 15, 16)), "koi8-r", "koi8-u", "ibm866",
+])
+
+
+def _decode_one(raw: bytes, label: str) -> str:
+    try:
+        return raw.decode(label, errors="replace")
+    except LookupError:
+        return raw.decode("utf-8", errors="replace")
+
 
-    return pd.Series([one(b, c) for b, c in zip(body, charset)])
+@F.arrow_udf(StringType())
+def _decode_legacy(body: pa.Array, charset: pa.Array) -> pa.Array:
+    return of_each(_decode_one, body, charset)
 
 
 def decode_body(bodies: DataFrame, body: str = "body", content_type: str = "content_type", head_bytes: int = 2048) -> DataFrame:
-    """Adds charset and html. UTF-8 bodies are decoded in the JVM; only legacy charsets take the Arrow path.
+    """Adds charset and html. UTF-8 and charsets of one byte a character are decoded in the JVM; the others take the Arrow path.
 
     A body without a header's label names its charset in its first ``head_bytes`` bytes, as browsers expect, or not at all.
     """
     head = F.decode(F.substring(F.col(body), 1, head_bytes), "ISO-8859-1")
     labelled = bodies.withColumn("charset", charset_of(F.col(content_type), head))
-    plain = F.col("charset").isin("utf-8", "utf8")
-    legacy = _decode_legacy(F.when(~plain, F.col(body)), F.col("charset"))
-    return labelled.withColumn("html", F.when(plain, F.col(body).cast("string")).otherwise(legacy))
+    charset = F.col("charset")
+    plain, bytewise = charset.isin("utf-8", "utf8"), charset.isin(*BYTE_CHARSETS)
+
+    def meant(latin: Column) -> Column:
+        found = F.when(latin.rlike(r"^[\x00-\x7F]*+$"), latin)
+        for label, upper in BYTE_CHARSETS.items():
+            moved = [(a, b) for a, b in zip(_LATIN, upper) if a != b]
+            found = found.when(charset == label, F.translate(latin, "".join(a for a, _ in moved), "".join(b for _, b in moved)))
+        return found
+
+    legacy = _decode_legacy(F.when(~plain & ~bytewise, F.col(body)), charset)
+    told = F.when(plain, F.col(body).cast("string")).when(bytewise, once(F.decode(F.col(body), "ISO-8859-1"), meant))
+    return labelled.withColumn("html", told.otherwise(legacy))
 
 
 # ---- page classes, cards, frontier ----------------------------------------------
