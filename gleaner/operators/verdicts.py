@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed
-from gleaner.functions.text import injection_markers, screening_block, text_or_blank
+from gleaner.functions.text import injection_markers, screening_block, text_or_blank, with_screening_block
 
 
 def numeric_score(c, number: Column | None = None) -> Column:
@@ -71,8 +71,7 @@ def split_by_budget(matches: DataFrame, budget: int) -> DataFrame:
 def with_suspect_count(matches: DataFrame, out: str = "marks") -> DataFrame:
     """Adds how many patterns of the screened block address the screener. The block is a column of its own, so it
     is built once and not again on each side of the Unicode step."""
-    block = screening_block("title", "company", "location", "text")
-    return matches.withColumn("_block", block).withColumn(out, F.size(injection_markers("_block"))).drop("_block")
+    return with_screening_block(matches, "_block").withColumn(out, F.size(injection_markers("_block"))).drop("_block")
 
 
 def join_verdicts(matches: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import fixed
-from gleaner.functions.text import injection_markers, sanitize_block, screening_block
+from gleaner.functions.text import injection_markers, sanitize_block, screening_block, with_sanitized
 from gleaner.operators import verdicts as vd
 from gleaner.operators.scoring import score_text
 from gleaner.operators.sinks import alt_links_after, package_rows
@@ -144,7 +144,7 @@ _ASKED = {
 
 @query("str_20_injection_markers", s.sql("SELECT item, CASE item % 6 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '4' WHEN 4 THEN '5' ELSE '' END AS marks FROM docs", docs=_ASKED["docs"]))
 def markers(t: Tables) -> DataFrame:
-    blocks = asked(t).select("item", sanitize_block("text").alias("block"))
+    blocks = with_sanitized(asked(t), "text", "block")
     return blocks.select("item", F.array_join(injection_markers("block").cast("array<string>"), ",").alias("marks"))
 
 
