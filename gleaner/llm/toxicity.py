@@ -11,7 +11,7 @@ cosine, against a prior of the share of toxic examples; their ids are the eviden
 from __future__ import annotations
 
 import math
-import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Memo, bounded_ids, fold, table, texts
 from gleaner.llm.registry import query
-from gleaner.llm.words import STRETCH
+from gleaner.llm.words import lower_words, spelled, words_in  # noqa: F401
 from gleaner.session import cut_lineage
 
-WORD = re.compile(r"[^\W\d_]+")
-BETWEEN = re.compile(r"[\W\d_]")
 #: Bound of the model: labelled rows it learns from.
 EXAMPLES = 20_000
 #: Word starts that are terms of their own.
@@ -35,23 +33,15 @@ NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
 REMEMBERED = 200_000
 
 
-def terms_of(word: str) -> tuple[str, ...]:
+def terms_of(word: bytes | str) -> tuple[str, ...]:
     """The word and its starts (marked by a hyphen)."""
+    word = spelled(word)
     return (word, *(f"{word[:n]}-" for n in STARTS if len(word) > n))
 
 
-def words_in(text: str | None, stretch: int = STRETCH) -> Iterator[list[str]]:
-    """Lists of lower-case letter runs of a whole text, cut between words."""
-    text, at = text or "", 0
-    while len(text) - at > stretch and (m := BETWEEN.search(text, at + stretch)):
-        yield WORD.findall(text[at : m.start()].lower())
-        at = m.start()
-    yield WORD.findall((text[at:] if at else text).lower())
-
-
 def terms_in(text: str | None, memo: Memo) -> Counter:
     seen: Counter = Counter()
-    for words in words_in(text):
+    for words in lower_words(text):
         seen.update(words)
     times: Counter = Counter()
     for word, n in seen.items():
@@ -95,24 +85,47 @@ def by_row(rows: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit integers, byte by byte of their places, compressed."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(places.T).view("<i4").reshape(-1).astype(np.int32)
+
+
 class BlockMaxIndex:
     """Unit vectors of examples in blocks, with the largest weight of every term in every block."""
 
     def __init__(self, rows: Iterable[tuple[int, int, dict[int, int]]], idf: np.ndarray, k: int = NEIGHBOURS):
         self.idf, self.k = idf, k
-        weighted = [(doc, toxic, self.weights(counts)) for doc, toxic, counts in rows]
+        weighted = [(doc, toxic, *self._weighed(counts)) for doc, toxic, counts in rows]
         # examples of like terms share a block: by the heaviest term
-        weighted = [w for w in weighted if len(w[2][0])]
-        weighted.sort(key=lambda w: (int(w[2][0][np.argmax(w[2][1])]), w[0]))
+        weighted = [w for w in weighted if len(w[2])]
+        weighted.sort(key=lambda w: (int(w[2][np.argmax(w[3])]), w[0]))
         self.docs = np.array([w[0] for w in weighted], np.int64)
         self.toxic = np.array([w[1] for w in weighted], np.float64)
         self.blocks = math.ceil(len(weighted) / BLOCK)
-        self.first = np.concatenate([[0], np.cumsum([len(w[2][0]) for w in weighted], dtype=np.int64)])
-        self.own_terms = np.concatenate([np.empty(0, np.int32), *(w[2][0] for w in weighted)])
-        self.own_values = np.concatenate([np.empty(0), *(w[2][1] for w in weighted)])
-
+        self.first = np.concatenate([[0], np.cumsum([len(w[2]) for w in weighted], dtype=np.int64)])
+        self.own_terms = np.concatenate([np.empty(0, np.int32), *(w[2] for w in weighted)])
+        self.own_values = np.concatenate([np.empty(0), *(w[3] for w in weighted)])
+        self.own_times = np.concatenate([np.empty(0, np.int32), *(w[4] for w in weighted)])
+        self.norms = np.array([w[5] for w in weighted], np.float64)
         self.top: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        """Counts travel, packed; the values are worked out of them again, the same to the last bit."""
+        small = {k: v for k, v in self.__dict__.items() if k in ("idf", "k", "docs", "toxic", "blocks", "first", "norms")}
+        return small | {"own_terms": packed(np.diff(self.own_terms, prepend=np.int32(0))), "own_times": packed(self.own_times)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.own_terms = np.cumsum(unpacked(state["own_terms"]), dtype=np.int32)
+        self.own_times = unpacked(state["own_times"])
+        self.own_values = (1 + np.log(self.own_times.astype(float))) * self.idf[self.own_terms] / np.repeat(self.norms, np.diff(self.first))
+        self.top = None
+
     def invert(self) -> None:
         """Entries by term and by term and block; made where the index is asked, so that only the examples travel."""
         n = len(self.idf)
@@ -128,10 +141,16 @@ class BlockMaxIndex:
         np.maximum.at(self.top, terms[new], self.block_top)
 
     def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        return self._weighed(counts)[:2]
+
+    def _weighed(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Terms that weigh, their values as a unit vector, how often they occur, and the norm."""
         terms = np.array(sorted(counts), np.int32)
-        values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms] if len(terms) else np.empty(0)
+        times = np.array([counts[t] for t in terms.tolist()], np.int32)
+        values = (1 + np.log(times.astype(float))) * self.idf[terms] if len(terms) else np.empty(0)
         norm = math.sqrt(float((values**2).sum()))
-        return terms[values > 0], values[values > 0] / norm if norm else values[:0]
+        held = values > 0
+        return terms[held], values[held] / norm if norm else values[:0], times[held], norm
 
     def nearest(self, counts: dict[int, int]) -> list[tuple[int, float]]:
         """(place of an example, cosine) of the k largest cosines above 0; ties by doc_id."""
@@ -176,6 +195,13 @@ class Model:
     def __init__(self, terms: list[str], index: BlockMaxIndex, prior: float):
         self.terms, self.index, self.prior = terms, index, prior
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"terms": zlib.compress("\n".join(self.terms).encode(), 1)}  # terms are letters and hyphens
+
+    def __setstate__(self, state: dict) -> None:
+        text = zlib.decompress(state["terms"]).decode()
+        self.__dict__.update(state, terms=text.split("\n") if text else [])
+
     def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
         """Share of toxic votes, each weighted by 1 / (distance + 0.1) relative to a perfect match, with the prior."""
         near = self.index.nearest(counts) if counts else []
@@ -208,6 +234,7 @@ def frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[
 
     counted = docs.select(text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    shared.destroy()
     out = np.zeros(len(terms), np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
