@@ -2,25 +2,29 @@
 
 Documents are compared by the exact TF-IDF cosine over all words, and word starts, that labelled examples hold; no term is
 left out. A term's weight is its rarity among all documents, raised by how much oftener toxic examples hold it than clean
-ones (relevance frequency); only what most clean examples hold weighs nothing. The examples lie in an inverted index in
-blocks that keep the largest weight of each of their terms: the terms that can add most are summed over all examples first,
-and only examples whose block could still lift them to the k-th best are finished. The neighbours vote, weighted by their
-cosine, against a prior of the share of toxic examples; their ids are the evidence.
+ones (relevance frequency); only what most clean examples hold weighs nothing. The examples lie in blocks of like ones: rare
+terms in lists, a block's frequent ones in rows beside their largest weight. The lists are summed over all examples first,
+and only blocks whose frequent terms could still lift an example to the k-th best are worked out. The neighbours vote,
+weighted by their cosine, against a prior of the share of toxic examples; their ids are the evidence.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Memo, bounded_ids, fold, table, texts
+from gleaner.llm.common import Memo, bounded_ids, fold, give_back, table, texts
 from gleaner.llm.registry import query
 from gleaner.llm.words import lower_words, spelled, words_in  # noqa: F401
 from gleaner.session import cut_lineage
@@ -29,8 +33,17 @@ from gleaner.session import cut_lineage
 EXAMPLES = 20_000
 #: Word starts that are terms of their own.
 STARTS = (4, 5, 6, 7)
-NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.25
+NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 256, 0.25
 REMEMBERED = 200_000
+#: Texts that are asked together, and entries that are packed or sorted together.
+ASKED, PACKED = 128, 1 << 20
+#: Entries of a list that is kept as an array of its own.
+LONG = 16
+#: Groups of like examples, told apart by the most frequent terms that weigh.
+GROUPS, LEADING = 16, 256
+#: A term has a row in a block if its examples there times its share of all examples are more; what single precision may be out.
+ROWS, ROUNDING = 2, 1e-5
+LOGS = 1 + np.log(np.maximum(1, np.arange(1 << 16)))
 
 
 def terms_of(word: bytes | str) -> tuple[str, ...]:
@@ -39,40 +52,92 @@ def terms_of(word: bytes | str) -> tuple[str, ...]:
     return (word, *(f"{word[:n]}-" for n in STARTS if len(word) > n))
 
 
-def terms_in(text: str | None, memo: Memo) -> Counter:
-    seen: Counter = Counter()
-    for words in lower_words(text):
-        seen.update(words)
-    times: Counter = Counter()
-    for word, n in seen.items():
-        for term in memo[word]:
-            times[term] += n
-    return times
-
-
-def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, clean): documents of the batch that hold a term, by label."""
-    memo = Memo(terms_of, REMEMBERED)
+def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each batch."""
     for batch in batches:
-        counts = (Counter(), Counter())
-        for toxic, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            counts[bool(toxic)].update(terms_in(text, memo).keys())
-        terms = list({*counts[0], *counts[1]})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())],
-            names=["term", "toxic", "clean"],
-        )
+        seen: set = set()
+        for text in texts(batch.column(0)):
+            for words in lower_words(text):
+                seen.update(words)
+        yield pa.RecordBatch.from_arrays([pa.array(list({spelled(w) for w in seen}), pa.string())], names=["word"])
 
 
 class Vectors:
-    """Term counts of texts over a fixed vocabulary, by the places of its terms."""
+    """Term counts of texts over a fixed vocabulary, by the places of its terms, many texts at once."""
 
     def __init__(self, terms: list[str]):
-        place = {t: i for i, t in enumerate(terms)}
-        self.memo = Memo(lambda word: tuple(place[t] for t in terms_of(word) if t in place), REMEMBERED)
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        return terms_in(text, self.memo)
+        self._take("\n".join(terms).encode())  # terms are letters and hyphens
+
+    def _take(self, names: bytes) -> None:
+        """The terms lie in one string, and their places by a part of their checksums: an object each would take far more."""
+        self.names = names
+        ends = np.append(np.flatnonzero(np.frombuffer(names, np.uint8) == ord("\n")), len(names)) if names else np.empty(0, np.int64)
+        self.n_terms = len(ends)
+        self.start = array("q", np.append(0, ends + 1).tobytes())
+        self.bits = (1 << max(1, self.n_terms).bit_length()) - 1
+        bucket = np.fromiter((zlib.crc32(names[a : b - 1]) & self.bits for a, b in pairwise(self.start)), np.int64, self.n_terms)
+        self.order = array("i", np.argsort(bucket, kind="stable").astype(np.int32).tobytes())
+        self.bucket = array("i", by_row(bucket, self.bits + 1).astype(np.int32).tobytes())
+        # the row of a word in the table is the number of words known before it
+        self.known = Memo(self._row, sys.maxsize)
+        self.table = np.full((1024, 1 + len(STARTS)), -1)
+        self.times, self.last = np.zeros((2, self.n_terms), np.int64)
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.names, 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self._take(zlib.decompress(state))
+
+    @property
+    def terms(self) -> list[str]:
+        return self.names.decode().split("\n") if self.names else []
+
+    def place(self, term: str) -> int:
+        """Where the term stands, or -1."""
+        name = term.encode()
+        at = zlib.crc32(name) & self.bits
+        for i in self.order[self.bucket[at] : self.bucket[at + 1]]:
+            if self.names[self.start[i] : self.start[i + 1] - 1] == name:
+                return i
+        return -1
+
+    def _row(self, word: bytes | str) -> int:
+        n, width = len(self.known), self.table.shape[1]
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        found = [self.place(t) for t in terms_of(word)]
+        self.table[n] = found + [-1] * (width - len(found))
+        return n
+
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the text's terms, in order, and how often they occur."""
+        seen = []
+        for words in lower_words(text):
+            times = Counter(words)
+            rows = np.fromiter(map(self.known.__getitem__, times), np.int64, len(times))
+            found = self.table[rows]
+            held = found >= 0
+            n = np.broadcast_to(np.fromiter(times.values(), np.int64, len(times))[:, None], found.shape)[held]
+            found = found[held]
+            np.add.at(self.times, found, n)
+            at = np.arange(len(found))
+            self.last[found] = at
+            seen.append(found[self.last[found] == at])
+        own = np.sort(seen[0]) if len(seen) == 1 else np.unique(np.concatenate(seen))
+        times = self.times[own]
+        self.times[own] = 0
+        if over := max(0, len(self.known) - REMEMBERED):
+            for _ in range(over + REMEMBERED // 4):  # frequent words come early: the newest go
+                self.known.popitem()
+        return own, times
+
+    def counts(self, values: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's terms start (and the end of the last); the terms and times of all texts, one behind another."""
+        found = [self.count(text) for text in values]
+        none = np.empty(0, np.int64)
+        first = np.cumsum([0, *(len(own) for own, _ in found)])
+        return first, np.concatenate([none, *(own for own, _ in found)]), np.concatenate([none, *(times for _, times in found)])
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,105 +150,222 @@ def by_row(rows: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
 
 
-def packed(values: np.ndarray) -> bytes:
-    """32-bit integers, byte by byte of their places, compressed."""
-    return zlib.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def packed(values: np.ndarray) -> list[bytes]:
+    """32-bit integers, byte by byte of their places, compressed, a million at a time."""
+    parts = (values[i : i + PACKED] for i in range(0, len(values), PACKED))
+    return [zlib.compress(np.ascontiguousarray(v.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for v in parts]
+
+
+def unpacked(data: list[bytes], kind: np.dtype | type = np.int32) -> np.ndarray:
+    out, at = np.empty(PACKED * len(data), kind), 0
+    for part in data:
+        places = np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1)
+        out[at : at + places.shape[1]] = np.ascontiguousarray(places.T).view("<i4").reshape(-1)
+        at += places.shape[1]
+    return out[:at]
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(places.T).view("<i4").reshape(-1).astype(np.int32)
+def damped(times: np.ndarray) -> np.ndarray:
+    return LOGS[times] if times.dtype.itemsize <= 2 else 1 + np.log(times.astype(float))
+
+
+def alike(vectors: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """A group for every row, by the direction of the rows: the same one for the same rows."""
+    if not len(vectors):
+        return np.empty(0, np.int64)
+    centers, near = vectors[:1], np.full(len(vectors), -1.0, np.float32)
+    while len(centers) < groups:
+        near = np.maximum(near, vectors @ centers[-1])
+        centers = np.concatenate([centers, vectors[[int(near.argmin())]]])
+    for _ in range(5):
+        group = (vectors @ centers.T).argmax(axis=1)
+        sums = np.stack([vectors[group == g].sum(axis=0) for g in range(groups)])
+        centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return group
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks, with the largest weight of every term in every block."""
+    """Unit vectors of examples in blocks of like ones.
+
+    A term that is frequent in a block lies there as a row of numbers for all its examples, with the largest of them; all
+    others lie in lists by term. A search sums the lists first; of the blocks it works out those whose largest numbers, or
+    longest rest of a vector, could still lift an example to the k-th best.
+    """
 
     def __init__(self, rows: Iterable[tuple[int, int, dict[int, int]]], idf: np.ndarray, k: int = NEIGHBOURS):
+        rows = [(doc, toxic, sorted(counts.items())) for doc, toxic, counts in rows]
+        terms = np.array([t for r in rows for t, _ in r[2]], np.int32)
+        times = np.array([n for r in rows for _, n in r[2]], np.int32)
+        first = np.cumsum([0, *(len(r[2]) for r in rows)])
+        self._take(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), first, terms, times, idf, k)
+
+    @classmethod
+    def of(cls, docs: np.ndarray, toxic: np.ndarray, first: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, k: int = NEIGHBOURS) -> BlockMaxIndex:
+        """The same of examples whose terms, in order, and counts lie one behind another, from ``first`` on."""
+        index = cls.__new__(cls)
+        index._take(docs, toxic, first, terms, times, idf, k)
+        return index
+
+    def _take(self, docs: np.ndarray, toxic: np.ndarray, first: np.ndarray, terms: np.ndarray, times: np.ndarray, idf: np.ndarray, k: int) -> None:
         self.idf, self.k = idf, k
-        weighted = [(doc, toxic, *self._weighed(counts)) for doc, toxic, counts in rows]
-        # examples of like terms share a block: by the heaviest term
-        weighted = [w for w in weighted if len(w[2])]
-        weighted.sort(key=lambda w: (int(w[2][np.argmax(w[3])]), w[0]))
-        self.docs = np.array([w[0] for w in weighted], np.int64)
-        self.toxic = np.array([w[1] for w in weighted], np.float64)
-        self.blocks = math.ceil(len(weighted) / BLOCK)
-        self.first = np.concatenate([[0], np.cumsum([len(w[2]) for w in weighted], dtype=np.int64)])
-        self.own_terms = np.concatenate([np.empty(0, np.int32), *(w[2] for w in weighted)])
-        self.own_values = np.concatenate([np.empty(0), *(w[3] for w in weighted)])
-        self.own_times = np.concatenate([np.empty(0, np.int32), *(w[4] for w in weighted)])
-        self.norms = np.array([w[5] for w in weighted], np.float64)
-        self.top: np.ndarray | None = None
+        times = times.astype(np.min_scalar_type(max(1, int(times.max(initial=1)))))
+        often = np.bincount(terms, minlength=len(idf)) * (idf > 0)
+        frequent = np.full(len(idf), -1)
+        top = np.argsort(-often, kind="stable")[:LEADING]
+        frequent[top] = np.arange(len(top))
+        spans, norms, leading = [], [], np.zeros((len(docs), max(1, len(top))), np.float32)
+        for i, (start, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            own = terms[start:end]
+            values = damped(times[start:end]) * idf[own]
+            norms.append(math.sqrt(float((values**2).sum())))
+            held = values > 0
+            spans.append((own[held], times[start:end][held]))
+            place = frequent[own]
+            leading[i, place[place >= 0]] = values[place >= 0]
+        length = np.linalg.norm(leading, axis=1)
+        leading /= np.maximum(length, 1e-9)[:, None]
+        # like shares of frequent terms keep the bounds of a block tight; examples without a term that weighs are near to nothing
+        order = [i for i in np.lexsort((docs, length / np.maximum(norms, 1e-9), alike(leading))).tolist() if len(spans[i][0])]
+        del leading
+        self.docs, self.toxic, self.norms = docs[order], toxic[order], np.array(norms, np.float64)[order]
+        self.blocks = math.ceil(len(order) / BLOCK)
+        self.first = np.concatenate([[0], np.cumsum([len(spans[i][0]) for i in order], dtype=np.int64)])
+        self.own_terms = np.concatenate([np.empty(0, np.int32), *(spans[i][0] for i in order)])
+        self.own_times = np.concatenate([np.empty(0, times.dtype), *(spans[i][1] for i in order)])
+        self.top: list[np.ndarray] | None = None
+
+    @property
+    def own_values(self) -> np.ndarray:
+        return damped(self.own_times) * self.idf[self.own_terms] / np.repeat(self.norms, np.diff(self.first))
 
     def __getstate__(self) -> dict:
         """Counts travel, packed; the values are worked out of them again, the same to the last bit."""
         small = {k: v for k, v in self.__dict__.items() if k in ("idf", "k", "docs", "toxic", "blocks", "first", "norms")}
-        return small | {"own_terms": packed(np.diff(self.own_terms, prepend=np.int32(0))), "own_times": packed(self.own_times)}
+        return small | {"own_terms": packed(np.diff(self.own_terms, prepend=np.int32(0))), "own_times": packed(self.own_times), "kind": self.own_times.dtype}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.own_terms = np.cumsum(unpacked(state["own_terms"]), dtype=np.int32)
-        self.own_times = unpacked(state["own_times"])
-        self.own_values = (1 + np.log(self.own_times.astype(float))) * self.idf[self.own_terms] / np.repeat(self.norms, np.diff(self.first))
+        self.__dict__.update({k: v for k, v in state.items() if k != "kind"})
+        self.own_terms = unpacked(state["own_terms"])
+        np.cumsum(self.own_terms, out=self.own_terms)
+        self.own_times = unpacked(state["own_times"], state["kind"])
         self.top = None
 
     def invert(self) -> None:
-        """Entries by term and by term and block; made where the index is asked, so that only the examples travel."""
-        n = len(self.idf)
-        order = np.argsort(self.own_terms, kind="stable")
-        terms = self.own_terms[order]
-        self.place = np.repeat(np.arange(len(self.docs), dtype=np.int32), np.diff(self.first))[order]
-        self.value, self.start = self.own_values[order], by_row(terms, n)
-        key = terms.astype(np.int64) * max(1, self.blocks) + self.place // BLOCK
-        new = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block_top = np.maximum.reduceat(self.value, new) if len(new) else np.empty(0)
-        self.block, self.block_start = (self.place[new] // BLOCK).astype(np.int32), by_row(terms[new], n)
-        self.top = np.zeros(n)
-        np.maximum.at(self.top, terms[new], self.block_top)
-
-    def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        return self._weighed(counts)[:2]
-
-    def _weighed(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Terms that weigh, their values as a unit vector, how often they occur, and the norm."""
-        terms = np.array(sorted(counts), np.int32)
-        times = np.array([counts[t] for t in terms.tolist()], np.int32)
-        values = (1 + np.log(times.astype(float))) * self.idf[terms] if len(terms) else np.empty(0)
-        norm = math.sqrt(float((values**2).sum()))
-        held = values > 0
-        return terms[held], values[held] / norm if norm else values[:0], times[held], norm
+        """Lists and rows; made where the index is asked, so that only the examples travel. A range of terms at a time."""
+        n, t, blocks = len(self.docs), len(self.idf), max(1, self.blocks)
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.first))
+        often = np.bincount(self.own_terms, minlength=t)
+        total, dense, used = np.cumsum(often), [], 0
+        # an entry of a list: the place of an example, and its value as the bits of a single
+        entries = np.empty((len(owner), 2), np.int32)
+        self.start = np.zeros(t + 1, np.int64)
+        ends = np.unique(np.searchsorted(total, np.arange(0, total[-1] if t else 0, PACKED) + PACKED).clip(max=max(0, t - 1)) + 1)
+        for low, high in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            at = np.flatnonzero((self.own_terms >= low) & (self.own_terms < high))
+            at = np.sort((self.own_terms[at].astype(np.int64) << 32) | at) & 0xFFFFFFFF
+            terms, place = self.own_terms[at], owner[at]
+            value = (damped(self.own_times[at]) * self.idf[terms] / self.norms[place]).astype(np.float32)
+            key = (terms - low).astype(np.int64) * blocks + place // BLOCK
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            size = np.diff(new, append=len(key))
+            # a row costs every search the same, a list those that ask for the term
+            rows = np.repeat(size * often[terms[new]] > ROWS * n, size)
+            dense.append((terms[rows], place[rows], value[rows]))
+            lists = entries[used : used + np.count_nonzero(~rows)]
+            lists[:, 0], lists[:, 1] = place[~rows], value[~rows].view(np.int32)
+            used += len(lists)
+            self.start[low + 1 : high + 1] = np.bincount(terms[~rows] - low, minlength=high - low)
+        np.cumsum(self.start, out=self.start)
+        self.entries = entries[:used].view(np.int64).reshape(-1)
+        size = np.diff(self.start)
+        self.long = np.full(t, -1)
+        held = np.flatnonzero(size >= LONG)
+        self.long[held] = np.arange(len(held))
+        self.lists = [self.entries[a:b] for a, b in zip(self.start[held].tolist(), self.start[held + 1].tolist())]
+        self.asked = np.zeros(t)
+        del owner
+        terms, place, value = (np.concatenate(x) for x in zip(*dense)) if dense else (np.empty(0, np.int32),) * 3
+        dense.clear()
+        columns = np.unique(terms)
+        self.column = np.full(t, -1, np.int32)
+        self.column[columns] = np.arange(len(columns))
+        self.columns, self.block_terms, self.block_rows, self.block_long, self.top = len(columns), [], [], [], []
+        order = np.argsort(place // BLOCK, kind="stable")
+        bounds = by_row(place[order] // BLOCK, blocks)
+        for b in range(self.blocks):
+            at = order[bounds[b] : bounds[b + 1]]
+            own, row = np.unique(self.column[terms[at]], return_inverse=True)
+            numbers = np.zeros((len(own), min(BLOCK, n - b * BLOCK)), np.float32)
+            numbers[row, place[at] - b * BLOCK] = value[at]
+            self.block_terms.append(own)
+            self.block_rows.append(numbers)
+            self.block_long.append(float(np.sqrt((numbers**2).sum(axis=0)).max(initial=0)))
+            self.top.append(numbers.max(axis=1, initial=0))
+        give_back(0)
 
     def nearest(self, counts: dict[int, int]) -> list[tuple[int, float]]:
         """(place of an example, cosine) of the k largest cosines above 0; ties by doc_id."""
+        terms = np.array(sorted(counts), np.int64)
+        times = np.array([counts[x] for x in terms.tolist()], np.int64)
+        return self.search(np.array([0, len(terms)]), terms, times)[0]
+
+    def search(self, first: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[list[tuple[int, float]]]:
+        """``nearest`` of many texts whose terms, in order, and counts lie one behind another, from ``first`` on."""
         if self.top is None:
             self.invert()
-        terms, values = self.weights(counts)
-        n, query = len(self.docs), np.zeros(len(self.idf))
-        query[terms] = values
-        reach = values * self.top[terms]
-        order = np.argsort(-reach, kind="stable")[: np.count_nonzero(reach)]
-        terms, reach, values = terms[order], reach[order], values[order]
-        sizes = self.start[terms + 1] - self.start[terms]
-        left = np.concatenate([np.cumsum(reach[::-1])[::-1], [0.0]])  # what the terms from here on can add
-        upto, done, partial, least = np.cumsum(sizes), 0, np.zeros(n), 0.0
-        while done < len(terms) and left[done] + 1e-9 >= least:
-            end = min(len(terms), int(np.searchsorted(upto, 2 * (upto[done - 1] if done else 0) + n)) + 1)
-            at = ranges(self.start[terms[done:end]], sizes[done:end])
-            partial += np.bincount(self.place[at], self.value[at] * np.repeat(values[done:end], sizes[done:end]), n)
-            done = end
-            least = float(np.partition(partial, n - self.k)[n - self.k]) if n > self.k else 0.0
-        rest = np.zeros(self.blocks)
-        if done < len(terms):
-            few = self.block_start[terms[done:] + 1] - self.block_start[terms[done:]]
-            at = ranges(self.block_start[terms[done:]], few)
-            rest = np.bincount(self.block[at], self.block_top[at] * np.repeat(values[done:], few), self.blocks)
-        # rounding can lift a cosine above the sum of the bounds by a hair
-        reached = partial + np.repeat(rest, BLOCK)[:n]
-        open_ = np.flatnonzero((reached > 0) & (reached + 1e-9 >= least))
+        n, asked = len(self.docs), len(first) - 1
+        if not n:
+            return [[] for _ in range(asked)]
+        queries, sums = [], np.zeros((asked, n), np.float32)
+        frequent = np.zeros((self.columns, asked), np.float32)
+        for q, (start, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            own = terms[start:end]
+            weights = (1 + np.log(times[start:end].astype(float))) * self.idf[own]
+            own, weights = own[weights > 0], weights[weights > 0]
+            weights /= math.sqrt(float((weights**2).sum())) or 1.0
+            queries.append((own, weights))
+            column = self.column[own]
+            frequent[column[column >= 0], q] = weights[column >= 0]
+            sums[q] = self._lists(own, weights.astype(np.float32))
+        self._rows(frequent, sums)
+        return [self._best(own, weights, sums[q]) for q, (own, weights) in enumerate(queries)]
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the lists give every example."""
+        start, sizes, long = self.start[terms], self.start[terms + 1] - self.start[terms], self.long[terms]
+        few, many = np.flatnonzero(long < 0), np.flatnonzero(long >= 0)
+        found = np.concatenate([self.entries[ranges(start[few], sizes[few])], *map(self.lists.__getitem__, long[many].tolist())])
+        order = np.concatenate([few, many])
+        weights = np.repeat(weights[order], sizes[order])
+        weights *= found.view(np.float32)[1::2]
+        return np.bincount(found.view(np.int32)[::2], weights, len(self.docs))
+
+    def _rows(self, frequent: np.ndarray, sums: np.ndarray) -> None:
+        """Add what the blocks give to the sums of the queries that they matter to."""
+        n = len(self.docs)
+        least = np.partition(sums, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.zeros(len(sums), np.float32)
+        for b, (own, numbers) in enumerate(zip(self.block_terms, self.block_rows)):
+            if not len(own):
+                continue
+            part, asked = sums[:, b * BLOCK : b * BLOCK + BLOCK], frequent[own]
+            bound = np.minimum(self.top[b] @ asked, self.block_long[b] * np.sqrt((asked**2).sum(axis=0)))
+            open_ = np.flatnonzero(part.max(axis=1) + bound + ROUNDING >= least)
+            if len(open_) == len(sums):
+                part += asked.T @ numbers
+            elif len(open_):
+                part[open_] += asked[:, open_].T @ numbers
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> list[tuple[int, float]]:
+        """The k best; those that single precision can't tell from them are worked out in full too."""
+        n = len(self.docs)
+        least = float(np.partition(sums, n - self.k)[n - self.k]) if n > self.k else 0.0
+        open_ = np.flatnonzero((sums > 0) & (sums >= least - ROUNDING))
         if not len(open_):
             return []
-        own = self.first[open_ + 1] - self.first[open_]
-        at = ranges(self.first[open_], own)
-        scores = np.add.reduceat(query[self.own_terms[at]] * self.own_values[at], np.cumsum(own) - own)
+        spans = [slice(a, b) for a, b in zip(self.first[open_].tolist(), self.first[open_ + 1].tolist())]
+        self.asked[terms] = weights * self.idf[terms]
+        scores = np.array([self.asked[self.own_terms[x]] @ damped(self.own_times[x]) for x in spans]) / self.norms[open_]
+        self.asked[terms] = 0
         scores = np.round(scores, 12)
         best = np.lexsort((self.docs[open_], -scores))[: self.k]
         return [(int(open_[i]), float(scores[i])) for i in best.tolist() if scores[i] > 0]
@@ -192,19 +374,18 @@ class BlockMaxIndex:
 class Model:
     """Vocabulary, index and prior; its size is bounded by the texts of EXAMPLES labelled rows."""
 
-    def __init__(self, terms: list[str], index: BlockMaxIndex, prior: float):
-        self.terms, self.index, self.prior = terms, index, prior
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"terms": zlib.compress("\n".join(self.terms).encode(), 1)}  # terms are letters and hyphens
+    def __init__(self, vectors: Vectors, index: BlockMaxIndex, prior: float):
+        self.vectors, self.index, self.prior = vectors, index, prior
 
-    def __setstate__(self, state: dict) -> None:
-        text = zlib.decompress(state["terms"]).decode()
-        self.__dict__.update(state, terms=text.split("\n") if text else [])
+    @property
+    def terms(self) -> list[str]:
+        return self.vectors.terms
 
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
+    def votes(self, values: Iterable[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
         """Share of toxic votes, each weighted by 1 / (distance + 0.1) relative to a perfect match, with the prior."""
-        near = self.index.nearest(counts) if counts else []
+        return [self._vote(near) for near in self.index.search(*self.vectors.counts(values))]
+
+    def _vote(self, near: list[tuple[int, float]]) -> tuple[float, list[tuple[int, float]]]:
         weight = [0.1 / (1.0 - min(1.0, c) + 0.1) for _, c in near]
         toxic = sum(w * self.index.toxic[p] for (p, _), w in zip(near, weight))
         score = (toxic + PRIOR_WEIGHT * self.prior) / (sum(weight) + PRIOR_WEIGHT)
@@ -218,40 +399,44 @@ def chosen_labels(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     return marked.join(F.broadcast(ids), F.col("doc_id") == F.col("_key"), "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
+def slices(column: pa.Array, rows: int = ASKED) -> Iterator[Iterator[str | None]]:
+    """The values, so many at a time."""
+    for at in range(0, len(column), rows):
+        yield texts(column.slice(at, rows))
+
+
+def frequencies(docs: DataFrame, vocabulary: Broadcast, n_terms: int, text: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each term, over the whole table, and the number of rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, found, rows = None, np.zeros(len(shared.value), np.int64), 0
+        found, rows = np.zeros(n_terms, np.int64), 0
         for batch in batches:
-            vectors = vectors or Vectors(shared.value)
-            for value in texts(batch.column(0)):
-                found[list(vectors.counts(value))] += 1
-                rows += 1
+            for values in slices(batch.column(0)):
+                found += np.bincount(vocabulary.value.counts(values)[1], minlength=n_terms)
+            rows += len(batch)
         held = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int32()), pa.array([rows, *found[held].tolist()], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int32()), pa.array(np.append(found[held], rows), pa.int64())], names=["term", "n"])
 
     counted = docs.select(text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
-    shared.destroy()
-    out = np.zeros(len(terms), np.int64)
+    out = np.zeros(n_terms, np.int64)
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
 
 
-def with_counts(df: DataFrame, names: list[str], text: str = "text", out: str = "counts") -> DataFrame:
-    """Add ``out``: struct (terms, times), the counts of the terms in the whole text; none for a null text."""
-    kind = pa.list_(pa.int32())
-    shared = df.sparkSession.sparkContext.broadcast(names)
+def with_counts(df: DataFrame, vocabulary: Broadcast, text: str = "text", out: str = "counts") -> DataFrame:
+    """Add ``out``: struct (n, terms, times), the counts of the terms in the whole text, packed; none for a null text."""
 
-    @F.arrow_udf("struct<terms:array<int>,times:array<int>>")
+    @F.arrow_udf("struct<n:int,terms:array<binary>,times:array<binary>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vectors = Vectors(shared.value)
         for batch in batches:
-            found = [sorted(vectors.counts(t).items()) for t in texts(batch)]
-            columns = [pa.array([[pair[k] for pair in f] for f in found], kind) for k in (0, 1)]
-            yield pa.StructArray.from_arrays(columns, names=["terms", "times"])
+            found = []
+            for values in slices(batch):
+                first, terms, times = vocabulary.value.counts(values)
+                spans = [slice(a, b) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                found += [(s.stop - s.start, packed(np.diff(terms[s], prepend=0)), packed(times[s])) for s in spans]
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())))]
+            yield pa.StructArray.from_arrays(columns, names=["n", "terms", "times"])
 
     return df.withColumn(out, run(F.col(text)))
 
@@ -271,20 +456,35 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
     """
     chosen = cut_lineage(chosen_labels(labels, examples))
     sample = cut_lineage(docs.filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
-    once = sample.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_hash", "toxic"]).select("toxic", "text")
-    known = once.mapInArrow(count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
-    ).toArrow().sort_by("term")
-    terms = known.column("term").to_pylist()
-    held, total = frequencies(docs, terms)
-    weights = term_weights(held, total, known.column("toxic").to_numpy(), known.column("clean").to_numpy(), once.filter("toxic <= 0").count())
-    counted = with_counts(sample, terms).select("doc_id", "toxic", "counts").toArrow()
-    marked = [int(t > 0) for t in counted.column("toxic").to_pylist()]
-    rows = (
-        (doc, toxic, dict(zip(c["terms"].as_py(), c["times"].as_py())))
-        for doc, toxic, c in zip(counted.column("doc_id").to_pylist(), marked, counted.column("counts"))
-    )
-    return Model(terms, BlockMaxIndex(rows, weights), (sum(marked) + 0.1) / (len(marked) + 1.0))
+    words = sample.select("text").mapInArrow(words_of, "word string").distinct().toArrow().column("word").to_pylist()
+    names = sorted({t for word in words for t in terms_of(word)})
+    del words
+    n_terms, vocabulary = len(names), docs.sparkSession.sparkContext.broadcast(Vectors(names))
+    held, total = frequencies(docs, vocabulary, n_terms)
+    # from here on frequent terms come first: what a search looks up lies close together
+    order = np.argsort(-held, kind="stable")
+    held, rank = held[order], np.empty(n_terms, np.int64)
+    rank[order] = np.arange(n_terms)
+    rows = with_counts(sample, vocabulary).select("doc_id", "toxic", F.xxhash64("text").alias("hash"), "counts.*").toArrow().sort_by("doc_id")
+    vocabulary.destroy()
+    marked, hashes = rows.column("toxic").to_numpy() > 0, rows.column("hash").to_numpy()
+    first = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy(), dtype=np.int64)])
+    terms, times = np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
+    by_label, clean, seen = np.zeros((2, n_terms), np.int64), 0, set()
+    for i, (start, end) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        own = rank[np.cumsum(unpacked(rows.column("terms")[i].as_py()))]
+        order_in = np.argsort(own)
+        terms[start:end], times[start:end] = own[order_in], unpacked(rows.column("times")[i].as_py())[order_in]
+        key = (int(hashes[i]), bool(marked[i]))
+        if key not in seen:
+            seen.add(key)
+            by_label[int(marked[i]), terms[start:end]] += 1
+            clean += not marked[i]
+    docs_of = rows.column("doc_id").to_numpy().astype(np.int64)
+    del rows
+    weights = term_weights(held, total, by_label[1], by_label[0], clean)
+    index = BlockMaxIndex.of(docs_of, marked.astype(np.float64), first, terms, times, weights)
+    return Model(Vectors([names[i] for i in order.tolist()]), index, float(marked.sum() + 0.1) / (len(marked) + 1.0))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -298,10 +498,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity"
 
     @F.arrow_udf("struct<score:double,neighbours:array<struct<doc_id:bigint,cosine:double>>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = shared.value
-        vectors = Vectors(own.terms)
+        give_back()  # of the stages before
         for batch in batches:
-            found = [own.vote(vectors.counts(t)) for t in texts(batch)]
+            found = [vote for values in slices(batch) for vote in shared.value.votes(values)]
             yield pa.StructArray.from_arrays([
                 pa.array([f[0] for f in found], pa.float64()),
                 pa.array([[{"doc_id": d, "cosine": c} for d, c in f[1]] for f in found], kind),
