@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from gleaner import fixed
 from gleaner.functions.text import once, squeeze, text_or_blank
 
-# A comment, an element tag (a quote opens a value only after "="), or a closing / declaration tag.
-_COMMENT = r"<!(?=--)(?:(?s:.*?)-->|(?s:.*+)$)"
-_ELEMENT = r"""<[a-zA-Z](?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>"""
-_OTHER_TAG = r"<[/!][^<>]*+>"
-TAG = f"{_COMMENT}|{_ELEMENT}|{_OTHER_TAG}"
+# A comment, an element tag (a quote opens a value only after "="), or a closing / declaration tag. The "<" stands before
+# all alternatives, so any other character is passed over by one comparison.
+_COMMENT = r"!(?=--)(?:(?s:.*?)-->|(?s:.*+)$)"
+_ELEMENT = r"""[a-zA-Z](?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>"""
+_OTHER_TAG = r"[/!][^<>]*+>"
+TAG = f"<(?:{_COMMENT}|{_ELEMENT}|{_OTHER_TAG})"
 BLOCKS = (
-    r"(?is)<!--(?:>|->|.*?-->|.*+$)"
-    r"|<script(?![a-z0-9_])(?:.*?</script[^>]*+>|.*+$)"
-    r"|<style(?![a-z0-9_])(?:.*?</style[^>]*+>|.*+$)"
+    r"(?is)<(?:!--(?:>|->|.*?-->|.*+$)"
+    r"|script(?![a-z0-9_])(?:.*?</script[^>]*+>|.*+$)"
+    r"|style(?![a-z0-9_])(?:.*?</style[^>]*+>|.*+$))"
 )
+_NAMED = f"(?i)&(?:{'|'.join(fixed.NAMED_ENTITIES)});"
 _AMP = "\uE000"  # private character
 
 
@@ -52,7 +54,7 @@ def decode_entities(c) -> Column:
         named = t
         for name, value in fixed.NAMED_ENTITIES.items():
             named = F.regexp_replace(named, f"(?i)&{name};", value)
-        named = F.regexp_replace(named, r"(?i)&amp;", _AMP)
+        named = F.regexp_replace(F.when(t.rlike(_NAMED), named).otherwise(t), r"(?i)&amp;", _AMP)
         return F.replace(once(named, numbered), F.lit(_AMP), F.lit("&"))
 
     return once(text_or_blank(c), lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))

@@ -18,39 +18,39 @@ from gleaner.functions.html import decode_entities, html_to_text, strip_blocks
 from gleaner.functions.text import compose_text, of_each, once, one_line, text_or_blank
 from gleaner.functions.urls import canonical_job_url, undouble
 
-_DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
+_DIV = r"(?iu)</?div(?![\p{L}\p{N}_])[^>]*+>"
 _CLASS = re.compile(r"""class=["']([^"']*)["']""", re.IGNORECASE)
 
 
-def _inner_div(html: str, wanted: str) -> str:
-    """One pass over the div tags: find the opener, then the tag that brings the depth back to zero."""
-    start, depth = None, 0
-    for tag in _DIV.finditer(html):
-        if start is None:
-            names = None if tag.group(1) else _CLASS.search(tag.group(0))
-            if names and wanted in names.group(1).lower():
-                start, depth = tag.end(), 1
-            continue
-        depth += -1 if tag.group(1) else 1
-        if depth == 0:
-            return html[start:tag.start()]
-    return "" if start is None else html[start:]
+def _inner_div(html: Column, wanted: str) -> Column:
+    """The div tags and what stands between them: find the opener, then the tag that brings the depth back to zero."""
+    opens = lambda tag: F.lower(F.regexp_extract(tag, f"(?iu){_CLASS.pattern}", 1)).contains(wanted)
 
+    def step(a: Column, tag: Column) -> Column:
+        """Of the tags so far: their number, the opener's place, the depth behind them, the place of the end; 0 is none."""
+        closing, at = tag.startswith("</"), a["at"] + 1
+        first = F.when(a["first"] > 0, a["first"]).when(~closing & opens(tag), at).otherwise(0)
+        depth = F.when(a["first"] > 0, a["depth"] + F.when(closing, -1).otherwise(1)).otherwise(1)
+        last = F.when(a["last"] > 0, a["last"]).when((a["first"] > 0) & (depth == 0), at).otherwise(0)
+        return F.struct(at.alias("at"), first.alias("first"), depth.alias("depth"), last.alias("last"))
 
-def div_block_of(html: Column, class_name: str) -> Column:
-    """Inner HTML of the first div whose class contains the name, nested divs included.
+    def cut(found: Column) -> Column:
+        tags, between, first, last = (found[c] for c in ("tags", "between", "first", "last"))
+        inside = F.when(last > 0, last - 1).otherwise(F.size(tags)) - first
+        nested = F.zip_with(F.slice(tags, first + 1, inside), F.slice(between, first + 2, inside), lambda tag, text: F.concat(tag, text))
+        return F.when(first > 0, F.concat(F.element_at(between, first + 1), F.array_join(nested, ""))).otherwise("")
 
-    Depth counting is beyond patterns; rows that do not carry the class at all stay in the JVM.
-    """
-    wanted = class_name.lower()
+    def placed(tags: Column) -> Column:
+        none = F.struct(*[F.lit(0).alias(c) for c in ("at", "first", "depth", "last")])
+        return once(F.aggregate(tags, none, step), lambda a: F.struct(tags.alias("tags"), F.split(html, _DIV).alias("between"), a["first"].alias("first"), a["last"].alias("last")))
 
-    @F.arrow_udf(StringType())
-    def inner(pages: pa.Array) -> pa.Array:
-        return of_each(lambda page: _inner_div(page, wanted), pages)
+    return once(once(F.regexp_extract_all(html, F.lit(_DIV), F.lit(0)), placed), cut)
 
-    cleaned = strip_blocks(html)
-    has = F.lower(cleaned).contains(wanted)
-    return F.coalesce(inner(F.when(has, cleaned)), F.lit(""))
+
+def div_block_of(html: Column, class_name: str) -> Column:
+    """Inner HTML of the first div whose class contains the name, nested divs included; blank where there is none."""
+    wanted = class_name.lower()
+    return once(strip_blocks(html), lambda page: F.when(F.lower(page).contains(wanted), _inner_div(page, wanted)).otherwise(""))
 
 
 BLOCK = pa.struct([("tag", pa.string()), ("classes", pa.string()), ("depth", pa.int32()), ("start", pa.int64()), ("length", pa.int64())])

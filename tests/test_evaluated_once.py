@@ -1,5 +1,8 @@
 """Costly parts of an expression stand in it, or in its plan, a single time."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -48,3 +51,43 @@ def test_charsets_of_single_bytes_need_no_python(spark):
     assert got == {label: body.decode(label, errors="replace") for body, _, label in raw[:-1]}
     legacy = pages.decode_body(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "windows-1251" in legacy and legacy.count("_decode_legacy(") <= 1
+
+
+def test_posts_are_cut_out_of_a_page_once_and_without_python(spark):
+    post = '<div class="tgme_widget_message_wrap x"><div data-post="chan/{0}"><div class="tgme_widget_message_text js">{1}</div></div></div>'
+    page = '<section class="tgme_channel_history">' + post.format(1, "a<DIV>b</div >c") + post.format(2, "") + post.format(3, "<div>open")
+    pages_ = spark.createDataFrame([(page,), ("no preview",), (None,)], "html string")
+    plan = feeds.split_channel_page(pages_)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and plan.count("aggregate(") == 1
+    got = {r["post_id"]: r["html"] for r in feeds.split_channel_page(pages_).collect()}
+    assert got == {"1": "a<DIV>b</div >c", "3": "<div>open</div>"}
+
+
+def test_block_of_nested_and_broken_tags(spark):
+    kinds = ['<div class="a x">', "<DIV id=1 CLASS='X y'>", "</div>", "</DIV >", "<div>", '<div <div class="x">', '<divx class="x">', "<div", "t", "é x", "<div\nclass=x>", '<div data-class="x">', "</div", ">"]
+    opener, div = re.compile(r"""class=["']([^"']*)["']""", re.IGNORECASE), re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
+
+    def expected(html):
+        start, depth = None, 0
+        for tag in div.finditer(html):
+            names = None if tag.group(1) else opener.search(tag.group(0))
+            if start is not None:
+                depth += -1 if tag.group(1) else 1
+                if depth == 0:
+                    return html[start : tag.start()]
+            elif names and "x" in names.group(1).lower():
+                start, depth = tag.end(), 1
+        return "" if start is None else html[start:]
+
+    rng = random.Random(3)
+    given = ["".join(rng.choices(kinds, k=rng.randint(0, 12))) for _ in range(600)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)] + [(-1, None)], "i int, v string")
+    got = {r["i"]: r["b"] for r in df.select("i", pages.div_block_of(F.col("v"), "X").alias("b")).collect()}
+    assert got == {-1: ""} | {i: expected(v) for i, v in enumerate(given)}
+
+
+def test_fields_of_a_post_keep_one_line(spark):
+    html = "<b>Title:</b> Q\x1fA  x<br>Company name: A‮ b<br>Job description: one\x01 \x02two &nbsp;&amp;lt;<br>T&#97;gs　: #a_b #c"
+    posts = spark.createDataFrame([("chan", 1, html)], "channel string, post_id int, html string")
+    r = feeds.channel_posts(posts).collect()[0]
+    assert (r["title"], r["company"], r["summary"]) == ("Q A x", "A b", "one two &lt; Tags: a b, c.")
