@@ -113,8 +113,8 @@ def _newest(values: pd.Series, starts: np.ndarray) -> np.ndarray:
 
 
 def _ends(starts: np.ndarray) -> np.ndarray:
-    """Where a key ends."""
-    return np.append(starts[1:], True)
+    """Where a key ends. No rows have no end."""
+    return np.append(starts[1:], True)[: len(starts)]
 
 
 class _LastSeen(_Dealt):

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,7 @@ def test_a_large_batch_is_several_files(spark, sf_dir, monkeypatch):
     folder = streams.runs.run_folder(spark, "seen")
     streams.runs.run_batches(stream, lambda batch, n: seen.append((batch.rdd.getNumPartitions(), sorted(r.v for r in batch.collect()))), folder)
     assert [v for _, v in seen] == [list(range(97)), [291, 294, 297]]
+
+
+def test_no_rows_have_no_end():
+    assert stateful._ends(np.ones(0, bool)).tolist() == [] and stateful._ends(np.array([True, False, True])).tolist() == [False, True, True]
